@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,24 @@ def discard(df: DataFrame | None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Python workers go through texts in groups of about this many bytes.
+GROUP_BYTES = 4 << 20
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], text_at: int, most: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches whose texts have about ``most`` bytes (one text may have more), and
+    these texts as bytes."""
+    for batch in batches:
+        texts = batch.column(text_at).cast(pa.binary())
+        group, first, held = [], 0, 0
+        for i in range(batch.num_rows):
+            group.append(texts[i].as_py())
+            held += len(group[-1] or b"")
+            if held >= most or i == batch.num_rows - 1:
+                yield batch.slice(first, i + 1 - first), group
+                group, first, held = [], i + 1, 0
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pii, secrets
+from . import decontaminate, langid, mixing, pii, quality, secrets, simhash, substring_dedup, warc
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -16,6 +17,31 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_read(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(_read(spark, sf_dir, "documents"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_read(spark, sf_dir, "pages")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_read(spark, sf_dir, "documents"))
 
@@ -24,4 +50,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op9_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets)}
