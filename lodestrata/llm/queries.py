@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, quality, secrets, simhash, substring_dedup, warc
+from . import decontaminate, langid, lm_scoring, mixing, pii, quality, secrets, simhash, substring_dedup, warc
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(_read(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets)}
