@@ -1,8 +1,6 @@
 """Registered queries over the driver's tables, and their DuckDB twins."""
 
-from collections.abc import Callable
+from . import aggregates, changes, searches, state, texts
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "aggregates", "changes", "searches", "state", "texts"]
