@@ -50,4 +50,4 @@ def checked(v: Column, dim: int) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x < 0, 0.0).when(x > 1, 1.0).otherwise(x)

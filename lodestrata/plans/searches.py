@@ -43,7 +43,7 @@ def hybrid_sql(vw: float, tw: float, *, terms: tuple[str, ...] = TERMS, vec: int
     return f"""{bm25_sql(terms, where, fetch, f'{p}text_hits', p)},
 {p}vec_hits AS (SELECT chunk_id, {cos_sql('embedding', vec)} AS cosine FROM corpus WHERE embedding IS NOT NULL AND ({where}) ORDER BY cosine DESC, chunk_id LIMIT {fetch}),
 {name} AS (
-  SELECT chunk_id, round({vw}::DOUBLE * coalesce(greatest(0.0, least(1.0, cosine)), 0.0) + {tw}::DOUBLE * coalesce(CASE WHEN best > 0 THEN bm25 / best * CAST({_SUBSTANCE} AS DOUBLE) END, 0.0), 6) AS score, cosine, bm25
+  SELECT chunk_id, round({vw}::DOUBLE * CASE WHEN cosine IS NULL OR cosine < 0 THEN 0.0 WHEN cosine > 1 THEN 1.0 ELSE cosine END + {tw}::DOUBLE * coalesce(CASE WHEN best > 0 THEN bm25 / best * CAST({_SUBSTANCE} AS DOUBLE) END, 0.0), 6) AS score, cosine, bm25
   FROM {p}vec_hits FULL JOIN {p}text_hits USING (chunk_id), (SELECT max(bm25) AS best FROM {p}text_hits)
   ORDER BY score DESC, chunk_id LIMIT {limit})"""
 

@@ -11,7 +11,7 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("end_line", T.IntegerType()), T.StructField("start_byte", T.IntegerType()), T.StructField("end_byte", T.IntegerType()),
     T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_type", T.StringType()), T.StructField("symbol_name", T.StringType()),
     T.StructField("project_root", T.StringType()), T.StructField("indexed_at", T.TimestampType()), T.StructField("chunk_key", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
 RESULT_COLUMNS = ["chunk_id", "file_path", "relative_path", "content", "start_line", "end_line", "chunk_type", "symbol_name", "language", "distance", "score"]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def is_text(content: Column) -> Column:
     """No NUL and valid UTF-8 in the first bytes; an empty file is text. A character that the probe's
     end cuts makes a file binary."""
     head = F.substring(content, 1, PROBE_BYTES)
-    return (F.length(content) == 0) | (F.is_valid_utf8(head.cast("string")) & ~F.contains(F.hex(head).cast("string"), F.lit("#")) & (F.locate("\0", head.cast("string")) == 0))
+    return (F.length(content) == 0) | (F.is_valid_utf8(head.cast("string")) & (F.locate("\0", head.cast("string")) == 0))
 
 
 def is_indexable(content: Column) -> Column:
@@ -110,15 +112,50 @@ def watch_ignored(path: Column, patterns: list[str]) -> Column:
 # ---- scans
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, without a slash at its end."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
+def hidden_files(spark: SparkSession, root: str, max_bytes: int) -> DataFrame | None:
+    """(path, length, content) of the files that Spark's own sources pass over, as their name or a
+    folder's begins with a dot or an underscore. The driver lists names and sizes, tasks read."""
+    base = qualified(spark, root)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    walk = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while walk.hasNext():
+        status = walk.next()
+        path = status.getPath().toString()
+        if re.search(r"/[._]", path[len(base):]) and status.getLen() <= max_bytes and "/.git/" not in path:
+            found.append((path, status.getLen()))
+    if not found:
+        return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, local = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                with system.open_input_stream(local) as f:
+                    content = f.read()
+                yield pa.record_batch({"path": [path], "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    names = spark.createDataFrame(found, "path string, length long").repartition(min(len(found), 64))
+    return names.mapInArrow(read, "path string, length long, content binary")
+
+
 def tree(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES, project_root: str | None = None) -> DataFrame:
     """The regular files below a folder that are small enough and not ignored: project_root, path,
-    relative_path, size, content, source_hash, file_hash, language. Size is pushed to the listing, so
-    large files are not read; hashing is where content is first looked at."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    bare = re.sub(r"^file:/*", "/", base)
-    relative = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(bare) + 2, 1 << 20) if base.startswith("file:") else F.substring("path", len(base) + 2, 1 << 20)
+    relative_path, file_size, content, source_hash, file_hash, language. Size is pushed to the
+    listing, so large files are not read; hashing is where content is first looked at."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes).select("path", "length", "content")
+    hidden = hidden_files(spark, root, max_bytes)
+    files = files if hidden is None else files.unionByName(hidden)
+    plain = re.sub(r"^file:/+", "/", qualified(spark, root))
+    relative = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(plain) + 2, 1 << 20)
     named = files.select(F.lit(project_root or root).alias("project_root"), "path", relative.alias("relative_path"), F.col("length").alias("file_size"), "content")
     kept = named.where(~ignored(F.col("relative_path"), rules or []))
     digest = F.sha2("content", 256)
@@ -169,7 +206,7 @@ def source_span(text: Column, anchor: Column, before: Column, after: Column, mos
     are more than ``most``."""
     clean = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     once = (F.char_length(clean) - F.char_length(F.replace(clean, anchor, F.lit("")))) == F.char_length(anchor)
-    line = F.size(F.split(F.substring_index(clean, anchor, 1), "\n", -1))
+    line = F.size(F.split(F.split_part(clean, anchor, F.lit(1)), "\n", -1))
     lines = F.split(clean, "\n", -1)
     last_line = line + F.size(F.split(anchor, "\n", -1)) - 1
     first, last = F.greatest(line - before, F.lit(1)), F.least(last_line + after, F.size(lines))
