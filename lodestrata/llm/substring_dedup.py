@@ -1,8 +1,10 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?``, at line ends, and after words whose hash
-says so, which cuts long sentences at places that depend on the words alone. From every sentence a
-span runs over several sentences, until it has ``SPAN_WORDS`` words. Spans are hashed (96 bits, A-Z
+A text is cut into sentences: after ``.``, ``!`` or ``?`` and at line ends; where so many words have
+no such end, after the word whose hash is least among them, so that long sentences are cut at places
+that depend on the words around them alone. From every sentence a span runs over several sentences,
+until it has ``SPAN_WORDS`` words: a repeated passage of ``SPAN_WORDS + 4 * LONGEST`` words always
+holds a whole span, most shorter ones do. Spans are hashed (96 bits, A-Z
 lower-cased) and joined globally; a span's first place is that in the document with the smallest
 id. Sentences that lie in a span anywhere else are removed, repeats within a document included.
 
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import text_groups
 
-SPAN_WORDS = 20
-SPAN_SENTENCES = 3
-#: One word in so many ends a sentence by its hash.
-CUT = 8
+SPAN_WORDS = 16
+SPAN_SENTENCES = 2
+#: No more words than this are without the end of a sentence.
+LONGEST = 10
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -74,10 +76,14 @@ class Sentences:
         word = _Ranges(low.astype(np.uint64), 0x9E3779B97F4A7C15).of(self.word_first, self.word_end)
         n = len(word)
         line = np.cumsum(raw == 10)
-        last = _STOP[raw[self.word_end - 1]] | (word % np.uint64(CUT) == 0) if n else np.zeros(0, bool)
+        last = _STOP[raw[self.word_end - 1]] if n else np.zeros(0, bool)
         if n:
             last[:-1] |= line[self.word_first[1:]] != line[self.word_first[:-1]]
-            last[self.text_words[1:][self.text_words[1:] > 0] - 1] = True
+            last[self.text_words[1:][self.text_words[1:] > 0] - 1] = True  # so no window looks across texts
+        if n >= LONGEST:
+            rank = np.where(last, np.uint64(0), word | np.uint64(1))
+            window = np.lib.stride_tricks.sliding_window_view(rank, LONGEST)
+            last[window.argmin(1) + np.arange(n - LONGEST + 1)] = True
         self.end = np.flatnonzero(last) + 1  # end word of each sentence
         self.first = np.concatenate([[0], self.end[:-1]]) if len(self.end) else self.end
         self.text_sentences = np.searchsorted(self.first, self.text_words)

@@ -333,7 +333,7 @@ def test_repeated_passages_are_removed_once(spark):
     text = dict(data)
     assert got[0].text == text[0] and got[0].n_removed == 0 and got[10].text == text[10]
     for i in (1, 2, 3, 4, 5, 11):
-        assert got[i].n_removed_words >= 35 and set(got[i].text.split()) < set(text[i].split())
+        assert got[i].n_removed_words >= 40 and set(got[i].text.split()) < set(text[i].split())
         assert len(set(own[i].split()) - set(got[i].text.split())) <= 8 if i < 6 else True
 
 
@@ -347,7 +347,7 @@ def test_spans_match_brute_force_sentences(spark, docs, rows):
         out = []
         for a, b in zip(s.span, s.stop, strict=True):
             key = tuple(words[s.first[a]:s.end[b]])
-            assert len(key) >= 20 and b - a >= 2
+            assert len(key) >= substring_dedup.SPAN_WORDS and b - a >= 1
             out.append((a, b, key))
             first.setdefault(key, (i, a))
         spans_of[i], cuts[i] = out, len(s.first)
@@ -356,6 +356,19 @@ def test_spans_match_brute_force_sentences(spark, docs, rows):
         assert got[i].n_removed == len(gone) and got[i].n_sentences == cuts[i]
 
 
+def test_sentences_do_not_depend_on_what_stands_beside(rows):
+    texts = [t.encode() for _, t in rows[:30]] + [b"", b" x ", b"w " * 50]
+    together, at = substring_dedup.Sentences(texts), 0
+    for k, t in enumerate(texts):
+        alone = substring_dedup.Sentences([t])
+        n = len(alone.first)
+        own = slice(together.text_sentences[k], together.text_sentences[k + 1])
+        assert (together.first[own] - together.text_words[k] == alone.first).all() and n == own.stop - own.start
+        assert n == 0 or (alone.end - alone.first).max() <= substring_dedup.LONGEST
+        assert set(together.h1[together.owner == k]) == set(alone.h1)
+        at += n
+
+
 def test_warc_derivatives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     source = {r.source_key: r for r in warc.responses(pages).collect()}
