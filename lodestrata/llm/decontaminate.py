@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 WINDOW = 13
 #: Words of documents in one suffix array, and words of benchmark items in one broadcast slice.
 SHARD_WORDS = 1_500_000
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 500_000
 
 #: Bytes to word characters: A-Z fall to a-z, ASCII that is neither letter nor digit to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -122,14 +122,15 @@ class Shard:
         return search(False), search(True)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], vocab: dict[bytes, int]):
-    """Lists of (id, word numbers) of about ``SHARD_WORDS`` words."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes, int]]]:
+    """Lists of (id, text, number of words) of about ``SHARD_WORDS`` words; texts as blank-separated
+    words."""
     shard, held = [], 0
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
-        for doc_id, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in texts), strict=True):
-            ws = words_of(text)
-            shard.append((doc_id, np.array([vocab.get(w, 0) for w in ws], np.int32)))
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            ws = words_of(text.as_py())
+            shard.append((doc_id, b" ".join(ws), len(ws)))
             held += len(ws)
             if held >= SHARD_WORDS:
                 yield shard
@@ -138,6 +139,19 @@ def _shards(batches: Iterator[pa.RecordBatch], vocab: dict[bytes, int]):
         yield shard
 
 
+def _each(slices: list) -> Iterator[TestSlice]:
+    """The slices, one after another; of several only one is in a worker's memory at a time."""
+    for part in slices:
+        yield part.value
+        if len(slices) > 1:
+            part.__dict__.pop("_value", None)  # read again from the worker's disk when its turn comes
+
+
+def _indexed(group: list[tuple[int | None, bytes, int]], test: TestSlice) -> Shard:
+    numbers = [np.fromiter((test.vocab.get(w, 0) for w in text.split()), np.int32, n) for _, text, n in group]
+    return Shard(numbers, test.window, len(test.vocab))
+
+
 def _hits(shard: Shard, test: TestSlice) -> tuple[np.ndarray, list[set[str]]]:
     """Which words of the shard lie in an occurrence of a window; the items found in each document."""
     rows, length, owner = test.rows[test.is_window], test.length[test.is_window], test.owner[test.is_window]
@@ -175,29 +189,19 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: s
     slices = _slices(benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: dict[bytes, int] = {}
-        for part in slices:
-            for w in part.value.vocab:
-                vocab.setdefault(w, len(vocab) + 1)
-        maps = []
-        for part in slices:
-            own = np.zeros(len(vocab) + 1, np.int32)
-            for w, i in part.value.vocab.items():
-                own[vocab[w]] = i
-            maps.append(own)
-        for group in _shards(batches, vocab):
+        for group in _shards(batches):
             hit, found = None, [set() for _ in group]
-            for part, own in zip(slices, maps, strict=True):
-                shard = Shard([own[words] for _, words in group], window, len(part.value.vocab))
-                now, items = _hits(shard, part.value)
+            for test in _each(slices):
+                shard = _indexed(group, test)
+                now, items = _hits(shard, test)
                 hit = now if hit is None else hit | now
                 for a, b in zip(found, items, strict=True):
                     a |= b
             sums = np.concatenate([[0], np.cumsum(hit)])
-            n_words = np.array([len(words) for _, words in group], np.int64)
+            n_words = np.array([n for _, _, n in group], np.int64)
             n_hit = sums[shard.starts[:-1] + n_words] - sums[shard.starts[:-1]]
             yield pa.record_batch({
-                "doc_id": pa.array([d for d, _ in group], pa.int64()),
+                "doc_id": pa.array([d for d, _, _ in group], pa.int64()),
                 "n_words": pa.array(n_words), "n_hit": pa.array(n_hit.astype(np.int64)),
                 "n_items": pa.array([len(x) for x in found], pa.int64()),
                 "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]),
@@ -213,14 +217,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     slices = _slices(benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches) if len(slices) > 1 else batches
-        for part in slices:
-            test = part.value
-            for group in _shards(iter(batches), test.vocab):
-                shard = Shard([words for _, words in group], window, len(test.vocab))
+        for group in _shards(batches):
+            for test in _each(slices):
+                shard = _indexed(group, test)
                 if not len(shard.order) or not len(test.rows):
                     continue
-                best = _longest(shard, test, [d for d, _ in group])
+                best = _longest(shard, test, [d for d, _, _ in group])
                 yield pa.record_batch(dict(zip(["item_id", "test_offset", "length", "doc_id", "doc_offset"], best, strict=True)))
 
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, MATCHES)
