@@ -84,6 +84,16 @@ class Engine:
         self.store.finish_receipt(self.project, attempt, complete=not paths, chunks=row["chunks"], files=row["files"])
         return row | counts
 
+    def ensure(self, mode: str = "check") -> freshness.Readiness:
+        """The state of the index; ``index_if_empty`` indexes an empty one, ``force_rebuild`` any."""
+        if mode not in ("check", "index_if_empty", "force_rebuild"):
+            raise ValueError(f"unknown mode {mode!r}")
+        ready = self.readiness()
+        if mode == "force_rebuild" or mode == "index_if_empty" and ready.state == "empty":
+            self.index(full=mode == "force_rebuild")
+            ready = self.readiness()
+        return ready
+
     def delete(self, path: str) -> int:
         n = self.store.delete_file(self.project, path)
         self.store.invalidate(self.project)

@@ -434,3 +434,46 @@ def test_stream_windows_equal_the_batch(spark, sf_dir, tmp_path):
     got = {tuple(r) for r in spark.table("windows").collect()}
     want = {tuple(r) for r in watch.tumbling(rows, "1 day").collect()}
     assert got and got <= want and len(want) - len(got) <= 12
+
+
+def test_driver_functions(tmp_path):
+    from lodestrata.functions import driver
+    assert driver.fnv1a32("") == "811c9dc5" and driver.fnv1a32("a") == "e40c292c"
+    assert driver.human_bytes(512) == "512 B" and driver.human_bytes(1536) == "1.5 KB" and driver.human_duration(3720) == "1h02m"
+    assert driver.short_note("x" * 200).endswith("...") and len(driver.short_note("é" * 200).encode()) <= 120
+    assert driver.project_names(["/a/x", "/b/x", "/c/y"]) == {"/a/x": "a/x", "/b/x": "b/x", "/c/y": "y"}
+    (tmp_path / "c.json").write_text('{"search.limit": 5, "search.vector_weight": 0.5}')
+    got = driver.resolved_config([str(tmp_path / "c.json"), "/none.json"], {"LODESTRATA_SEARCH_LIMIT": "7"})
+    assert got["search.limit"] == 7 and got["search.vector_weight"] == 0.5 and got["search.mode"] == "hybrid"
+    for key, bad in (("search.mode", "x"), ("search.vector_weight", "2"), ("watch.enabled", "maybe")):
+        with pytest.raises(ValueError):
+            driver.config_value(key, bad)
+
+
+def test_peer_answers(spark, tmp_path):
+    from lodestrata.sources import peers
+    write = lambda name, x: (tmp_path / name).write_text(json.dumps(x)) and str(tmp_path / name)
+    hot = write("h.json", {"project": "p", "hotspots": [{"symbol": "Hub", "in_degree": 100, "shared_name": 0}]})
+    assert peers.hotspots(spark, hot).first()[:] == ("Hub", 100, 0)
+    node = lambda f: {"symbol": "s", "file": f}
+    found = write("i.json", {"found": True, "locations": [node("app/auth.go")], "direct_callers": [node("app/login.go")], "blast_radius": [node("app/login.go"), node("api/handler.go")], "tests": [node("app/auth_test.go")]})
+    files = graph.impact_files(peers.impact(spark, found)).collect()
+    assert [r.file for r in files] == ["app/auth.go", "app/login.go", "api/handler.go", "app/auth_test.go"] and [r.is_test for r in files] == [False, False, False, True]
+    assert peers.impact(spark, write("n.json", {"found": False})).isEmpty()
+    assert peers.related(spark, write("r.json", {"indexed": False, "related": []})) is None
+    assert peers.related(spark, write("e.json", {"indexed": True, "related": []})).count() == 0
+    assert peers.graph_state(spark, write("s.json", {"registered": True, "nodes": 3, "stale": None})) == "fresh"
+    assert peers.graph_state(spark, write("t.json", {"registered": True, "nodes": 3, "stale": {"changed": 1, "new": 0, "deleted": 0}})) == "stale"
+    assert peers.symbol_at(spark, write("a.json", {"file": "x", "resolution": "none"})) is None
+
+
+def test_approximate_neighbours_recall(spark, sf_dir):
+    from lodestrata.operators import lsh
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding").cache()
+    buckets = lsh.index(rows, 64, tables=32, bits=4).cache()
+    hits = total = 0
+    for r in rows.where("chunk_id % 100 = 0").collect():
+        exact = {x.chunk_id for x in vector_search.top(rows, r.embedding, 3).collect()}
+        hits += len(exact & {x.chunk_id for x in lsh.top(rows, buckets, r.embedding, 3, tables=32, bits=4).collect()})
+        total += len(exact)
+    assert hits / total >= 0.9
