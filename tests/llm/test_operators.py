@@ -35,7 +35,7 @@ def rows(docs):
 @pytest.fixture(scope="module")
 def edges(spark):
     """Null, blank, long and repeated texts; null and repeated ids; columns with clashing names."""
-    data = [(i, t, "en", "s", 0, 1, 2.0, "x", True) for i, t in EDGES]
+    data = [(i, t, "en" if n % 2 else None, "s" if n % 3 else None, 0, 1, 2.0, "x", True) for n, (i, t) in enumerate(EDGES)]
     return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, n_words long, score double, found string, kept boolean").repartition(3)
 
 
