@@ -19,7 +19,6 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_rows  # noqa: F401
 from .spans import Kind, count_of, joined, with_spans
 
 BASE = ["assign", "access", "hex"]
@@ -29,7 +28,7 @@ def _either_case(text: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
 
 
-_NAMES = "|".join(_either_case(x).replace("api_", "api_") for x in ("password", "passwd", "secret", "token", "api_?key"))
+_NAMES = "|".join(_either_case(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
 
 KINDS = [
     Kind("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", accept=lambda m, g, b, a: F.char_length(g) >= 6, group=2),

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -82,51 +83,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---- Golay keys
 
 
-@lru_cache(maxsize=1)
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """For every 23-bit word the index of its codeword, and for every syndrome of an error of weight
-    three the five error patterns of weight four with that syndrome (zeros for other syndromes)."""
-    words = np.arange(1 << 12, dtype=np.int64) << 11
+def _syndromes(words: np.ndarray) -> np.ndarray:
+    """Remainders of 23-bit words by the generator: zero for codewords, else what the error leaves."""
     rest = words.copy()
     for bit in range(22, 10, -1):
         rest = np.where(rest >> bit & 1, rest ^ (GENERATOR << (bit - 11)), rest)
-    codewords = words | rest  # systematic: the index is the upper twelve bits
-    single = []
-    for bit in range(23):
-        r = 1 << bit
-        for b in range(22, 10, -1):
-            if r >> b & 1:
-                r ^= GENERATOR << (b - 11)
-        single.append(r)
-    leader, weight, far = np.zeros(1 << 11, np.int64), np.full(1 << 11, 9), [[] for _ in range(1 << 11)]
-    from itertools import combinations
-    for k in range(5):
+    return rest
+
+
+@lru_cache(maxsize=1)
+def golay() -> tuple[np.ndarray, np.ndarray]:
+    """By syndrome: the error of weight three or less (there is exactly one, the code being perfect)
+    with its weight; and, where that weight is three, the five errors of weight four."""
+    single = _syndromes(1 << np.arange(23, dtype=np.int64))
+    nearest, weight, far = np.zeros(1 << 11, np.int64), np.zeros(1 << 11, np.int64), [[] for _ in range(1 << 11)]
+    for k in range(1, 5):
         for bits in combinations(range(23), k):
-            syndrome = error = 0
-            for b in bits:
-                syndrome ^= single[b]
-                error |= 1 << b
+            syndrome = int(np.bitwise_xor.reduce(single[list(bits)]))
+            error = sum(1 << b for b in bits)
             if k < 4:
-                leader[syndrome], weight[syndrome] = error, k
+                nearest[syndrome], weight[syndrome] = error, k
             elif weight[syndrome] == 3:
                 far[syndrome].append(error)
-    more = np.array([x if x else [0] * 5 for x in far], np.int64)
-    return np.stack([leader, weight]), more
-
-
-def _syndromes(words: np.ndarray) -> np.ndarray:
-    rest = words.copy()
-    for bit in range(22, 10, -1):
-        rest = np.where(rest >> bit & 1, rest ^ (GENERATOR << (bit - 11)), rest)
-    return rest
+    return np.stack([nearest, weight]), np.array([x or [0] * 5 for x in far], np.int64)
 
 
 def indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Six codeword indices of each 23-bit word, and which of them count: the first always, the
     others where the word is at distance three from its codeword."""
-    (leader, weight), more = golay()
+    (nearest, weight), far = golay()
     s = _syndromes(words)
-    errors = np.concatenate([leader[s][:, None], more[s]], axis=1)
+    errors = np.concatenate([nearest[s][:, None], far[s]], axis=1)
     counts = np.concatenate([np.ones((len(words), 1), bool), np.repeat((weight[s] == 3)[:, None], 5, axis=1)], axis=1)
     return (words[:, None] ^ errors) >> 11, counts
 
