@@ -17,13 +17,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_constant(v: Column, q: Sequence[float]) -> Column:
+def _written_out(terms: list[str]) -> Column:
+    """One expression, parsed at once: far fewer calls than building it column by column."""
+    return F.expr(" + ".join(["0.0D", *terms]))
+
+
+def _place(v: str, i: int) -> str:
+    return f"cast(get(`{v}`, {i}) as double)"
+
+
+def dot_constant(v: str, q: Sequence[float]) -> Column:
+    """Product of a vector column, by name, and a constant."""
     if len(q) > UNROLLED:
-        return dot(v, F.array(*[F.lit(float(x)) for x in q]))
-    total = F.lit(0.0)
-    for i, x in enumerate(q):
-        total = total + F.get(v, F.lit(i)).cast("double") * F.lit(float(x))
-    return total
+        return dot(F.col(v), F.array(*[F.lit(float(x)) for x in q]))
+    return _written_out([f"{_place(v, i)} * ({float(x)!r}D)" for i, x in enumerate(q)])
 
 
 def squared_norm(v: Column) -> Column:
@@ -39,9 +46,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(squared_norm(a) * squared_norm(b))
 
 
-def cosine_constant(v: Column, q: Sequence[float]) -> Column:
+def cosine_constant(v: str, q: Sequence[float]) -> Column:
+    """Cosine of a vector column, by name, and a constant of as many dimensions."""
     own = sum(float(x) * float(x) for x in q)
-    return dot_constant(v, q) / F.sqrt(squared_norm(v) * F.lit(own))
+    norm = squared_norm(F.col(v)) if len(q) > UNROLLED else _written_out([f"{_place(v, i)} * {_place(v, i)}" for i in range(len(q))])
+    return dot_constant(v, q) / F.sqrt(norm * F.lit(own))
 
 
 def checked(v: Column, dim: int) -> Column:

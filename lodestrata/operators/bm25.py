@@ -6,7 +6,9 @@ those of the whole store; filters only restrict candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -21,14 +23,19 @@ def searchable(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in TEXT_FIELDS if c in chunks.columns])
 
 
+def terms_of(spark: SparkSession, queries: list[str]) -> list[list[str]]:
+    """Distinct terms of each query, tokenised as the texts are."""
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "i int, q string")
+    found = rows.select("i", F.array_sort(F.array_distinct(tokens(F.col("q")))).alias("t")).collect()
+    return [list(r["t"]) for r in sorted(found, key=lambda r: r["i"])]
+
+
 def query_terms(chunks: DataFrame, query: str) -> list[str]:
-    """Distinct terms of a query, tokenised as the texts are."""
-    row = chunks.sparkSession.range(1).select(F.array_sort(F.array_distinct(tokens(F.lit(query)))).alias("t")).first()
-    return list(row["t"])
+    return terms_of(chunks.sparkSession, [query])[0]
 
 
 def _occurrences(tokens_: str, term: str) -> Column:
-    return F.size(F.filter(tokens_, lambda x: x == term))
+    return F.size(tokens_) - F.size(F.array_remove(tokens_, term))
 
 
 def _weight(tf: Column, length: Column, df: Column, n: Column, mean: Column) -> Column:
@@ -36,27 +43,31 @@ def _weight(tf: Column, length: Column, df: Column, n: Column, mean: Column) ->
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def scored(chunks: DataFrame, query: str, o: FilterOptions | None = None) -> DataFrame:
-    """The chunks that have a term of the query, with ``bm25``. One narrow pass gathers a row of
-    statistics, another scores; nothing but that row is exchanged."""
-    terms = query_terms(chunks, query)
-    if not terms:
-        return chunks.where("false").withColumn("bm25", F.lit(0.0))
-    counted = chunks.withColumn("__t", tokens(searchable(chunks))).withColumn("__n", F.size("__t"))
-    tf = [_occurrences("__t", term) for term in terms]
-    counted = counted.withColumns({f"__f{i}": c for i, c in enumerate(tf)}).drop("__t")
+def scores(chunks: DataFrame, query: str | list[str], o: FilterOptions | None = None, beside: Sequence[str] = ()) -> DataFrame:
+    """(chunk_id, bm25) of the chunks that have a term of the query (or of a list of terms). Texts are
+    tokenised once: what is exchanged is a few numbers a chunk, from which both the statistics and
+    the scores come. Queries of a batch that name all their terms in ``beside`` share the exchange."""
+    own = query_terms(chunks, query) if isinstance(query, str) else query
+    if not own:
+        return chunks.where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
+    terms = sorted({*own, *beside})
+    each = chunks.select("chunk_id", predicate(o or FilterOptions()).alias("__ok"), tokens(searchable(chunks)).alias("__t"))
+    counted = each.select("chunk_id", "__ok", F.size("__t").alias("__n"), *[_occurrences("__t", t).alias(f"__f{i}") for i, t in enumerate(terms)]).repartition("chunk_id")
     sums = counted.agg(
         F.count(F.lit(1)).cast("double").alias("__count"), F.avg("__n").alias("__mean"),
         *[F.count_if(F.col(f"__f{i}") > 0).cast("double").alias(f"__d{i}") for i in range(len(terms))])
-    hit = counted.where(" or ".join(f"__f{i} > 0" for i in range(len(terms)))).where(predicate(o or FilterOptions()))
+    mine = [i for i, t in enumerate(terms) if t in own]
+    hit = counted.where("__ok and (" + " or ".join(f"__f{i} > 0" for i in mine) + ")")
     total = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in mine:
         total = total + _weight(F.col(f"__f{i}"), F.col("__n"), F.col(f"__d{i}"), F.col("__count"), F.col("__mean"))
-    return hit.crossJoin(F.broadcast(sums)).select(*chunks.columns, total.alias("bm25"))  # one row of statistics
+    return hit.crossJoin(F.broadcast(sums)).select("chunk_id", total.alias("bm25"))  # one row of statistics
 
 
-def top(chunks: DataFrame, query: str, limit: int, o: FilterOptions | None = None) -> DataFrame:
-    return scored(chunks, query, o).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "chunk_id").limit(limit)
+def top(chunks: DataFrame, query: str | list[str], limit: int, o: FilterOptions | None = None, beside: Sequence[str] = ()) -> DataFrame:
+    """The ``limit`` best chunks, with ``bm25``, ties by id."""
+    best = scores(chunks, query, o, beside).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "chunk_id").limit(limit)
+    return chunks.join(F.broadcast(best), "chunk_id").orderBy(F.desc("bm25"), "chunk_id")  # at most a limit of rows
 
 
 # ---- the stored index

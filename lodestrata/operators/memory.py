@@ -40,7 +40,7 @@ def recall(memories: DataFrame, query: Sequence[float], now: Column, *, limit: i
         rows = rows.where(F.col("importance") >= min_importance)
     age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp("created_at")) / 3600.0
     fade = F.pow(F.lit(0.5), age / half_life) if half_life > 0 else F.lit(1.0)
-    similarity = cosine_constant(F.col("embedding"), query)
+    similarity = cosine_constant("embedding", query)
     scored = rows.withColumn("similarity", F.round(similarity, 6)).withColumn("score", F.round(similarity * fade * (1 + boost * F.col("importance")), 6))
     return scored.drop("embedding").orderBy(F.desc("score"), "id").limit(limit)
 

@@ -28,11 +28,11 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, weights: tuple[float, flo
     return met.select("chunk_id", F.round(score, 6).alias("score"), "cosine", "bm25").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def hybrid(chunks: DataFrame, vector: Sequence[float], query: str, o: SearchOptions) -> DataFrame:
-    """(chunk_id, score, cosine, bm25), best first."""
+def hybrid(chunks: DataFrame, vector: Sequence[float], query: str | list[str], o: SearchOptions, beside: Sequence[str] = ()) -> DataFrame:
+    """(chunk_id, score, cosine, bm25), best first. ``query`` may be a list of terms."""
     n = fetch_size(o.top)
     by_vector = vector_search.top(chunks, vector, n, o.filters).select("chunk_id", "cosine")
-    by_text = bm25.top(chunks, query, n, o.filters).select("chunk_id", "bm25", substance(F.col("content")).alias("substance"))
+    by_text = bm25.top(chunks, query, n, o.filters, beside).select("chunk_id", "bm25", substance(F.col("content")).alias("substance"))
     return fuse(by_vector, by_text, o.weights, o.top)
 
 
@@ -158,11 +158,13 @@ def deduplicated(hits: DataFrame) -> DataFrame:
 
 def batch(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], o: SearchOptions, dedup: bool = True) -> DataFrame:
     """(query_no, rank, chunk_id, score) of hybrid searches, in the order of the queries."""
+    if not queries:
+        raise ValueError("no queries")
+    terms = bm25.terms_of(chunks.sparkSession, [text for text, _ in queries])
+    every = sorted({t for own in terms for t in own})
+    rank = F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id"))
     out = None
-    for no, (text, vector) in enumerate(queries):
-        rank = F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id"))
-        hits = hybrid(chunks, vector, text, o).withColumn("query_no", F.lit(no)).withColumn("rank", rank).select("query_no", "rank", "chunk_id", "score")
+    for no, ((_, vector), own) in enumerate(zip(queries, terms, strict=True)):
+        hits = hybrid(chunks, vector, own, o, every).withColumn("query_no", F.lit(no)).withColumn("rank", rank).select("query_no", "rank", "chunk_id", "score")
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        raise ValueError("no queries")
     return deduplicated(out) if dedup else out

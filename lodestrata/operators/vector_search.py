@@ -20,7 +20,7 @@ QUERY_BLOCK = 4096
 def scored(chunks: DataFrame, query: Sequence[float], o: FilterOptions | None = None, vector: str = "embedding") -> DataFrame:
     """Chunks with a usable vector, with ``cosine``; null, zero and odd-sized vectors are left out."""
     rows = filtered(chunks, o or FilterOptions()).where(usable(F.col(vector), len(query)))
-    return rows.withColumn("cosine", F.round(cosine_constant(F.col(vector), query), 6))
+    return rows.withColumn("cosine", F.round(cosine_constant(vector, query), 6))
 
 
 def top(chunks: DataFrame, query: Sequence[float], limit: int, o: FilterOptions | None = None, vector: str = "embedding") -> DataFrame:

@@ -101,7 +101,7 @@ def cosine_zero_guard(spark, sf_dir):
     e = F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
     norm = squared_norm(F.col("e"))
-    return rows.select("vec_id", F.round(norm, 6).alias("norm2"), F.when(norm > 0, F.round(cosine_constant(F.col("e"), [1.0] * 64), 6)).alias("cosine"))
+    return rows.select("vec_id", F.round(norm, 6).alias("norm2"), F.when(norm > 0, F.round(cosine_constant("e", [1.0] * 64), 6)).alias("cosine"))
 
 
 # ---- by keyword
