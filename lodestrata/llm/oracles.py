@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets
-
-_CASE = "(CASE WHEN {0} THEN {1} ELSE {2} END)"
+from . import decontaminate, mixing, pii, secrets
 
 
 def _spans_sql(kind: str, rank: int, pattern: str, keep: str, group: int = 0) -> str:
@@ -107,4 +105,21 @@ copies AS (SELECT * EXCLUDE (n), unnest(range(1, n + 1)) AS copy_no FROM many)
 SELECT * EXCLUDE (key), md5('order:{mixing.SEED}:' || copy_no || ':' || key) AS shuffle_key FROM copies"""
 
 
-ORACLE = {"op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql()}
+def _decontamination_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    n = decontaminate.WINDOW
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {words} AS w FROM benchmark),
+bi AS (SELECT item, w, CAST(least(len(w), {n}) AS BIGINT) AS n, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win)),
+hits AS (SELECT doc_id, item, i, di.n FROM di JOIN win ON win.n = di.n AND win.k = array_to_string(w[i:i + di.n - 1], ' ')),
+pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+
+ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql()}
