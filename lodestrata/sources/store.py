@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,43 +109,58 @@ class ChunkStore:
         key = chunk_key(*[F.col(c) for c in ("project_root", "relative_path", "start_byte", "end_byte", "start_line", "chunk_index")])
         return rows.withColumn("chunk_key", key).withColumn("file_path", F.coalesce("file_path", F.concat_ws("/", "project_root", "relative_path")))
 
-    def _numbered(self, rows: DataFrame, base: int) -> DataFrame:
-        """New rows get ids after ``base``, in the order of their keys. Numbers go out by ranges of
-        keys: each range counts its rows, a sum over the ranges gives where it begins."""
+    @contextmanager
+    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows as a table that is read as often as needed: chunking and embedding run once, and
+        what depends on how rows are dealt out is settled once."""
+        path = f"{self.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self.files.delete(path)
+
+    def _ranged(self, rows: DataFrame) -> DataFrame:
+        """Rows by ranges of keys, with the number of the range and the place in it."""
         spread = rows.repartitionByRange("chunk_key").sortWithinPartitions("chunk_key").withColumn("__p", F.spark_partition_id())
-        spread = spread.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
-        sizes = spread.groupBy("__p").agg((F.max("__n") + 1).alias("__size"))
-        begin = F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+        return spread.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+
+    @staticmethod
+    def _numbered(ranged: DataFrame, base: int) -> DataFrame:
+        """Staged new rows with ids after ``base``, in the order of their keys: each range counts its
+        rows, a sum over the ranges says where it begins."""
+        sizes = ranged.groupBy("__p").agg((F.max("__n") + 1).alias("__size"))
+        begin = F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
         starts = sizes.select(F.col("__p").alias("__q"), F.coalesce(begin, F.lit(0)).alias("__begin"))
-        out = spread.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
+        out = ranged.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
         return out.withColumn("chunk_id", F.lit(base) + 1 + F.col("__begin") + F.col("__n")).drop("__p", "__q", "__n", "__size", "__begin")
 
     def upsert(self, rows: DataFrame, dim: int | None = None) -> None:
         """Add rows; of a key that is there already the new row counts and keeps the id. ``dim``: all
         vectors must have this length, or nothing is written."""
-        rows = self._with_keys(rows)
-        if dim is not None and not rows.where(F.col("embedding").isNotNull() & (F.size("embedding") != dim)).isEmpty():
-            raise ValueError(f"vectors of other than {dim} dimensions")
-        have = self.read()
-        last = have.agg(F.max("chunk_id")).first()[0] or 0
-        known = have.select("chunk_key", F.col("chunk_id").alias("__id"))
-        met = rows.dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left")
-        again = met.where("__id is not null").withColumn("chunk_id", F.col("__id")).drop("__id")
-        new = self._numbered(met.where("__id is null").drop("__id"), last)
-        kept = have.join(rows.select("chunk_key"), "chunk_key", "left_anti")
-        self._commit(kept.unionByName(again.unionByName(new), allowMissingColumns=True))
+        with self._staged(self._with_keys(rows)) as staged:
+            if dim is not None and not staged.where(F.col("embedding").isNotNull() & (F.size("embedding") != dim)).isEmpty():
+                raise ValueError(f"vectors of other than {dim} dimensions")
+            have = self.read()
+            last = have.agg(F.max("chunk_id")).first()[0] or 0
+            known = have.select("chunk_key", F.col("chunk_id").alias("__id"))
+            met = staged.dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left")
+            again = met.where("__id is not null").withColumn("chunk_id", F.col("__id")).drop("__id")
+            kept = have.join(staged.select("chunk_key"), "chunk_key", "left_anti")
+            with self._staged(self._ranged(met.where("__id is null").drop("__id"))) as new:
+                self._commit(kept.unionByName(again.unionByName(self._numbered(new, last)), allowMissingColumns=True))
 
     def replace_files(self, rows: DataFrame, project_root: str, gone: DataFrame | None = None) -> None:
         """New chunks of some files instead of their old ones, and files (relative_path) that go, in
         one generation."""
-        rows = self._with_keys(rows)
-        touched = rows.select("relative_path").distinct()
-        if gone is not None:
-            touched = touched.unionByName(gone.select("relative_path")).distinct()
-        have = self.read()
-        old = have.join(touched.withColumn("project_root", F.lit(project_root)), ["project_root", "relative_path"], "left_anti")
-        last = have.agg(F.max("chunk_id")).first()[0] or 0
-        self._commit(old.unionByName(self._numbered(rows, last), allowMissingColumns=True))
+        with self._staged(self._ranged(self._with_keys(rows))) as new:
+            touched = new.select("relative_path").distinct()
+            if gone is not None:
+                touched = touched.unionByName(gone.select("relative_path")).distinct()
+            have = self.read()
+            old = have.join(touched.withColumn("project_root", F.lit(project_root)), ["project_root", "relative_path"], "left_anti")
+            last = have.agg(F.max("chunk_id")).first()[0] or 0
+            self._commit(old.unionByName(self._numbered(new, last), allowMissingColumns=True))
 
     def delete_where(self, condition) -> None:
         self._commit(self.read().where(~condition))
