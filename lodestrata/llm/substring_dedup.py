@@ -30,6 +30,9 @@ SPAN_SENTENCES = 2
 #: No more words than this are without the end of a sentence.
 LONGEST = 10
 
+#: Texts are worked on in groups of about this many bytes.
+GROUP_BYTES = 2 << 20
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), list(b".!?"))
@@ -82,8 +85,12 @@ class Sentences:
             last[self.text_words[1:][self.text_words[1:] > 0] - 1] = True  # so no window looks across texts
         if n >= LONGEST:
             rank = np.where(last, np.uint64(0), word | np.uint64(1))
-            window = np.lib.stride_tricks.sliding_window_view(rank, LONGEST)
-            last[window.argmin(1) + np.arange(n - LONGEST + 1)] = True
+            least, place = rank[:n - LONGEST + 1], np.arange(n - LONGEST + 1, dtype=np.int32)
+            for k in range(1, LONGEST):  # the first least rank of every window
+                other = rank[k:n - LONGEST + 1 + k]
+                place = np.where(other < least, np.arange(k, n - LONGEST + 1 + k, dtype=np.int32), place)
+                least = np.minimum(least, other)
+            last[place] = True
         self.end = np.flatnonzero(last) + 1  # end word of each sentence
         self.first = np.concatenate([[0], self.end[:-1]]) if len(self.end) else self.end
         self.text_sentences = np.searchsorted(self.first, self.text_words)
@@ -111,7 +118,7 @@ class Sentences:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h1, h2, doc_id, at): the spans of every document, each hash once, by first sentence."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, texts in text_groups(batches, 1):
+        for group, texts in text_groups(batches, 1, GROUP_BYTES):
             s = Sentences([t or b"" for t in texts])
             keep = s.firsts()
             ids = group.column(0).take(pa.array(s.owner[keep]))
@@ -131,7 +138,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, texts in text_groups(batches, 1):
+        for group, texts in text_groups(batches, 1, GROUP_BYTES):
             texts = [t or b"" for t in texts]
             s = Sentences(texts)
             drop = ~s.firsts()
