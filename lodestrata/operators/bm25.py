@@ -44,9 +44,13 @@ def _weight(tf: Column, length: Column, df: Column, n: Column, mean: Column) ->
 
 
 def scores(chunks: DataFrame, query: str | list[str], o: FilterOptions | None = None, beside: Sequence[str] = ()) -> DataFrame:
-    """(chunk_id, bm25) of the chunks that have a term of the query (or of a list of terms). Texts are
-    tokenised once: what is exchanged is a few numbers a chunk, from which both the statistics and
-    the scores come. Queries of a batch that name all their terms in ``beside`` share the exchange."""
+    """(chunk_id, bm25), null for chunks without a term of the query (or of a list of terms). Texts
+    are tokenised once: what is exchanged is a few numbers a chunk, from which both the statistics
+    and the scores come. Queries of a batch that name all their terms in ``beside`` share it too.
+
+    There is no filter here on purpose: it would be pushed below the exchange, where it would have
+    texts tokenised again for every term, and the two uses of the exchange would differ.
+    """
     own = query_terms(chunks, query) if isinstance(query, str) else query
     if not own:
         return chunks.where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
@@ -54,19 +58,19 @@ def scores(chunks: DataFrame, query: str | list[str], o: FilterOptions | None =
     each = chunks.select("chunk_id", predicate(o or FilterOptions()).alias("__ok"), tokens(searchable(chunks)).alias("__t"))
     counted = each.select("chunk_id", "__ok", F.size("__t").alias("__n"), *[_occurrences("__t", t).alias(f"__f{i}") for i, t in enumerate(terms)]).repartition("chunk_id")
     sums = counted.agg(
-        F.count(F.lit(1)).cast("double").alias("__count"), F.avg("__n").alias("__mean"),
+        F.count(F.lit(1)).cast("double").alias("__count"), F.avg("__n").alias("__mean"), F.count_if("__ok").alias("__candidates"),
         *[F.count_if(F.col(f"__f{i}") > 0).cast("double").alias(f"__d{i}") for i in range(len(terms))])
-    mine = [i for i, t in enumerate(terms) if t in own]
-    hit = counted.where("__ok and (" + " or ".join(f"__f{i} > 0" for i in mine) + ")")
-    total = F.lit(0.0)
-    for i in mine:
+    total, some = F.lit(0.0), F.lit(False)
+    for i in (i for i, t in enumerate(terms) if t in own):
         total = total + _weight(F.col(f"__f{i}"), F.col("__n"), F.col(f"__d{i}"), F.col("__count"), F.col("__mean"))
-    return hit.crossJoin(F.broadcast(sums)).select("chunk_id", total.alias("bm25"))  # one row of statistics
+        some = some | (F.col(f"__f{i}") > 0)
+    score = F.when(F.col("__ok") & some & (F.col("__candidates") > 0), total)
+    return counted.crossJoin(F.broadcast(sums)).select("chunk_id", score.alias("bm25"))  # one row of statistics
 
 
 def top(chunks: DataFrame, query: str | list[str], limit: int, o: FilterOptions | None = None, beside: Sequence[str] = ()) -> DataFrame:
     """The ``limit`` best chunks, with ``bm25``, ties by id."""
-    best = scores(chunks, query, o, beside).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "chunk_id").limit(limit)
+    best = scores(chunks, query, o, beside).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc_nulls_last("bm25"), "chunk_id").limit(limit).where("bm25 is not null")
     return chunks.join(F.broadcast(best), "chunk_id").orderBy(F.desc("bm25"), "chunk_id")  # at most a limit of rows
 
 

@@ -258,6 +258,8 @@ def chunk_text(text: str, language: str, o: ChunkOptions | None = None) -> list[
     return out
 
 
+#: Chunks that a task gathers before it hands them on.
+WRITE_ROWS = 1000
 CHUNKS = "project_root string, relative_path string, language string, file_hash string, source_hash string, file_size long, chunk_index int, content string, start_line int, end_line int, start_byte int, end_byte int, chunk_type string, symbol_name string, origin string"
 
 
@@ -269,13 +271,17 @@ def chunk_files(files: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("project_root", pa.string()), ("relative_path", pa.string()), ("language", pa.string()), ("file_hash", pa.string()), ("source_hash", pa.string()), ("file_size", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("chunk_type", pa.string()), ("symbol_name", pa.string()), ("origin", pa.string())])
+        out: list[dict] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(n)[i].as_py() for n, k in enumerate([*keys, "content"])}
                 text = row.pop("content") or ""
-                made = [c for c in chunk_text(text, row["language"] or "", options)]
-                out = [row | {"chunk_index": n} | c.__dict__ for n, c in enumerate(made) if c.content.strip(SPACE)]
-                if out:
+                made = chunk_text(text, row["language"] or "", options)
+                out += [row | {"chunk_index": n} | c.__dict__ for n, c in enumerate(made) if c.content.strip(SPACE)]
+                if len(out) >= WRITE_ROWS:
                     yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return files.select(*keys, "content").mapInArrow(run, CHUNKS)
