@@ -6,9 +6,15 @@ the bits of the current byte, to a slot of a bit predictor; the predictors' logi
 weights that two gates select, and the mixture is refined by an adaptive probability map. The
 logarithms add up to the text's probability and to bits per byte.
 
-Documents are tokenised once, in blocks. Each block hands its distinct words, with their training
-counts, to buckets of words; a bucket adds up the counts of all blocks, so every distinct word is
-counted, learned from and spelt once, and each block gets the numbers of its own words back. What
+The last bytes run on over the border of a word, so texts are scored in order. As no context but the
+word so far is longer than four bytes, only the first three bytes of a word (its head, with the blank
+if it is shorter) see what stands before it, and of that only the last three bytes before the blank.
+A token's score is that of its head after these three bytes and that of the rest of its word.
+
+Documents are tokenised once, in blocks. Each block hands its distinct words and heads, with their
+training counts, to buckets; a bucket adds up the counts of all blocks, so every distinct word and head
+is counted and learned from once. Words are spelt there once too, and each block gets the numbers of its
+own back; heads are spelt by each block. What
 moves is the blocks' dictionaries, never single tokens, and nothing of the size of the vocabulary
 reaches the driver. Slots, weights and map have a fixed size.
 
@@ -20,7 +26,7 @@ ignored; an empty table gives an empty result; with nothing to learn from, all c
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,11 @@ from .common import discard, materialize, text_groups
 
 FOLDS, HELD_OUT = 5, 1
 END = b"\xff"  # no byte of UTF-8
+#: The three blanks before a text, and a mark beyond three bytes.
+START, ONE = 0x202020, 1 << 24
 
+#: Bytes of a word that see what stands before it.
+HEAD = 3
 #: Bytes of text in a block, and buckets that words are dealt into.
 BLOCK_BYTES = 24 << 20
 BUCKETS = 1024
@@ -55,6 +65,39 @@ CHUNK = 1 << 15
 # ---- blocks
 
 
+def _edges(words: list[bytes]) -> np.ndarray:
+    """For each word its first three bytes (with the blanks after it) and the last three before a
+    blank that follows it, in one number; of a word of one byte the first of the last three is 1 << 24."""
+    last = lambda w: int.from_bytes((b" " + w)[-HEAD:], "big") + (len(w) == 1) * ONE
+    return np.fromiter((last(w) << 24 | int.from_bytes((w + b"   ")[:HEAD], "big") for w in words), np.int64, len(words))
+
+
+def _heads(tokens: np.ndarray, sizes: list[int], edges: np.ndarray) -> np.ndarray:
+    """For each token and the end mark of each document: the three bytes before its blank and its
+    first three, in one number."""
+    sizes = np.asarray(sizes, np.int64)
+    at = np.full(len(tokens) + len(sizes), 0, np.int64)
+    end = np.cumsum(sizes + 1) - 1
+    text = np.ones(len(at), bool)
+    text[end] = False
+    at[text] = tokens
+    own = edges[at]  # the end mark is word 0
+    last = own >> 24
+    before = np.concatenate([[START], last[:-1]])[:len(at)]
+    again = np.concatenate([[START, START], last[:-2]])[:len(at)]
+    first = end - sizes
+    before[first] = START
+    again[first] = START
+    again[first[sizes > 0] + 1] = START
+    before = np.where(before >= ONE, (again & 255) << 16 | before & 0xFFFF, before)
+    return before << 24 | own & 0xFFFFFF
+
+
+def _head_key(h: int) -> bytes:
+    """A head among words: it begins with a blank, as no word does."""
+    return b" " + h.to_bytes(2 * HEAD, "big")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block one row with its documents as numbers of words, and a row for each bucket with the
     block's words there: their numbers and training counts."""
@@ -78,30 +121,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = part << 24 | n
         n += 1
         tokens = np.concatenate(places) if places else np.zeros(0, np.int32)
-        yield _row(block, -1, docs=pa.array(ids, pa.int64()).to_pylist(), held=held.tolist(), n_words=[len(x) for x in places], n_bytes=sizes, tokens=zlib.compress(tokens.tobytes(), 1))
         words = list(numbers)
-        bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        rows = [(int(bucket[at[0]]), at) for at in np.split(order, cuts)]
-        for first in range(0, len(rows), 64):
-            some = rows[first:first + 64]
-            yield pa.record_batch([
-                pa.array([block] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int32()),
-                pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.bool_())), pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.binary()),
-                pa.array([b" ".join([words[i] for i in at]) for _, at in some], pa.binary()),
-                pa.array([at.astype(np.int32).tobytes() for _, at in some], pa.binary()), pa.array([trained[at].tobytes() for _, at in some], pa.binary()),
-            ], names=_NAMES)
-
-
-_NAMES = ["block", "bucket", "docs", "held", "n_words", "n_bytes", "tokens", "words", "numbers", "trained"]
-_BLOCKS = "block long, bucket int, docs array<long>, held array<boolean>, n_words array<long>, n_bytes array<long>, tokens binary, words binary, numbers binary, trained binary"
-
-
-def _row(block: int, bucket: int, *, docs: list, held: list, n_words: list, n_bytes: list, tokens: bytes) -> pa.RecordBatch:
+        edges = _edges(words)
+        heads = _heads(tokens, [len(at) for at in places], edges)
+        kinds, many = np.unique(heads[np.repeat(~held, [len(at) + 1 for at in places])], return_counts=True)
+        yield _row(block, -1, docs=pa.array(ids, pa.int64()).to_pylist(), held=held.tolist(), n_words=[len(x) for x in places], n_bytes=sizes, tokens=zlib.compress(tokens.tobytes(), 1), edges=zlib.compress(edges.tobytes(), 1))
+        yield from _bucketed(block, words, np.arange(len(words), dtype=np.int32), trained)
+        yield from _bucketed(block, [_head_key(h) for h in kinds.tolist()], None, many)
+
+
+def _bucketed(block: int, words: list[bytes], numbers: np.ndarray | None, trained: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of words; heads, which the block can tell by itself, have no numbers."""
+    if not words:
+        return
+    bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    rows = [(int(bucket[at[0]]), at) for at in np.split(order, cuts)]
+    for first in range(0, len(rows), 64):
+        some = rows[first:first + 64]
+        yield pa.record_batch([
+            pa.array([block] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int32()),
+            pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.bool_())), pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()),
+            pa.array([b"\n".join([words[i] for i in at]) for _, at in some], pa.binary()),
+            pa.array([None if numbers is None else numbers[at].tobytes() for _, at in some], pa.binary()), pa.array([trained[at].astype(np.int64).tobytes() for _, at in some], pa.binary()),
+        ], names=_NAMES)
+
+
+_NAMES = ["block", "bucket", "docs", "held", "n_words", "n_bytes", "tokens", "edges", "words", "numbers", "trained"]
+_BLOCKS = "block long, bucket int, docs array<long>, held array<boolean>, n_words array<long>, n_bytes array<long>, tokens binary, edges binary, words binary, numbers binary, trained binary"
+
+
+def _row(block: int, bucket: int, *, docs: list, held: list, n_words: list, n_bytes: list, tokens: bytes, edges: bytes) -> pa.RecordBatch:
     return pa.record_batch([
         pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-        pa.array([n_words], pa.list_(pa.int64())), pa.array([n_bytes], pa.list_(pa.int64())), pa.array([tokens], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+        pa.array([n_words], pa.list_(pa.int64())), pa.array([n_bytes], pa.list_(pa.int64())), pa.array([tokens], pa.binary()), pa.array([edges], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
     ], names=_NAMES)
 
 
@@ -109,27 +163,31 @@ _VOCAB = "words binary, counts binary, n_tokens long, n_types long, blocks array
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per partition of buckets: its distinct words with their counts over all blocks, and
-    for every block's words the place of each."""
+    """One row per partition of buckets: its distinct words and heads with their counts over all
+    blocks, and for every block's words the place of each."""
     found: dict[bytes, int] = {}
-    blocks, sizes, numbers, places, trained = [], [], [], [], []
+    blocks, sizes, numbers, places, trained, all_places = [], [], [], [], [], []
     for batch in batches:
         for block, text, number, count in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            own = text.split(b" ")
-            blocks.append(block)
-            sizes.append(len(own))
-            numbers.append(number)
-            places.append(np.fromiter((found.setdefault(w, len(found)) for w in own), np.int32, len(own)))
+            own = text.split(b"\n")
+            at = np.fromiter((found.setdefault(w, len(found)) for w in own), np.int32, len(own))
+            all_places.append(at)
             trained.append(np.frombuffer(count, np.int64))
-    if blocks:
+            if number is not None:
+                blocks.append(block)
+                sizes.append(len(own))
+                numbers.append(number)
+                places.append(at)
+    if found:
         words = sorted(found)  # so that what is drawn later does not depend on the order of arrival
         rank = np.empty(len(words), np.int32)
         rank[np.fromiter((found[w] for w in words), np.int64, len(words))] = np.arange(len(words))
-        place = rank[np.concatenate(places)]
-        counts = np.bincount(place, weights=np.concatenate(trained), minlength=len(found)).astype(np.int64)
+        counts = np.bincount(rank[np.concatenate(all_places)], weights=np.concatenate(trained), minlength=len(found)).astype(np.int64)
+        place = rank[np.concatenate([np.zeros(0, np.int32), *places])]
+        whole = counts[np.fromiter((not w.startswith(b" ") for w in words), bool, len(words))]
         yield pa.record_batch({
-            "words": pa.array([b" ".join(words)], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
-            "n_tokens": [int(counts.sum())], "n_types": [int((counts > 0).sum())], "blocks": pa.array([blocks], pa.list_(pa.int64())),
+            "words": pa.array([b"\n".join(words)], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
+            "n_tokens": [int(whole.sum())], "n_types": [int((whole > 0).sum())], "blocks": pa.array([blocks], pa.list_(pa.int64())),
             "sizes": pa.array([sizes], pa.list_(pa.int32())), "numbers": pa.array([b"".join(numbers)], pa.binary()), "places": pa.array([place.tobytes()], pa.binary())})
 
 
@@ -137,16 +195,28 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Events:
-    """The bits that spell some words: word, slots of the contexts, the bit, and the node (the bits
-    of the byte so far, after a leading one)."""
+    """The bits that spell some units: unit, slots of the contexts, the bit, and the node (the bits
+    of the byte so far, after a leading one). Without ``before``, the four bytes before each, units are
+    words after blanks, each spelt with the blank after it; ``parts``: words are spelt from the end of
+    their head on, heads (see ``_head_key``) as far as they go."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], before: list[bytes] | None = None, parts: bool = False):
         pad = max(ORDERS)
-        raw = np.frombuffer(b"".join([b" " * pad + w + b" " for w in words]), np.uint8).astype(np.uint64)
-        size = np.array([len(w) + 1 for w in words], np.int64)
-        first = np.cumsum(size + pad) - size  # place of each word's first byte
+        skip = np.zeros(len(words), np.int64)
+        if parts:
+            skip = np.array([0 if w.startswith(b" ") else min(HEAD, len(w) + 1) for w in words], np.int64)
+            before = [w[1:1 + HEAD] + b" " if w.startswith(b" ") else b" " * pad for w in words]
+            words = [w[1 + HEAD:] if w.startswith(b" ") else w + b" " for w in words]
+            words = [w[:w.index(b" ") + 1] if b" " in w else w for w in words]
+        else:
+            before = before or [b" " * pad] * len(words)
+            words = [w + b" " for w in words]
+        raw = np.frombuffer(b"".join([x for pair in zip(before, words, strict=True) for x in pair]), np.uint8).astype(np.uint64)
+        length = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(length + pad) - length  # place of each unit's first byte
+        size = length - skip
         self.word = np.repeat(np.arange(len(words)), size)
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + skip[self.word]
         at = first[self.word] + within
         contexts, h = [], np.zeros(len(at), np.uint64)
         for k in range(1, pad + 1):
@@ -156,9 +226,8 @@ class Events:
         # the word so far: prefix sums of position-keyed bytes, differences of which are exact
         keyed = (raw + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         keyed = (keyed ^ (keyed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max()) if len(size) else 0, 0xD6E8FEB86659FD93, np.uint64)]))
-        place = np.zeros(len(raw), np.int64)
-        place[at] = within
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max()) if len(length) else 0, 0xD6E8FEB86659FD93, np.uint64)]))
+        place = np.maximum(np.arange(len(raw)) - np.repeat(first, length + pad), 0)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(keyed * power[place])])
         contexts.append((sums[at] - sums[first[self.word]]) ^ within.astype(np.uint64) << np.uint64(56))
         byte = raw[at].astype(np.int64)
@@ -219,7 +288,7 @@ class Mixer:
     def learn(self, words: list[bytes]) -> None:
         """Online updates of both gates' weights, a few events at a time, in the order given."""
         for _, some in _chunks(words):
-            x, node, depth, bit = self.inputs(Events(some), without_own=True)
+            x, node, depth, bit = self.inputs(Events(some, parts=True), without_own=True)
             for a in range(0, len(bit), STEP):
                 s = slice(a, a + STEP)
                 err = RATE * (bit[s] - squash(self.mixed(x[s], node[s], depth[s]))).astype(np.float32)
@@ -238,7 +307,7 @@ class Mixer:
         """What the map is refined by: for each node and cell, events and ones."""
         out = np.zeros((2, 256 * CELLS))
         for _, some in _chunks(words):
-            x, node, depth, bit = self.inputs(Events(some), without_own=True)
+            x, node, depth, bit = self.inputs(Events(some, parts=True), without_own=True)
             low, over = self.cells(self.mixed(x, node, depth))
             at = node * CELLS + low + (over > 0.5)
             out[0] += np.bincount(at, minlength=out.shape[1])
@@ -259,10 +328,23 @@ class Mixer:
         return np.clip((squash(logit) + refined) / 2, 1e-6, 1 - 1e-6)
 
     def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word, spelt with the blank after it."""
+        """log10 probability of each word of a text, spelt after the words before it and with the
+        blank after it."""
+        pad = max(ORDERS)
+        before, last = [], b" " * pad
+        for w in words:
+            before.append(last)
+            last = (last + w + b" ")[-pad:]
+        return self._logs(words, lambda first, some: Events(some, before[first:first + len(some)]))
+
+    def score_parts(self, units: list[bytes]) -> np.ndarray:
+        """log10 probability of each head, and of what each word has beyond its head."""
+        return self._logs(units, lambda _, some: Events(some, parts=True))
+
+    def _logs(self, words: list[bytes], events: Callable[[int, list[bytes]], Events]) -> np.ndarray:
         out = np.zeros(len(words))
         for first, some in _chunks(words):
-            e = Events(some)
+            e = events(first, some)
             p = self.ones_probability(e)
             bits = np.log10(np.where(e.bit.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(1)
             out[first:first + len(some)] = np.bincount(e.word, weights=bits, minlength=len(some))
@@ -281,11 +363,11 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = np.frombuffer(counts, np.int64)
             keep = np.flatnonzero(counts)
-            every = words.split(b" ")
+            every = words.split(b"\n")
             own = [every[i] for i in keep]
             any_ = any_ or bool(own)
             for first, some in _chunks(own):
-                e = Events(some)
+                e = Events(some, parts=True)
                 weight = np.repeat(counts[keep][first:first + len(some)][e.word], 8 * CONTEXTS)
                 slots = e.slots.reshape(-1)
                 bit = np.repeat(e.bit.reshape(-1), CONTEXTS).astype(bool)
@@ -318,7 +400,7 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sums = np.cumsum(np.frombuffer(counts, np.int64))
             if sums[-1]:
-                every = words.split(b" ")
+                every = words.split(b"\n")
                 at = np.searchsorted(sums, np.random.default_rng(7).integers(0, sums[-1], MIX_TOKENS), "right")
                 yield [every[i] for i in at]
 
@@ -399,7 +481,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             for i in range(batch.num_rows):
                 words, counts, held, sizes, numbers, places = (batch.column(c)[i].as_py() for c in range(6))
-                p = mixer.value.score(words.split(b" ")).astype(np.float32)
+                words = words.split(b"\n")
+                whole = np.flatnonzero([not w.startswith(b" ") for w in words])
+                p = np.zeros(len(words), np.float32)
+                p[whole] = mixer.value.score_parts([words[k] for k in whole])
                 counts, places, numbers = np.frombuffer(counts, np.int64), np.frombuffer(places, np.int32), np.frombuffer(numbers, np.int32)
                 at = 0
                 for block, n in zip(held, sizes, strict=True):
@@ -413,14 +498,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for row in batch.to_pylist():
                 held.setdefault(row["block"], []).append(row)
         for block in list(held):
-            yield _scored(held.pop(block), n_tokens, n_types)
+            yield _scored(held.pop(block), n_tokens, n_types, mixer.value)
 
     answers = vocabulary.select("words", "counts", "blocks", "sizes", "numbers", "places").mapInArrow(answer, "block long, numbers binary, counts binary, logs binary")
-    texts = blocks.where("bucket < 0").select("block", "docs", "held", "n_words", "n_bytes", "tokens")
+    texts = blocks.where("bucket < 0").select("block", "docs", "held", "n_words", "n_bytes", "tokens", "edges")
     return texts.unionByName(answers, allowMissingColumns=True).repartition("block").mapInArrow(merge, RESULT)
 
 
-def _scored(rows: list[dict], n_tokens: int, n_types: int) -> pa.RecordBatch:
+def _scored(rows: list[dict], n_tokens: int, n_types: int, mixer: Mixer) -> pa.RecordBatch:
     """The documents of one block, from their numbers of words and the answers for these."""
     text = next(r for r in rows if r["docs"] is not None)
     answers = [r for r in rows if r["docs"] is None]
@@ -434,7 +519,10 @@ def _scored(rows: list[dict], n_tokens: int, n_types: int) -> pa.RecordBatch:
     total = lambda values, end: np.diff(np.concatenate([[0], np.cumsum(values[tokens])])[np.concatenate([[0], ends])]) + end
     # differences of long running sums would lose digits: add up document by document
     exact = lambda values, end: np.array([values[tokens[b - n:b]].sum() for b, n in zip(ends, text["n_words"], strict=True)]) + end
-    score = exact(logs, logs[0])
+    kinds, heads = np.unique(_heads(tokens, text["n_words"], np.frombuffer(zlib.decompress(text["edges"]), np.int64)), return_inverse=True)
+    spelt = mixer.score_parts([_head_key(h) for h in kinds.tolist()])
+    upto = np.cumsum(np.array(text["n_words"], np.int64) + 1)
+    score = exact(logs, logs[0]) + np.array([spelt[heads[b - n - 1:b]].sum() for b, n in zip(upto, text["n_words"], strict=True)])
     n_bytes = np.maximum(np.array(text["n_bytes"], np.float64), 1)
     return pa.record_batch({
         "doc_id": pa.array(text["docs"], pa.int64()), "held_out": pa.array(text["held"], pa.bool_()), "n_tokens": pa.array(np.array(text["n_words"], np.int64) + 1),

@@ -68,3 +68,14 @@ def test_edges(edges, empty):  # noqa: F811
     found = lm.score(edges).collect()
     assert len(found) == len(EDGES) and all(r.n_tokens >= 1 for r in found)
     assert lm.score(empty).count() == 0
+
+
+def test_order_of_words_matters(spark, docs):  # noqa: F811
+    model = lm.train_from(docs)
+    texts = ["the house of a man and I b c d", "d c b I and man a of house the", "a\u0000b x \u0000yz q"]
+    out = [i for i in range(10**6, 10**6 + 99) if held(i)]  # held out, so that the model is the same
+    extra = spark.createDataFrame(list(zip(out, texts, strict=False)), "doc_id long, text string")
+    got = {r.text: r.score for r in lm.score(docs.select("doc_id", "text").unionByName(extra)).join(extra, "doc_id").collect()}
+    for text, found in got.items():
+        assert found == pytest.approx(model.score(text.encode().lower().split() + [lm.END]).sum(), rel=1e-3)
+    assert abs(got[texts[0]] - got[texts[1]]) > 0.1
