@@ -7,13 +7,12 @@ weights. A document's perplexity is held against its language's band: so many in
 below the first and above the third quartile of all documents of that language.
 
 Defined results: a null text has no words; a null language is a language of its own; a document
-without words fails; rows that share an id are judged one by one, and ``keep`` keeps the rows of an
+without words, perplexity or band fails; rows that share an id are judged one by one, and ``keep`` keeps the rows of an
 id if any of them is kept; other columns are ignored by ``judge`` and kept by ``keep``.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +37,8 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
 
 SYMBOLS = b"#*$%&|<>"
-#: Words with digits (numbers, addresses, codes) say nothing about the language and are not modelled.
-DIGIT = re.compile(rb"[0-9]")
+#: Which digits a number, an address or a code has says nothing about the language: all count as one.
+DIGITS = bytes.maketrans(b"123456789", b"000000000")
 BLANK = 32
 
 STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10_perplexity double"
@@ -100,9 +99,8 @@ def ngram_counts(docs: DataFrame, lang: str = "lang", text: str = "text", order:
             for key, words in held.items():
                 if not words:
                     continue
-                plain = [w for w in words if not DIGIT.search(w)]
-                gram, owner = packed(plain, order)
-                weight = np.fromiter((words[w] for w in plain), np.int64, len(plain))[owner]
+                gram, owner = packed([w.translate(DIGITS) for w in words], order)
+                weight = np.fromiter(words.values(), np.int64, len(words))[owner]
                 distinct, place = np.unique(gram, return_inverse=True)
                 n = np.bincount(place, weights=weight).astype(np.int64)
                 yield pa.record_batch({"lang": pa.array([key] * len(distinct), pa.string()), "gram": pa.array(distinct.view(np.int64)), "n": pa.array(n)})
@@ -221,10 +219,9 @@ def statistics(docs: DataFrame, model: dict, order: int = ORDER) -> DataFrame:
             scores = {}
             for lang, own in numbers.items():
                 if own:
-                    gram, owner = packed(list(own), order)
+                    gram, owner = packed([w.translate(DIGITS) for w in own], order)
                     s = models[lang].score(gram) if lang in models else np.full(len(gram), np.log10(1 / 256))
-                    plain = np.fromiter((not DIGIT.search(w) for w in own), bool, len(own))
-                    scores[lang] = np.bincount(owner, weights=s, minlength=len(own)) * plain, np.bincount(owner, minlength=len(own)) * plain
+                    scores[lang] = np.bincount(owner, weights=s, minlength=len(own)), np.bincount(owner, minlength=len(own))
             log10 = []
             for lang, at in zip(langs, places, strict=True):
                 n = int(scores[lang][1][at].sum()) if len(at) else 0
@@ -251,7 +248,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     stats = materialize(statistics(base, models(base)), "quality")
     limits = bands(stats, below, above)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    inside = F.coalesce((F.col("log10_perplexity") >= F.col("low")) & (F.col("log10_perplexity") <= F.col("high")), F.lit(True))
+    inside = F.coalesce((F.col("log10_perplexity") >= F.col("low")) & (F.col("log10_perplexity") <= F.col("high")), F.lit(False))
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -263,6 +263,17 @@ def test_quality_counts_and_verdicts(spark, docs, rows):
     assert sum(r.kept for r in got.values()) > 0.7 * sum(not r.base_failed for r in got.values())
 
 
+def test_documents_of_digit_words_are_judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang = 'en'")
+    digits = np.random.default_rng(3)
+    junk = {10**6 + i: " ".join(bytes(digits.integers(0, 256, 4, np.uint8)).hex() + "0" for _ in range(200)) for i in range(3)}
+    junk |= {10**6 + 10 + i: " ".join("".join(map(chr, digits.integers(97, 123, 7))) for _ in range(200)) for i in range(3)}
+    got = {r.doc_id: r for r in quality.judge(docs.unionByName(spark.createDataFrame([(i, t, "en") for i, t in junk.items()], docs.schema))).collect()}
+    assert not any(got[i].base_failed or got[i].kept or got[i].perplexity is None for i in junk)
+    clean = [r for i, r in got.items() if i not in junk and not r.base_failed]
+    assert sum(not r.kept for r in clean) <= 0.02 * len(clean)
+
+
 def test_kneser_ney_sums_to_one_and_matches_dictionaries():
     words = [b"the", b"then", b"hat", b"that", b"at"]
     gram, owner = quality.packed(words, 3)
