@@ -26,9 +26,6 @@ from .common import discard, materialize, text_groups
 ORDER = 5
 #: Distinct words after which a counting task hands its n-grams on.
 FLUSH_WORDS = 150_000
-#: A language's model keeps at most so many n-grams of the highest order: the count from which they
-#: are kept rises (as is usual for stored n-gram models) until they fit. It bounds the broadcast.
-MODEL_NGRAMS = 1 << 22
 #: How far beyond the quartiles of log-perplexity the band of a language reaches, in quartile ranges.
 BELOW, ABOVE = 5.0, 5.0
 #: The range counts as at least this many log10 units, so that uniform corpora reject nothing.
@@ -175,32 +172,16 @@ class KneserNey:
 
 
 def models(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> dict[str | None, KneserNey]:
-    """A model of each language. What reaches the driver is bounded by ``MODEL_NGRAMS`` a language."""
+    """A model of each language, from all its n-grams."""
     table = materialize(ngram_counts(docs, lang, text, order), "ngrams")
-    sizes = table.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MODEL_NGRAMS).select("lang").collect()
-    keep = F.lit(True)
-    for row in sizes:
-        keep = keep & (~F.col("lang").eqNullSafe(F.lit(row["lang"])) | (F.col("n") >= _floor(table, row["lang"])))
     found = {}
     for row in table.select("lang").distinct().collect():
-        own = table.where(keep & F.col("lang").eqNullSafe(F.lit(row["lang"]))).select("gram", "n").toArrow()
+        own = table.where(F.col("lang").eqNullSafe(F.lit(row["lang"]))).select("gram", "n").toArrow()
         found[row["lang"]] = KneserNey(own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy(), order)
     discard(table)
     return found
 
 
-def _floor(table: DataFrame, lang: str | None) -> int:
-    """The smallest count from which on a language has at most ``MODEL_NGRAMS`` n-grams."""
-    own = table.where(F.col("lang").eqNullSafe(F.lit(lang))).groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator()
-    held, floor = 0, 1 << 20
-    for n, many in own:
-        held += many
-        if held > MODEL_NGRAMS:
-            break
-        floor = n
-    return floor
-
-
 def statistics(docs: DataFrame, model: dict, order: int = ORDER) -> DataFrame:
     """Counts and log10-perplexity a byte of every document (columns doc_id, lang, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -274,6 +274,12 @@ def test_documents_of_digit_words_are_judged(spark):
     assert sum(not r.kept for r in clean) <= 0.02 * len(clean)
 
 
+def test_models_hold_every_ngram(docs, monkeypatch):
+    monkeypatch.setattr(quality, "MODEL_NGRAMS", 100, raising=False)
+    n = {r["lang"]: r["count"] for r in quality.ngram_counts(docs).groupBy("lang").count().collect()}
+    assert {k: len(m.keys[-1]) for k, m in quality.models(docs).items()} == n and max(n.values()) > 100
+
+
 def test_kneser_ney_sums_to_one_and_matches_dictionaries():
     words = [b"the", b"then", b"hat", b"that", b"at"]
     gram, owner = quality.packed(words, 3)
