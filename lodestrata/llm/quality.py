@@ -1,6 +1,6 @@
 """Quality rules: counts of a text and its perplexity under a byte n-gram model of its language.
 
-Spark counts byte n-grams (words with blanks before and after) per language over all documents; a
+Spark counts byte n-grams (of words in order, with one blank between) per language over all documents; a
 modified Kneser-Ney model of each language is estimated from them and stored as sorted arrays of
 packed n-grams (eight bits a byte, so the hash is exact) with their log-probabilities and back-off
 weights. A document's perplexity is held against its language's band: so many interquartile ranges
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, text_groups
 
 ORDER = 5
-#: Distinct words after which a counting task hands its n-grams on.
-FLUSH_WORDS = 150_000
+#: Bytes of text after which a counting task hands its n-grams on.
+FLUSH_BYTES = 16 << 20
 #: How far beyond the quartiles of log-perplexity the band of a language reaches, in quartile ranges.
 BELOW, ABOVE = 5.0, 5.0
 #: The range counts as at least this many log10 units, so that uniform corpora reject nothing.
@@ -73,41 +73,44 @@ def counts(text: bytes | None) -> tuple[list[bytes], tuple[int, int, int, int, i
 # ---- n-grams
 
 
-def packed(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For the bytes of each word and the blank after it, the n-gram that ends there; and the word
+def plain(words: list[bytes]) -> bytes:
+    """A text as it is modelled: its words with one blank between, all digits alike."""
+    return b" ".join(words).translate(DIGITS)
+
+
+def packed(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For the bytes of each text and the blank after it, the n-gram that ends there; and the text
     that each belongs to."""
     pad = b" " * order
-    raw = np.frombuffer(pad + pad.join(words) + pad, np.uint8)
+    raw = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
     at = np.flatnonzero((raw != BLANK) | (np.concatenate([[BLANK], raw[:-1]]) != BLANK))
     gram = np.zeros(len(at), np.uint64)
     for k in range(order - 1, -1, -1):
         gram = gram << np.uint64(8) | raw[at - k].astype(np.uint64)
-    owner = np.cumsum(raw[at] == BLANK)
-    owner -= raw[at] == BLANK  # the blank after a word belongs to it
-    return gram, owner
+    return gram, np.repeat(np.arange(len(texts)), [len(t) + 1 if t else 0 for t in texts])
 
 
 def ngram_counts(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> DataFrame:
     """(lang, gram, n) over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, Counter] = {}
+        held: dict[str | None, list[bytes]] = {}
+        size = 0
 
         def flush():
-            for key, words in held.items():
-                if not words:
-                    continue
-                gram, owner = packed([w.translate(DIGITS) for w in words], order)
-                weight = np.fromiter(words.values(), np.int64, len(words))[owner]
-                distinct, place = np.unique(gram, return_inverse=True)
-                n = np.bincount(place, weights=weight).astype(np.int64)
-                yield pa.record_batch({"lang": pa.array([key] * len(distinct), pa.string()), "gram": pa.array(distinct.view(np.int64)), "n": pa.array(n)})
+            for key, texts in held.items():
+                gram, _ = packed(texts, order)
+                found = pa.array(gram.view(np.int64)).value_counts()
+                yield pa.record_batch({"lang": pa.array([key] * len(found), pa.string()), "gram": found.field("values"), "n": found.field("counts")})
             held.clear()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for key, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                held.setdefault(key, Counter()).update((t.as_py() or b"").split())
-                if sum(map(len, held.values())) > FLUSH_WORDS:
+                own = plain((t.as_py() or b"").split())
+                held.setdefault(key, []).append(own)
+                size += len(own)
+                if size > FLUSH_BYTES:
                     yield from flush()
+                    size = 0
         yield from flush()
 
     return docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -190,23 +193,24 @@ def statistics(docs: DataFrame, model: dict, order: int = ORDER) -> DataFrame:
         models = shared.value
         for batch, texts in text_groups(batches, 2):
             ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            numbers: dict[str | None, dict[bytes, int]] = {}
-            places, rows = [], []
-            for lang, t in zip(langs, texts, strict=True):
+            own: dict[str | None, list[int]] = {}
+            bodies, rows = [], []
+            for i, (lang, t) in enumerate(zip(langs, texts, strict=True)):
                 words, c = counts(t)
-                own = numbers.setdefault(lang, {})
-                places.append(np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words)))
+                own.setdefault(lang, []).append(i)
+                bodies.append(plain(words))
                 rows.append(c)
-            scores = {}
-            for lang, own in numbers.items():
-                if own:
-                    gram, owner = packed([w.translate(DIGITS) for w in own], order)
-                    s = models[lang].score(gram) if lang in models else np.full(len(gram), np.log10(1 / 256))
-                    scores[lang] = np.bincount(owner, weights=s, minlength=len(own)), np.bincount(owner, minlength=len(own))
-            log10 = []
-            for lang, at in zip(langs, places, strict=True):
-                n = int(scores[lang][1][at].sum()) if len(at) else 0
-                log10.append(-float(scores[lang][0][at].sum()) / n if n else None)
+            log10: list[float | None] = [None] * len(bodies)
+            for lang, places in own.items():
+                gram, owner = packed([bodies[i] for i in places], order)
+                kinds = pa.array(gram.view(np.int64)).dictionary_encode()
+                distinct = kinds.dictionary.to_numpy().view(np.uint64)
+                by = np.argsort(distinct)
+                s = np.empty(len(distinct))
+                s[by] = models[lang].score(distinct[by]) if lang in models else np.log10(1 / 256)
+                total = np.bincount(owner, weights=s[kinds.indices.to_numpy()], minlength=len(places))
+                for i, x, n in zip(places, total, np.bincount(owner, minlength=len(places)), strict=True):
+                    log10[i] = -float(x) / int(n) if n else None
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(log10, pa.float64())],

@@ -280,6 +280,14 @@ def test_models_hold_every_ngram(docs, monkeypatch):
     assert {k: len(m.keys[-1]) for k, m in quality.models(docs).items()} == n and max(n.values()) > 100
 
 
+def test_perplexity_sees_the_order_of_words(spark):
+    words = "the cat sat on the mat and then the dog ran to a man".split() * 5
+    other = [*reversed(words)]
+    rows = [(i, " ".join(words), "en") for i in range(9)] + [(9, " ".join(other), "en")]
+    got = {r.doc_id: r.perplexity for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[9] > 1.05 * got[0]
+
+
 def test_kneser_ney_sums_to_one_and_matches_dictionaries():
     words = [b"the", b"then", b"hat", b"that", b"at"]
     gram, owner = quality.packed(words, 3)
