@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +56,7 @@ class Source:
 
     def __init__(self, text: str):
         self.text, self.lines = text, text.split("\n")
+        self.begin = list(accumulate((len(x) + 1 for x in self.lines), initial=0))  # in characters
         self.at = [0]
         for line in self.lines:
             self.at.append(self.at[-1] + len(line.encode("utf-8", "replace")) + 1)
@@ -73,16 +75,13 @@ def symbol_of(line: str, prefix: str) -> str:
 
 def _closing(source: Source, first: int) -> int:
     """The line on which the braces opened from line ``first`` on are all closed; the last if never."""
-    depth, line = 0, first
-    tail = "\n".join(source.lines[first:])
-    at = 0
-    for m in _BRACES.finditer(tail):
+    depth, begin = 0, source.begin[first]
+    for m in _BRACES.finditer(source.text, begin):
         if m[0] not in "{}":
             continue
         depth += 1 if m[0] == "{" else -1
         if depth == 0:
-            line += tail.count("\n", at, m.start())
-            return line
+            return first + source.text.count("\n", begin, m.start())
     return len(source.lines) - 1
 
 

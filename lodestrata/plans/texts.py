@@ -94,7 +94,7 @@ def chunk_clamp_bytes(spark, sf_dir):
 
 
 def _code(spark, sf_dir, lang):
-    words = F.slice(F.split(F.regexp_replace("content", r"[^A-Za-z ]", " "), " +"), 1, 12)
+    words = F.split(F.regexp_replace("content", r"[^A-Za-z ]", " "), " +")
     if lang == "go":
         body = F.concat(F.lit("package p\n\nimport \"fmt\"\n\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("func "), w, F.lit("(a int) {\n\tfmt.Println(\"{\")\n}\n"))), "\n"))
     else:

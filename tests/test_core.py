@@ -477,3 +477,13 @@ def test_approximate_neighbours_recall(spark, sf_dir):
         hits += len(exact & {x.chunk_id for x in lsh.top(rows, buckets, r.embedding, 3, tables=32, bits=4).collect()})
         total += len(exact)
     assert hits / total >= 0.9
+
+
+@pytest.mark.parametrize(("lang", "name"), [("go", "chunk_semantic_go"), ("python", "chunk_semantic_python")])
+def test_semantic_chunks_are_of_all_words(spark, tmp_path, lang, name):
+    from lodestrata import plans
+
+    words = ["w" + "abcdefghij"[i // 1000] + "abcdefghij"[i // 100 % 10] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] for i in range(3000)]
+    spark.createDataFrame([(1, " ".join(words), "en", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES[name](spark, str(tmp_path)).where("chunk_type = 'function'").orderBy("chunk_index").collect()
+    assert [r.symbol_name for r in found] == ["f_" * (lang == "python") + w for w in words]
