@@ -9,9 +9,9 @@ lower-cased) and joined globally; a span's first place is that in the document w
 id. Sentences that lie in a span anywhere else are removed, repeats within a document included.
 
 Defined results: a null text is empty; a text with fewer sentences or words than a span is left as
-it is; documents with a null id lose only what repeats within them; rows that share an id are one
-document's and lose nothing to each other; other columns are ignored; an empty table gives an empty
-result.
+it is; documents with a null id lose only what repeats within them; rows that share an id lose
+nothing to each other, and each has its own spans: a span is known by the id and a tag of its text;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,27 +115,33 @@ class Sentences:
         return out
 
 
+def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, tag): the tag tells rows with the same id but different texts apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h1, h2, doc_id, at): the spans of every document, each hash once, by first sentence."""
+    """(h1, h2, doc_id, place): the spans of every document, each hash once; the place holds the tag
+    of the text above the number of the span's first sentence, in 32 bits each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, texts in text_groups(batches, 1, GROUP_BYTES):
             s = Sentences([t or b"" for t in texts])
             keep = s.firsts()
             ids = group.column(0).take(pa.array(s.owner[keep]))
+            tag = group.column(2).to_numpy().astype(np.int64)[s.owner[keep]]
             yield pa.record_batch({
                 "h1": pa.array(s.h1[keep].view(np.int64)), "h2": pa.array(s.h2[keep].astype(np.uint32).view(np.int32)),
-                "doc_id": ids, "at": pa.array((s.span - s.text_sentences[s.owner])[keep].astype(np.int32))})
+                "doc_id": ids, "place": pa.array(tag << 32 | (s.span - s.text_sentences[s.owner])[keep])})
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "h1 long, h2 int, doc_id long, at int")
+    return _tagged(docs, id_col, text_col).mapInArrow(run, "h1 long, h2 int, doc_id long, place long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its sentences and words, how many were removed, and what is left."""
     every = spans(docs, id_col, text_col)
     twice = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    later = every.join(twice, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    met = every.join(twice, ["h1", "h2"]).where("doc_id > lo").select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("at"))
+    later = met.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, texts in text_groups(batches, 1, GROUP_BYTES):
@@ -146,15 +152,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             place = np.full(len(s.first) + 1, -1, np.int64)
             place[s.span] = np.arange(len(s.span))
             lists = group.column(2)
-            flat, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), [len(x) if x.is_valid else 0 for x in lists])
-            drop[place[flat + s.text_sentences[owner]] if len(flat) else np.zeros(0, np.int64)] = True
+            flat, owner = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(texts)), [len(x) if x.is_valid else 0 for x in lists])
+            at = flat + s.text_sentences[owner]
+            own = place[at[at < s.text_sentences[owner + 1]]]
+            drop[own[own >= 0]] = True
             edge = np.zeros(len(s.first) + 1, np.int64)
             np.add.at(edge, s.span[drop], 1)
             np.add.at(edge, s.stop[drop] + 1, -1)
             gone = np.cumsum(edge)[:-1] > 0
             yield _result(group, texts, s, gone)
 
-    joined = base.join(later.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "at")
+    joined = _tagged(docs, id_col, text_col).join(later, ["doc_id", "tag"], "left").select("doc_id", "text", "at")
     return joined.mapInArrow(run, RESULT)
 
 

@@ -381,6 +381,47 @@ def test_spans_match_brute_force_sentences(spark, docs, rows):
         assert got[i].n_removed == len(gone) and got[i].n_sentences == cuts[i]
 
 
+def plain_dedup(rows):
+    """The sentences that go, by definition: rows of (id, text) against each other."""
+    cut = []
+    for i, text in rows:
+        s, words = substring_dedup.Sentences([text.encode()]), lower(text).split()
+        cut.append((i, [(int(a), int(b), tuple(words[s.first[a]:s.end[b]])) for a, b in zip(s.span, s.stop, strict=True)], len(s.first)))
+    lowest = {}
+    for i, found, _ in cut:
+        for _, _, key in found:
+            if i is not None:
+                lowest[key] = min(lowest.get(key, i), i)
+    out = []
+    for i, found, n in cut:
+        seen, gone = set(), set()
+        for a, b, key in found:
+            if key in seen or (i is not None and lowest[key] < i):
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        out.append((i, n, len(gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("partitions", ["1", "8"])
+def test_rows_that_share_an_id_keep_their_own_spans(spark, partitions):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6))
+    prose = lambda n: " ".join(word() + ("." if i % 9 == 8 else "") for i in range(n))
+    p, q = prose(300), prose(80)
+    data = [(1, p), (2, p), (2, "tiny text here."), (3, q + " " + prose(50)), (3, q), (3, q), (4, prose(30) + " " + q), (None, q + " " + q), (None, p), (5, ""), (5, None)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = substring_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(int(partitions))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(((r.doc_id, r.n_sentences, r.n_removed) for r in got), key=repr) == plain_dedup([(i, t or "") for i, t in data])
+    left = {r.text for r in got if r.doc_id == 2}
+    assert {r.text for r in got if r.doc_id == 1} == {p} and "tiny text here." in left and max(map(len, left - {"tiny text here."})) < 100
+
+
 def test_sentences_do_not_depend_on_what_stands_beside(rows):
     texts = [t.encode() for _, t in rows[:30]] + [b"", b" x ", b"w " * 50]
     together, at = substring_dedup.Sentences(texts), 0
