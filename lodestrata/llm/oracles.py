@@ -53,18 +53,21 @@ def _pii_sql() -> str:
         "ip": ("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", f"len([1 for y in {parts} if length(y) > 3 OR (length(y) = 3 AND y > '255')]) = 0"),
         "card": ("[0-9]([\\x20-]?[0-9])+", f"CASE WHEN length({_digits('body')}) BETWEEN 14 AND 19 THEN {_luhn(_digits('body'))} ELSE false END"),
         "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", f"length({_digits('body')}) BETWEEN 10 AND 15"),
-        "iban": ("[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?", f"{alone} AND length({bare}) BETWEEN 15 AND 34 AND {_mod97(bare)}"),
+        "iban": (pii.IBAN, alone),
         "ssn": ("[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{alone} AND substr(body, 1, 3) NOT IN ('000', '666') AND substr(body, 1, 1) <> '9' AND substr(body, 5, 2) <> '00' AND substr(body, 8, 4) <> '0000'"),
+        "short_card": ("[0-9]([\\x20-]?[0-9])+", f"length({_digits('body')}) BETWEEN 12 AND 13"),
     }
-    union = " UNION ALL ".join(_spans_sql(k, i, *keeps[k]) for i, k in enumerate(pii.BASE + pii.ADDED))
-    sure = " ".join(f"WHEN '{k}' THEN {pii.PRIOR[k] + pii.CHECKSUM.get(k, 0.0)}" for k in pii.BASE + pii.ADDED)
-    around = "(substr(text, greatest(\"start\" - 40, 0) + 1, \"start\" - greatest(\"start\" - 40, 0)) || ' ' || substr(text, stop + 1, 40))"
-    near = " ".join(f"WHEN kind = '{k}' AND regexp_matches({around}, '(?i)(^|[^A-Za-z])({pii.CONTEXT[k]})([^A-Za-z]|$)') THEN {pii.NEAR}" for k in pii.BASE + pii.ADDED)
+    checks = {"card": "true", "iban": _mod97(bare), "short_card": _luhn(_digits("body"))}
+    kinds = pii.BASE + pii.ADDED
+    union = " UNION ALL ".join(_spans_sql(k, i, *keeps[k]) for i, k in enumerate(kinds))
+    sure = " ".join(f"WHEN kind = '{k}' THEN {pii.PRIOR[k]}" + (f" + CASE WHEN {checks[k]} THEN {pii.CHECKSUM[k]} ELSE 0.0 END" if k in checks else "") for k in kinds)
+    around = f"(substr(text, greatest(\"start\" - {pii.REACH}, 0) + 1, \"start\" - greatest(\"start\" - {pii.REACH}, 0)) || ' ' || substr(text, stop + 1, {pii.REACH}))"
+    near = " ".join(f"WHEN kind = '{k}' AND regexp_matches({around}, '(?i)(^|[^A-Za-z])({pii.CONTEXT[k]})([^A-Za-z]|$)') THEN {pii.NEAR}" for k in kinds)
     counts = ", ".join(f"count(kind) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)
     base = ", ".join(f"'{k}'" for k in pii.BASE)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({union}),
-scored AS (SELECT *, round(least(1.0, CASE kind {sure} END + CASE {near} ELSE 0.0 END), 2) AS score FROM s),
+scored AS (SELECT *, round(least(1.0, CASE {sure} END + CASE {near} ELSE 0.0 END), 2) AS score FROM s),
 kept AS (SELECT * FROM scored WHERE kind IN ({base}) OR score >= {pii.THRESHOLD})
 SELECT d.doc_id, {counts}, {_digest(pii.BASE)} AS base_sha256,
        coalesce(string_agg(kind || ':' || "start" || ':' || stop, ',' ORDER BY "start", rnk), '') AS spans,

@@ -61,7 +61,7 @@ def test_stages(spark, sf_dir):
         assert r.n_chars == len(r.text) and (r.lang, r.source) == (rows[r.doc_id].lang, rows[r.doc_id].source)
         left = [m[0] for _, pattern, ok in PII_KINDS for m in re.finditer(pattern, r.text) if ok(m)]
         assert not left
-        pieces = re.split(r"\[(?:EMAIL|IP|CARD|PHONE|IBAN|SSN)\]", r.text)
+        pieces = re.split(r"\[(?:EMAIL|IP|CARD|PHONE|IBAN|SSN|SHORT_CARD)\]", r.text)
         at = 0
         for piece in pieces:
             at = rows[r.doc_id].text.index(piece, at) + len(piece)
