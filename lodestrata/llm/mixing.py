@@ -66,10 +66,15 @@ def poisson_law(rate: Column) -> Column:
     return F.struct(parts.alias("parts"), table.alias("table"))
 
 
-def drawn(law: Column, key: Column) -> Column:
-    """Copies of a document: the law's distribution function inverted at hashes of the key."""
-    one = lambda acc, j: acc + F.size(F.filter(law["table"], lambda c: c <= uniform(F.concat_ws(":", F.lit(str(SEED)), j.cast("string"), key))))
-    return F.when(F.element_at(law["table"], 1) >= 1, 0).otherwise(F.aggregate(F.sequence(F.lit(1), law["parts"]), F.lit(0), one))
+def draws(law: Column, key: Column) -> Column:
+    """The uniform numbers of a document, one for each part of its law."""
+    return F.transform(F.sequence(F.lit(1), law["parts"]), lambda j: uniform(F.concat_ws(":", F.lit(str(SEED)), j.cast("string"), key)))
+
+
+def drawn(law: Column, numbers: Column) -> Column:
+    """Copies of a document: the law's distribution function inverted at its uniform numbers."""
+    one = lambda acc, u: acc + F.size(F.filter(law["table"], lambda c: c <= u))
+    return F.when(F.element_at(law["table"], 1) >= 1, 0).otherwise(F.aggregate(numbers, F.lit(0), one))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -81,7 +86,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
         table = F.broadcast(table)
     kept = [c for c in docs.columns if c not in ("copy_no", "rate", "shuffle_key")]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    many = docs.join(table, docs[source_col].eqNullSafe(F.col("__source"))).withColumn("__n", drawn(F.col("__law"), key)).where("__n > 0")
+    many = docs.join(table, docs[source_col].eqNullSafe(F.col("__source"))).withColumn("__n", drawn(F.col("__law"), draws(F.col("__law"), key))).where("__n > 0")
     copies = many.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))).alias("copy_no"), F.col("__rate").alias("rate"))
     shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(SEED)), F.col("copy_no").cast("string"), key).cast("binary")))
     return shuffled.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
