@@ -4,11 +4,12 @@ From each rule's regular expression a Boolean trigram query is derived: the text
 contain one of some sets of three-letter strings. The index has a posting (trigram, document) for
 every trigram that some query names. Intersecting postings gives candidates per rule, and the
 regular expression runs on these only. A rule without mandatory trigrams runs on every text. Only
-DataFrame functions are used.
+DataFrame functions are used. The postings are written as a table; candidates, which are few, go to
+the texts by broadcast up to ``BROADCAST_ROWS`` of them, which is checked, and by a shuffled join beyond.
 
-Defined results: a null text is an empty text; rows that share an id share candidates, and each is
-verified on its own text; null ids are one id; other columns are ignored; an empty table gives an
-empty result.
+Defined results: a null text is an empty text; postings are kept by a hash of id and text, so that null
+and repeated ids are rows of their own; rows equal in both share candidates, and each is verified on
+its own text; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from __future__ import annotations
 import re._parser as parser
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
 from .spans import Kind, count_of, joined, with_spans
 
 BASE = ["assign", "access", "hex"]
@@ -43,6 +45,8 @@ KINDS = [
     Kind("url", r"://[A-Za-z0-9._~-]{1,64}:[^\x00-\x20:/@]{3,64}@"),
 ]
 
+#: At most this many rows of candidates (a key and the names of rules each) are broadcast.
+BROADCAST_ROWS = 500_000
 #: More strings than this are not multiplied out when a query is derived.
 WIDEST = 64
 
@@ -118,29 +122,36 @@ def _queries() -> list[tuple[str, int, frozenset[str]]]:
     return out
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The inverted index: (doc_id, gram) for the trigrams that queries name."""
+    """The inverted index: (row, gram) for the trigrams that queries name."""
     grams = sorted({g for _, _, s in _queries() for g in s})
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    low = docs.select(row_key(id_col, text_col).alias("row"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    return low.select("doc_id", F.explode(present).alias("gram"))
+    return low.select("row", F.explode(present).alias("gram"))
 
 
 def candidates(index: DataFrame) -> DataFrame:
-    """(doc_id, rules): rules for which some trigram set lies wholly in the document's postings."""
+    """(row, rules): rules for which some trigram set lies wholly in the document's postings."""
     spark = index.sparkSession
     terms = [(g, rule, i, len(s)) for rule, i, s in _queries() for g in sorted(s)]
     query = F.broadcast(spark.createDataFrame(terms, "gram string, rule string, conj int, need int"))  # as many rows as the rules name
-    met = index.join(query, "gram").groupBy("doc_id", "conj", "rule", "need").agg(F.size(F.collect_set("gram")).alias("have")).where("have = need")
-    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    met = index.join(query, "gram").groupBy("row", "conj", "rule", "need").agg(F.size(F.collect_set("gram")).alias("have")).where("have = need")
+    return met.groupBy("row").agg(F.collect_set("rule").alias("rules"))
 
 
 def detect(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: counts of the base kinds, a digest of the base spans, and all spans."""
     free = [k.name for k in KINDS if trigram_query(k.pattern) is None]
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cand = candidates(postings(base)).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    both = base.join(cand, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    index = materialize(postings(base), "postings")
+    cand = materialize(candidates(index).select(F.col("row").alias("__row"), F.col("rules").alias("__rules")), "candidates")
+    discard(index)
+    few = cand.count() <= BROADCAST_ROWS
+    both = base.join(F.broadcast(cand) if few else cand, row_key("doc_id", "text") == F.col("__row"), "left")
     gate = lambda k: F.lit(True) if k.name in free else F.array_contains(F.coalesce(F.col("__rules"), F.array().cast("array<string>")), k.name)
     found = with_spans(both, "text", KINDS, "found", gate=gate)
     return found.select(
