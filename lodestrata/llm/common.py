@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and one machine does all the work, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/lodestrata"
 
 #: The byte classes of a "word": everything but blanks and the five ASCII line/tab controls.
@@ -17,8 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine of the cluster can read, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder every machine of the cluster can read, from ``spark.checkpoint.dir``. Only a local
+    session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
