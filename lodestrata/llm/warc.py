@@ -6,14 +6,21 @@ in WARC-Refers-To, carry its target, date and payload digest on, and have block
 own; the metadata record names the conversion in WARC-Concurrent-To. ``read_warc`` reads records
 from (gzipped) WARC files, ``as_record`` writes one.
 
+Transfer and content encodings (chunked, gzip, deflate) are undone before a payload is read, but
+digests and lengths are those of the payload as it was sent. Links are those of tags and attributes
+outside comments, scripts and the like, resolved against ``<base href>`` and the target.
+
 Defined results: a null payload or header block is empty; a null target stays null; responses with
-the same id give records with the same ids; records of other types give nothing; other columns are
-ignored; an empty table gives an empty result.
+the same id give records with the same ids; records of other types give nothing; a payload whose
+encoding is unknown or broken gives a metadata record only; an unknown charset is read as UTF-8, bytes
+that do not fit become U+FFFD; a link that cannot be resolved stays as written; other columns are
+ignored; an empty table gives an empty result. ``read_warc`` reads a truncated file as far as it goes.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import json
@@ -36,7 +43,8 @@ DERIVED = "source_key long, warc_type string, record_id string, refers_to string
 # No pattern can run past the next "<" without an end, so that no page takes quadratic time.
 HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-LINK = re.compile(r"""<(a|area|link|img|iframe|frame|script|source|form)\b[^<>]*?\b(?:href|src|action)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
+INNER = re.compile(r"(<(script|style|noscript|template)\b[^<>]*>).*?(?:</\2\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+LINK = re.compile(r"""<(a|area|link|img|iframe|frame|script|source|form|base)(?=[\s/])[^<>]*?[\s"'/](?:href|src|action)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
 BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|title|head|body|html|blockquote|pre|hr|dd|dt|dl|form|aside|figure|option)\b[^<>]*>", re.I)
 CELL = re.compile(r"</?t[dh]\b[^<>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
@@ -59,24 +67,27 @@ def visible_text(page: str) -> str:
     return LINES.sub("\n", BLANKS.sub(" ", page)).strip()
 
 
+def _resolved(base: str | None, url: str) -> str:
+    """``url`` as seen from ``base``; as written if either makes no sense."""
+    if url.startswith(("http://", "https://")) or not base:
+        return url
+    try:
+        return urljoin(base, url) if urlsplit(base).scheme else url
+    except ValueError:
+        return url
+
+
 def links(page: str, base: str | None) -> list[dict[str, str]]:
-    out, root = [], None
-    for m in LINK.finditer(page):
-        url = html.unescape(m[2] or m[3] or m[4] or "").strip()
+    out, based = [], False
+    for m in LINK.finditer(INNER.sub(lambda m: m[1] or " ", page)):
+        tag, url = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip()
         if not url:
             continue
-        if base and not url.startswith(("http://", "https://")):
-            if url.startswith("/") and not url.startswith("//"):
-                if root is None:
-                    parts = urlsplit(base)
-                    root = f"{parts.scheme}://{parts.netloc}"
-                url = root + url
-            else:
-                try:
-                    url = urljoin(base, url)
-                except ValueError:
-                    pass
-        out.append({"tag": m[1].lower(), "url": url})
+        url = _resolved(base, url)
+        if tag == "base":
+            base, based = base if based else url, True  # the first one counts
+        else:
+            out.append({"tag": tag, "url": url})
     return out
 
 
@@ -92,13 +103,53 @@ def header_fields(block: str | None) -> tuple[str, dict[str, str]]:
 
 
 def decoded(payload: bytes, content_type: str) -> str:
+    """The text of a payload: by the charset of its header, its byte order mark or its own ``meta``."""
     m = CHARSET.search(content_type)
+    named = m[1] if m else "utf-8-sig" if payload.startswith(codecs.BOM_UTF8) else None
+    if named is None and (m := CHARSET.search(payload[:1024].decode("latin-1"))):
+        named = m[1]
     try:
-        return payload.decode(m[1] if m else "utf-8", "replace")
-    except LookupError:
+        return payload.decode(named or "utf-8", "replace")
+    except (LookupError, ValueError):  # unknown, or no charset of texts; UnicodeError is a ValueError
         return payload.decode("utf-8", "replace")
 
 
+def unchunked(payload: bytes) -> bytes:
+    """The body of a chunked message; what follows a chunk that makes no sense is left out."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(payload[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(payload[end + 2:end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def unpacked(payload: bytes, fields: dict[str, str]) -> bytes | None:
+    """The payload without its transfer and content encodings; None if one is unknown or broken."""
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        payload = unchunked(payload) or payload
+    for coding in reversed([x.strip() for x in fields.get("content-encoding", "").lower().split(",") if x.strip()]):
+        if coding == "identity":
+            continue
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return None
+        for bits in (31,) if "gzip" in coding else (15, -15):
+            opener = zlib.decompressobj(bits)
+            try:
+                payload = opener.decompress(payload) + opener.flush()
+                break
+            except zlib.error:
+                continue
+        else:
+            return None
+    return payload
+
+
 def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: str = CAPTURED) -> DataFrame:
     """Response records of a table of pages, with ids derived from key and address."""
     name = F.md5(F.concat_ws("\n", F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))).cast("binary"))
@@ -124,9 +175,10 @@ def _derived(row: dict) -> list[dict]:
     kind = fields.get("content-type", "")
     source_digest = row["payload_digest"] or digest(payload)
     ids = {k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{k} {row["record_id"]}')}>" for k in ("metadata", "conversion")}
-    markup = "html" in kind.lower()
-    text_kind = markup or kind.lower().startswith("text/")
-    page = decoded(payload, kind) if text_kind else ""
+    body = unpacked(payload, fields)
+    markup = "html" in kind.lower() and body is not None
+    text_kind = markup or (kind.lower().startswith("text/") and body is not None)
+    page = decoded(body, kind) if text_kind else ""
     found = links(page, row["target_uri"]) if markup else []
     title = TITLE.search(page) if markup else None
     meta = {
@@ -191,38 +243,78 @@ def serialised(derived: DataFrame) -> DataFrame:
     return derived.mapInArrow(run, "source_key long, record binary")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of the records in the bytes of a WARC file, gzipped or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            opener = zlib.decompressobj(31)
-            parts.append(opener.decompress(data) + opener.flush())
-            data = opener.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def _plain(data: bytes) -> Iterator[bytes]:
+    """The bytes of a WARC file in parts, gzip members undone one after another. What is broken ends it."""
+    step = 1 << 20
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at:at + step] for at in range(0, len(data), step))
+        return
+    opener, at, rest = zlib.decompressobj(31), 0, b""
+    while rest or at < len(data):
+        if not rest:
+            rest, at = data[at:at + step], at + step
+        try:
+            yield opener.decompress(rest, step)
+        except zlib.error:
             return
-        fields = header_fields(data[at:end].decode("utf-8", "replace"))[1]
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4:end + 4 + size]
-        at = end + 4 + size
+        rest = opener.unconsumed_tail
+        if opener.eof:
+            rest, opener = opener.unused_data, zlib.decompressobj(31)
+    yield opener.flush()
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of the records in the bytes of a WARC file, gzipped or plain. No more than a
+    record is held unpacked at a time."""
+    parts, held = _plain(data), bytearray()
+
+    def more() -> bool:
+        part = next(parts, None)
+        held.extend(part or b"")
+        return part is not None
+    while True:
+        at = 0
+        while (begin := held.find(b"WARC/", at)) < 0 or (end := held.find(b"\r\n\r\n", max(begin, at))) < 0:
+            at = max(0, len(held) - 8) if begin < 0 else begin
+            if not more():
+                return
+        fields = header_fields(bytes(held[begin:end]).decode("utf-8", "replace"))[1]
+        size = int(n) if (n := fields.get("content-length", "0")).isdecimal() else 0
+        del held[:end + 4]
+        while len(held) < size:
+            if not more():
+                break
+        yield fields, bytes(held[:size])
+        del held[:size]
+
+
+#: Bytes of payload in a batch of responses.
+BATCH_BYTES = 16 << 20
+
+
+def _response(fields: dict[str, str], block: bytes) -> dict:
+    head, _, payload = block.partition(b"\r\n\r\n")
+    return {
+        "source_key": None, "record_id": fields.get("warc-record-id"), "warc_type": "response", "target_uri": fields.get("warc-target-uri"),
+        "warc_date": fields.get("warc-date"), "http_headers": head.decode("utf-8", "replace") + "\r\n\r\n", "payload": payload, "payload_digest": fields.get("warc-payload-digest")}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records (columns as in ``RESPONSE``) of WARC files; a file is read by one task."""
+    """Response records (columns as in ``RESPONSE``) of WARC files of under 2 GB; a file is read by
+    one task."""
+    shape = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RESPONSE.split(", "))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
+                rows, size = [], 0
                 for fields, block in parse(content.as_py()):
-                    head, _, payload = block.partition(b"\r\n\r\n")
                     if fields.get("warc-type") == "response":
-                        yield pa.record_batch({
-                            "source_key": pa.array([None], pa.int64()), "record_id": [fields.get("warc-record-id")], "warc_type": ["response"],
-                            "target_uri": pa.array([fields.get("warc-target-uri")], pa.string()), "warc_date": pa.array([fields.get("warc-date")], pa.string()),
-                            "http_headers": [head.decode("utf-8", "replace") + "\r\n\r\n"], "payload": pa.array([payload], pa.binary()),
-                            "payload_digest": pa.array([fields.get("warc-payload-digest")], pa.string())})
+                        rows.append(_response(fields, block))
+                        size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, shape)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, shape)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)

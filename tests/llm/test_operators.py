@@ -2,9 +2,12 @@
 
 import hashlib
 import itertools
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -481,6 +484,73 @@ def test_warc_reader_and_odd_pages(spark, tmp_path):
     assert text.block.startswith("T & t\na\nb c") and meta.concurrent_to == text.record_id
 
 
+class PlainPage(HTMLParser):
+    """Another way to the words and links of a page: the standard library's parser."""
+
+    SKIP, TAGS = {"script", "style", "noscript", "template"}, {"a", "area", "link", "img", "iframe", "frame", "script", "source", "form"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.text, self.links = 0, [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if not self.hidden and tag in self.TAGS:
+            self.links += [v.strip() for k, v in attrs if k in ("href", "src", "action") and v and v.strip()][:1]
+        self.hidden += tag in self.SKIP
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in self.SKIP))
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+
+
+def test_warc_derivatives_match_another_parser(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {(r.source_key, r.warc_type): r for r in warc.derive(warc.responses(pages)).collect()}
+    for p in pages.collect():
+        plain = PlainPage(p.html or "")
+        meta = json.loads(got[p.page_id, "metadata"].block)
+        assert "".join("".join(plain.text).split()) == "".join(got[p.page_id, "conversion"].block.split())
+        assert [x["url"] for x in meta["links"]] == [urljoin(p.url, x) for x in plain.links] and got[p.page_id, "metadata"].n_links == len(plain.links)
+
+
+def test_warc_of_malformed_pages(spark):
+    packed = lambda b, bits: (z := zlib.compressobj(6, zlib.DEFLATED, bits)).compress(b) + z.flush()
+    page = b"<p>caf\xe9</p><!-- <a href='/no'>x</a> --><script>'<a href=/no>'</script><a data-href='/no' href='/yes'>y</a>"
+    html_type = "HTTP/1.1 200 OK\r\nContent-Type: text/html"
+    cases = {  # headers, payload, target -> text, links
+        1: (f"{html_type}; charset=undefined\r\n\r\n", b"<p>a", "http://h/", "a", []),
+        2: (f"{html_type}; charset=idna\r\n\r\n", b"<p>a\xff", "http://h/", "a\ufffd", []),
+        3: (f"{html_type}; charset=latin-1\r\n\r\n", page, "http://h/d/e", "caf\xe9\ny", ["http://h/yes"]),
+        4: (f"{html_type}\r\n\r\n", b"<a href='/x'>l</a>", "http://[bad", "l", ["/x"]),
+        5: (f"{html_type}\r\n\r\n", b"<a href='/x'>l</a>", "h/no-scheme", "l", ["/x"]),
+        6: (f"{html_type}\r\n\r\n", b"<base href='/b/'><a href=x>l</a><a href='http://[q'>m</a>", "http://h/d", "lm", ["http://h/b/x", "http://[q"]),
+        7: (f"{html_type}\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n", (z := packed(b"<p>zip", 31)) and b"%x\r\n%s\r\n0\r\n\r\n" % (len(z), z), None, "zip", []),
+        8: (f"{html_type}\r\nContent-Encoding: deflate\r\n\r\n", packed(b"<p>raw", -15), None, "raw", []),
+        9: (f"{html_type}\r\nContent-Encoding: gzip\r\n\r\n", b"not gzip", None, None, []),
+        10: (None, None, None, None, []),
+    }
+    data = [(k, f"<urn:{k}>", "response", t, None, h, p, None) for k, (h, p, t, _, _) in cases.items()]
+    got = {(r.source_key, r.warc_type): r for r in warc.derive(spark.createDataFrame(data, warc.RESPONSE)).collect()}
+    for k, (_, payload, _, text, found) in cases.items():
+        meta = json.loads(got[k, "metadata"].block)
+        assert [x["url"] for x in meta["links"]] == found and meta["payload_digest"] == warc.digest(payload or b"")
+        assert (got[k, "conversion"].block if (k, "conversion") in got else None) == text, k
+
+
+def test_warc_parse_goes_member_by_member():
+    rows = [{"block": "x" * n, "warc_type": "conversion", "record_id": f"<{n}>", **dict.fromkeys(("refers_to", "concurrent_to", "target_uri", "warc_date", "block_digest", "source_payload_digest", "content_type"))} for n in (0, 5, 3_000_000, 7) * 3]
+    for compress in (True, False):
+        blob = b"".join(warc.as_record(r, compress) for r in rows)
+        assert [(f["warc-record-id"], b.decode()) for f, b in warc.parse(blob)] == [(r["record_id"], r["block"]) for r in rows]
+        assert len(list(warc.parse(blob[:-20]))) >= len(rows) - 1
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"WARC/1.0\r\n")) == []
+
+
 def test_poisson_counts(spark):
     n = 20_000
     df = spark.range(n).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' when id % 100 = 1 then null else 'cold' end as source", "'t' as text", "'own' as rate")
