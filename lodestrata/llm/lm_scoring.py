@@ -9,14 +9,19 @@ logarithms add up to the text's probability and to bits per byte.
 The last bytes run on over the border of a word, so texts are scored in order. As no context but the
 word so far is longer than four bytes, only the first three bytes of a word (its head, with the blank
 if it is shorter) see what stands before it, and of that only the last three bytes before the blank.
-A token's score is that of its head after these three bytes and that of the rest of its word.
+A token's score is that of its head after these three bytes and that of the rest of its word. Words
+and heads are the units that are counted, learned from and spelt, each once in the whole corpus.
 
-Documents are tokenised once, in blocks. Each block hands its distinct words and heads, with their
-training counts, to buckets; a bucket adds up the counts of all blocks, so every distinct word and head
-is counted and learned from once. Words are spelt there once too, and each block gets the numbers of its
-own back; heads are spelt by each block. What
-moves is the blocks' dictionaries, never single tokens, and nothing of the size of the vocabulary
-reaches the driver. Slots, weights and map have a fixed size.
+Documents are tokenised once, in blocks. Each block hands its units, with their training counts, to
+buckets; a bucket adds up the counts of all blocks. Predictors count all training tokens; the number of
+their slots follows the bytes of all units, up to ``SLOT_BITS`` for each context, which bounds what is
+broadcast. Gate weights and map are learned online from all training tokens, each unit weighing as often
+as it occurs (and predicted as if one occurrence had not been counted): buckets are dealt to lanes, whose
+number follows the units too; a lane goes through its buckets in order, and lanes are averaged by their
+tokens. So the model depends on the documents alone, not on partitions or the order of arrival.
+
+What moves is the blocks' units, never single tokens, and nothing of the size of the vocabulary
+reaches the driver. A worker holds one block, one bucket, or the slots of the model at a time.
 
 Defined results: a null text is empty (one token, the end); a null id counts as the empty text when
 folds are dealt; rows that repeat are scored row by row and each is learned from; other columns are
@@ -26,10 +31,11 @@ ignored; an empty table gives an empty result; with nothing to learn from, all c
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,43 +46,76 @@ FOLDS, HELD_OUT = 5, 1
 END = b"\xff"  # no byte of UTF-8
 #: The three blanks before a text, and a mark beyond three bytes.
 START, ONE = 0x202020, 1 << 24
+BLANK = 32
+LOWER = bytes(b + 32 if 65 <= b <= 90 else BLANK if 9 <= b <= 13 else b for b in range(256))
 
 #: Bytes of a word that see what stands before it.
 HEAD = 3
-#: Bytes of text in a block, and buckets that words are dealt into.
-BLOCK_BYTES = 24 << 20
-BUCKETS = 1024
-#: Slots of each context's predictors.
-SLOTS = 1 << 17
+#: Bytes of text in a block; least number of buckets that units are dealt into, and documents per bucket.
+BLOCK_BYTES = 16 << 20
+BUCKETS, BUCKET_DOCS = 1024, 1 << 14
+#: The contexts: this many last bytes, and at last the word so far; with the most slots each may have, as
+#: a power of two.
 ORDERS = (1, 2, 3, 4)
+SLOT_BITS = (16, 19, 21, 22, 22)
 CONTEXTS = len(ORDERS) + 1
-#: Tasks' bit counts are added up in so many sums first, and these then in one.
-LANES = 64
-#: Tokens per partition of words that the mixing weights and the map are learned from; with the rate
-#: of the online updates and the number of events in one.
-MIX_TOKENS = 8_000
-RATE, STEP = 0.02, 2048
+PAD = max(ORDERS)
+#: Bytes of units to a lane, and the most lanes.
+LANE_BYTES, LANES = 1 << 22, 256
+#: Rate of the online updates and the number of events in one.
+RATE, STEP = 0.02, 8192
 #: Prior of a predictor's counts; cells of the map along the logit, and their prior weight.
 PRIOR, CELLS, CELL_PRIOR = 0.4, 33, 16.0
-#: Words are spelt so many bytes at a time.
+#: Units are spelt so many bytes at a time.
 CHUNK = 1 << 15
 
 
+# ---- byte strings in arrays
+
+
+def _strings(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes) of an array of byte strings."""
+    strings = pa.concat_arrays([strings])
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset:strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    return (data[ends[0]:ends[-1]], np.diff(ends)) if len(strings) else (np.zeros(0, np.uint8), np.zeros(0, np.int32))
+
+
+def _places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1`` and so on, ``sizes`` of them, for each."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes, dtype=np.int64) - sizes
+
+
 # ---- blocks
 
 
-def _edges(words: list[bytes]) -> np.ndarray:
+def _edges(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each word its first three bytes (with the blanks after it) and the last three before a
     blank that follows it, in one number; of a word of one byte the first of the last three is 1 << 24."""
-    last = lambda w: int.from_bytes((b" " + w)[-HEAD:], "big") + (len(w) == 1) * ONE
-    return np.fromiter((last(w) << 24 | int.from_bytes((w + b"   ")[:HEAD], "big") for w in words), np.int64, len(words))
-
-
-def _heads(tokens: np.ndarray, sizes: list[int], edges: np.ndarray) -> np.ndarray:
+    first, out = _firsts(sizes), np.zeros(len(sizes), np.int64)
+    end = first + sizes
+    for k in range(HEAD, 0, -1):  # a blank stands before the word, and nothing before that
+        own = data[np.maximum(end - k, 0)].astype(np.int64)
+        out = out << 8 | np.where(sizes >= k, own, np.where(sizes == k - 1, BLANK, 0))
+    out += (sizes == 1) * ONE
+    for k in range(HEAD):
+        out = out << 8 | np.where(sizes > k, data[np.minimum(first + k, len(data) - 1)], BLANK)
+    return out
+
+
+def _heads(tokens: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """For each token and the end mark of each document: the three bytes before its blank and its
     first three, in one number."""
-    sizes = np.asarray(sizes, np.int64)
-    at = np.full(len(tokens) + len(sizes), 0, np.int64)
+    at = np.zeros(len(tokens) + len(sizes), np.int64)
     end = np.cumsum(sizes + 1) - 1
     text = np.ones(len(at), bool)
     text[end] = False
@@ -93,209 +132,224 @@ def _heads(tokens: np.ndarray, sizes: list[int], edges: np.ndarray) -> np.ndarra
     return before << 24 | own & 0xFFFFFF
 
 
-def _head_key(h: int) -> bytes:
-    """A head among words: it begins with a blank, as no word does."""
-    return b" " + h.to_bytes(2 * HEAD, "big")
+def _head_units(heads: np.ndarray) -> np.ndarray:
+    """Heads as units: each begins with a blank, as no word does."""
+    out = np.full((len(heads), 1 + 2 * HEAD), BLANK, np.uint8)
+    out[:, 1:] = heads.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    return out
+
 
+def _hashed(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings, none of them empty."""
+    power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
+    within = _places(np.zeros(len(sizes), np.int64), sizes)
+    sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[within], _firsts(sizes))
+    sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return sums ^ (sums >> np.uint64(29))
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_BLOCKS = "block long, bucket int, docs array<long>, held array<boolean>, n_words array<long>, n_bytes array<long>, tokens binary, edges binary, units binary, sizes binary, numbers binary, trained binary"
+_SHAPE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
+                    *((c, pa.binary()) for c in ("tokens", "edges", "units", "sizes", "numbers", "trained"))])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Per block one row with its documents as numbers of words, and a row for each bucket with the
-    block's words there: their numbers and training counts."""
+    block's units there: their numbers (the end mark, the words, the heads) and training counts."""
     part, n = TaskContext.get().partitionId(), 0
     for group, texts in text_groups(batches, 1, BLOCK_BYTES):
         ids = group.column(0).to_pylist()
-        numbers: dict[bytes, int] = {END: 0}
-        places, sizes = [], []
-        for t in texts:
-            words = (t or b"").lower().split()
-            places.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
-            sizes.append(len(t or b""))
+        size = np.array([len(t or b"") for t in texts], np.int64)
+        raw = np.frombuffer((b" ".join(t or b"" for t in texts) + b" ").translate(LOWER), np.uint8)
+        blank = raw == BLANK
+        edge = np.flatnonzero(np.diff(blank, prepend=True))
+        first, end = edge[::2], edge[1::2]
+        words = _strings(raw[~blank], end - first).dictionary_encode()
+        tokens = words.indices.to_numpy().astype(np.int32) + 1
+        n_words = np.diff(np.searchsorted(first, np.concatenate([_firsts(size + 1), [len(raw)]])))
+        data, sizes = _parts(words.dictionary)
+        data, sizes = np.concatenate([np.frombuffer(END, np.uint8), data]), np.concatenate([[len(END)], sizes])
+        edges = _edges(data, sizes)
         held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD_OUT for i in ids], bool)
-        trained = np.zeros(len(numbers), np.int64)
-        for at, out in zip(places, held, strict=True):
-            if not out:
-                trained += np.bincount(at, minlength=len(numbers)) if len(at) * 8 > len(numbers) else 0
-                if len(at) * 8 <= len(numbers):
-                    np.add.at(trained, at, 1)
-        trained[0] = int((~held).sum())
+        learned = ~held
+        trained = np.bincount(tokens[np.repeat(learned, n_words)], minlength=len(sizes))
+        trained[0] = learned.sum()
+        heads, at = np.unique(_heads(tokens, n_words, edges), return_inverse=True)
+        trained = np.concatenate([trained, np.bincount(at[np.repeat(learned, n_words + 1)], minlength=len(heads))])
+        data = np.concatenate([data, _head_units(heads).ravel()])
+        sizes = np.concatenate([sizes, np.full(len(heads), 1 + 2 * HEAD)])
         block = part << 24 | n
         n += 1
-        tokens = np.concatenate(places) if places else np.zeros(0, np.int32)
-        words = list(numbers)
-        edges = _edges(words)
-        heads = _heads(tokens, [len(at) for at in places], edges)
-        kinds, many = np.unique(heads[np.repeat(~held, [len(at) + 1 for at in places])], return_counts=True)
-        yield _row(block, -1, docs=pa.array(ids, pa.int64()).to_pylist(), held=held.tolist(), n_words=[len(x) for x in places], n_bytes=sizes, tokens=zlib.compress(tokens.tobytes(), 1), edges=zlib.compress(edges.tobytes(), 1))
-        yield from _bucketed(block, words, np.arange(len(words), dtype=np.int32), trained)
-        yield from _bucketed(block, [_head_key(h) for h in kinds.tolist()], None, many)
-
-
-def _bucketed(block: int, words: list[bytes], numbers: np.ndarray | None, trained: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket of words; heads, which the block can tell by itself, have no numbers."""
-    if not words:
-        return
-    bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    rows = [(int(bucket[at[0]]), at) for at in np.split(order, cuts)]
-    for first in range(0, len(rows), 64):
-        some = rows[first:first + 64]
-        yield pa.record_batch([
-            pa.array([block] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int32()),
-            pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.bool_())), pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()),
-            pa.array([b"\n".join([words[i] for i in at]) for _, at in some], pa.binary()),
-            pa.array([None if numbers is None else numbers[at].tobytes() for _, at in some], pa.binary()), pa.array([trained[at].astype(np.int64).tobytes() for _, at in some], pa.binary()),
-        ], names=_NAMES)
+        yield pa.RecordBatch.from_pylist([{"block": block, "bucket": -1, "docs": ids, "held": held.tolist(), "n_words": n_words.tolist(), "n_bytes": size.tolist(), "tokens": zlib.compress(tokens.tobytes(), 1), "edges": zlib.compress(edges.tobytes(), 1)}], _SHAPE)
+        yield _bucketed(block, data, sizes, trained, buckets)
 
 
-_NAMES = ["block", "bucket", "docs", "held", "n_words", "n_bytes", "tokens", "edges", "words", "numbers", "trained"]
-_BLOCKS = "block long, bucket int, docs array<long>, held array<boolean>, n_words array<long>, n_bytes array<long>, tokens binary, edges binary, words binary, numbers binary, trained binary"
+def _bucketed(block: int, data: np.ndarray, sizes: np.ndarray, trained: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = (_hashed(data, sizes) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+    size = sizes[order].astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    units, size, numbers, trained = data[_places(_firsts(sizes)[order], size)].tobytes(), size, order.astype(np.int32), trained[order].astype(np.int64)
+    return pa.RecordBatch.from_pylist([
+        {"block": block, "bucket": int(bucket[order[a]]), "units": units[ends[a]:ends[b]], "sizes": size[a:b].tobytes(), "numbers": numbers[a:b].tobytes(), "trained": trained[a:b].tobytes()}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True)], _SHAPE)
 
 
-def _row(block: int, bucket: int, *, docs: list, held: list, n_words: list, n_bytes: list, tokens: bytes, edges: bytes) -> pa.RecordBatch:
-    return pa.record_batch([
-        pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-        pa.array([n_words], pa.list_(pa.int64())), pa.array([n_bytes], pa.list_(pa.int64())), pa.array([tokens], pa.binary()), pa.array([edges], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-    ], names=_NAMES)
+_VOCAB = "bucket int, units binary, sizes binary, counts binary, n_tokens long, n_types long, n_bytes long, blocks array<long>, lengths array<int>, numbers binary, places binary"
+_VOCAB_SHAPE = pa.schema([("bucket", pa.int32()), ("units", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("n_types", pa.int64()), ("n_bytes", pa.int64()),
+                          ("blocks", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("numbers", pa.binary()), ("places", pa.binary())])
 
 
-_VOCAB = "words binary, counts binary, n_tokens long, n_types long, blocks array<long>, sizes array<int>, numbers binary, places binary"
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
+    """Rows that follow each other and agree in a column."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][by] != row[by]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per partition of buckets: its distinct words and heads with their counts over all
-    blocks, and for every block's words the place of each."""
-    found: dict[bytes, int] = {}
-    blocks, sizes, numbers, places, trained, all_places = [], [], [], [], [], []
-    for batch in batches:
-        for block, text, number, count in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            own = text.split(b"\n")
-            at = np.fromiter((found.setdefault(w, len(found)) for w in own), np.int32, len(own))
-            all_places.append(at)
-            trained.append(np.frombuffer(count, np.int64))
-            if number is not None:
-                blocks.append(block)
-                sizes.append(len(own))
-                numbers.append(number)
-                places.append(at)
-    if found:
-        words = sorted(found)  # so that what is drawn later does not depend on the order of arrival
-        rank = np.empty(len(words), np.int32)
-        rank[np.fromiter((found[w] for w in words), np.int64, len(words))] = np.arange(len(words))
-        counts = np.bincount(rank[np.concatenate(all_places)], weights=np.concatenate(trained), minlength=len(found)).astype(np.int64)
-        place = rank[np.concatenate([np.zeros(0, np.int32), *places])]
-        whole = counts[np.fromiter((not w.startswith(b" ") for w in words), bool, len(words))]
-        yield pa.record_batch({
-            "words": pa.array([b"\n".join(words)], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
-            "n_tokens": [int(whole.sum())], "n_types": [int((whole > 0).sum())], "blocks": pa.array([blocks], pa.list_(pa.int64())),
-            "sizes": pa.array([sizes], pa.list_(pa.int32())), "numbers": pa.array([b"".join(numbers)], pa.binary()), "places": pa.array([place.tobytes()], pa.binary())})
+    """One row per bucket: its distinct units, sorted, with their counts over all blocks, and for every
+    block's units the place of each."""
+    for rows in _runs(batches, "bucket"):
+        lengths = [len(r["sizes"]) // 4 for r in rows]
+        found = _strings(b"".join(r["units"] for r in rows), np.frombuffer(b"".join(r["sizes"] for r in rows), np.int32)).dictionary_encode()
+        order = pc.array_sort_indices(found.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order))
+        place = rank[found.indices.to_numpy()]
+        counts = np.bincount(place, weights=np.frombuffer(b"".join(r["trained"] for r in rows), np.int64), minlength=len(order)).astype(np.int64)
+        data, sizes = _parts(found.dictionary.take(order))
+        whole = counts[data[_firsts(sizes)] != BLANK]
+        yield pa.RecordBatch.from_pylist([{
+            "bucket": rows[0]["bucket"], "units": data.tobytes(), "sizes": sizes.astype(np.int32).tobytes(), "counts": counts.tobytes(), "n_tokens": int(whole.sum()), "n_types": int((whole > 0).sum()),
+            "n_bytes": len(data), "blocks": [r["block"] for r in rows], "lengths": lengths, "numbers": b"".join(r["numbers"] for r in rows), "places": place.tobytes()}], _VOCAB_SHAPE)
 
 
 # ---- the mixing model
 
 
 class Events:
-    """The bits that spell some units: unit, slots of the contexts, the bit, and the node (the bits
-    of the byte so far, after a leading one). Without ``before``, the four bytes before each, units are
-    words after blanks, each spelt with the blank after it; ``parts``: words are spelt from the end of
-    their head on, heads (see ``_head_key``) as far as they go."""
-
-    def __init__(self, words: list[bytes], before: list[bytes] | None = None, parts: bool = False):
-        pad = max(ORDERS)
-        skip = np.zeros(len(words), np.int64)
-        if parts:
-            skip = np.array([0 if w.startswith(b" ") else min(HEAD, len(w) + 1) for w in words], np.int64)
-            before = [w[1:1 + HEAD] + b" " if w.startswith(b" ") else b" " * pad for w in words]
-            words = [w[1 + HEAD:] if w.startswith(b" ") else w + b" " for w in words]
-            words = [w[:w.index(b" ") + 1] if b" " in w else w for w in words]
-        else:
-            before = before or [b" " * pad] * len(words)
-            words = [w + b" " for w in words]
-        raw = np.frombuffer(b"".join([x for pair in zip(before, words, strict=True) for x in pair]), np.uint8).astype(np.uint64)
-        length = np.array([len(w) for w in words], np.int64)
-        first = np.cumsum(length + pad) - length  # place of each unit's first byte
-        size = length - skip
-        self.word = np.repeat(np.arange(len(words)), size)
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + skip[self.word]
-        at = first[self.word] + within
+    """The bits that spell some texts: which text, the bit, the node (the bits of the byte so far, after
+    a leading one), and the hash of each context. ``before``: the four bytes before each; the first
+    ``skip`` bytes of each are not spelt."""
+
+    def __init__(self, before: np.ndarray, data: np.ndarray, sizes: np.ndarray, skip: np.ndarray):
+        total = sizes + PAD
+        raw = np.empty(int(total.sum()), np.uint8)
+        body = _firsts(total) + PAD
+        raw[_places(body - PAD, np.full(len(sizes), PAD))] = before.ravel()
+        raw[_places(body, sizes)] = data
+        n = sizes - skip
+        self.word = np.repeat(np.arange(len(sizes)), n)
+        at = _places(body + skip, n)
+        wide = raw.astype(np.uint64)
+        within = at - body[self.word]
         contexts, h = [], np.zeros(len(at), np.uint64)
-        for k in range(1, pad + 1):
-            h = h << np.uint64(8) | raw[at - k]
+        for k in range(1, PAD + 1):
+            h = h << np.uint64(8) | wide[at - k]
             if k in ORDERS:
                 contexts.append(h + np.uint64(k << 40))
         # the word so far: prefix sums of position-keyed bytes, differences of which are exact
-        keyed = (raw + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        keyed = (wide + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         keyed = (keyed ^ (keyed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max()) if len(length) else 0, 0xD6E8FEB86659FD93, np.uint64)]))
-        place = np.maximum(np.arange(len(raw)) - np.repeat(first, length + pad), 0)
+        power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
+        place = np.maximum(np.arange(len(raw)) - np.repeat(body, total), 0)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(keyed * power[place])])
-        contexts.append((sums[at] - sums[first[self.word]]) ^ within.astype(np.uint64) << np.uint64(56))
-        byte = raw[at].astype(np.int64)
-        shift = np.arange(7, -1, -1)
+        contexts.append((sums[at] - sums[body[self.word]]) ^ within.astype(np.uint64) << np.uint64(56))
+        self.hashes = []
+        for c in contexts:
+            c = c * np.uint64(0x94D049BB133111EB)
+            self.hashes.append(((c ^ (c >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+        byte = raw[at].astype(np.int32)
+        shift = np.arange(7, -1, -1, dtype=np.int32)
         self.bit = (byte[:, None] >> shift & 1).astype(np.int8)
         self.node = (byte[:, None] | 256) >> (shift + 1)
-        self.slots = np.empty((len(at), 8, CONTEXTS), np.int32)
-        for k, c in enumerate(contexts):
-            base = c * np.uint64(0x94D049BB133111EB)
-            base ^= base >> np.uint64(31)
-            h = (base[:, None] + self.node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-            self.slots[:, :, k] = (h >> np.uint64(64 - 17)).astype(np.int32) + k * SLOTS
+
+    @classmethod
+    def of_units(cls, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, Events]]:
+        """(which units, their events), for heads and for what words have beyond their heads."""
+        first = _firsts(sizes)
+        is_head = data[first] == BLANK if len(sizes) else np.zeros(0, bool)
+        heads = np.flatnonzero(is_head)
+        if len(heads):
+            key = data[first[heads][:, None] + np.arange(1, 1 + 2 * HEAD)]
+            own = key[:, HEAD:]
+            spelt = np.where((own == BLANK).any(1), (own == BLANK).argmax(1) + 1, HEAD)
+            before = np.concatenate([key[:, :HEAD], np.full((len(heads), 1), BLANK, np.uint8)], axis=1)
+            yield heads, cls(before, own[np.arange(HEAD) < spelt[:, None]], spelt, np.zeros(len(heads), np.int64))
+        whole = np.flatnonzero(~is_head)
+        if len(whole):
+            size = sizes[whole].astype(np.int64)
+            body = np.full(int(size.sum()) + len(size), BLANK, np.uint8)
+            body[_places(_firsts(size + 1), size)] = data[_places(first[whole], size)]
+            yield whole, cls(np.full((len(whole), PAD), BLANK, np.uint8), body, size + 1, np.minimum(HEAD, size + 1))
+
+    @classmethod
+    def of_words(cls, words: list[bytes]) -> Events:
+        """The events of words in the order of a text, each with the blank after it."""
+        before, last = [], b" " * PAD
+        for w in words:
+            before.append(last)
+            last = (last + w + b" ")[-PAD:]
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        return cls(np.frombuffer(b"".join(before), np.uint8), np.frombuffer(b"".join(w + b" " for w in words), np.uint8), sizes, np.zeros(len(words), np.int64))
 
 
-def _chunks(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first, words) in chunks of about ``CHUNK`` bytes."""
-    first, held = 0, 0
-    for i, w in enumerate(words):
-        held += len(w) + 1
-        if held >= CHUNK or i == len(words) - 1:
-            yield first, words[first:i + 1]
-            first, held = i + 1, 0
+def _chunks(data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Slices of units of about ``CHUNK`` bytes, with their bytes."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first, at = 0, 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, at + CHUNK)))
+        stop = int(ends[last - 1])
+        yield slice(first, last), data[at:stop]
+        first, at = last, stop
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+class Slots:
+    """How many slots each context has, and where an event's are. The table of all contexts is one array."""
+
+    def __init__(self, bits: tuple[int, ...]):
+        self.bits = bits
+        size = [1 << b for b in bits]
+        self.first, self.size = [sum(size[:k]) for k in range(len(size))], sum(size)
+
+    def of(self, e: Events) -> np.ndarray:
+        """Contexts by events."""
+        out = np.empty((CONTEXTS, e.node.size), np.int64)
+        turn = e.node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        for k, (h, b) in enumerate(zip(e.hashes, self.bits, strict=True)):
+            out[k] = ((h[:, None] + turn) * np.uint32(0x85EBCA6B) >> np.uint32(32 - b)).ravel()
+            out[k] += self.first[k]
+        return out
+
+
 class Mixer:
-    """Predictors' counts, gate weights and the map. Gate one is the node, gate two the number of
-    contexts that have been seen with the bit's place in the byte."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.zeros, self.ones = zeros, ones
-        self.logit = np.log((ones + PRIOR) / (zeros + PRIOR)).astype(np.float32)
-        self.seen = (zeros + ones) > 0
-        self.by_node = np.full((256, CONTEXTS), 1 / CONTEXTS, np.float32)
-        self.by_depth = np.full((8 * (CONTEXTS + 1), CONTEXTS), 1 / CONTEXTS, np.float32)
-        middle = np.linspace(-8, 8, CELLS)
-        self.map = np.repeat(squash(middle)[None, :], 256, axis=0).astype(np.float32)
-
-    def inputs(self, e: Events, without_own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Logits, gates and bits of all events, one row each. ``without_own``: as if one occurrence
-        of the word itself had not been counted."""
-        slots, bit, node = e.slots.reshape(-1, CONTEXTS), e.bit.reshape(-1), e.node.reshape(-1)
-        if without_own:
-            one = np.maximum(self.ones[slots] - bit[:, None], 0)
-            zero = np.maximum(self.zeros[slots] - (1 - bit[:, None]), 0)
-            x, seen = np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32), (one + zero) > 0
-        else:
-            x, seen = self.logit[slots], self.seen[slots]
-        place = np.tile(np.arange(8), len(e.word))
-        return x, node, seen.sum(1) * 8 + place, bit
+    """The predictors' logits, gate weights and the map. Gate one is the node, gate two the number of
+    contexts that say something with the bit's place in the byte."""
+
+    def __init__(self, slots: Slots, logit: np.ndarray | None):
+        self.slots, self.logit = slots, logit
+        self.by_node = np.full((256, CONTEXTS), 1 / CONTEXTS)
+        self.by_depth = np.full((8 * (CONTEXTS + 1), CONTEXTS), 1 / CONTEXTS)
+        self.map = np.repeat(squash(np.linspace(-8, 8, CELLS))[None, :], 256, axis=0)
+
+    def gates(self, x: np.ndarray, e: Events) -> tuple[np.ndarray, np.ndarray]:
+        return e.node.ravel(), (x != 0).sum(0) * 8 + np.tile(np.arange(8), len(e.word))
 
     def mixed(self, x: np.ndarray, node: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.by_node[node] + self.by_depth[depth])
-
-    def learn(self, words: list[bytes]) -> None:
-        """Online updates of both gates' weights, a few events at a time, in the order given."""
-        for _, some in _chunks(words):
-            x, node, depth, bit = self.inputs(Events(some, parts=True), without_own=True)
-            for a in range(0, len(bit), STEP):
-                s = slice(a, a + STEP)
-                err = RATE * (bit[s] - squash(self.mixed(x[s], node[s], depth[s]))).astype(np.float32)
-                for table, gate in ((self.by_node, node[s]), (self.by_depth, depth[s])):
-                    n = np.bincount(gate, minlength=len(table)).astype(np.float32)
-                    total = np.stack([np.bincount(gate, weights=err * x[s, k], minlength=len(table)) for k in range(CONTEXTS)], axis=1)
-                    table += (total / np.sqrt(np.maximum(n, 1))[:, None]).astype(np.float32)
+        return sum(x[k] * (self.by_node[node, k] + self.by_depth[depth, k]) for k in range(CONTEXTS))
 
     @staticmethod
     def cells(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,239 +357,252 @@ class Mixer:
         low = np.minimum(place.astype(np.int64), CELLS - 2)
         return low, place - low
 
-    def map_counts(self, words: list[bytes]) -> np.ndarray:
-        """What the map is refined by: for each node and cell, events and ones."""
-        out = np.zeros((2, 256 * CELLS))
-        for _, some in _chunks(words):
-            x, node, depth, bit = self.inputs(Events(some, parts=True), without_own=True)
-            low, over = self.cells(self.mixed(x, node, depth))
-            at = node * CELLS + low + (over > 0.5)
-            out[0] += np.bincount(at, minlength=out.shape[1])
-            out[1] += np.bincount(at, weights=bit, minlength=out.shape[1])
-        return out
-
-    def refine(self, counts: np.ndarray) -> None:
-        prior = np.repeat(squash(np.linspace(-8, 8, CELLS))[None, :], 256, axis=0)
-        n, ones = counts.reshape(2, 256, CELLS)
-        self.map = ((ones + CELL_PRIOR * prior) / (n + CELL_PRIOR)).astype(np.float32)
-
     def ones_probability(self, e: Events) -> np.ndarray:
         """Probability of a one, for each event."""
-        x, node, depth, _ = self.inputs(e)
+        x = self.logit[self.slots.of(e)]
+        node, depth = self.gates(x, e)
         logit = self.mixed(x, node, depth)
         low, over = self.cells(logit)
         refined = self.map[node, low] * (1 - over) + self.map[node, low + 1] * over
         return np.clip((squash(logit) + refined) / 2, 1e-6, 1 - 1e-6)
 
+    def _logs(self, e: Events, n: int) -> np.ndarray:
+        p = self.ones_probability(e)
+        bits = np.log10(np.where(e.bit.ravel() == 1, p, 1 - p)).reshape(-1, 8).sum(1)
+        return np.bincount(e.word, weights=bits, minlength=n)
+
     def score(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word of a text, spelt after the words before it and with the
         blank after it."""
-        pad = max(ORDERS)
-        before, last = [], b" " * pad
-        for w in words:
-            before.append(last)
-            last = (last + w + b" ")[-pad:]
-        return self._logs(words, lambda first, some: Events(some, before[first:first + len(some)]))
+        return self._logs(Events.of_words(words), len(words))
 
-    def score_parts(self, units: list[bytes]) -> np.ndarray:
+    def score_units(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each head, and of what each word has beyond its head."""
-        return self._logs(units, lambda _, some: Events(some, parts=True))
-
-    def _logs(self, words: list[bytes], events: Callable[[int, list[bytes]], Events]) -> np.ndarray:
-        out = np.zeros(len(words))
-        for first, some in _chunks(words):
-            e = events(first, some)
-            p = self.ones_probability(e)
-            bits = np.log10(np.where(e.bit.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(1)
-            out[first:first + len(some)] = np.bincount(e.word, weights=bits, minlength=len(some))
+        out = np.zeros(len(sizes))
+        for s, part in _chunks(data, sizes):
+            for which, e in Events.of_units(part, sizes[s]):
+                out[s.start + which] = self._logs(e, len(which))
         return out
 
 
-_RANGES = "r int, lane int, n binary"
-
-
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bit counts of a task's training words, in 16 ranges of slots, each for one of ``LANES``
-    first sums."""
-    n, lane = CONTEXTS * SLOTS, TaskContext.get().partitionId() % LANES
-    zeros, ones, any_ = np.zeros(n), np.zeros(n), False
-    for batch in batches:
-        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(counts, np.int64)
-            keep = np.flatnonzero(counts)
-            every = words.split(b"\n")
-            own = [every[i] for i in keep]
-            any_ = any_ or bool(own)
-            for first, some in _chunks(own):
-                e = Events(some, parts=True)
-                weight = np.repeat(counts[keep][first:first + len(some)][e.word], 8 * CONTEXTS)
-                slots = e.slots.reshape(-1)
-                bit = np.repeat(e.bit.reshape(-1), CONTEXTS).astype(bool)
-                ones += np.bincount(slots[bit], weights=weight[bit], minlength=n)
-                zeros += np.bincount(slots[~bit], weights=weight[~bit], minlength=n)
-    if any_:
-        width = n // 16
-        for r in range(16):
-            s = slice(r * width, (r + 1) * width)
-            yield _range(r, lane, np.stack([zeros[s], ones[s]]))
-
-
-def _range(r: int, lane: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"r": pa.array([r], pa.int32()), "lane": pa.array([lane], pa.int32()), "n": pa.array([zlib.compress(counts.astype(np.float64).tobytes(), 1)], pa.binary())})
+class Learner:
+    """Online learning of a mixer's weights and map, from units with their counts."""
+
+    def __init__(self, slots: Slots, zeros: np.ndarray, ones: np.ndarray):
+        self.mixer, self.zeros, self.ones = Mixer(slots, None), zeros, ones
+        self.squares = [np.zeros_like(self.mixer.by_node), np.zeros_like(self.mixer.by_depth)]
+        self.events = np.zeros((2, 256 * CELLS))
+        self.tokens = 0
+
+    def inputs(self, e: Events) -> np.ndarray:
+        """Logits as if one occurrence of each unit had not been counted."""
+        slots, bit = self.mixer.slots.of(e), e.bit.ravel()
+        one = np.maximum(self.ones[slots] - bit, 0) + np.float32(PRIOR)
+        zero = np.maximum(self.zeros[slots] - (1 - bit), 0) + np.float32(PRIOR)
+        return np.log(one / zero)
+
+    def learn(self, data: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+        self.tokens += int(counts.sum())
+        for s, part in _chunks(data, sizes):
+            for which, e in Events.of_units(part, sizes[s]):
+                if not len(e.word):  # words that their heads spell wholly
+                    continue
+                x, bit = self.inputs(e), e.bit.ravel()
+                node, depth = self.mixer.gates(x, e)
+                weight = np.repeat(counts[s][which][e.word].astype(np.float64), 8)
+                logit = np.concatenate([self._step(x[:, a:a + STEP], node[a:a + STEP], depth[a:a + STEP], bit[a:a + STEP], weight[a:a + STEP]) for a in range(0, len(bit), STEP)])
+                low, over = Mixer.cells(logit)
+                at = node * CELLS + low + (over > 0.5)
+                self.events[0] += np.bincount(at, weights=weight, minlength=self.events.shape[1])
+                self.events[1] += np.bincount(at, weights=weight * bit, minlength=self.events.shape[1])
+
+    def _step(self, x: np.ndarray, node: np.ndarray, depth: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """One update of both gates' weights, by the mean error over the tokens of a few events; the
+        logits before it."""
+        logit = self.mixer.mixed(x, node, depth)
+        err = (bit - squash(logit)) * weight
+        for table, square, gate in ((self.mixer.by_node, self.squares[0], node), (self.mixer.by_depth, self.squares[1], depth)):
+            n = np.maximum(np.bincount(gate, weights=weight, minlength=len(table)), 1e-9)
+            slope = np.stack([np.bincount(gate, weights=err * x[k], minlength=len(table)) for k in range(CONTEXTS)], axis=1) / n[:, None]
+            square += slope**2
+            table += RATE * slope / np.sqrt(square + 1e-6)
+        return logit
+
+    def result(self) -> np.ndarray:
+        """Weights times tokens, tokens, and the events of the map: what lanes add up."""
+        m = self.mixer
+        return np.concatenate([m.by_node.ravel() * self.tokens, m.by_depth.ravel() * self.tokens, [self.tokens], self.events.ravel()])
+
+
+def _adopt(mixer: Mixer, total: np.ndarray) -> None:
+    """Set a mixer's weights and map from the sum of all lanes."""
+    a, b = mixer.by_node.size, mixer.by_node.size + mixer.by_depth.size
+    if total[b]:
+        mixer.by_node, mixer.by_depth = (total[:a] / total[b]).reshape(mixer.by_node.shape), (total[a:b] / total[b]).reshape(mixer.by_depth.shape)
+        n, ones = total[b + 1:].reshape(2, 256, CELLS)
+        mixer.map = (ones + CELL_PRIOR * mixer.map) / (n + CELL_PRIOR)
+
+
+#: The table of counts moves in so many ranges.
+RANGES = 16
+
+
+def _units_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, sizes, counts) of the units of a vocabulary row that were trained."""
+    data, sizes, counts = np.frombuffer(row["units"], np.uint8), np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["counts"], np.int64)
+    keep = counts > 0
+    return data[np.repeat(keep, sizes)], sizes[keep], counts[keep]
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch], slots: Slots) -> Iterator[pa.RecordBatch]:
+    """The bit counts of a partition's training tokens, in ranges of slots."""
+    n = None
+    for rows in _runs(batches, "bucket"):
+        data, sizes, counts = _units_of(rows[0])
+        for s, part in _chunks(data, sizes):
+            for which, e in Events.of_units(part, sizes[s]):
+                n = np.zeros(2 * slots.size) if n is None else n
+                weight = np.repeat(counts[s][which][e.word].astype(np.float64), 8)
+                at = slots.of(e) + e.bit.ravel().astype(np.int64) * slots.size
+                for own in at:
+                    np.add.at(n, own, weight)
+    if n is not None:
+        n = n.reshape(2, -1)
+        for r, cut in enumerate(np.array_split(np.arange(slots.size), RANGES)):
+            yield _range(r, n[:, cut[0]:cut[-1] + 1] if len(cut) else n[:, :0])
+
+
+def _range(r: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"r": pa.array([r], pa.int32()), "n": pa.array([zlib.compress(counts.astype(np.int64).tobytes(), 1)], pa.binary())})
 
 
 def _add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by range and lane, one row of each at a time."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
+    """Sums by range, one row at a time; rows come sorted by range."""
+    last, total = None, None
     for batch in batches:
-        for r, lane, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            sums[r, lane] = sums.get((r, lane), 0) + np.frombuffer(zlib.decompress(n.as_py()), np.float64)
-    for (r, lane), n in sums.items():
-        yield _range(r, lane, n)
-
-
-def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Tokens drawn from each row's words by their counts, always the same ones."""
-    for batch in batches:
-        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums = np.cumsum(np.frombuffer(counts, np.int64))
-            if sums[-1]:
-                every = words.split(b"\n")
-                at = np.searchsorted(sums, np.random.default_rng(7).integers(0, sums[-1], MIX_TOKENS), "right")
-                yield [every[i] for i in at]
+        for r, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(zlib.decompress(n.as_py()), np.int64)
+            if r != last and last is not None:
+                yield _range(last, total)
+            total = own if r != last else total + own
+            last = r
+    if last is not None:
+        yield _range(last, total)
 
 
 def train(vocabulary: DataFrame) -> Mixer:
-    """The model: bit counts over all training tokens, then weights and map from drawn ones. Arrays
-    of a fixed size come back from each step; partial ones are added up in tasks."""
+    """The model: bit counts, then weights and map, all from all training tokens. Only arrays whose size
+    ``SLOT_BITS`` and ``LANES`` bound come to the driver and go out again."""
     context = vocabulary.sparkSession.sparkContext
-    pairs = vocabulary.select("words", "counts")
-    shape = "r int, n binary"
-    parts = pairs.mapInArrow(_count_slots, _RANGES).repartition("r", "lane").mapInArrow(_add_ranges, _RANGES)
-    ranges = parts.withColumn("lane", F.lit(0)).repartition(16, "r").mapInArrow(_add_ranges, _RANGES).collect()
-    width = CONTEXTS * SLOTS // 16
-    zeros, ones = np.zeros(CONTEXTS * SLOTS, np.float32), np.zeros(CONTEXTS * SLOTS, np.float32)
-    for row in ranges:
-        s = slice(row["r"] * width, (row["r"] + 1) * width)
-        zeros[s], ones[s] = np.frombuffer(zlib.decompress(row["n"]), np.float64).reshape(2, -1)
-    mixer = Mixer(zeros, ones)
+    size = int(vocabulary.agg(F.sum("n_bytes")).first()[0] or 0)
+    slots = Slots(tuple(min(most, max(12, (8 * size).bit_length())) for most in SLOT_BITS))  # a slot for every bit of a unit
+    lanes = min(LANES, max(1, size // LANE_BYTES))
+    dealt = vocabulary.select(F.pmod("bucket", F.lit(lanes)).alias("lane"), "bucket", "units", "sizes", "counts").repartition(lanes, "lane").sortWithinPartitions("lane", "bucket")
+    counted = dealt.mapInArrow(lambda batches: _count_slots(batches, slots), "r int, n binary")
+    ranges = counted.repartition(RANGES, "r").sortWithinPartitions("r").mapInArrow(_add_ranges, "r int, n binary").collect()
+    mixer = Mixer(slots, np.zeros(slots.size, np.float32))
     if not ranges:
         return mixer
-    shared = context.broadcast(mixer)
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in _drawn(batches):
-            own = Mixer(shared.value.zeros, shared.value.ones)
-            own.learn(words)
-            yield _vector(np.concatenate([[1.0], own.by_node.ravel(), own.by_depth.ravel()]))
-
-    total = _summed(pairs.mapInArrow(weights, shape))
-    mean = (total[1:] / total[0]).astype(np.float32)
-    cut = mixer.by_node.size
-    mixer.by_node, mixer.by_depth = mean[:cut].reshape(mixer.by_node.shape), mean[cut:].reshape(mixer.by_depth.shape)
-    tuned = context.broadcast(mixer)
-    mixer.refine(_summed(pairs.mapInArrow(lambda batches: (_vector(tuned.value.map_counts(words).ravel()) for words in _drawn(batches)), shape)))
+    parts = [np.frombuffer(zlib.decompress(row["n"]), np.int64).reshape(2, -1).astype(np.float32) for row in sorted(ranges, key=lambda row: row["r"])]
+    zeros, ones = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    shared = context.broadcast((zeros, ones))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, own = None, None
+        for rows in _runs(batches, "bucket"):
+            if rows[0]["lane"] != lane:
+                if own is not None:
+                    yield _vector(lane, own.result())
+                lane, own = rows[0]["lane"], Learner(slots, *shared.value)
+            own.learn(*_units_of(rows[0]))
+        if own is not None:
+            yield _vector(lane, own.result())
+
+    learned = sorted(dealt.mapInArrow(learn, "lane int, n binary").collect(), key=lambda row: row["lane"])
+    _adopt(mixer, np.sum([np.frombuffer(row["n"], np.float64) for row in learned], axis=0))
     shared.unpersist()
-    tuned.unpersist()
+    mixer.logit = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
     return mixer
 
 
-def _vector(values: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"r": pa.array([0], pa.int32()), "n": pa.array([zlib.compress(values.astype(np.float32).tobytes(), 1)], pa.binary())})
-
-
-def _summed(parts: DataFrame) -> np.ndarray:
-    """The sum of vectors of a fixed size: first in up to 32 tasks, then in one, streaming."""
-    shape = "r int, n binary"
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for n in batch.column(1):
-                v = np.frombuffer(zlib.decompress(n.as_py()), np.float32).astype(np.float64)
-                total = v if total is None else total + v
-        if total is not None:
-            yield _vector(total)
-
-    rows = parts.coalesce(32).mapInArrow(add, shape).collect()
-    return np.sum([np.frombuffer(zlib.decompress(r["n"]), np.float32).astype(np.float64) for r in rows], axis=0)
+def _vector(lane: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"lane": pa.array([lane], pa.int32()), "n": pa.array([values.tobytes()], pa.binary())})
 
 
 # ---- scores
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+_ANSWER = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("logs", pa.binary())])
+
+
+def _tables(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks of the documents, and the vocabulary of all blocks."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = max(BUCKETS, 1 << (base.count() // BUCKET_DOCS).bit_length())
+    blocks = materialize(base.mapInArrow(lambda batches: _blocks(batches, buckets), _BLOCKS), "lm-blocks")
+    units = blocks.where("bucket >= 0").select("block", "bucket", "units", "sizes", "numbers", "trained")
+    return blocks, materialize(units.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_vocabulary, _VOCAB), "lm-vocabulary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: token counts, the unigram base score, the model's log10 probability,
     and its bits per byte of the text."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialize(base.mapInArrow(_blocks, _BLOCKS), "lm-blocks")
-    words = blocks.where("bucket >= 0").select("block", "words", "numbers", "trained", "bucket")
-    vocabulary = materialize(words.repartition("bucket").drop("bucket").mapInArrow(_vocabulary, _VOCAB), "lm-vocabulary")
+    blocks, vocabulary = _tables(docs, id_col, text_col)
     size = vocabulary.agg(F.sum("n_tokens"), F.sum("n_types")).first()
     n_tokens, n_types = int(size[0] or 0), int(size[1] or 0)
     mixer = docs.sparkSession.sparkContext.broadcast(train(vocabulary))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, counts, held, sizes, numbers, places = (batch.column(c)[i].as_py() for c in range(6))
-                words = words.split(b"\n")
-                whole = np.flatnonzero([not w.startswith(b" ") for w in words])
-                p = np.zeros(len(words), np.float32)
-                p[whole] = mixer.value.score_parts([words[k] for k in whole])
-                counts, places, numbers = np.frombuffer(counts, np.int64), np.frombuffer(places, np.int32), np.frombuffer(numbers, np.int32)
-                at = 0
-                for block, n in zip(held, sizes, strict=True):
-                    s = slice(at, at + n)
-                    at += n
-                    yield pa.record_batch({"block": pa.array([block], pa.int64()), "numbers": pa.array([numbers[s].tobytes()], pa.binary()), "counts": pa.array([counts[places[s]].tobytes()], pa.binary()), "logs": pa.array([p[places[s]].tobytes()], pa.binary())})
+        for rows in _runs(batches, "bucket"):
+            row = rows[0]
+            logs = mixer.value.score_units(np.frombuffer(row["units"], np.uint8), np.frombuffer(row["sizes"], np.int32)).astype(np.float32)
+            counts, places, numbers = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["places"], np.int32), row["numbers"]
+            ends = np.concatenate([[0], np.cumsum(row["lengths"])])
+            yield pa.RecordBatch.from_pylist([
+                {"block": block, "numbers": numbers[4 * a:4 * b], "counts": counts[places[a:b]].tobytes(), "logs": logs[places[a:b]].tobytes()}
+                for block, a, b in zip(row["blocks"], ends[:-1].tolist(), ends[1:].tolist(), strict=True)], _ANSWER)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["block"], []).append(row)
-        for block in list(held):
-            yield _scored(held.pop(block), n_tokens, n_types, mixer.value)
-
-    answers = vocabulary.select("words", "counts", "blocks", "sizes", "numbers", "places").mapInArrow(answer, "block long, numbers binary, counts binary, logs binary")
+        for rows in _runs(batches, "block"):
+            yield _scored(rows, n_tokens, n_types)
+
+    answers = vocabulary.select("bucket", "units", "sizes", "counts", "blocks", "lengths", "numbers", "places").mapInArrow(answer, "block long, numbers binary, counts binary, logs binary")
     texts = blocks.where("bucket < 0").select("block", "docs", "held", "n_words", "n_bytes", "tokens", "edges")
-    return texts.unionByName(answers, allowMissingColumns=True).repartition("block").mapInArrow(merge, RESULT)
+    both = texts.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
+    found = materialize(both.mapInArrow(merge, RESULT), "lm-scores")
+    for table in (blocks, vocabulary):
+        discard(table)
+    mixer.unpersist()
+    return found
 
 
-def _scored(rows: list[dict], n_tokens: int, n_types: int, mixer: Mixer) -> pa.RecordBatch:
-    """The documents of one block, from their numbers of words and the answers for these."""
+def _scored(rows: list[dict], n_tokens: int, n_types: int) -> pa.RecordBatch:
+    """The documents of one block, from their numbers of words and the answers for its units."""
     text = next(r for r in rows if r["docs"] is not None)
     answers = [r for r in rows if r["docs"] is None]
-    numbers = np.concatenate([np.frombuffer(r["numbers"], np.int32) for r in answers])
+    numbers = np.frombuffer(b"".join(r["numbers"] for r in answers), np.int32)
     counts, logs = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
-    counts[numbers] = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in answers])
-    logs[numbers] = np.concatenate([np.frombuffer(r["logs"], np.float32) for r in answers])
-    base = np.log10((counts + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-    tokens = np.frombuffer(zlib.decompress(text["tokens"]), np.int32)
-    ends = np.cumsum(text["n_words"])
-    total = lambda values, end: np.diff(np.concatenate([[0], np.cumsum(values[tokens])])[np.concatenate([[0], ends])]) + end
-    # differences of long running sums would lose digits: add up document by document
-    exact = lambda values, end: np.array([values[tokens[b - n:b]].sum() for b, n in zip(ends, text["n_words"], strict=True)]) + end
-    kinds, heads = np.unique(_heads(tokens, text["n_words"], np.frombuffer(zlib.decompress(text["edges"]), np.int64)), return_inverse=True)
-    spelt = mixer.score_parts([_head_key(h) for h in kinds.tolist()])
-    upto = np.cumsum(np.array(text["n_words"], np.int64) + 1)
-    score = exact(logs, logs[0]) + np.array([spelt[heads[b - n - 1:b]].sum() for b, n in zip(upto, text["n_words"], strict=True)])
+    counts[numbers] = np.frombuffer(b"".join(r["counts"] for r in answers), np.int64)
+    logs[numbers] = np.frombuffer(b"".join(r["logs"] for r in answers), np.float32)
+    tokens, edges = np.frombuffer(zlib.decompress(text["tokens"]), np.int32), np.frombuffer(zlib.decompress(text["edges"]), np.int64)
+    n_words = np.array(text["n_words"], np.int64)
+    ends, n_docs = np.cumsum(n_words), len(n_words)
+    # added up document by document: differences of long running sums would lose digits
+    each = lambda values: np.array([values[b - n:b].sum() for b, n in zip(ends, n_words, strict=True)]).reshape(n_docs)
+    base = np.log10((counts[:len(edges)] + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
+    _, head = np.unique(_heads(tokens, n_words, edges), return_inverse=True)
+    spelt, upto = logs[len(edges):][head], np.cumsum(n_words + 1)
+    score = each(logs[tokens]) + logs[0] + np.array([spelt[b - n - 1:b].sum() for b, n in zip(upto, n_words, strict=True)]).reshape(n_docs)
     n_bytes = np.maximum(np.array(text["n_bytes"], np.float64), 1)
     return pa.record_batch({
-        "doc_id": pa.array(text["docs"], pa.int64()), "held_out": pa.array(text["held"], pa.bool_()), "n_tokens": pa.array(np.array(text["n_words"], np.int64) + 1),
-        "n_known": pa.array(total((counts > 0).astype(np.int64), int(counts[0] > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(len(ends), n_tokens, np.int64)),
-        "base_score": pa.array(exact(base, base[0]).astype(np.float64)), "score": pa.array(score.astype(np.float64)), "bits_per_byte": pa.array(-score * np.log2(10) / n_bytes)})
+        "doc_id": pa.array(text["docs"], pa.int64()), "held_out": pa.array(text["held"], pa.bool_()), "n_tokens": pa.array(n_words + 1),
+        "n_known": pa.array(each((counts > 0)[tokens]).astype(np.int64) + int(counts[0] > 0)), "train_tokens": pa.array(np.full(n_docs, n_tokens, np.int64)),
+        "base_score": pa.array((each(base[tokens]) + base[0]).astype(np.float64)), "score": pa.array(score.astype(np.float64)), "bits_per_byte": pa.array(-score * np.log2(10) / n_bytes)})
 
 
-def train_from(docs: DataFrame, **columns: str) -> Mixer:
+def train_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mixer:
     """Only the model of the training folds of ``docs``, for scoring other texts."""
-    base = docs.select(F.col(columns.get("id_col", "doc_id")).cast("long").alias("doc_id"), F.col(columns.get("text_col", "text")).alias("text"))
-    blocks = materialize(base.mapInArrow(_blocks, _BLOCKS), "lm-blocks")
-    words = blocks.where("bucket >= 0").select("block", "words", "numbers", "trained", "bucket")
-    vocabulary = materialize(words.repartition("bucket").drop("bucket").mapInArrow(_vocabulary, _VOCAB), "lm-vocabulary")
+    blocks, vocabulary = _tables(docs, id_col, text_col)
     mixer = train(vocabulary)
     for table in (blocks, vocabulary):
         discard(table)

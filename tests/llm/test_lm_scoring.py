@@ -41,14 +41,63 @@ def test_base_score_matches_plain_counts(docs, rows, monkeypatch, block):  # noq
 def test_next_byte_probabilities_add_up(docs):  # noqa: F811
     model = lm.train_from(docs)
     for prefix in (b"", b"th", b"ea", b"qqq"):
-        e = lm.Events([prefix + bytes([b]) for b in range(256) if b != 32])
-        p = model.ones_probability(e).reshape(-1, 8)
-        bits = np.where(e.bit == 1, p, 1 - p).prod(1)
-        at = np.cumsum([len(prefix) + 2] * 255) - 2
-        blank = lm.Events([prefix])
-        q = model.ones_probability(blank).reshape(-1, 8)
-        end = np.where(blank.bit == 1, q, 1 - q).prod(1)[-1]
-        assert bits[at].sum() + end == pytest.approx(1, abs=1e-4)
+        def log_of(text, at):  # of one byte of a word, after the bytes before it
+            e = lm.Events.of_words([text])
+            p = model.ones_probability(e).reshape(-1, 8)
+            return np.where(e.bit == 1, p, 1 - p).prod(1)[at]
+        total = sum(log_of(prefix + bytes([b]), len(prefix)) for b in range(256) if b != 32) + log_of(prefix, len(prefix))
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_units_match_plain_contexts(docs, rows):  # noqa: F811
+    """Counts and logits of the units, against a dictionary of (context, node) filled token by token."""
+    model = lm.train_from(docs)
+    n = {}
+    for i, text in rows:
+        if held(i):
+            continue
+        words, line = (text or "").encode().lower().split() + [lm.END], b"    "
+        for w in words:
+            for k, byte in enumerate(w + b" "):
+                node = 1
+                for shift in range(7, -1, -1):
+                    bit = byte >> shift & 1
+                    for c in (*(line[-o:] for o in lm.ORDERS), ("word", w[:k])):
+                        n.setdefault((len(c) if isinstance(c, bytes) else 0, c, node), [0, 0])[bit] += 1
+                    node = node << 1 | bit
+                line = line[-3:] + bytes([byte])
+    e = lm.Events.of_words(b"the house of xqz".split())
+    x = model.logit[model.slots.of(e)].reshape(lm.CONTEXTS, -1, 8)
+    line, at, same, all_ = b"    ", 0, 0, 0
+    for w in b"the house of xqz".split():
+        for k, byte in enumerate(w + b" "):
+            for j, c in enumerate((*(line[-o:] for o in lm.ORDERS), ("word", w[:k]))):
+                for s in range(8):
+                    zero, one = n.get((len(c) if j < 4 else 0, c, (256 | byte) >> (8 - s)), (0, 0))
+                    same += abs(x[j, at, s] - math.log((one + lm.PRIOR) / (zero + lm.PRIOR))) < 1e-3
+                    all_ += 1
+            line, at = line[-3:] + bytes([byte]), at + 1
+    assert same > 0.93 * all_  # slots are shared now and then
+
+
+@pytest.mark.parametrize("lane_bytes", [1 << 22, 1 << 14])
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch, lane_bytes):  # noqa: F811
+    monkeypatch.setattr(lm, "LANE_BYTES", lane_bytes)
+    out = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append({r.doc_id: (r.base_score, r.score) for r in lm.score(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out[0] == out[1]
+
+
+def test_model_beats_the_base_on_held_out_text(docs):  # noqa: F811
+    got = [r for r in lm.score(docs).collect() if r.held_out]
+    assert sum(r.score for r in got) > 1.25 * sum(r.base_score for r in got)  # which gives unseen words no proper share
 
 
 def test_score_is_the_sum_over_the_words(docs, rows):  # noqa: F811
