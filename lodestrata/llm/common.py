@@ -35,6 +35,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def materialize_split(df: DataFrame, tag: str, first: Column) -> tuple[DataFrame, DataFrame]:
+    """As ``materialize``, in one pass but as two tables, either of which can be discarded: the rows of
+    which ``first`` is true, and the others."""
+    path = f"{shared_dir(df.sparkSession)}/lodestrata/{tag}-{uuid.uuid4().hex}"
+    df.withColumn("__first", F.when(first, 1).otherwise(0)).write.partitionBy("__first").parquet(path)
+    out = []
+    for side in (1, 0):
+        own = f"{path}/__first={side}"
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(own)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)  # there may be no such row
+        back = df.sparkSession.read.schema(df.schema).parquet(own)
+        back._scratch_path = own
+        out.append(back)
+    return out[0], out[1]
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a ``materialize`` result that nothing will read again."""
     path = getattr(df, "_scratch_path", None)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_groups
+from .common import discard, materialize, materialize_split, text_groups
 
 FOLDS, HELD_OUT = 5, 1
 END = b"\xff"  # no byte of UTF-8
@@ -112,15 +112,15 @@ def _edges(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _heads(tokens: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each token and the end mark of each document: the three bytes before its blank and its
-    first three, in one number."""
-    at = np.zeros(len(tokens) + len(sizes), np.int64)
+def _heads(tokens: np.ndarray, mark: int, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each token and the end mark (the word of number ``mark``) of each document: the three bytes
+    before its blank and its first three, in one number."""
+    at = np.full(len(tokens) + len(sizes), mark, np.int64)
     end = np.cumsum(sizes + 1) - 1
     text = np.ones(len(at), bool)
     text[end] = False
     at[text] = tokens
-    own = edges[at]  # the end mark is word 0
+    own = edges[at]
     last = own >> 24
     before = np.concatenate([[START], last[:-1]])[:len(at)]
     again = np.concatenate([[START, START], last[:-2]])[:len(at)]
@@ -132,30 +132,53 @@ def _heads(tokens: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarr
     return before << 24 | own & 0xFFFFFF
 
 
-def _head_units(heads: np.ndarray) -> np.ndarray:
-    """Heads as units: each begins with a blank, as no word does."""
-    out = np.full((len(heads), 1 + 2 * HEAD), BLANK, np.uint8)
-    out[:, 1:] = heads.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
 
 
 def _hashed(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte strings, none of them empty."""
     power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
     within = _places(np.zeros(len(sizes), np.int64), sizes)
-    sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[within], _firsts(sizes))
-    sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return sums ^ (sums >> np.uint64(29))
+    return _mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[within], _firsts(sizes)))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers under 2**32, byte by byte and deflated."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of units by bucket, and the bucket of each in this order."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+def _head_hashes(heads: np.ndarray) -> np.ndarray:
+    return _mixed(heads.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BLOCKS = "block long, bucket int, docs array<long>, held array<boolean>, n_words array<long>, n_bytes array<long>, tokens binary, edges binary, units binary, sizes binary, numbers binary, trained binary"
-_SHAPE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
-                    *((c, pa.binary()) for c in ("tokens", "edges", "units", "sizes", "numbers", "trained"))])
+_TEXTS = "docs array<long>, held array<boolean>, n_words array<long>, n_bytes array<long>, tokens binary, edges binary"
+_UNITS = "words binary, sizes binary, trained binary, heads binary, first_word long, n_units array<int>, first_head long"
+_BLOCKS = f"block long, bucket int, {_TEXTS}, {_UNITS}"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def _shape(columns: str) -> pa.Schema:
+    kinds = (x.split() for x in columns.split(", "))
+    return pa.schema([(n, pa.list_(_ARROW[t[6:-1]]) if t.startswith("array") else _ARROW[t]) for n, t in kinds])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per block one row with its documents as numbers of words, and a row for each bucket with the
-    block's units there: their numbers (the end mark, the words, the heads) and training counts."""
+    """Per block one row (bucket -1) with its documents as numbers of words, and a row for each bucket
+    with the block's units there and their training counts. Words and heads are numbered in the order of
+    buckets, so that a bucket's have numbers that follow each other."""
     part, n = TaskContext.get().partitionId(), 0
     for group, texts in text_groups(batches, 1, BLOCK_BYTES):
         ids = group.column(0).to_pylist()
@@ -164,41 +187,36 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         blank = raw == BLANK
         edge = np.flatnonzero(np.diff(blank, prepend=True))
         first, end = edge[::2], edge[1::2]
-        words = _strings(raw[~blank], end - first).dictionary_encode()
-        tokens = words.indices.to_numpy().astype(np.int32) + 1
+        found = _strings(raw[~blank], end - first).dictionary_encode()
         n_words = np.diff(np.searchsorted(first, np.concatenate([_firsts(size + 1), [len(raw)]])))
-        data, sizes = _parts(words.dictionary)
+        data, sizes = _parts(found.dictionary)
         data, sizes = np.concatenate([np.frombuffer(END, np.uint8), data]), np.concatenate([[len(END)], sizes])
+        order, word_bucket = _dealt(_hashed(data, sizes), buckets)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        data, sizes = data[_places(_firsts(sizes)[order], sizes[order])], sizes[order]
+        mark, tokens = int(rank[0]), rank[found.indices.to_numpy() + 1]
         edges = _edges(data, sizes)
         held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD_OUT for i in ids], bool)
-        learned = ~held
-        trained = np.bincount(tokens[np.repeat(learned, n_words)], minlength=len(sizes))
-        trained[0] = learned.sum()
-        heads, at = np.unique(_heads(tokens, n_words, edges), return_inverse=True)
-        trained = np.concatenate([trained, np.bincount(at[np.repeat(learned, n_words + 1)], minlength=len(heads))])
-        data = np.concatenate([data, _head_units(heads).ravel()])
-        sizes = np.concatenate([sizes, np.full(len(heads), 1 + 2 * HEAD)])
-        block = part << 24 | n
+        trained = np.bincount(tokens[np.repeat(~held, n_words)], minlength=len(sizes))
+        trained[mark] += (~held).sum()
+        heads, at = np.unique(_heads(tokens, mark, n_words, edges), return_inverse=True)
+        order, head_bucket = _dealt(_head_hashes(heads), buckets)
+        head_trained = np.bincount(at[np.repeat(~held, n_words + 1)], minlength=len(heads))[order]
+        heads, block = heads[order], part << 24 | n
         n += 1
-        yield pa.RecordBatch.from_pylist([{"block": block, "bucket": -1, "docs": ids, "held": held.tolist(), "n_words": n_words.tolist(), "n_bytes": size.tolist(), "tokens": zlib.compress(tokens.tobytes(), 1), "edges": zlib.compress(edges.tobytes(), 1)}], _SHAPE)
-        yield _bucketed(block, data, sizes, trained, buckets)
-
-
-def _bucketed(block: int, data: np.ndarray, sizes: np.ndarray, trained: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket = (_hashed(data, sizes) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-    size = sizes[order].astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum(size)])
-    units, size, numbers, trained = data[_places(_firsts(sizes)[order], size)].tobytes(), size, order.astype(np.int32), trained[order].astype(np.int64)
-    return pa.RecordBatch.from_pylist([
-        {"block": block, "bucket": int(bucket[order[a]]), "units": units[ends[a]:ends[b]], "sizes": size[a:b].tobytes(), "numbers": numbers[a:b].tobytes(), "trained": trained[a:b].tobytes()}
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True)], _SHAPE)
+        yield pa.RecordBatch.from_pylist([{"block": block, "bucket": -1, "docs": ids, "held": held.tolist(), "n_words": n_words.tolist(), "n_bytes": size.tolist(),
+                                           "tokens": _packed(np.concatenate([[mark], tokens])), "edges": zlib.compress(edges.tobytes(), 1)}], _shape(_BLOCKS))
+        rows, ends = [], np.concatenate([[0], np.cumsum(sizes)])
+        for b in np.union1d(word_bucket, head_bucket).tolist():
+            (w, x), (h, y) = (np.searchsorted(own, [b, b + 1]).tolist() for own in (word_bucket, head_bucket))
+            rows.append({
+                "block": block, "bucket": b, "words": data[ends[w]:ends[x]].tobytes(), "sizes": _packed(sizes[w:x]), "trained": _packed(np.concatenate([trained[w:x], head_trained[h:y]])),
+                "heads": heads[h:y].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), "first_word": w, "n_units": [x - w, y - h], "first_head": h})
+        yield pa.RecordBatch.from_pylist(rows, _shape(_BLOCKS))
 
 
-_VOCAB = "bucket int, units binary, sizes binary, counts binary, n_tokens long, n_types long, n_bytes long, blocks array<long>, lengths array<int>, numbers binary, places binary"
-_VOCAB_SHAPE = pa.schema([("bucket", pa.int32()), ("units", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("n_types", pa.int64()), ("n_bytes", pa.int64()),
-                          ("blocks", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("numbers", pa.binary()), ("places", pa.binary())])
+_VOCAB = "bucket int, words binary, sizes binary, counts binary, heads binary, n_tokens long, n_types long, n_bytes long, blocks array<long>, first_words array<long>, n_words array<int>, first_heads array<long>, n_heads array<int>, places binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
@@ -214,22 +232,33 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
         yield held
 
 
+def _head_numbers(heads: bytes) -> np.ndarray:
+    out = np.zeros((len(heads) // (2 * HEAD), 8), np.uint8)
+    out[:, 2:] = np.frombuffer(heads, np.uint8).reshape(-1, 2 * HEAD)
+    return out.view(">u8").ravel().astype(np.int64)
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket: its distinct units, sorted, with their counts over all blocks, and for every
-    block's units the place of each."""
+    """One row per bucket: its distinct words and heads, sorted, with their counts over all blocks, and
+    for every block's units the place of each among these (words, then heads)."""
     for rows in _runs(batches, "bucket"):
-        lengths = [len(r["sizes"]) // 4 for r in rows]
-        found = _strings(b"".join(r["units"] for r in rows), np.frombuffer(b"".join(r["sizes"] for r in rows), np.int32)).dictionary_encode()
-        order = pc.array_sort_indices(found.dictionary)
-        rank = np.empty(len(order), np.int32)
-        rank[order.to_numpy()] = np.arange(len(order))
+        n_words, n_heads = [r["n_units"][0] for r in rows], [r["n_units"][1] for r in rows]
+        found = _strings(b"".join(r["words"] for r in rows), np.concatenate([_unpacked(r["sizes"]) for r in rows])).dictionary_encode()
+        order = pc.array_sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        data, sizes = _parts(found.dictionary.take(pa.array(order)))
+        heads, head_place = np.unique(_head_numbers(b"".join(r["heads"] for r in rows)), return_inverse=True)
+        trained = [_unpacked(r["trained"]) for r in rows]
+        add = lambda place, weights, n: np.bincount(place, weights=weights, minlength=n).astype(np.int64)
         place = rank[found.indices.to_numpy()]
-        counts = np.bincount(place, weights=np.frombuffer(b"".join(r["trained"] for r in rows), np.int64), minlength=len(order)).astype(np.int64)
-        data, sizes = _parts(found.dictionary.take(order))
-        whole = counts[data[_firsts(sizes)] != BLANK]
+        counts = add(place, np.concatenate([t[:n] for t, n in zip(trained, n_words, strict=True)]), len(sizes))
+        head_counts = add(head_place, np.concatenate([t[n:] for t, n in zip(trained, n_words, strict=True)]), len(heads))
         yield pa.RecordBatch.from_pylist([{
-            "bucket": rows[0]["bucket"], "units": data.tobytes(), "sizes": sizes.astype(np.int32).tobytes(), "counts": counts.tobytes(), "n_tokens": int(whole.sum()), "n_types": int((whole > 0).sum()),
-            "n_bytes": len(data), "blocks": [r["block"] for r in rows], "lengths": lengths, "numbers": b"".join(r["numbers"] for r in rows), "places": place.tobytes()}], _VOCAB_SHAPE)
+            "bucket": rows[0]["bucket"], "words": data.tobytes(), "sizes": sizes.astype(np.int32).tobytes(), "counts": np.concatenate([counts, head_counts]).tobytes(), "heads": heads.tobytes(),
+            "n_tokens": int(counts.sum()), "n_types": int((counts > 0).sum()), "n_bytes": len(data) + HEAD * len(heads), "blocks": [r["block"] for r in rows],
+            "first_words": [r["first_word"] for r in rows], "n_words": n_words, "first_heads": [r["first_head"] for r in rows], "n_heads": n_heads,
+            "places": _packed(np.concatenate([place, head_place]))}], _shape(_VOCAB))
 
 
 # ---- the mixing model
@@ -273,23 +302,24 @@ class Events:
         self.node = (byte[:, None] | 256) >> (shift + 1)
 
     @classmethod
-    def of_units(cls, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, Events]]:
-        """(which units, their events), for heads and for what words have beyond their heads."""
-        first = _firsts(sizes)
-        is_head = data[first] == BLANK if len(sizes) else np.zeros(0, bool)
-        heads = np.flatnonzero(is_head)
-        if len(heads):
-            key = data[first[heads][:, None] + np.arange(1, 1 + 2 * HEAD)]
+    def of_units(cls, data: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> Iterator[tuple[slice, Events]]:
+        """(which units, their events) of what words have beyond their heads, and then of heads, in
+        parts of about ``CHUNK`` bytes; units are numbered in this order."""
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first, at = 0, 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, at + CHUNK)))
+            stop, size = int(ends[last - 1]), sizes[first:last].astype(np.int64)
+            body = np.full(stop - at + len(size), BLANK, np.uint8)
+            body[_places(_firsts(size + 1), size)] = data[at:stop]
+            yield slice(first, last), cls(np.full((len(size), PAD), BLANK, np.uint8), body, size + 1, np.minimum(HEAD, size + 1))
+            first, at = last, stop
+        for a in range(0, len(heads), CHUNK // HEAD):
+            key = heads[a:a + CHUNK // HEAD].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - 2 * HEAD:]
             own = key[:, HEAD:]
             spelt = np.where((own == BLANK).any(1), (own == BLANK).argmax(1) + 1, HEAD)
-            before = np.concatenate([key[:, :HEAD], np.full((len(heads), 1), BLANK, np.uint8)], axis=1)
-            yield heads, cls(before, own[np.arange(HEAD) < spelt[:, None]], spelt, np.zeros(len(heads), np.int64))
-        whole = np.flatnonzero(~is_head)
-        if len(whole):
-            size = sizes[whole].astype(np.int64)
-            body = np.full(int(size.sum()) + len(size), BLANK, np.uint8)
-            body[_places(_firsts(size + 1), size)] = data[_places(first[whole], size)]
-            yield whole, cls(np.full((len(whole), PAD), BLANK, np.uint8), body, size + 1, np.minimum(HEAD, size + 1))
+            before = np.concatenate([key[:, :HEAD], np.full((len(key), 1), BLANK, np.uint8)], axis=1)
+            yield slice(len(sizes) + a, len(sizes) + a + len(key)), cls(before, own[np.arange(HEAD) < spelt[:, None]], spelt, np.zeros(len(key), np.int64))
 
     @classmethod
     def of_words(cls, words: list[bytes]) -> Events:
@@ -302,17 +332,6 @@ class Events:
         return cls(np.frombuffer(b"".join(before), np.uint8), np.frombuffer(b"".join(w + b" " for w in words), np.uint8), sizes, np.zeros(len(words), np.int64))
 
 
-def _chunks(data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Slices of units of about ``CHUNK`` bytes, with their bytes."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    first, at = 0, 0
-    while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(ends, at + CHUNK)))
-        stop = int(ends[last - 1])
-        yield slice(first, last), data[at:stop]
-        first, at = last, stop
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -376,12 +395,11 @@ class Mixer:
         blank after it."""
         return self._logs(Events.of_words(words), len(words))
 
-    def score_units(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each head, and of what each word has beyond its head."""
-        out = np.zeros(len(sizes))
-        for s, part in _chunks(data, sizes):
-            for which, e in Events.of_units(part, sizes[s]):
-                out[s.start + which] = self._logs(e, len(which))
+    def score_units(self, data: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """log10 probability of what each word has beyond its head, and of each head."""
+        out = np.zeros(len(sizes) + len(heads))
+        for s, e in Events.of_units(data, sizes, heads):
+            out[s] = self._logs(e, s.stop - s.start)
         return out
 
 
@@ -401,20 +419,19 @@ class Learner:
         zero = np.maximum(self.zeros[slots] - (1 - bit), 0) + np.float32(PRIOR)
         return np.log(one / zero)
 
-    def learn(self, data: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, sizes: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> None:
         self.tokens += int(counts.sum())
-        for s, part in _chunks(data, sizes):
-            for which, e in Events.of_units(part, sizes[s]):
-                if not len(e.word):  # words that their heads spell wholly
-                    continue
-                x, bit = self.inputs(e), e.bit.ravel()
-                node, depth = self.mixer.gates(x, e)
-                weight = np.repeat(counts[s][which][e.word].astype(np.float64), 8)
-                logit = np.concatenate([self._step(x[:, a:a + STEP], node[a:a + STEP], depth[a:a + STEP], bit[a:a + STEP], weight[a:a + STEP]) for a in range(0, len(bit), STEP)])
-                low, over = Mixer.cells(logit)
-                at = node * CELLS + low + (over > 0.5)
-                self.events[0] += np.bincount(at, weights=weight, minlength=self.events.shape[1])
-                self.events[1] += np.bincount(at, weights=weight * bit, minlength=self.events.shape[1])
+        for s, e in Events.of_units(data, sizes, heads):
+            if not len(e.word):  # words that their heads spell wholly
+                continue
+            x, bit = self.inputs(e), e.bit.ravel()
+            node, depth = self.mixer.gates(x, e)
+            weight = np.repeat(counts[s][e.word].astype(np.float64), 8)
+            logit = np.concatenate([self._step(x[:, a:a + STEP], node[a:a + STEP], depth[a:a + STEP], bit[a:a + STEP], weight[a:a + STEP]) for a in range(0, len(bit), STEP)])
+            low, over = Mixer.cells(logit)
+            at = node * CELLS + low + (over > 0.5)
+            self.events[0] += np.bincount(at, weights=weight, minlength=self.events.shape[1])
+            self.events[1] += np.bincount(at, weights=weight * bit, minlength=self.events.shape[1])
 
     def _step(self, x: np.ndarray, node: np.ndarray, depth: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One update of both gates' weights, by the mean error over the tokens of a few events; the
@@ -447,25 +464,24 @@ def _adopt(mixer: Mixer, total: np.ndarray) -> None:
 RANGES = 16
 
 
-def _units_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, sizes, counts) of the units of a vocabulary row that were trained."""
-    data, sizes, counts = np.frombuffer(row["units"], np.uint8), np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["counts"], np.int64)
+def _units_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, sizes, heads, counts) of the units of a vocabulary row that were trained."""
+    data, sizes, heads, counts = np.frombuffer(row["words"], np.uint8), np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["heads"], np.int64), np.frombuffer(row["counts"], np.int64)
     keep = counts > 0
-    return data[np.repeat(keep, sizes)], sizes[keep], counts[keep]
+    word, head = keep[:len(sizes)], keep[len(sizes):]
+    return data[np.repeat(word, sizes)], sizes[word], heads[head], counts[keep]
 
 
 def _count_slots(batches: Iterator[pa.RecordBatch], slots: Slots) -> Iterator[pa.RecordBatch]:
     """The bit counts of a partition's training tokens, in ranges of slots."""
     n = None
     for rows in _runs(batches, "bucket"):
-        data, sizes, counts = _units_of(rows[0])
-        for s, part in _chunks(data, sizes):
-            for which, e in Events.of_units(part, sizes[s]):
-                n = np.zeros(2 * slots.size) if n is None else n
-                weight = np.repeat(counts[s][which][e.word].astype(np.float64), 8)
-                at = slots.of(e) + e.bit.ravel().astype(np.int64) * slots.size
-                for own in at:
-                    np.add.at(n, own, weight)
+        *units, counts = _units_of(rows[0])
+        for s, e in Events.of_units(*units):
+            n = np.zeros(2 * slots.size) if n is None else n
+            weight = np.repeat(counts[s][e.word].astype(np.float64), 8)
+            for own in slots.of(e) + e.bit.ravel().astype(np.int64) * slots.size:
+                np.add.at(n, own, weight)
     if n is not None:
         n = n.reshape(2, -1)
         for r, cut in enumerate(np.array_split(np.arange(slots.size), RANGES)):
@@ -497,7 +513,7 @@ def train(vocabulary: DataFrame) -> Mixer:
     size = int(vocabulary.agg(F.sum("n_bytes")).first()[0] or 0)
     slots = Slots(tuple(min(most, max(12, (8 * size).bit_length())) for most in SLOT_BITS))  # a slot for every bit of a unit
     lanes = min(LANES, max(1, size // LANE_BYTES))
-    dealt = vocabulary.select(F.pmod("bucket", F.lit(lanes)).alias("lane"), "bucket", "units", "sizes", "counts").repartition(lanes, "lane").sortWithinPartitions("lane", "bucket")
+    dealt = vocabulary.select(F.pmod("bucket", F.lit(lanes)).alias("lane"), "bucket", "words", "sizes", "heads", "counts").repartition(lanes, "lane").sortWithinPartitions("lane", "bucket")
     counted = dealt.mapInArrow(lambda batches: _count_slots(batches, slots), "r int, n binary")
     ranges = counted.repartition(RANGES, "r").sortWithinPartitions("r").mapInArrow(_add_ranges, "r int, n binary").collect()
     mixer = Mixer(slots, np.zeros(slots.size, np.float32))
@@ -532,78 +548,88 @@ def _vector(lane: int, values: np.ndarray) -> pa.RecordBatch:
 # ---- scores
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-_ANSWER = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("logs", pa.binary())])
+_ANSWER = "block long, first_word long, counts binary, word_logs binary, first_head long, head_logs binary"
 
 
-def _tables(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The blocks of the documents, and the vocabulary of all blocks."""
+def _tables(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """The documents of all blocks, the vocabulary, and the number of buckets."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(BUCKETS, 1 << (base.count() // BUCKET_DOCS).bit_length())
-    blocks = materialize(base.mapInArrow(lambda batches: _blocks(batches, buckets), _BLOCKS), "lm-blocks")
-    units = blocks.where("bucket >= 0").select("block", "bucket", "units", "sizes", "numbers", "trained")
-    return blocks, materialize(units.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_vocabulary, _VOCAB), "lm-vocabulary")
+    rows = base.mapInArrow(lambda batches: _blocks(batches, buckets), _BLOCKS)
+    texts, units = materialize_split(rows, "lm-blocks", F.col("bucket") < 0)
+    names = lambda columns: [x.split()[0] for x in columns.split(", ")]
+    dealt = units.select("block", "bucket", *names(_UNITS)).repartition("bucket").sortWithinPartitions("bucket")
+    vocabulary = materialize(dealt.mapInArrow(_vocabulary, _VOCAB), "lm-vocabulary")
+    discard(units)
+    return texts, vocabulary, buckets
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: token counts, the unigram base score, the model's log10 probability,
     and its bits per byte of the text."""
-    blocks, vocabulary = _tables(docs, id_col, text_col)
+    texts, vocabulary, buckets = _tables(docs, id_col, text_col)
     size = vocabulary.agg(F.sum("n_tokens"), F.sum("n_types")).first()
     n_tokens, n_types = int(size[0] or 0), int(size[1] or 0)
     mixer = docs.sparkSession.sparkContext.broadcast(train(vocabulary))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "bucket"):
-            row = rows[0]
-            logs = mixer.value.score_units(np.frombuffer(row["units"], np.uint8), np.frombuffer(row["sizes"], np.int32)).astype(np.float32)
-            counts, places, numbers = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["places"], np.int32), row["numbers"]
-            ends = np.concatenate([[0], np.cumsum(row["lengths"])])
-            yield pa.RecordBatch.from_pylist([
-                {"block": block, "numbers": numbers[4 * a:4 * b], "counts": counts[places[a:b]].tobytes(), "logs": logs[places[a:b]].tobytes()}
-                for block, a, b in zip(row["blocks"], ends[:-1].tolist(), ends[1:].tolist(), strict=True)], _ANSWER)
+            row, out = rows[0], []
+            data, sizes, heads, counts = (np.frombuffer(row[c], t) for c, t in (("words", np.uint8), ("sizes", np.int32), ("heads", np.int64), ("counts", np.int64)))
+            logs, places = mixer.value.score_units(data, sizes, heads).astype(np.float32), _unpacked(row["places"])
+            word, head = np.split(places, [sum(row["n_words"])])
+            a = b = 0
+            for block, first_word, n, first_head, m in zip(*(row[c] for c in ("blocks", "first_words", "n_words", "first_heads", "n_heads")), strict=True):
+                own, spelt = word[a:a + n], head[b:b + m] + len(sizes)
+                a, b = a + n, b + m
+                out.append({"block": block, "first_word": first_word, "counts": zlib.compress(counts[own].tobytes(), 1), "word_logs": logs[own].tobytes(), "first_head": first_head, "head_logs": logs[spelt].tobytes()})
+            yield pa.RecordBatch.from_pylist(out, _shape(_ANSWER))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "block"):
-            yield _scored(rows, n_tokens, n_types)
+            yield _scored(rows, n_tokens, n_types, buckets)
 
-    answers = vocabulary.select("bucket", "units", "sizes", "counts", "blocks", "lengths", "numbers", "places").mapInArrow(answer, "block long, numbers binary, counts binary, logs binary")
-    texts = blocks.where("bucket < 0").select("block", "docs", "held", "n_words", "n_bytes", "tokens", "edges")
-    both = texts.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
+    answers = vocabulary.drop("n_tokens", "n_types", "n_bytes").mapInArrow(answer, _ANSWER)
+    both = texts.drop("bucket", "first_word", "first_head").unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
     found = materialize(both.mapInArrow(merge, RESULT), "lm-scores")
-    for table in (blocks, vocabulary):
+    for table in (texts, vocabulary):
         discard(table)
     mixer.unpersist()
     return found
 
 
-def _scored(rows: list[dict], n_tokens: int, n_types: int) -> pa.RecordBatch:
+def _scored(rows: list[dict], n_tokens: int, n_types: int, buckets: int) -> pa.RecordBatch:
     """The documents of one block, from their numbers of words and the answers for its units."""
     text = next(r for r in rows if r["docs"] is not None)
     answers = [r for r in rows if r["docs"] is None]
-    numbers = np.frombuffer(b"".join(r["numbers"] for r in answers), np.int32)
-    counts, logs = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
-    counts[numbers] = np.frombuffer(b"".join(r["counts"] for r in answers), np.int64)
-    logs[numbers] = np.frombuffer(b"".join(r["logs"] for r in answers), np.float32)
-    tokens, edges = np.frombuffer(zlib.decompress(text["tokens"]), np.int32), np.frombuffer(zlib.decompress(text["edges"]), np.int64)
+    joined = lambda column, first, kind, open_=bytes: np.frombuffer(b"".join(open_(r[column]) for r in sorted(answers, key=lambda r: r[first])), kind)
+    counts = joined("counts", "first_word", np.int64, zlib.decompress)
+    logs = joined("word_logs", "first_word", np.float32).astype(np.float64)
+    head_logs = joined("head_logs", "first_head", np.float32).astype(np.float64)
+    mark, tokens = np.split(_unpacked(text["tokens"]), [1])
+    mark, edges = int(mark[0]), np.frombuffer(zlib.decompress(text["edges"]), np.int64)
     n_words = np.array(text["n_words"], np.int64)
     ends, n_docs = np.cumsum(n_words), len(n_words)
     # added up document by document: differences of long running sums would lose digits
     each = lambda values: np.array([values[b - n:b].sum() for b, n in zip(ends, n_words, strict=True)]).reshape(n_docs)
-    base = np.log10((counts[:len(edges)] + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-    _, head = np.unique(_heads(tokens, n_words, edges), return_inverse=True)
-    spelt, upto = logs[len(edges):][head], np.cumsum(n_words + 1)
-    score = each(logs[tokens]) + logs[0] + np.array([spelt[b - n - 1:b].sum() for b, n in zip(upto, n_words, strict=True)]).reshape(n_docs)
+    base = np.log10((counts + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
+    heads, head = np.unique(_heads(tokens, mark, n_words, edges), return_inverse=True)
+    order, _ = _dealt(_head_hashes(heads), buckets)
+    by_head = np.empty(len(heads))
+    by_head[order] = head_logs
+    spelt, upto = by_head[head], np.cumsum(n_words + 1)
+    score = each(logs[tokens]) + logs[mark] + np.array([spelt[b - n - 1:b].sum() for b, n in zip(upto, n_words, strict=True)]).reshape(n_docs)
     n_bytes = np.maximum(np.array(text["n_bytes"], np.float64), 1)
     return pa.record_batch({
         "doc_id": pa.array(text["docs"], pa.int64()), "held_out": pa.array(text["held"], pa.bool_()), "n_tokens": pa.array(n_words + 1),
-        "n_known": pa.array(each((counts > 0)[tokens]).astype(np.int64) + int(counts[0] > 0)), "train_tokens": pa.array(np.full(n_docs, n_tokens, np.int64)),
-        "base_score": pa.array((each(base[tokens]) + base[0]).astype(np.float64)), "score": pa.array(score.astype(np.float64)), "bits_per_byte": pa.array(-score * np.log2(10) / n_bytes)})
+        "n_known": pa.array(each((counts > 0)[tokens]).astype(np.int64) + int(counts[mark] > 0)), "train_tokens": pa.array(np.full(n_docs, n_tokens, np.int64)),
+        "base_score": pa.array((each(base[tokens]) + base[mark]).astype(np.float64)), "score": pa.array(score.astype(np.float64)), "bits_per_byte": pa.array(-score * np.log2(10) / n_bytes)})
 
 
 def train_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mixer:
     """Only the model of the training folds of ``docs``, for scoring other texts."""
-    blocks, vocabulary = _tables(docs, id_col, text_col)
+    texts, vocabulary, _ = _tables(docs, id_col, text_col)
     mixer = train(vocabulary)
-    for table in (blocks, vocabulary):
+    for table in (texts, vocabulary):
         discard(table)
     return mixer
