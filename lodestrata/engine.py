@@ -55,8 +55,10 @@ class Engine:
 
     def index(self, paths: Sequence[str] = (), full: bool = False, symbols: DataFrame | None = None) -> dict:
         """Bring the index up to date: chunk and embed what changed, drop what is gone (only if no
-        paths are named, as a scan of some paths says nothing about the others). ``symbols`` are
-        exported symbols to cut files along."""
+        paths are named, as a scan of some paths says nothing about the others, and if the session does
+        not pass over files that cannot be read). ``symbols`` are exported symbols to cut files along.
+        Vectors of texts that the index has are used again, unless ``full``. Files whose texts could not
+        all be embedded are left out, counted as ``failed_files``, and keep the receipt incomplete."""
         if not full:
             self.store.check_profile(self.profile)
         attempt = self.store.begin_receipt(self.project)
@@ -71,17 +73,21 @@ class Engine:
                 with_symbols = symbols.select("relative_path").distinct()
                 along = structural.chunk_structurally(todo, symbols)
                 made = made.join(with_symbols, "relative_path", "left_anti").unionByName(along, allowMissingColumns=True)
-            rows, _ = embedding.embedded_chunks(made, self.embedder)
-            gone = freshness.to_prune(known, scan.raw_hashes(self.scan()), scan_complete=not paths)
+            cache = None if full else embedding.stored_vectors(self.chunks(), self.embedder.model)
+            rows, _ = embedding.embedded_chunks(made, self.embedder, cache)
+            gone = freshness.to_prune(known, scan.raw_hashes(self.scan()), scan_complete=whole)
             counts["deleted_files"] = gone.count()
+            asked = made.select("relative_path", "file_hash").distinct()
             before = self.store.state["generation"]
             self.store.replace_files(rows.withColumn("indexed_at", F.current_timestamp()), self.project, gone)
-            counts.update(generation=self.store.state["generation"], previous=before)
+            failed = asked.join(self.chunks().select("relative_path", "file_hash"), ["relative_path", "file_hash"], "left_anti").count()
+            counts.update(generation=self.store.state["generation"], previous=before, failed_files=failed)
 
+        whole = not paths and scan.reads_everything(self.spark)
         self.store.guarded(self.project, change, full=full)
         self.store.save_profile(self.profile)
         row = stats.index_stats(self.chunks()).first().asDict()
-        self.store.finish_receipt(self.project, attempt, complete=not paths, chunks=row["chunks"], files=row["files"])
+        self.store.finish_receipt(self.project, attempt, complete=whole and not counts["failed_files"], failed_files=counts["failed_files"], chunks=row["chunks"], files=row["files"])
         return row | counts
 
     def ensure(self, mode: str = "check") -> freshness.Readiness:

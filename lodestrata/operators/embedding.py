@@ -93,11 +93,19 @@ def fresh(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     return cache.where(F.unix_timestamp(now) - F.unix_timestamp("created_at") < ttl_seconds) if ttl_seconds > 0 else cache
 
 
+def stored_vectors(chunks: DataFrame, model: str) -> DataFrame:
+    """The vectors of chunks as a cache (cache_key, embedding): a text that was embedded is not again."""
+    return keyed(chunks.where(F.col("embedding").isNotNull()).withColumn("__text", _embedded_text(chunks)), model, "__text").select("cache_key", "embedding").dropDuplicates(["cache_key"])
+
+
+def _embedded_text(chunks: DataFrame) -> Column:
+    return F.coalesce(F.col("embedding_content"), F.col("content")) if "embedding_content" in chunks.columns else F.col("content")
+
+
 def embedded_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors, of the files all of whose chunks have one, and the newly embedded texts
     (cache_key, embedding, error). A file with one failed chunk is left out whole, to be tried again."""
-    text = F.coalesce(F.col("embedding_content"), F.col("content")) if "embedding_content" in chunks.columns else F.col("content")
-    rows = keyed(chunks.withColumn("__text", text), embedder.model, "__text")
+    rows = keyed(chunks.withColumn("__text", _embedded_text(chunks)), embedder.model, "__text")
     todo = rows if cache is None else rows.join(cache.select("cache_key"), "cache_key", "left_anti")
     new = embed(todo.select(F.col("__text").alias("text")), embedder)
     have = new.where("error is null").select("cache_key", "embedding")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vector_search import nearest
@@ -21,6 +21,26 @@ def per_query(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
         (F.count_if(F.col("rank") <= 10) / n).alias("recall_10"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def per_query_of_groups(ranked: DataFrame, queries: DataFrame, documents: DataFrame, group: str) -> DataFrame:
+    """As ``per_query``, where relevant to a query (query_id and its group) are all other documents
+    (doc_id and theirs) of its group: these are counted, and never paired with the queries."""
+    size = documents.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.join(size, group).join(documents.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("own")), "query_id", "left")
+    asked = asked.select("query_id", group, (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    hits = ranked.join(asked.select("query_id", F.col(group).alias("wanted")), "query_id").join(documents.select("doc_id", group), "doc_id").where(F.col(group) == F.col("wanted"))
+    met = asked.join(hits.select("query_id", "rank"), "query_id", "left")
+    return met.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"), (F.count_if(F.col("rank") <= 5) / F.first("n")).alias("recall_5"),
+        (F.count_if(F.col("rank") <= 10) / F.first("n")).alias("recall_10"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def ranked_others(queries: DataFrame, documents: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """As ``ranked`` for queries that are documents themselves, each without itself."""
+    near = ranked(queries, documents, depth + 1).where("query_id <> doc_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+
+
 def summary(queries: DataFrame) -> DataFrame:
     return queries.agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("recall_5"), 6).alias("recall_5"),

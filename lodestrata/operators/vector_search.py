@@ -15,6 +15,8 @@ from .filters import filtered
 
 #: Queries that go to every task at once; more are taken in turns.
 QUERY_BLOCK = 4096
+#: Products of vectors with a block of queries that a task holds at a time.
+PRODUCTS = 1 << 22
 
 
 def scored(chunks: DataFrame, query: Sequence[float], o: FilterOptions | None = None, vector: str = "embedding") -> DataFrame:
@@ -48,26 +50,41 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "quer
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, ties by id: only what reaches the k-th score is sorted."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = np.indices(scores.shape).reshape(2, -1)
+    by = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[by], col[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def _block_best(block: list[tuple], chunks: DataFrame, k: int, vector: str, id_col: str, digits: int) -> DataFrame:
     ids = np.array([i for i, _ in block], np.int64)
+    if len({len(v) for _, v in block}) > 1:
+        raise ValueError("query vectors differ in length")
     matrix = np.array([v for _, v in block], np.float64)
     if len(block):
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix /= np.where(length > 0, length, 1)  # of a zero vector all products are zero
     shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
+        step = max(1, PRODUCTS // max(1, len(ids)))
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = batch.column(0).to_numpy()
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = np.round(matrix @ vectors.T, digits)
-            keep = min(k, batch.num_rows)
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :keep]
-            rows = np.repeat(np.arange(len(ids)), keep)
-            yield pa.record_batch({"query_id": pa.array(ids[rows]), "chunk_id": pa.array(own[order.ravel()]), "cosine": pa.array(scores[rows, order.ravel()])})
+            for first in range(0, batch.num_rows if len(ids) else 0, step):
+                part = batch.slice(first, step)
+                own = part.column(0).to_numpy()
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                scores = np.round(matrix @ vectors.T, digits)
+                at, col = _best(scores, own, k)
+                yield pa.record_batch({"query_id": pa.array(ids[at]), "chunk_id": pa.array(own[col]), "cosine": pa.array(scores[at, col])})
 
     dim = matrix.shape[1] if len(block) else 0
     usable_rows = chunks.where(usable(F.col(vector), dim)).select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector))

@@ -57,19 +57,18 @@ def dry_run_totals(spark, sf_dir):
 
 # ---- retrieval quality
 
-_RANKED = """q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
-d AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id >= 20),
-r AS (SELECT query_id, doc_id, q.label = d.label AS relevant, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.e, d.e), 9) DESC, doc_id) AS rank FROM q, d),
+_RANKED = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+r AS (SELECT q.vec_id AS query_id, q.label = d.label AS relevant, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, d.e), 9) DESC, d.vec_id) AS rank
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
 m AS (SELECT query_id, max(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS top1, count(*) FILTER (WHERE rank <= 5) / count(*) AS recall_5,
-      count(*) FILTER (WHERE rank <= 10) / count(*) AS recall_10, 1.0::DOUBLE / min(rank) AS reciprocal_rank FROM r WHERE relevant GROUP BY query_id)"""
+      count(*) FILTER (WHERE rank <= 10) / count(*) AS recall_10, CASE WHEN min(rank) <= 10 THEN 1.0::DOUBLE / min(rank) ELSE 0.0 END AS reciprocal_rank FROM r WHERE relevant GROUP BY query_id)"""
 
 
 def _evaluated(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    docs = rows.where("vec_id >= 20").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    relevant = asked.select("query_id", "label").join(docs.select("doc_id", "label"), "label").select("query_id", "doc_id")
-    return evaluate.per_query(evaluate.ranked(asked.drop("label"), docs.drop("label")), relevant)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding", "label")
+    best = evaluate.ranked_others(asked.drop("label"), rows.drop("label"))
+    return evaluate.per_query_of_groups(best, asked.drop("embedding"), rows.drop("embedding"), "label")
 
 
 @query(f"WITH {_RANKED} SELECT query_id, top1, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(reciprocal_rank, 9) AS reciprocal_rank FROM m")

@@ -208,13 +208,13 @@ _filter("filter_line_range", FilterOptions(min_line=50, max_line=120, chunk_type
 _filter("filter_project", FilterOptions(project_root="/corpus", min_line=300), "project_root = '/corpus' AND start_line >= 300")
 
 
-@query(f"""WITH {CORPUS_SQL}, l AS (SELECT relative_path, unnest([start_line, start_line + 3, start_line + 20]) AS line FROM corpus WHERE chunk_id % 3 = 0),
+@query(f"""WITH {CORPUS_SQL}, l AS (SELECT relative_path, unnest([start_line, start_line + 3, start_line + 20]) AS line FROM corpus),
 m AS (SELECT l.relative_path, l.line, c.chunk_id, c.end_line - c.start_line AS span FROM l JOIN corpus c ON l.relative_path = c.relative_path AND l.line BETWEEN c.start_line AND c.end_line)
 SELECT relative_path, line, chunk_id, span FROM (SELECT *, row_number() OVER (PARTITION BY relative_path, line ORDER BY span, chunk_id) AS n FROM m) WHERE n = 1""")
 def location_lookup(spark, sf_dir):
     rows = corpus(spark, sf_dir, False)
     line = F.explode(F.array(F.col("start_line"), F.col("start_line") + 3, F.col("start_line") + 20)).alias("line")
-    return search.chunk_at(rows, rows.where("chunk_id % 3 = 0").select("relative_path", line))
+    return search.chunk_at(rows, rows.select("relative_path", line))
 
 
 @query(f"WITH {CORPUS_SQL} SELECT chunk_id, relative_path FROM corpus WHERE relative_path IN (SELECT source || '/doc_' || doc_id || '.txt' FROM documents WHERE doc_id % 9 = 4)")

@@ -43,17 +43,17 @@ def line_count(spark, sf_dir):
 _BRANCH = "regexp_replace(replace(translate(b, '/\\: ~', '-----'), '..', '--'), '^-+|-+$', '', 'g')"
 
 
-@query(f"SELECT doc_id, CASE WHEN {_BRANCH} = '' THEN 'unnamed' ELSE {_BRANCH} END AS branch FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '//' ELSE '~' || source || '/' || lang || '..' || doc_id || ': ' || substr(text, 1, 12) || '\\' END AS b FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN {_BRANCH} = '' THEN 'unnamed' ELSE {_BRANCH} END AS branch FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '//' ELSE '~' || source || '/' || lang || '..' || doc_id || ': ' || text || '\\' END AS b FROM documents)")
 def sanitize_branch(spark, sf_dir):
     n = F.col("doc_id")
-    raw = F.concat(F.lit("~"), "source", F.lit("/"), "lang", F.lit(".."), n.cast("string"), F.lit(": "), F.substring("text", 1, 12), F.lit("\\"))
+    raw = F.concat(F.lit("~"), "source", F.lit("/"), "lang", F.lit(".."), n.cast("string"), F.lit(": "), "text", F.lit("\\"))
     return table(spark, sf_dir, "documents").select("doc_id", fn.branch_name(F.when(n % 9 == 0, "//").otherwise(raw)).alias("branch"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'q: ' || t || ' [' || t || ']' ELSE 'query: ' || t END AS prompt FROM (SELECT doc_id, substr(text, 1, 40) AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'q: ' || t || ' [' || t || ']' ELSE 'query: ' || t END AS prompt FROM (SELECT doc_id, text AS t FROM documents)")
 def template_apply(spark, sf_dir):
     template = F.when(F.col("doc_id") % 2 == 0, "q: {{text}} [{{text}}]").otherwise("query: ")
-    return table(spark, sf_dir, "documents").select("doc_id", fn.template_applied(template, F.substring("text", 1, 40)).alias("prompt"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.template_applied(template, F.col("text")).alias("prompt"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'terraform' WHEN 2 THEN 'shell' WHEN 3 THEN 'unknown' ELSE 'json' END AS language FROM documents")

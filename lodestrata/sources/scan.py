@@ -112,6 +112,11 @@ def watch_ignored(path: Column, patterns: list[str]) -> Column:
 # ---- scans
 
 
+def reads_everything(spark: SparkSession) -> bool:
+    """Whether a scan fails over a file that cannot be read, rather than passing over it."""
+    return not any(spark.conf.get(f"spark.sql.files.{name}", "false") == "true" for name in ("ignoreCorruptFiles", "ignoreMissingFiles"))
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system's scheme, without a slash at its end."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -273,14 +273,14 @@ def test_scalar_functions(spark):
 def test_memory(spark):
     t0 = datetime(2024, 1, 1)
     empty = spark.createDataFrame([], "id long, content string, importance double, tags array<string>, created_at timestamp, expires_at timestamp, embedding array<float>")
-    m = memory.remember(empty, "a", [1.0, 0], t0, tags=["codemap"], ttl_hours=1)
-    m = memory.remember(m, "b", [1.0, 0.1], t0, importance=7, tags=["codemap-extra", "x"])
-    m = memory.remember(m, "c", [0.0, 1], t0, tags=["codemap", "x"]).cache()
+    m = memory.remember(empty, "a", [1.0, 0], t0, tags=["mapping"], ttl_hours=1)
+    m = memory.remember(m, "b", [1.0, 0.1], t0, importance=7, tags=["mapping-extra", "x"])
+    m = memory.remember(m, "c", [0.0, 1], t0, tags=["mapping", "x"]).cache()
     assert [r.importance for r in m.orderBy("id").collect()] == [0.5, 1.0, 0.5]
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     got = memory.recall(m, [1.0, 0.0], now).collect()
     assert [r.id for r in got] == [2, 3] and got[0].score == pytest.approx(got[0].similarity * 0.5 * 1.25, abs=1e-5)
-    assert [r.id for r in memory.recall(m, [1.0, 0.0], now, tags=["codemap"]).collect()] == [3]
+    assert [r.id for r in memory.recall(m, [1.0, 0.0], now, tags=["mapping"]).collect()] == [3]
     assert memory.forget(m, tags=["map-e"], confirm="yes").count() == 2 and memory.forget(m, id=1).count() == 2
     with pytest.raises(ValueError):
         memory.forget(m, tags=["x"])
@@ -336,6 +336,36 @@ def test_embedding_is_all_or_nothing(spark):
     assert embedding.fresh(cache, F.lit("2024-01-02").cast("timestamp"), 3600).count() == 0
 
 
+def test_index_counts_what_could_not_be_embedded(spark, tmp_path):
+    from lodestrata.engine import Engine
+
+    calls = tmp_path / "calls"
+
+    class Fails(embedding.HashingEmbedder):
+        def embed_documents(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            with open(calls, "a") as f:
+                f.write("".join(t.strip() + "\n" for t in texts))
+            return super().embed_documents(texts)
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.txt").write_text("fine words\n")
+    e = Engine(spark, str(root), str(tmp_path / "store"), Fails(16))
+    assert e.index()["failed_files"] == 0 and e.store.proven(e.project)
+    (root / "b.txt").write_text("bad words\n")
+    (root / "c.txt").write_text("fine words\n")
+    got = e.index()
+    assert got["failed_files"] == 1 and not e.store.proven(e.project) and e.readiness().state != "ready"
+    assert {r.relative_path for r in e.chunks().collect()} == {"a.txt", "c.txt"} and calls.read_text().count("fine words") == 1
+
+
+def test_best_of_each_row_with_ties():
+    scores, ids = np.array([[3, 1, 3, 2, 3], [0, 0, 0, 0, 0]], float), np.array([9, 8, 7, 6, 5])
+    row, col = vector_search._best(scores, ids, 2)
+    assert row.tolist() == [0, 0, 1, 1] and ids[col].tolist() == [5, 7, 5, 6]
+
+
 # ---- the whole
 
 
