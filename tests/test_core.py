@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -273,14 +274,14 @@ def test_scalar_functions(spark):
 def test_memory(spark):
     t0 = datetime(2024, 1, 1)
     empty = spark.createDataFrame([], "id long, content string, importance double, tags array<string>, created_at timestamp, expires_at timestamp, embedding array<float>")
-    m = memory.remember(empty, "a", [1.0, 0], t0, tags=["mapping"], ttl_hours=1)
-    m = memory.remember(m, "b", [1.0, 0.1], t0, importance=7, tags=["mapping-extra", "x"])
-    m = memory.remember(m, "c", [0.0, 1], t0, tags=["mapping", "x"]).cache()
+    m = memory.remember(empty, "a", [1.0, 0], t0, tags=["heatmap"], ttl_hours=1)
+    m = memory.remember(m, "b", [1.0, 0.1], t0, importance=7, tags=["heatmap-extra", "x"])
+    m = memory.remember(m, "c", [0.0, 1], t0, tags=["heatmap", "x"]).cache()
     assert [r.importance for r in m.orderBy("id").collect()] == [0.5, 1.0, 0.5]
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     got = memory.recall(m, [1.0, 0.0], now).collect()
     assert [r.id for r in got] == [2, 3] and got[0].score == pytest.approx(got[0].similarity * 0.5 * 1.25, abs=1e-5)
-    assert [r.id for r in memory.recall(m, [1.0, 0.0], now, tags=["mapping"]).collect()] == [3]
+    assert [r.id for r in memory.recall(m, [1.0, 0.0], now, tags=["heatmap"]).collect()] == [3]
     assert memory.forget(m, tags=["map-e"], confirm="yes").count() == 2 and memory.forget(m, id=1).count() == 2
     with pytest.raises(ValueError):
         memory.forget(m, tags=["x"])
