@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
@@ -112,5 +112,6 @@ def embedded_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | No
     if cache is not None:
         have = have.unionByName(cache.select("cache_key", "embedding"))
     met = rows.join(have, "cache_key", "left")
-    whole = met.groupBy("project_root", "relative_path").agg(F.bool_and(F.col("embedding").isNotNull()).alias("ok")).where("ok").drop("ok")
-    return met.join(whole, ["project_root", "relative_path"], "left_semi").drop("__text", "cache_key"), new
+    # over the chunks of a file, and not by a second look at them: each text is embedded once
+    whole = F.bool_and(F.col("embedding").isNotNull()).over(Window.partitionBy("project_root", "relative_path"))
+    return met.withColumn("__whole", whole).where("__whole").drop("__text", "__whole", "cache_key"), new
