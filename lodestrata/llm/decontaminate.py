@@ -30,7 +30,7 @@ SLICE_WORDS = 500_000
 #: Bytes to word characters: A-Z fall to a-z, ASCII that is neither letter nor digit to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-VERDICT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+VERDICT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long, longest_item string, longest_item_at long"
 MATCHES = "item_id string, test_offset long, length long, doc_id long, doc_offset long"
 
 
@@ -152,19 +152,44 @@ def _indexed(group: list[tuple[int | None, bytes, int]], test: TestSlice) -> Sha
     return Shard(numbers, test.window, len(test.vocab))
 
 
-def _hits(shard: Shard, test: TestSlice) -> tuple[np.ndarray, list[set[str]]]:
-    """Which words of the shard lie in an occurrence of a window; the items found in each document."""
-    rows, length, owner = test.rows[test.is_window], test.length[test.is_window], test.owner[test.is_window]
-    items: list[set[str]] = [set() for _ in range(len(shard.starts) - 1)]
+#: A verbatim match: minus its length, where it is in the document, the item, and where it is there.
+Match = tuple[int, int, str, int]
+
+
+def _hits(shard: Shard, test: TestSlice) -> tuple[np.ndarray, list[set[str]], list[Match | None]]:
+    """Which words of the shard lie in an occurrence of a window; the items found in each document; and
+    its longest verbatim match of a window or more (the first in the document, the smallest item and
+    place there among equals)."""
+    rows, length, owner, offset = (x[test.is_window] for x in (test.rows, test.length, test.owner, test.offset))
+    n_docs = len(shard.starts) - 1
+    items: list[set[str]] = [set() for _ in range(n_docs)]
     edge = np.zeros(len(shard.text) + 1, np.int32)
     lo, hi = shard.find(rows, length) if len(rows) else (np.zeros(0, np.int64),) * 2
-    for k in np.flatnonzero(lo < hi):
-        at = shard.order[lo[k]:hi[k]]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length[k], -1)
-        for d in np.unique(np.searchsorted(shard.starts, at, "right") - 1):
-            items[d].add(test.ids[owner[k]])
-    return np.cumsum(edge)[:-1] > 0, items
+    window = np.repeat(np.arange(len(rows)), hi - lo)
+    if not len(window):
+        return edge[:-1] > 0, items, [None] * n_docs
+    at = shard.order[np.arange(len(window)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length[window], -1)
+    doc = np.searchsorted(shard.starts, at, "right") - 1
+    for d, k in np.unique(np.stack([doc, owner[window]], axis=1), axis=0).tolist():
+        items[d].add(test.ids[k])
+    # windows of an item that follow each other in a document as in the item are one match
+    by = np.lexsort((at, at - offset[window], owner[window]))
+    at, window, doc = at[by], window[by], doc[by]
+    item, start = owner[window], offset[window]
+    new = np.ones(len(by), bool)
+    new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    size = length[window[first]] + np.diff(np.append(first, len(by))) - 1
+    best: list[Match | None] = [None] * n_docs
+    top = np.zeros(n_docs, np.int64)
+    np.maximum.at(top, doc[first], size)
+    for i in np.flatnonzero(size == top[doc[first]]).tolist():
+        f, d = first[i], int(doc[first[i]])
+        found = (-int(size[i]), int(at[f] - shard.starts[d]), test.ids[item[f]], int(start[f]))
+        best[d] = found if best[d] is None else min(best[d], found)
+    return np.cumsum(edge)[:-1] > 0, items, best
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
@@ -184,19 +209,21 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: how many of its words lie in verbatim benchmark windows, and in which
-    items. Contaminated: at least one word in twenty."""
+    """One row per document: how many of its words lie in verbatim benchmark windows, in which items,
+    and the longest verbatim match (its words, and where it begins in the document and in which item;
+    null if there is none). Contaminated: at least one word in twenty."""
     slices = _slices(benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _shards(batches):
-            hit, found = None, [set() for _ in group]
+            hit, found, best = None, [set() for _ in group], [None] * len(group)
             for test in _each(slices):
                 shard = _indexed(group, test)
-                now, items = _hits(shard, test)
+                now, items, longest = _hits(shard, test)
                 hit = now if hit is None else hit | now
                 for a, b in zip(found, items, strict=True):
                     a |= b
+                best = [min((x for x in pair if x), default=None) for pair in zip(best, longest, strict=True)]
             sums = np.concatenate([[0], np.cumsum(hit)])
             n_words = np.array([n for _, _, n in group], np.int64)
             n_hit = sums[shard.starts[:-1] + n_words] - sums[shard.starts[:-1]]
@@ -206,6 +233,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: s
                 "n_items": pa.array([len(x) for x in found], pa.int64()),
                 "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]),
                 "contaminated": pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+                "longest": pa.array([x and -x[0] for x in best], pa.int64()), "longest_at": pa.array([x and x[1] for x in best], pa.int64()),
+                "longest_item": pa.array([x and x[2] for x in best], pa.string()), "longest_item_at": pa.array([x and x[3] for x in best], pa.int64()),
             })
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, VERDICT)

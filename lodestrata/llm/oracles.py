@@ -118,11 +118,14 @@ bi AS (SELECT item, w, CAST(least(len(w), {n}) AS BIGINT) AS n, unnest(range(1,
 win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
 di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win)),
 hits AS (SELECT doc_id, item, i, di.n FROM di JOIN win ON win.n = di.n AND win.k = array_to_string(w[i:i + di.n - 1], ' ')),
+spots AS (SELECT doc_id, hits.item, hits.i, hits.n, bi.i AS j FROM hits JOIN bi ON bi.item = hits.item AND bi.n = hits.n JOIN d USING (doc_id) WHERE array_to_string(bi.w[bi.i:bi.i + bi.n - 1], ' ') = array_to_string(d.w[hits.i:hits.i + hits.n - 1], ' ')),
+runs AS (SELECT doc_id, item, min(i) - 1 AS a, min(j) - 1 AS b, max(n) + count(*) - 1 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS island FROM (SELECT DISTINCT * FROM spots)) GROUP BY doc_id, item, i - j, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, a, item, b) AS r FROM runs) WHERE r = 1),
 pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, size AS longest, a AS longest_at, best.item AS longest_item, b AS longest_item_at
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
 ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql()}

@@ -242,6 +242,26 @@ def plain_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
+def plain_longest(text, items):
+    """(words, place, item, place there) of the longest verbatim match of a window or more."""
+    words, best = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or "")), None
+    for item, own in items:
+        places = defaultdict(list)
+        for i, w in enumerate(words):
+            places[w].append(i)
+        for j, w in enumerate(own):
+            for i in places[w]:
+                if i and j and words[i - 1] == own[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                    n += 1
+                if n >= min(13, len(own)):
+                    found = (-n, i, str(item), j)
+                    best = found if best is None else min(best, found)
+    return (None,) * 4 if best is None else (-best[0], *best[1:])
+
+
 @pytest.mark.parametrize("slice_words,shard_words", [(2_000_000, 1_500_000), (200, 5_000)])
 def test_decontamination_matches_brute_force(spark, docs, rows, bench, monkeypatch, slice_words, shard_words):
     monkeypatch.setattr(decontaminate, "SLICE_WORDS", slice_words)
@@ -251,7 +271,8 @@ def test_decontamination_matches_brute_force(spark, docs, rows, bench, monkeypat
     items = [(r.item_id, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text or ""))) for r in all_items.collect()]
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.judge(docs, all_items).collect()}
     for i, text in rows[:80]:
-        assert got[i] == plain_contamination(text, items), i
+        assert got[i][:5] == plain_contamination(text, items), i
+        assert got[i][5:] == plain_longest(text, items), i
     assert len(got) == len(rows)
 
 
