@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import decontaminate, mixing, pii, quality, simhash
-from lodestrata.llm.common import materialize
+from lodestrata.llm.common import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage")
+        discard(before)  # of a stage, once the next one is written; not the table itself
     return STAGES[-1][1](spark, docs, sf_dir)
