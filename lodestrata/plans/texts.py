@@ -69,6 +69,26 @@ def tag_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.tag_list(raw).alias("tags"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'function' ELSE 'block' END AS chunk_type, doc_id % 2 = 0 AS is_hex,
+sha256('v1' || chr(0) || sha256(text) || chr(0) || source) AS index_hash, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS selector FROM documents""")
+def symbol_keys(spark, sf_dir):
+    n = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("method", "interface", "test", "variable"))), (n % 4 + 1).cast("int"))
+    digits = F.when(n % 2 == 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("X"), F.substring(F.sha2("text", 256), 2, 63)))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", fn.symbol_type(kind).alias("chunk_type"), fn.is_hex(digits, 64).alias("is_hex"),
+        fn.structural_hash("v1", F.sha2("text", 256), F.col("source")).alias("index_hash"), fn.selector_key(n).alias("selector"))
+
+
+@query("""SELECT doc_id, 'example.com/' || source AS go, './' || source AS js, source || '/x' AS required, source || '.y' AS py_from, source AS py_import FROM documents""")
+def import_lines(spark, sf_dir):
+    line = lambda *parts: F.concat(*[F.col("source") if x == "@" else F.lit(x) for x in parts])
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", fn.go_import(line('  f "example.com/', "@", '"')).alias("go"), fn.js_import(line("import x from './", "@", "';")).alias("js"),
+        fn.required(line("const a = require('", "@", "/x')")).alias("required"), fn.python_import(line("from ", "@", ".y import z")).alias("py_from"),
+        fn.python_import(line("import ", "@", " as q, other")).alias("py_import"))
+
+
 # ---- chunking
 
 
