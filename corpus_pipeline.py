@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, mixing, pii, quality, simhash
+from lodestrata.llm import decontaminate, mixing, near_copies, pii, quality
 from lodestrata.llm.common import discard, materialize
 
 
@@ -16,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of texts that share four fifths of their five-word shingles the document with the
+    smallest id stays."""
+    return near_copies.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
