@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 #: Word characters of keyword search.
 TOKEN = r"[\p{L}\p{N}_]+"
 
-_SPACE = r"[\s\x0B\x{85}\x{A0}]"
+#: What counts as white space at the ends of a text.
+SPACE = " \t\n\x0b\f\r\x85\xa0"
 
 
 def trimmed(text: Column) -> Column:
     """Without white space (not only blanks) at both ends."""
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def tokens(text: Column) -> Column:

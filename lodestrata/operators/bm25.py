@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..options import FilterOptions
 from ..schema import TEXT_FIELDS
-from .filters import predicate
+from .filters import marked
 
 K1, B = 1.2, 0.75
 
@@ -43,34 +43,47 @@ def _weight(tf: Column, length: Column, df: Column, n: Column, mean: Column) ->
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def scores(chunks: DataFrame, query: str | list[str], o: FilterOptions | None = None, beside: Sequence[str] = ()) -> DataFrame:
-    """(chunk_id, bm25), null for chunks without a term of the query (or of a list of terms). Texts
-    are tokenised once: what is exchanged is a few numbers a chunk, from which both the statistics
-    and the scores come. Queries of a batch that name all their terms in ``beside`` share it too.
+def counts(chunks: DataFrame, terms: Sequence[str], o: FilterOptions | None = None, *more: Column) -> DataFrame:
+    """(chunk_id, __ok, __n, __f0, ..) and ``more`` columns: whether a chunk passes the filters, its
+    length, and how often it holds each term. Texts are tokenised once; what is exchanged, for the
+    statistics and for the scores, is a few numbers a chunk.
 
     There is no filter here on purpose: it would be pushed below the exchange, where it would have
     texts tokenised again for every term, and the two uses of the exchange would differ.
     """
-    own = query_terms(chunks, query) if isinstance(query, str) else query
-    if not own:
-        return chunks.where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
-    terms = sorted({*own, *beside})
-    each = chunks.select("chunk_id", predicate(o or FilterOptions()).alias("__ok"), tokens(searchable(chunks)).alias("__t"))
-    counted = each.select("chunk_id", "__ok", F.size("__t").alias("__n"), *[_occurrences("__t", t).alias(f"__f{i}") for i, t in enumerate(terms)]).repartition("chunk_id")
+    each = marked(chunks, o or FilterOptions(), "__ok").select("chunk_id", "__ok", tokens(searchable(chunks)).alias("__t"), *more)
+    kept = [c for c in each.columns if c not in ("chunk_id", "__ok", "__t")]
+    return each.select("chunk_id", "__ok", F.size("__t").alias("__n"), *[_occurrences("__t", t).alias(f"__f{i}") for i, t in enumerate(terms)], *kept).repartition("chunk_id")
+
+
+def with_statistics(counted: DataFrame, terms: Sequence[str], *more: Column) -> DataFrame:
+    """Counts beside the one row of statistics that they (and ``more`` aggregates) add up to."""
     sums = counted.agg(
-        F.count(F.lit(1)).cast("double").alias("__count"), F.avg("__n").alias("__mean"), F.count_if("__ok").alias("__candidates"),
+        *more, F.count(F.lit(1)).cast("double").alias("__count"), F.avg("__n").alias("__mean"), F.count_if("__ok").alias("__candidates"),
         *[F.count_if(F.col(f"__f{i}") > 0).cast("double").alias(f"__d{i}") for i in range(len(terms))])
+    return counted.crossJoin(F.broadcast(sums))  # one row
+
+
+def score_of(own: Sequence[str], terms: Sequence[str]) -> Column:
+    """The score of a row of ``with_statistics`` for a query of ``own`` terms; null without any of them."""
     total, some = F.lit(0.0), F.lit(False)
     for i in (i for i, t in enumerate(terms) if t in own):
         total = total + _weight(F.col(f"__f{i}"), F.col("__n"), F.col(f"__d{i}"), F.col("__count"), F.col("__mean"))
         some = some | (F.col(f"__f{i}") > 0)
-    score = F.when(F.col("__ok") & some & (F.col("__candidates") > 0), total)
-    return counted.crossJoin(F.broadcast(sums)).select("chunk_id", score.alias("bm25"))  # one row of statistics
+    return F.when(F.col("__ok") & some & (F.col("__candidates") > 0), total)
+
+
+def scores(chunks: DataFrame, query: str | list[str], o: FilterOptions | None = None) -> DataFrame:
+    """(chunk_id, bm25), null for chunks without a term of the query (or of a list of terms)."""
+    own = query_terms(chunks, query) if isinstance(query, str) else query
+    if not own:
+        return chunks.where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
+    return with_statistics(counts(chunks, own, o), own).select("chunk_id", score_of(own, own).alias("bm25"))
 
 
-def top(chunks: DataFrame, query: str | list[str], limit: int, o: FilterOptions | None = None, beside: Sequence[str] = ()) -> DataFrame:
+def top(chunks: DataFrame, query: str | list[str], limit: int, o: FilterOptions | None = None) -> DataFrame:
     """The ``limit`` best chunks, with ``bm25``, ties by id."""
-    best = scores(chunks, query, o, beside).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc_nulls_last("bm25"), "chunk_id").limit(limit).where("bm25 is not null")
+    best = scores(chunks, query, o).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc_nulls_last("bm25"), "chunk_id").limit(limit).where("bm25 is not null")
     return chunks.join(F.broadcast(best), "chunk_id").orderBy(F.desc("bm25"), "chunk_id")  # at most a limit of rows
 
 

@@ -44,3 +44,11 @@ def filtered(chunks: DataFrame, o: FilterOptions) -> DataFrame:
         wanted = chunks.sparkSession.createDataFrame([(x,) for x in sorted(set(o.files))], "relative_path string")
         out = out.join(wanted, "relative_path", "left_semi")
     return out
+
+
+def marked(chunks: DataFrame, o: FilterOptions, name: str) -> DataFrame:
+    """All chunks, with whether they pass as a column."""
+    if len(o.files) <= LONG_LIST:
+        return chunks.withColumn(name, predicate(o))
+    wanted = chunks.sparkSession.createDataFrame([(x, True) for x in sorted(set(o.files))], f"relative_path string, `{name}` boolean")
+    return chunks.join(wanted, "relative_path", "left").withColumn(name, predicate(o) & F.coalesce(F.col(name), F.lit(False)))

@@ -3,36 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import substance
-from ..functions.vector import clamp01
+from ..functions.vector import clamp01, cosine_constant, usable
 from ..options import FilterOptions, SearchOptions, fetch_size
 from ..schema import RESULT_COLUMNS
 from . import bm25, vector_search
 
 Embed = Callable[[str], Sequence[float]]
 
+#: Queries of a batch that share a scan; a plan grows with them.
+TOGETHER = 16
+
+
+def fused(weights: tuple[float, float]) -> Column:
+    """The score of a row (cosine, bm25, substance, __best) of which either side can be missing."""
+    vector, text = weights
+    of_text = F.when(F.col("__best") > 0, F.col("bm25") / F.col("__best") * F.col("substance"))
+    return F.round(F.lit(vector) * F.coalesce(clamp01(F.col("cosine")), F.lit(0.0)) + F.lit(text) * F.coalesce(of_text, F.lit(0.0)), 6)
+
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, weights: tuple[float, float], limit: int) -> DataFrame:
     """(chunk_id, score, cosine, bm25) from hits (chunk_id, cosine) and (chunk_id, bm25, substance).
     Text scores count against the best of the text hits and are damped for chunks with little in
     them. Both sides are bounded by the fetch size, so the outer join is tiny."""
-    vector, text = weights
     best = text_hits.agg(F.max("bm25").alias("__best"))
     met = vector_hits.join(text_hits, "chunk_id", "full_outer").crossJoin(F.broadcast(best))  # one row
-    of_text = F.when(F.col("__best") > 0, F.col("bm25") / F.col("__best") * F.col("substance"))
-    score = F.lit(vector) * F.coalesce(clamp01(F.col("cosine")), F.lit(0.0)) + F.lit(text) * F.coalesce(of_text, F.lit(0.0))
-    return met.select("chunk_id", F.round(score, 6).alias("score"), "cosine", "bm25").orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return met.select("chunk_id", fused(weights).alias("score"), "cosine", "bm25").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def hybrid(chunks: DataFrame, vector: Sequence[float], query: str | list[str], o: SearchOptions, beside: Sequence[str] = ()) -> DataFrame:
+def hybrid(chunks: DataFrame, vector: Sequence[float], query: str | list[str], o: SearchOptions) -> DataFrame:
     """(chunk_id, score, cosine, bm25), best first. ``query`` may be a list of terms."""
     n = fetch_size(o.top)
     by_vector = vector_search.top(chunks, vector, n, o.filters).select("chunk_id", "cosine")
-    by_text = bm25.top(chunks, query, n, o.filters, beside).select("chunk_id", "bm25", substance(F.col("content")).alias("substance"))
+    by_text = bm25.top(chunks, query, n, o.filters).select("chunk_id", "bm25", substance(F.col("content")).alias("substance"))
     return fuse(by_vector, by_text, o.weights, o.top)
 
 
@@ -156,15 +164,37 @@ def deduplicated(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def _ranked(rows: DataFrame, best: str, limit: int, *groups: str) -> DataFrame:
+    """The first ``limit`` of each group by a column, ties by id; each task sends on no more than that."""
+    order = Window.partitionBy(*groups).orderBy(F.desc(best), "chunk_id")
+    return rows.where(F.col(best).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def _together(chunks: DataFrame, asked: Sequence[tuple[int, Sequence[float], list[str]]], o: SearchOptions) -> DataFrame:
+    """(query_no, rank, chunk_id, score) of hybrid searches (number, vector, terms): one scan tokenises
+    each text once and works out all cosines, and one window finds the best of both sides."""
+    terms = sorted({t for _, _, own in asked for t in own})
+    cosines = [F.when(F.col("__ok") & usable(F.col("embedding"), len(v)), F.round(cosine_constant("embedding", v), 6)) for _, v, _ in asked]
+    counted = bm25.counts(chunks, terms, o.filters, F.array(substance(F.col("content")), *cosines).alias("__x"))
+    # the statistics look at __x as well, or the two uses of the exchange would differ and both be computed
+    wide = bm25.with_statistics(counted, terms, F.count_if(F.size("__x") > 0).alias("__rows")).where("__rows > 0")
+    scores = wide.select("chunk_id", "__x", *[F.round(bm25.score_of(own, terms), 6).alias(f"__b{j}") for j, (_, _, own) in enumerate(asked)])
+    sides = [F.struct(F.lit(no).alias("query_no"), F.lit(side).alias("side"), value.alias("value"))
+             for j, (no, _, _) in enumerate(asked) for side, value in enumerate((F.get("__x", F.lit(j + 1)), F.col(f"__b{j}")))]
+    rows = scores.select("chunk_id", F.get("__x", F.lit(0)).alias("substance"), F.explode(F.array(*sides)).alias("q")).select("chunk_id", "substance", "q.*")
+    best = _ranked(rows, "value", fetch_size(o.top), "query_no", "side")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
+    met = best.groupBy("query_no", "chunk_id").agg(of(0).alias("cosine"), of(1).alias("bm25"), F.max("substance").alias("substance"))
+    met = met.withColumn("__best", F.max("bm25").over(Window.partitionBy("query_no")))
+    return _ranked(met.withColumn("score", fused(o.weights)), "score", o.top, "query_no").select("query_no", "rank", "chunk_id", "score")
+
+
 def batch(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], o: SearchOptions, dedup: bool = True) -> DataFrame:
-    """(query_no, rank, chunk_id, score) of hybrid searches, in the order of the queries."""
+    """(query_no, rank, chunk_id, score) of hybrid searches, in the order of the queries; a scan for
+    every ``TOGETHER`` of them."""
     if not queries:
         raise ValueError("no queries")
     terms = bm25.terms_of(chunks.sparkSession, [text for text, _ in queries])
-    every = sorted({t for own in terms for t in own})
-    rank = F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id"))
-    out = None
-    for no, ((_, vector), own) in enumerate(zip(queries, terms, strict=True)):
-        hits = hybrid(chunks, vector, own, o, every).withColumn("query_no", F.lit(no)).withColumn("rank", rank).select("query_no", "rank", "chunk_id", "score")
-        out = hits if out is None else out.unionByName(hits)
+    asked = [(no, vector, own) for no, ((_, vector), own) in enumerate(zip(queries, terms, strict=True))]
+    out = reduce(DataFrame.unionByName, (_together(chunks, asked[i:i + TOGETHER], o) for i in range(0, len(asked), TOGETHER)))
     return deduplicated(out) if dedup else out

@@ -118,6 +118,21 @@ def test_batches_keep_the_first_query(chunks):
     assert search.batch(chunks, [("storage", v), ("storage", v)], SearchOptions(limit=2), dedup=False).count() == 4
 
 
+@pytest.mark.parametrize("together", [16, 2])
+@pytest.mark.parametrize("filters", [{}, {"project_root": "/a"}, {"files": (*(f"f{i}" for i in range(2000)), "storage.ts", "lib/x_test.go")}, {"project_root": "/none"}])
+def test_batches_equal_single_searches(chunks, monkeypatch, together, filters):
+    monkeypatch.setattr(search, "TOGETHER", together)
+    o = SearchOptions(limit=3, text_weight=0.4, filters=FilterOptions(**filters))
+    asked = [("storage schema", [1.0, 0, 0, 0, 0, 0, 0, 0]), ("?!", [0.0, 0, 1, 0, 0, 0, 0, 0.5]), ("add elsewhere", [0.0, 1, 1, 0, 0, 0, 0, 0])]
+    got = [tuple(r) for r in search.batch(chunks, asked, o, dedup=False).orderBy("query_no", "rank").select("query_no", "chunk_id", "score").collect()]
+    assert got == [(no, r.chunk_id, r.score) for no, (text, v) in enumerate(asked) for r in search.hybrid(chunks, v, text, o).collect()]
+
+
+def test_long_lists_of_files_bind_keywords_too(chunks):
+    o = FilterOptions(files=(*(f"f{i}" for i in range(2000)), "schemas.ts"))
+    assert [r.chunk_id for r in bm25.top(chunks, "storage", 5, o).collect()] == [2]
+
+
 def test_bm25_index_agrees_with_scan(chunks):
     direct = [tuple(r) for r in bm25.top(chunks, "storage schema", 5).select("chunk_id", "bm25").collect()]
     stored = [tuple(r) for r in bm25.top_indexed(bm25.postings(chunks), bm25.length_stats(chunks), "storage schema", 5).collect()]
