@@ -13,8 +13,7 @@ fingerprints are cut into blocks of fingerprints whose pairs are compared block
 task gives back a spanning forest of the links it finds, never all pairs.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; rows that share
-an id are separate rows of the same id; other columns are ignored by ``components_of`` and kept by
-``keep_first``; an empty table gives an empty result.
+an id are separate rows of the same id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -222,10 +221,3 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = materialize(met.join(least, "root").select("fp", "component_id"), "simhash-components")
     discard(classes)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows with a null id stay."""
-    found = components_of(docs, id_col, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import components, decontaminate, langid, mixing, pii, quality, secrets, simhash, substring_dedup, warc
+from lodestrata.llm import components, decontaminate, langid, mixing, near_copies, pii, quality, secrets, simhash, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum " * 30_000
@@ -589,11 +589,11 @@ def test_poisson_counts(spark):
 
 @pytest.mark.parametrize("run", [
     pii.detect, secrets.detect, simhash.components_of, langid.identify, quality.judge, substring_dedup.dedup, mixing.replicate,
-    pii.redact, quality.keep, simhash.keep_first,
+    pii.redact, quality.keep, near_copies.keep_first,
 ], ids=lambda f: f"{f.__module__}.{f.__name__}")
 def test_edge_cases(run, edges, empty):
     found = run(edges).collect()
-    keeps = run in (quality.keep, simhash.keep_first, mixing.replicate)
+    keeps = run in (quality.keep, near_copies.keep_first, mixing.replicate)
     assert keeps or len(found) == len(EDGES)
     assert run(empty).count() == 0
 
