@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,24 @@ def text_groups(batches: Iterator[pa.RecordBatch], text_at: int, most: int = GRO
                 group, first, held = [], i + 1, 0
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Batches sorted by their column ``key`` as tables of about ``least`` rows, none of which ends
+    within the rows of a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

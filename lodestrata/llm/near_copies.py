@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_groups, whole_rows
+from .common import discard, key_runs, materialize, text_groups, whole_rows
 from .components import components
 from .simhash import STEP, WIDE, _forest, indices
 
@@ -162,23 +162,9 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         keys = keys.join(wide, "key", "left").select("key", "node", *names, part).withColumn("key", F.col("key").bitwiseOR(F.col("part"))).drop("part")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < STEP:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if cut:
-                yield linked(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield linked(pa.Table.from_batches(held))
-
-    def linked(table: pa.Table) -> pa.RecordBatch:
-        fp = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-        return _linked(table.column("key").to_numpy(), table.column("node").to_numpy(), fp, distance)
+        for table in key_runs(batches, STEP):
+            fp = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+            yield _linked(table.column("key").to_numpy(), table.column("node").to_numpy(), fp, distance)
 
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, key_runs, materialize
 from .components import components
 
 SHINGLE = 3
@@ -157,15 +157,12 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndar
 
 
 def _linked(table: pa.Table, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among rows that share key and part."""
+    """A spanning forest of the links among rows that share a key; rows come sorted by key."""
     key = table.column("key").to_numpy()
     fp = table.column("fp").to_numpy().view(np.uint64)
-    part = table.column("part").to_numpy()
-    by = np.lexsort((fp, part, key))
-    key, fp, part = key[by], fp[by], part[by]
     nodes, node = np.unique(fp, return_inverse=True)
     parent = np.arange(len(nodes))
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(key)))
     left = np.repeat(size - 1, size) - (np.arange(len(key)) - np.repeat(begin, size))  # rows of the run that follow
@@ -193,22 +190,20 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     keys = fps.select("fp").mapInArrow(emit, "key long, fp long")
     wide = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {WIDE}"), "wide-keys")
-    if wide.isEmpty():
-        sided = keys.withColumn("part", F.lit(0))
-    else:
-        # a block per WIDE/2 fingerprints; each pair of blocks is a part that holds both
+    if not wide.isEmpty():
+        # a block per WIDE/2 fingerprints; each pair of blocks is a part that holds both, told apart above the key's 31 bits
         blocks = F.ceil(F.col("n") * 2 / WIDE)
         mine = F.pmod(F.xxhash64("fp"), blocks)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: (F.least(mine, j) * blocks + F.greatest(mine, j)).cast("int"))
-        sided = keys.join(wide, "key", "left").select("key", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.shiftleft(F.least(mine, j) * blocks + F.greatest(mine, j), 32))
+        part = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part")
+        keys = keys.join(wide, "key", "left").select("key", "fp", part).select(F.col("key").bitwiseOR(F.col("part")).alias("key"), "fp")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            a, b = _linked(pa.Table.from_batches(held), distance)
+        for table in key_runs(batches, STEP):
+            a, b = _linked(table, distance)
             yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
-    return sided.repartition("key", "part").mapInArrow(join, "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
