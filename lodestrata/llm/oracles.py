@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, secrets
+from . import decontaminate, mixing, pii, secrets, topk
 
 
 def _spans_sql(kind: str, rank: int, pattern: str, keep: str, group: int = 0) -> str:
@@ -128,4 +128,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
-ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql()}
+def _topk_sql() -> str:
+    return f"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, CAST([floor({topk.SCALE} * CAST(x AS DOUBLE)) for x in embedding] AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, c.r, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % {topk.QUERY_EVERY} = 0 AND q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS rank FROM pairs) WHERE rank <= {topk.K}"""
+
+
+ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql(), "op11_topk": _topk_sql()}

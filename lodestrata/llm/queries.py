@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm_scoring, mixing, pii, quality, secrets, simhash, substring_dedup, warc
+from . import decontaminate, langid, lm_scoring, mixing, pii, quality, secrets, simhash, substring_dedup, topk, warc
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -54,4 +54,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets, op11_topk)}
