@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, secrets, topk
+from . import decontaminate, mixing, pii, repair, secrets, topk
 
 
 def _spans_sql(kind: str, rank: int, pattern: str, keep: str, group: int = 0) -> str:
@@ -137,4 +137,51 @@ pairs AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, c.r, CAST(list_inner
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS rank FROM pairs) WHERE rank <= {topk.K}"""
 
 
-ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql(), "op11_topk": _topk_sql()}
+def _crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text, from the table of its polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    codes = f"[CAST(ascii(substr({text}, i, 1)) AS BIGINT) for i in range(1, length({text}) + 1)]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(CAST({table} AS BIGINT[])[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), 4294967295)"
+
+
+def _repair_sql() -> str:
+    moves = ", ".join(f"('{i}', {bool(g)}, {bool(t)}, {a}, {b}, {c}, '{w}')" for k, i in enumerate(["other", *repair.INITIALS], -1) for g in (0, 1) for t in (0, 1) for (a, b), (c, w) in repair.moves_of(k, bool(g), bool(t)).items())
+    opening = ", ".join(f"({s}, {c}, '{w}')" for s, c, w in repair.OPENING)
+    wanted = " ".join(f"WHEN {s} THEN '{repair.ROLE[w]}'" for s, w in repair.WANTED.items())
+    after = " ".join(f"WHEN p.state = {s} AND role[1] = '{w}' THEN {t}" for (s, w), t in repair.AFTER.items())
+    return f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+w AS (SELECT *, {_crc32('key')} % 20 AS what FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) FROM w WHERE what <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS n FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair FROM n),
+g AS (SELECT *, NOT blank AND again AS dup, NOT blank AND NOT again AND cut AS trunc, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'other' END AS initial FROM f),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE trunc) AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS size FROM g GROUP BY conv_id),
+moves(initial, gone, trunc, s, t, cost, audit) AS (VALUES {moves}), opening(s, cost, audit) AS (VALUES {opening}),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS p, s AS state, CAST(cost AS BIGINT) AS cost, audit FROM counts, opening
+  UNION ALL
+  SELECT conv_id, p, state, low.cost, low.audit FROM (
+    SELECT path.conv_id, path.p + 1 AS p, m.t AS state, min({{'cost': path.cost + m.cost, 'audit': path.audit || m.audit}}) AS low
+    FROM path JOIN g ON g.conv_id IS NOT DISTINCT FROM path.conv_id AND g.n = path.p + 1 JOIN moves m ON m.initial = g.initial AND m.gone = (g.blank OR g.dup) AND m.trunc = g.trunc AND m.s = path.state
+    GROUP BY path.conv_id, path.p, m.t)),
+best AS (SELECT conv_id, min({{'cost': path.cost, 'audit': path.audit}}) AS low FROM path JOIN counts USING (conv_id) WHERE p = size AND state IN ({repair.NONE}, {repair.ANSWERED}) GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, low.audit AS audit, 0 AS i, CAST(0 AS BIGINT) AS seen, {repair.NONE} AS state, CAST([] AS VARCHAR[]) AS lines FROM best
+  UNION ALL
+  SELECT conv_id, audit, i + 1, seen, CASE {after} ELSE p.state END, CASE WHEN role IS NULL THEN lines ELSE list_append(lines, role || ':' || text) END FROM (
+    SELECT k.conv_id, k.audit, k.i, k.state, k.lines, k.seen + CAST(k.audit[k.i + 1] <> 'I' AS BIGINT) AS seen,
+      CASE k.audit[k.i + 1] WHEN 'D' THEN NULL WHEN 'K' THEN g.role ELSE CASE k.state {wanted} END END AS role, CASE k.audit[k.i + 1] WHEN 'I' THEN '' ELSE g.text END AS text
+    FROM walk k JOIN g ON g.conv_id IS NOT DISTINCT FROM k.conv_id AND g.n = greatest(k.seen + CAST(k.audit[k.i + 1] <> 'I' AS BIGINT), 1) WHERE k.i < length(k.audit)) p)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(low.cost, 0) AS cost, coalesce(low.audit, '') AS audit,
+  sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM e.conv_id AND walk.i = length(walk.audit)"""
+
+
+ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql(), "op11_topk": _topk_sql(), "op12_conversation_repair": _repair_sql()}
