@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, repair, secrets, topk
+from . import decontaminate, mixing, pii, repair, secrets, topk, trie
 
 
 def _spans_sql(kind: str, rank: int, pattern: str, keep: str, group: int = 0) -> str:
@@ -184,4 +184,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts ON counts.c
 LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM e.conv_id AND walk.i = length(walk.audit)"""
 
 
-ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql(), "op11_topk": _topk_sql(), "op12_conversation_repair": _repair_sql()}
+def _trie_sql() -> str:
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, length(role) || ':' || length(text) || ':' || role || text AS said,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS k FROM c),
+v AS (SELECT conv_id, conv_id - conv_id % {trie.FAMILY} AS base, {_crc32('key')} % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS key FROM c)),
+r AS (SELECT v.conv_id, k, said, words FROM v JOIN t ON t.conv_id = v.base AND k <= h UNION ALL SELECT v.conv_id, k, said, words FROM v JOIN t ON t.conv_id = v.conv_id AND k > h),
+p AS (SELECT conv_id, row_number() OVER w AS d, list(said) OVER w AS path, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+m AS (SELECT conv_id, d, path, words, list_slice(path, 1, d - 1) AS up FROM p UNION ALL SELECT conv_id, 0, CAST([] AS VARCHAR[]), 0, NULL FROM v),
+n AS (SELECT path, max(d) AS depth, max(up) AS up, max(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM m GROUP BY path),
+kids AS (SELECT up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+full_n AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+under AS (SELECT DISTINCT a.path, b.path AS below FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (SELECT under.path, CAST(sum((f.n_convs - 1) * f.words) AS BIGINT) AS saved, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves FROM under JOIN full_n f ON f.path = under.below GROUP BY under.path),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM m) WHERE d = last GROUP BY path)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_n f JOIN sums s ON s.path = f.path LEFT JOIN n u ON f.depth > 0 AND u.path = f.up LEFT JOIN ends e ON e.path = f.path"""
+
+
+ORACLE = {"op8_decontamination": _decontamination_sql(), "op1_pii": _pii_sql(), "op9_mixing": mixing_sql(), "op10_secrets": _secrets_sql(), "op11_topk": _topk_sql(), "op12_conversation_repair": _repair_sql(), "op13_prefix_trie": _trie_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm_scoring, mixing, pii, quality, repair, secrets, simhash, substring_dedup, topk, warc
+from . import decontaminate, langid, lm_scoring, mixing, pii, quality, repair, secrets, simhash, substring_dedup, topk, trie, warc
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -62,4 +62,8 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_and_repaired(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets, op11_topk, op12_conversation_repair)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(_read(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_simhash, op4_langid, op5_substring_dedup, op6_quality, op7_warc, op8_decontamination, op9_mixing, op10_secrets, op11_topk, op12_conversation_repair, op13_prefix_trie)}
