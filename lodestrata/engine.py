@@ -143,17 +143,25 @@ class Engine:
 
     # ---- questions
 
+    def _own(self, o: SearchOptions) -> SearchOptions:
+        """The options, bound to this project; statistics are those of the whole store."""
+        return replace(o, filters=replace(o.filters, project_root=o.filters.project_root or self.project))
+
+    def train_cells(self, n_cells: int | None = None) -> dict:
+        """Have searches by vector read the nearest cells only (see ``operators.cells``); exact until then."""
+        return self.store.train_cells(n_cells)
+
     def _ready(self, mode: str) -> None:
         if mode != "keyword":
             self.store.check_profile(self.profile)
 
     def search(self, query: str, o: SearchOptions | None = None) -> tuple[DataFrame, list[str]]:
-        o = o or SearchOptions()
+        o = self._own(o or SearchOptions())
         self._ready(o.mode)
-        return search.search(self.chunks(), query, o, self.embedder.embed_query)
+        return search.search(self.store.read(), query, o, self.embedder.embed_query, self.store)
 
     def explain(self, query: str, o: SearchOptions | None = None) -> dict:
-        return search.explain(self.chunks(), query, o or SearchOptions(), self.embedder.embed_query)
+        return search.explain(self.store.read(), query, self._own(o or SearchOptions()), self.embedder.embed_query, self.store)
 
     def similar(self, target: str = "", text: str = "", limit: int = DEFAULT_LIMIT, **options) -> DataFrame:
         self._ready("semantic")
@@ -170,7 +178,7 @@ class Engine:
     def batch_search(self, queries: Sequence[str], o: SearchOptions | None = None, dedup: bool = True) -> DataFrame:
         self._ready("hybrid")
         o = o or SearchOptions(limit=BATCH_LIMIT)
-        return search.batch(self.chunks(), [(q, self.embedder.embed_query(q)) for q in queries], o, dedup)
+        return search.batch(self.store.read(), [(q, self.embedder.embed_query(q)) for q in queries], self._own(o), dedup, self.store)
 
     def investigate(self, query: str, affected: DataFrame, o: SearchOptions | None = None) -> DataFrame:
         """Search among the files that a symbol's change affects."""

@@ -90,6 +90,10 @@ def top(chunks: DataFrame, query: str | list[str], limit: int, o: FilterOptions
 # ---- the stored index
 
 
+def length(chunks: DataFrame) -> Column:
+    return F.size(tokens(searchable(chunks)))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, length): one row per term of a chunk."""
     counted = chunks.select("chunk_id", tokens(searchable(chunks)).alias("t")).select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
@@ -101,8 +105,7 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 
 def length_stats(chunks: DataFrame) -> DataFrame:
-    n = F.size(tokens(searchable(chunks)))
-    return chunks.select(n.alias("n")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_length"), F.max("n").alias("max_length"))
+    return chunks.select(length(chunks).alias("n")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_length"), F.max("n").alias("max_length"))
 
 
 def top_indexed(index: DataFrame, stats: DataFrame, query: str, limit: int) -> DataFrame:
@@ -115,3 +118,18 @@ def top_indexed(index: DataFrame, stats: DataFrame, query: str, limit: int) -> D
     weighed = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(one))  # as many rows as the query has terms; one row
     total = weighed.groupBy("chunk_id").agg(F.sum(_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("N"), F.col("mean_length"))).alias("bm25"))
     return total.withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "chunk_id").limit(limit)
+
+
+def scored(index: DataFrame, n_chunks: float, mean_length: float) -> DataFrame:
+    """(term, chunk_id, weight) from the postings of some terms and the whole store's statistics. The
+    frequency of a term is the number of its postings."""
+    df = index.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    return index.join(F.broadcast(df), "term").select("term", "chunk_id", _weight(F.col("tf"), F.col("length"), F.col("df"), F.lit(float(n_chunks)), F.lit(float(mean_length))).alias("weight"))
+
+
+def top_stored(index: DataFrame, n_chunks: float, mean_length: float, limit: int, candidates: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, bm25) of the ``limit`` best, from a query's postings; of ``candidates`` (chunk_id) only."""
+    weights = scored(index, n_chunks, mean_length)
+    if candidates is not None:
+        weights = weights.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
+    return weights.groupBy("chunk_id").agg(F.round(F.sum("weight"), 6).alias("bm25")).orderBy(F.desc("bm25"), "chunk_id").limit(limit)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,11 +15,24 @@ from ..functions.vector import clamp01, cosine_constant, usable
 from ..options import FilterOptions, SearchOptions, fetch_size
 from ..schema import RESULT_COLUMNS
 from . import bm25, vector_search
+from .filters import filtered
 
 Embed = Callable[[str], Sequence[float]]
 
 #: Queries of a batch that share a scan; a plan grows with them.
 TOGETHER = 16
+#: Hits up to so many are looked up by a list of ids, which prunes the scan, beyond that by a join.
+LISTED = 1000
+
+
+class Stored(Protocol):
+    """The indexes that a store keeps of its chunks (see ``sources.store.ChunkStore``)."""
+
+    def postings(self, terms: Sequence[str]) -> DataFrame: ...
+
+    def length_stats(self) -> tuple[int, float]: ...
+
+    def near(self, query: Sequence[float], probes: int | None = None) -> DataFrame | None: ...
 
 
 def fused(weights: tuple[float, float]) -> Column:
@@ -36,16 +51,52 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, weights: tuple[float, flo
     return met.select("chunk_id", fused(weights).alias("score"), "cosine", "bm25").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def hybrid(chunks: DataFrame, vector: Sequence[float], query: str | list[str], o: SearchOptions) -> DataFrame:
+def hybrid(chunks: DataFrame, vector: Sequence[float], query: str | list[str], o: SearchOptions, stored: Stored | None = None) -> DataFrame:
     """(chunk_id, score, cosine, bm25), best first. ``query`` may be a list of terms."""
     n = fetch_size(o.top)
-    by_vector = vector_search.top(chunks, vector, n, o.filters).select("chunk_id", "cosine")
-    by_text = bm25.top(chunks, query, n, o.filters).select("chunk_id", "bm25", substance(F.col("content")).alias("substance"))
+    by_vector = top_by_vector(chunks, vector, n, o.filters, stored).select("chunk_id", "cosine")
+    by_text = top_by_text(chunks, query, n, o.filters, stored).select("chunk_id", "bm25", substance(F.col("content")).alias("substance"))
     return fuse(by_vector, by_text, o.weights, o.top)
 
 
-def semantic(chunks: DataFrame, vector: Sequence[float], o: SearchOptions) -> DataFrame:
-    return vector_search.top(chunks, vector, o.top, o.filters).select("chunk_id", F.col("cosine").alias("score"), F.col("cosine").alias("distance"))
+def semantic(chunks: DataFrame, vector: Sequence[float], o: SearchOptions, stored: Stored | None = None) -> DataFrame:
+    return top_by_vector(chunks, vector, o.top, o.filters, stored).select("chunk_id", F.col("cosine").alias("score"), F.col("cosine").alias("distance"))
+
+
+def candidates(chunks: DataFrame, o: FilterOptions) -> DataFrame | None:
+    """(chunk_id) of what passes the filters; None if there are none."""
+    return None if o == FilterOptions() else filtered(chunks, o).select("chunk_id")
+
+
+def looked_up(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A bounded number of hits (chunk_id, ..) with the columns of their chunks. Their ids go to the
+    scan as a filter, so that row groups without any are passed over."""
+    rows = hits.collect()  # a limit of rows
+    local = hits.sparkSession.createDataFrame(rows, hits.schema)
+    near = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in rows])) if len(rows) <= LISTED else chunks
+    return near.join(F.broadcast(local), "chunk_id")
+
+
+def top_by_text(chunks: DataFrame, query: str | list[str], n: int, o: FilterOptions, stored: Stored | None = None) -> DataFrame:
+    """The ``n`` best chunks, with ``bm25``: from the stored postings of the query's terms if there are any."""
+    if stored is None:
+        return bm25.top(chunks, query, n, o)
+    terms = bm25.query_terms(chunks, query) if isinstance(query, str) else query
+    hits = bm25.top_stored(stored.postings(terms), *stored.length_stats(), n, candidates(chunks, o))
+    return looked_up(hits, chunks).orderBy(F.desc("bm25"), "chunk_id")
+
+
+def top_by_vector(chunks: DataFrame, vector: Sequence[float], n: int, o: FilterOptions, stored: Stored | None = None) -> DataFrame:
+    """The ``n`` best chunks, with ``cosine``: of the cells nearest to the vector if the store has cells
+    and they hold enough candidates, else of all."""
+    near = None if stored is None else stored.near(vector)
+    if near is not None:
+        wanted = candidates(chunks, o)
+        rows = near if wanted is None else near.join(wanted, "chunk_id", "left_semi")
+        hits = vector_search.top(rows, vector, n).select("chunk_id", "cosine").collect()  # a limit of rows
+        if len(hits) == n:
+            return chunks.sparkSession.createDataFrame(hits, "chunk_id long, cosine double").orderBy(F.desc("cosine"), "chunk_id")
+    return vector_search.top(chunks, vector, n, o)
 
 
 def normalised(hits: DataFrame) -> DataFrame:
@@ -55,8 +106,8 @@ def normalised(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.when(best > 0, F.round(F.col("bm25") / best, 6)).otherwise(F.lit(0.0))).withColumn("distance", F.col("bm25"))
 
 
-def keyword(chunks: DataFrame, query: str, o: SearchOptions) -> DataFrame:
-    return normalised(bm25.top(chunks, query, o.top, o.filters)).select("chunk_id", "score", "distance")
+def keyword(chunks: DataFrame, query: str, o: SearchOptions, stored: Stored | None = None) -> DataFrame:
+    return normalised(top_by_text(chunks, query, o.top, o.filters, stored)).select("chunk_id", "score", "distance")
 
 
 def with_min_score(hits: DataFrame, least: float) -> DataFrame:
@@ -66,13 +117,13 @@ def with_min_score(hits: DataFrame, least: float) -> DataFrame:
 def results(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with the columns of their chunks, best first."""
     have = hits if "distance" in hits.columns else hits.withColumn("distance", F.col("score"))
-    wide = chunks.join(F.broadcast(have.select("chunk_id", "score", "distance")), "chunk_id")  # at most a limit of rows
+    wide = looked_up(have.select("chunk_id", "score", "distance"), chunks)
     return wide.select(*[c for c in RESULT_COLUMNS if c in wide.columns]).orderBy(F.desc("score"), "chunk_id")
 
 
-def search(chunks: DataFrame, query: str, o: SearchOptions, embed: Embed | None) -> tuple[DataFrame, list[str]]:
+def search(chunks: DataFrame, query: str, o: SearchOptions, embed: Embed | None, stored: Stored | None = None) -> tuple[DataFrame, list[str]]:
     """Hits with chunk columns, and warnings. A hybrid search whose embedder fails goes on with
-    keywords and says so; a semantic one fails."""
+    keywords and says so; a semantic one fails. With ``stored`` indexes no text is tokenised."""
     if not query.strip():
         raise ValueError("empty query")
     warnings: list[str] = []
@@ -87,21 +138,28 @@ def search(chunks: DataFrame, query: str, o: SearchOptions, embed: Embed | None)
                 raise
             warnings.append(f"embedding failed, keywords only: {error}")
     if o.mode == "semantic":
-        hits = semantic(chunks, vector, o)
+        hits = semantic(chunks, vector, o, stored)
     elif vector is None:
-        hits = keyword(chunks, query, o)
+        hits = keyword(chunks, query, o, stored)
     else:
-        hits = hybrid(chunks, vector, query, o)
+        hits = hybrid(chunks, vector, query, o, stored)
     return results(with_min_score(hits, o.min_score), chunks), warnings
 
 
-def explain(chunks: DataFrame, query: str, o: SearchOptions, embed: Embed | None) -> dict:
-    """The plan of a search in the mode that was asked for, and how many chunks its filters leave."""
-    from .filters import filtered
-
-    found, warnings = search(chunks, query, o, embed)
+def explain(chunks: DataFrame, query: str, o: SearchOptions, embed: Embed | None, stored: Stored | None = None) -> dict:
+    """A search in the mode that was asked for: its plan, how many chunks its filters leave, how many
+    vectors and postings it looked at, how many hits came back and in how many seconds."""
+    begin = time.perf_counter()
+    found, warnings = search(chunks, query, o, embed, stored)
+    n = found.count()
+    seconds = time.perf_counter() - begin
+    left = filtered(chunks, o.filters).count()
+    by_text, by_vector = o.mode != "semantic", o.mode != "keyword" and not warnings
+    near = stored.near(embed(query)) if stored is not None and by_vector else None
     plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return {"mode": o.mode, "index": "exact", "candidates": filtered(chunks, o.filters).count(), "plan": plan, "warnings": warnings}
+    return {
+        "mode": o.mode, "index": "exact" if near is None else "cells", "candidates": left, "hits": n, "seconds": round(seconds, 3), "warnings": warnings, "plan": plan,
+        "vectors": 0 if not by_vector else left if near is None else near.count(), "postings": stored.postings(bm25.query_terms(chunks, query)).count() if stored is not None and by_text else 0}
 
 
 # ---- similar chunks
@@ -189,12 +247,33 @@ def _together(chunks: DataFrame, asked: Sequence[tuple[int, Sequence[float], lis
     return _ranked(met.withColumn("score", fused(o.weights)), "score", o.top, "query_no").select("query_no", "rank", "chunk_id", "score")
 
 
-def batch(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], o: SearchOptions, dedup: bool = True) -> DataFrame:
+def _together_stored(chunks: DataFrame, asked: Sequence[tuple[int, Sequence[float], list[str]]], o: SearchOptions, stored: Stored) -> DataFrame:
+    """As ``_together`` for any number of queries: one read of all their terms' postings, and vectors in blocks
+    of queries. The plan does not grow with them."""
+    spark = chunks.sparkSession
+    n = fetch_size(o.top)
+    wanted = candidates(chunks, o.filters)
+    words = spark.createDataFrame([(no, t) for no, _, own in asked for t in own], "query_no int, term string")
+    weights = bm25.scored(stored.postings(sorted({t for _, _, own in asked for t in own})), *stored.length_stats())
+    weights = weights if wanted is None else weights.join(wanted, "chunk_id", "left_semi")
+    scored = weights.join(F.broadcast(words), "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("bm25"))
+    by_text = _ranked(scored, "bm25", n, "query_no").drop("rank")
+    vectors = spark.createDataFrame([(no, [float(x) for x in v]) for no, v, _ in asked], "query_id int, embedding array<double>")
+    by_vector = vector_search.nearest(vectors, filtered(chunks, o.filters), n).select(F.col("query_id").cast("int").alias("query_no"), "chunk_id", "cosine")
+    met = by_text.join(by_vector, ["query_no", "chunk_id"], "full_outer").join(chunks.select("chunk_id", substance(F.col("content")).alias("substance")), "chunk_id")
+    met = met.withColumn("__best", F.max("bm25").over(Window.partitionBy("query_no")))
+    return _ranked(met.withColumn("score", fused(o.weights)), "score", o.top, "query_no").select("query_no", "rank", "chunk_id", "score")
+
+
+def batch(chunks: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], o: SearchOptions, dedup: bool = True, stored: Stored | None = None) -> DataFrame:
     """(query_no, rank, chunk_id, score) of hybrid searches, in the order of the queries; a scan for
-    every ``TOGETHER`` of them."""
+    every ``TOGETHER`` of them, or one read of stored postings for all."""
     if not queries:
         raise ValueError("no queries")
     terms = bm25.terms_of(chunks.sparkSession, [text for text, _ in queries])
     asked = [(no, vector, own) for no, ((_, vector), own) in enumerate(zip(queries, terms, strict=True))]
-    out = reduce(DataFrame.unionByName, (_together(chunks, asked[i:i + TOGETHER], o) for i in range(0, len(asked), TOGETHER)))
+    if stored is not None:
+        out = _together_stored(chunks, asked, o, stored)
+    else:
+        out = reduce(DataFrame.unionByName, (_together(chunks, asked[i:i + TOGETHER], o) for i in range(0, len(asked), TOGETHER)))
     return deduplicated(out) if dedup else out

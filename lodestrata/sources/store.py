@@ -1,23 +1,57 @@
-"""Tables as generations of Parquet behind a pointer.
-
-A change writes the next generation beside the current one and then replaces a small JSON file, so
-readers see the old state or the new one and a failed writer leaves the old one in force. State that
-outlives a change (a dirty mark, receipts, the embedding profile) stands in the same file.
+"""The chunks of all projects as immutable segments behind a pointer, with the indexes that go with them.
+
+A change writes one generation: a segment of new rows and a list of the rows that are dead from now on.
+Then it replaces a small JSON file, the pointer, so readers see the old state or the new one and a failed
+writer leaves the old one in force. What is written follows the change, not the table:
+
+    chunks/gen=G/bucket=B     rows by a hash of their file
+    postings/gen=G/part=P     (term, chunk_id, tf, length), by a hash of the term and sorted by it
+    vectors/gen=G/cell=C      (chunk_id, embedding), if cells have been trained
+    dead/gen=G                (chunk_id, at): of older generations than ``at`` these rows are gone
+
+A row is live unless a later generation has it among the dead, so an id can come back with new content.
+Segments of like size are merged four at a time (and all of them once a third of the rows is dead), so a row
+is rewritten a logarithmic number of times. Counts that BM25 needs stand in the pointer. So does the rest of
+the state: marks, receipts, the embedding profile, branches (lists of segments, nothing is copied) and the
+ledger of batches that streams have applied. Two generations back stay readable.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import chunk_key
+from ..operators import bm25, cells
 from ..schema import CHUNK_SCHEMA
 
+#: Hash buckets of files and of terms.
+BUCKETS = 32
+PARTS = 32
+#: Segments of one size class that are merged, the factor between classes, and the share of dead rows that
+#: has everything merged.
+MERGE, FACTOR, DEAD_SHARE = 4, 4, 1 / 3
+#: Dead rows up to so many (16 bytes each; the pointer has their number) go to a scan by broadcast.
+BROADCAST_DEAD = 1_000_000
+#: Generations that stay readable after they are no longer current.
+KEEP = 2
+
+STORED = T.StructType([*CHUNK_SCHEMA.fields, T.StructField("n_tokens", T.IntegerType()), T.StructField("gen", T.LongType()), T.StructField("bucket", T.IntegerType())])
+POSTINGS = "term string, chunk_id long, tf long, length int, gen long, part int"
+VECTORS = "chunk_id long, embedding array<float>, gen long, cell int"
+DEAD = "chunk_id long, n_tokens int, at long, gen long"
+EMPTY = {
+    "generation": -1, "last_id": 0, "segments": [], "dead": [], "live": {"chunks": 0, "tokens": 0}, "cells": None, "dirty": [], "profile": None, "receipts": {}, "ledger": {}, "branches": {}, "retired": []}
+
 
 class Files:
     """Small files in any file system that Spark reads."""
@@ -76,28 +110,167 @@ class ChunkStore:
     @property
     def state(self) -> dict:
         name = f"{self.path}/pointer.json"
-        return json.loads(self.files.read(name)) if self.files.exists(name) else {"generation": -1, "dirty": [], "profile": None, "receipts": {}}
+        return EMPTY | json.loads(self.files.read(name)) if self.files.exists(name) else dict(EMPTY)
 
     def _save(self, state: dict) -> None:
         self.files.write(f"{self.path}/pointer.json", json.dumps(state, sort_keys=True))
 
+    # ---- reading
+
+    def _table(self, folder: str, schema, gens: Sequence[int]) -> DataFrame:
+        if not gens:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.path}/{folder}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/gen={g}" for g in gens])
+
+    def _live(self, rows: DataFrame, state: dict) -> DataFrame:
+        """Rows (chunk_id, gen, ..) that no later generation has among its dead."""
+        gens = [s["gen"] for s in state["segments"]]
+        lists = [d for d in state["dead"] if gens and d["gen"] > min(gens)]
+        if not lists:
+            return rows
+        dead = self._table("dead", DEAD, [d["gen"] for d in lists]).select(F.col("chunk_id").alias("__c"), F.col("at").alias("__at"))
+        if sum(d["rows"] for d in lists) <= BROADCAST_DEAD:
+            dead = F.broadcast(dead)
+        return rows.join(dead, (F.col("chunk_id") == F.col("__c")) & (F.col("gen") < F.col("__at")), "left_anti")
+
+    def _stored(self, state: dict | None = None, only: Sequence[dict] | None = None) -> DataFrame:
+        state = state or self.state
+        return self._live(self._table("chunks", STORED, [s["gen"] for s in (state["segments"] if only is None else only)]), state)
+
     def read(self) -> DataFrame:
-        n = self.state["generation"]
-        if n < 0:
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/chunks/gen={n}")
+        return self._stored().select(*CHUNK_SCHEMA.names)
 
-    def _commit(self, rows: DataFrame, keep: int = 2) -> None:
+    def postings(self, terms: Sequence[str]) -> DataFrame:
+        """(term, chunk_id, tf, length) of live chunks: of every segment only the terms' parts are read."""
+        state = self.state
+        parts = {part_of(t) for t in terms}
+        rows = self._table("postings", POSTINGS, [s["gen"] for s in state["segments"]]).where(F.col("part").isin(sorted(parts)) & F.col("term").isin(list(terms)))
+        return self._live(rows, state).select("term", "chunk_id", "tf", "length")
+
+    def length_stats(self) -> tuple[int, float]:
+        """How many chunks there are, and how many tokens they have on average."""
+        live = self.state["live"]
+        return live["chunks"], live["tokens"] / live["chunks"] if live["chunks"] else 0.0
+
+    def near(self, query: Sequence[float], probes: int | None = None) -> DataFrame | None:
+        """(chunk_id, embedding) of the live chunks in the cells nearest to a query; None if no cells
+        have been trained for vectors of its length."""
+        state = self.state
+        found = self._centroids(state)
+        if found is None or found.shape[1] != len(query) or not np.any(query):
+            return None
+        wanted = cells.nearest_cells(found, np.asarray(query, np.float64), probes or state["cells"]["probes"])
+        rows = self._table("vectors", VECTORS, [s["gen"] for s in state["segments"]]).where(F.col("cell").isin(wanted))
+        return self._live(rows, state).select("chunk_id", "embedding")
+
+    # ---- writing
+
+    def _write(self, rows: DataFrame, gen: int, state: dict) -> dict:
+        """A segment with its postings and vectors."""
+        for folder in ("chunks", "postings", "vectors", "dead"):
+            if self.files.exists(old := f"{self.path}/{folder}/gen={gen}"):
+                self.files.delete(old)  # of a writer that broke off
+        full = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
+        full = full.withColumn("n_tokens", bm25.length(full)).withColumn("bucket", _bucket(F.col("project_root"), F.col("relative_path")))
+        full.repartitionByRange("bucket", "chunk_id").sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").parquet(f"{self.path}/chunks/gen={gen}")
+        back = self._table("chunks", STORED, [gen])
+        n, tokens = back.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+        if n:
+            own = bm25.postings(back).withColumn("part", _part(F.col("term")))
+            own.repartitionByRange("part", "term", "chunk_id").sortWithinPartitions("part", "term", "chunk_id").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
+            if state["cells"]:
+                dealt = cells.assigned(back.select("chunk_id", "embedding"), self._centroids(state))
+                dealt.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id").write.partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")
+        return {"gen": gen, "rows": n, "tokens": tokens or 0}
+
+    def _commit(self, rows: DataFrame | None, dead: DataFrame | None, **changes) -> None:
+        """One generation: new rows (with ids), and (chunk_id, n_tokens) of those that go."""
+        state = self.state
+        gen = state["generation"] + 1
+        new = self._write(rows, gen, state) if rows is not None else {"gen": gen, "rows": 0, "tokens": 0}
+        gone = {"gen": gen, "rows": 0, "tokens": 0}
+        if dead is not None:
+            dead.select("chunk_id", "n_tokens", F.lit(gen).cast("long").alias("at")).write.mode("overwrite").parquet(f"{self.path}/dead/gen={gen}")
+            n, tokens = self._table("dead", DEAD, [gen]).agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+            gone |= {"rows": n, "tokens": tokens or 0}
+        if self.state["generation"] != gen - 1:
+            raise SupersededError("another change was made meanwhile")
+        live = {"chunks": state["live"]["chunks"] + new["rows"] - gone["rows"], "tokens": state["live"]["tokens"] + new["tokens"] - gone["tokens"]}
+        segments = state["segments"] + [new] * bool(new["rows"])
+        lists = state["dead"] + [{"gen": gen, "rows": gone["rows"]}] * bool(gone["rows"])
+        self._save(state | {"generation": gen, "segments": segments, "dead": lists, "live": live, "last_id": max(state["last_id"], changes.pop("last_id", 0))} | changes)
+        self._merge(self._due())
+
+    def _due(self) -> list[dict]:
+        """The segments that it is time to merge."""
         state = self.state
-        n = state["generation"] + 1
-        target = f"{self.path}/chunks/gen={n}"
-        if self.files.exists(target):
-            self.files.delete(target)  # of a writer that broke off
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA]).write.parquet(target)
-        self._save(state | {"generation": n})
-        old = f"{self.path}/chunks/gen={n - keep}"
-        if n >= keep and self.files.exists(old):
-            self.files.delete(old)
+        segments = state["segments"]
+        if sum(d["rows"] for d in state["dead"]) > DEAD_SHARE * sum(s["rows"] for s in segments):
+            return segments
+        size = lambda s: int(math.log(max(s["rows"], 1), FACTOR))
+        for level in sorted({size(s) for s in segments}):
+            if sum(size(s) == level for s in segments) >= MERGE:
+                return [s for s in segments if size(s) <= level]
+        return []
+
+    def _merge(self, old: list[dict]) -> None:
+        """Rewrite the live rows of some segments as one, in a generation of its own."""
+        if not old:
+            return
+        state = self.state
+        gen = state["generation"] + 1
+        new = self._write(self._stored(state, old), gen, state)
+        gens = {s["gen"] for s in old}
+        left = [s for s in state["segments"] if s["gen"] not in gens]
+        lists = []
+        if left and state["dead"]:  # what is dead among the segments that stay
+            kept = self._table("dead", DEAD, [d["gen"] for d in state["dead"]]).where(F.col("at") > min(s["gen"] for s in left)).select("chunk_id", "n_tokens", "at")
+            kept.coalesce(max(1, sum(d["rows"] for d in state["dead"]) // BROADCAST_DEAD)).write.mode("overwrite").parquet(f"{self.path}/dead/gen={gen}")
+            lists = [{"gen": gen, "rows": n}] * bool(n := self._table("dead", DEAD, [gen]).count())
+        self._save(state | {"generation": gen, "segments": left + [new] * bool(new["rows"]), "dead": lists, "retired": state["retired"] + [[g, gen] for g in sorted(gens | {d["gen"] for d in state["dead"]})]})
+        self._collect_garbage()
+
+    def _collect_garbage(self) -> None:
+        """Delete generations that neither a reader of late, nor a branch, nor the pointer needs."""
+        state = self.state
+        used = lambda s: {x["gen"] for x in [*s["segments"], *s["dead"]]}
+        held = used(state).union(*map(used, state["branches"].values()))
+        due = [g for g, since in state["retired"] if since + KEEP <= state["generation"] and g not in held]
+        for g in due:
+            for folder in ("chunks", "postings", "vectors", "dead"):
+                if self.files.exists(path := f"{self.path}/{folder}/gen={g}"):
+                    self.files.delete(path)
+        if due:
+            self._save(state | {"retired": [x for x in state["retired"] if x[0] not in due]})
+
+    def compact(self) -> None:
+        """Merge everything now."""
+        self._merge(self.state["segments"])
+
+    # ---- cells
+
+    def _centroids(self, state: dict) -> np.ndarray | None:
+        if not state["cells"]:
+            return None
+        if getattr(self, "_known", (None,))[0] != state["cells"]["name"]:
+            rows = self.spark.read.schema("cell int, centroid array<double>").parquet(f"{self.path}/cells/{state['cells']['name']}").orderBy("cell").collect()  # cells.MOST at most
+            self._known = (state["cells"]["name"], np.array([r["centroid"] for r in rows]))
+        return self._known[1]
+
+    def train_cells(self, n_cells: int | None = None, **options) -> dict:
+        """Learn cells from a bounded sample of the vectors and store every vector by its cell; a later
+        call learns them anew. Returns what was learnt: cells, probes, recall on the sample."""
+        state = self.state
+        centroids, facts = cells.train(self._stored(state).select("chunk_id", "embedding"), state["live"]["chunks"], n_cells, **options)
+        if centroids is None:
+            self._save(state | {"cells": None})
+            return facts
+        name = uuid.uuid4().hex
+        self.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{self.path}/cells/{name}")
+        self._save(state | {"cells": facts | {"name": name}})
+        self._merge(state["segments"])
+        return facts
 
     # ---- changes
 
@@ -135,35 +308,46 @@ class ChunkStore:
         out = ranged.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
         return out.withColumn("chunk_id", F.lit(base) + 1 + F.col("__begin") + F.col("__n")).drop("__p", "__q", "__n", "__size", "__begin")
 
+    def _of_files(self, files: DataFrame) -> DataFrame:
+        """The stored chunks of some files (project_root, relative_path), with few columns; only the files'
+        buckets are read."""
+        files = files.select("project_root", "relative_path").distinct()
+        buckets = [r[0] for r in files.select(_bucket(F.col("project_root"), F.col("relative_path"))).distinct().collect()]  # BUCKETS at most
+        rows = self._stored().where(F.col("bucket").isin(buckets)).select("project_root", "relative_path", "chunk_key", "chunk_id", "n_tokens")
+        return rows.join(files, ["project_root", "relative_path"], "left_semi")
+
     def upsert(self, rows: DataFrame, dim: int | None = None) -> None:
         """Add rows; of a key that is there already the new row counts and keeps the id. ``dim``: all
         vectors must have this length, or nothing is written."""
         with self._staged(self._with_keys(rows)) as staged:
             if dim is not None and not staged.where(F.col("embedding").isNotNull() & (F.size("embedding") != dim)).isEmpty():
                 raise ValueError(f"vectors of other than {dim} dimensions")
-            have = self.read()
-            last = have.agg(F.max("chunk_id")).first()[0] or 0
-            known = have.select("chunk_key", F.col("chunk_id").alias("__id"))
-            met = staged.dropDuplicates(["chunk_key"]).join(known, "chunk_key", "left")
+            known = self._of_files(staged).select("chunk_key", F.col("chunk_id").alias("__id"), "n_tokens")
+            met = staged.dropDuplicates(["chunk_key"]).join(known.drop("n_tokens"), "chunk_key", "left")
             again = met.where("__id is not null").withColumn("chunk_id", F.col("__id")).drop("__id")
-            kept = have.join(staged.select("chunk_key"), "chunk_key", "left_anti")
+            dead = known.join(staged.select("chunk_key"), "chunk_key", "left_semi").select(F.col("__id").alias("chunk_id"), "n_tokens")
             with self._staged(self._ranged(met.where("__id is null").drop("__id"))) as new:
-                self._commit(kept.unionByName(again.unionByName(self._numbered(new, last)), allowMissingColumns=True))
-
-    def replace_files(self, rows: DataFrame, project_root: str, gone: DataFrame | None = None) -> None:
-        """New chunks of some files instead of their old ones, and files (relative_path) that go, in
-        one generation."""
+                last = self.state["last_id"]
+                self._commit(again.unionByName(self._numbered(new, last), allowMissingColumns=True), dead, last_id=last + new.count())
+
+    def replace_files(self, rows: DataFrame, project_root: str, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> bool:
+        """New chunks of some files instead of their old ones, and files (relative_path) that go, in one
+        generation. ``batch``: a stream's name and the number of its batch; one that was applied
+        before changes nothing (False)."""
+        if batch and batch[1] <= self.state["ledger"].get(batch[0], -1):
+            return False
         with self._staged(self._ranged(self._with_keys(rows))) as new:
             touched = new.select("relative_path").distinct()
             if gone is not None:
                 touched = touched.unionByName(gone.select("relative_path")).distinct()
-            have = self.read()
-            old = have.join(touched.withColumn("project_root", F.lit(project_root)), ["project_root", "relative_path"], "left_anti")
-            last = have.agg(F.max("chunk_id")).first()[0] or 0
-            self._commit(old.unionByName(self._numbered(new, last), allowMissingColumns=True))
+            dead = self._of_files(touched.withColumn("project_root", F.lit(project_root)))
+            state = self.state
+            ledger = {"ledger": state["ledger"] | dict([batch])} if batch else {}
+            self._commit(self._numbered(new, state["last_id"]), dead, last_id=state["last_id"] + new.count(), **ledger)
+        return True
 
-    def delete_where(self, condition) -> None:
-        self._commit(self.read().where(~condition))
+    def delete_where(self, condition: Column) -> None:
+        self._commit(None, self._stored().where(condition).select("chunk_id", "n_tokens"))
 
     def delete_file(self, project_root: str, path: str) -> int:
         """A file of one project: by relative path, or else by absolute path. Other projects' files of
@@ -181,7 +365,11 @@ class ChunkStore:
         self.delete_where(F.col("project_root") == project_root)
 
     def delete_all(self) -> None:
-        self._commit(self.spark.createDataFrame([], CHUNK_SCHEMA))
+        state = self.state
+        gen = state["generation"] + 1
+        retired = [[x["gen"], gen] for x in [*state["segments"], *state["dead"]]]
+        self._save(state | {"generation": gen, "segments": [], "dead": [], "live": EMPTY["live"], "cells": None, "retired": state["retired"] + retired})
+        self._collect_garbage()
 
     def reset(self, project_root: str | None = None, confirm: str = "") -> None:
         """Delete a project or everything, with the profile and the proof of what was ingested."""
@@ -238,7 +426,7 @@ class ChunkStore:
     def check_profile(self, active: dict) -> None:
         """Vectors of another profile must not be mixed or searched."""
         stored = self.state["profile"]
-        if stored is None and self.state["generation"] >= 0 and not self.read().isEmpty():
+        if stored is None and self.state["live"]["chunks"]:
             raise ValueError("the index has no embedding profile; rebuild it")
         if stored is not None and stored != active:
             raise ValueError("the index has another embedding profile; rebuild it")
@@ -249,25 +437,37 @@ class ChunkStore:
     # ---- branches
 
     def snapshot(self, branch: str) -> None:
-        """Keep the current chunks and profile under a branch's name."""
-        name = branch_directory(branch)
-        self.read().write.mode("overwrite").parquet(f"{self.path}/branches/{name}/chunks")
-        self.files.write(f"{self.path}/branches/{name}/state.json", json.dumps(self.state))
+        """Keep the current chunks and profile under a branch's name: its segments are not deleted."""
+        state = self.state
+        kept = {k: state[k] for k in ("segments", "dead", "live", "cells", "profile", "receipts")}
+        self._save(state | {"branches": state["branches"] | {branch_directory(branch): kept}})
 
     def switch(self, branch: str, active: dict | None = None) -> bool:
         """Make a branch's chunks current, if it has any of the active profile."""
-        name = branch_directory(branch)
-        file = f"{self.path}/branches/{name}/state.json"
-        if not self.files.exists(file):
-            return False
-        kept = json.loads(self.files.read(file))
-        if active is not None and kept["profile"] != active:
+        state = self.state
+        kept = state["branches"].get(branch_directory(branch))
+        if kept is None or active is not None and kept["profile"] != active:
             return False
-        self._commit(self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/branches/{name}/chunks"))
-        self._save(self.state | {"profile": kept["profile"], "receipts": kept["receipts"]})
+        gen = state["generation"] + 1
+        now = {x["gen"] for x in [*kept["segments"], *kept["dead"]]}
+        retired = [[x["gen"], gen] for x in [*state["segments"], *state["dead"]] if x["gen"] not in now]
+        self._save(state | kept | {"generation": gen, "retired": state["retired"] + retired})
         return True
 
 
+def _bucket(root: Column, path: Column) -> Column:
+    return F.pmod(F.xxhash64(root, path), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int").alias("part")
+
+
+def part_of(term: str) -> int:
+    """What ``_part`` says of a term, on the driver."""
+    return (xxhash.xxh64_intdigest(term.encode(), 42) + (1 << 63)) % (1 << 64) % PARTS  # the sign bit: 2**63 is a multiple of PARTS
+
+
 def branch_directory(branch: str) -> str:
     flat = branch.translate(str.maketrans("/\\: ~", "-----")).replace("..", "--").strip("-")
     return flat or "unnamed"
