@@ -55,41 +55,49 @@ class Engine:
 
     def index(self, paths: Sequence[str] = (), full: bool = False, symbols: DataFrame | None = None) -> dict:
         """Bring the index up to date: chunk and embed what changed, drop what is gone (only if no
-        paths are named, as a scan of some paths says nothing about the others, and if the session does
-        not pass over files that cannot be read). ``symbols`` are exported symbols to cut files along.
+        paths are named, as a scan of some paths says nothing about the others). ``symbols`` are exported
+        symbols to cut files along; files whose text they no longer fit are cut as if there were none.
         Vectors of texts that the index has are used again, unless ``full``. Files whose texts could not
-        all be embedded are left out, counted as ``failed_files``, and keep the receipt incomplete."""
+        all be embedded are left out, counted as ``failed_files``, and keep the receipt incomplete. The tree is
+        read once and chunked once; the receipt holds the digest of what was read."""
         if not full:
             self.store.check_profile(self.profile)
         attempt = self.store.begin_receipt(self.project)
         counts: dict = {}
 
         def change() -> None:
-            files = scan.indexable(self.scan()).where(freshness.under(F.col("relative_path"), list(paths)))
             known = stats.file_hashes(self.chunks())
-            todo = files if full else freshness.to_index(files, known)
-            made = chunking.chunk_files(todo, self.options)
-            if symbols is not None:
-                with_symbols = symbols.select("relative_path").distinct()
-                along = structural.chunk_structurally(todo, symbols)
-                made = made.join(with_symbols, "relative_path", "left_anti").unionByName(along, allowMissingColumns=True)
-            cache = None if full else embedding.stored_vectors(self.chunks(), self.embedder.model)
-            rows, _ = embedding.embedded_chunks(made, self.embedder, cache)
-            gone = freshness.to_prune(known, scan.raw_hashes(self.scan()), scan_complete=whole)
-            counts["deleted_files"] = gone.count()
-            asked = made.select("relative_path", "file_hash").distinct()
-            before = self.store.state["generation"]
-            self.store.replace_files(rows.withColumn("indexed_at", F.current_timestamp()), self.project, gone)
-            failed = asked.join(self.chunks().select("relative_path", "file_hash"), ["relative_path", "file_hash"], "left_anti").count()
-            counts.update(generation=self.store.state["generation"], previous=before, failed_files=failed)
-
-        whole = not paths and scan.reads_everything(self.spark)
+            fed = freshness.feed(scan.indexable(self.scan()), known, list(paths), full)
+            with self.store.staged(fed) as files:
+                todo = files.where("wanted").drop("wanted")
+                counts.update(freshness.feed_digest(files).select("digest").first().asDict())
+                gone = freshness.to_prune(known, files, scan_complete=whole)
+                with self.store.staged(self._cut(todo, symbols)) as made, self.store.staged(gone) as pruned:
+                    cache = None if full else embedding.stored_vectors(self.chunks(), self.embedder.model)
+                    rows, _ = embedding.embedded_chunks(made, self.embedder, cache)
+                    before = self.store.state["generation"]
+                    self.store.replace_files(rows.withColumn("indexed_at", F.current_timestamp()), self.project, pruned)
+                    asked = made.select("relative_path", "file_hash").distinct()
+                    failed = asked.join(self.chunks().select("relative_path", "file_hash"), ["relative_path", "file_hash"], "left_anti").count()
+                    counts.update(generation=self.store.state["generation"], previous=before, failed_files=failed, deleted_files=pruned.count())
+
+        whole = not paths
         self.store.guarded(self.project, change, full=full)
         self.store.save_profile(self.profile)
         row = stats.index_stats(self.chunks()).first().asDict()
-        self.store.finish_receipt(self.project, attempt, complete=whole and not counts["failed_files"], failed_files=counts["failed_files"], chunks=row["chunks"], files=row["files"])
+        self.store.finish_receipt(self.project, attempt, complete=whole and not counts["failed_files"], failed_files=counts["failed_files"], digest=counts["digest"], structural=symbols is not None, chunks=row["chunks"], files=row["files"])
         return row | counts
 
+    def _cut(self, files: DataFrame, symbols: DataFrame | None) -> DataFrame:
+        """Chunks of files, along exported symbols where there are some that fit the file as it is."""
+        if symbols is None:
+            return chunking.chunk_files(files, self.options)
+        fits = symbols.select("relative_path", "source_hash").distinct() if "source_hash" in symbols.columns else symbols.select("relative_path").distinct()
+        keys = [c for c in ("relative_path", "source_hash") if c in fits.columns]
+        apart = files.join(fits, keys, "left_anti")
+        along = structural.chunk_structurally(files.join(fits, keys, "left_semi"), symbols)
+        return chunking.chunk_files(apart, self.options).unionByName(along, allowMissingColumns=True)
+
     def ensure(self, mode: str = "check") -> freshness.Readiness:
         """The state of the index; ``index_if_empty`` indexes an empty one, ``force_rebuild`` any."""
         if mode not in ("check", "index_if_empty", "force_rebuild"):
@@ -106,12 +114,23 @@ class Engine:
         return n
 
     def watch(self, events: DataFrame, checkpoint: str, tick: str | None = watching.TICK) -> StreamingQuery:
-        """Follow a stream of events (path, op, ts); paths are relative to the root."""
+        """Follow a stream of events (path, op, ts); paths are relative to the root. A batch reads its own
+        files only. The store's ledger knows the last batch that a stream (named by its checkpoint) has
+        applied, so one that comes again changes nothing. Changed files that can no longer be indexed go;
+        files that cannot be embedded keep their old chunks and leave the index stale."""
         def apply(changed: DataFrame, removed: DataFrame, batch_id: int) -> None:
-            files = scan.indexable(self.scan()).join(changed.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi")
-            rows, _ = embedding.embedded_chunks(chunking.chunk_files(files, self.options), self.embedder)
-            self.store.replace_files(rows, self.project, removed.withColumnRenamed("path", "relative_path"))
-            self.store.invalidate(self.project)
+            paths = [r[0] for r in changed.limit(watching.LISTED + 1).collect()]
+            if len(paths) <= watching.LISTED:
+                found = scan.some(self.spark, self.root, paths, self.rules(), project_root=self.project)
+            else:
+                found = self.scan().join(changed.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi")
+            with self.store.staged(scan.indexable(found)) as files, self.store.staged(chunking.chunk_files(files, self.options)) as made:
+                unfit = changed.withColumnRenamed("path", "relative_path").join(files.select("relative_path"), "relative_path", "left_anti")
+                rows, _ = embedding.embedded_chunks(made, self.embedder, embedding.stored_vectors(self.chunks(), self.embedder.model))
+                gone = removed.withColumnRenamed("path", "relative_path").unionByName(unfit)
+                if self.store.replace_files(rows.withColumn("indexed_at", F.current_timestamp()), self.project, gone, batch=(checkpoint, batch_id)):
+                    self.store.invalidate(self.project)
+
         return watching.watch(events, apply, checkpoint, self.ignore, tick)
 
     # ---- state

@@ -27,6 +27,22 @@ def to_index(current: DataFrame, indexed: DataFrame) -> DataFrame:
     return current.join(indexed.select("relative_path", "file_hash"), ["relative_path", "file_hash"], "left_anti")
 
 
+def feed(files: DataFrame, indexed: DataFrame, paths: list[str], full: bool = False) -> DataFrame:
+    """Files with ``wanted``, whether they are to be indexed; only those keep their content. Written
+    once, this is what a run works from, whatever happens to the files meanwhile."""
+    same = indexed.select("relative_path", "file_hash").distinct().withColumn("__same", F.lit(True))
+    met = files.join(same, ["relative_path", "file_hash"], "left")
+    wanted = under(F.col("relative_path"), paths) & (F.lit(full) | F.col("__same").isNull())
+    return met.withColumn("wanted", wanted).withColumn("content", F.when(F.col("wanted"), F.col("content"))).drop("__same")
+
+
+def feed_digest(files: DataFrame, path: str = "relative_path", hash_col: str = "source_hash") -> DataFrame:
+    """One row (files, digest): an order-independent digest of what a run works from, the sum of 60 bits of
+    the SHA-256 of each path and hash. Two feeds differ if their digests do."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws("\x00", path, hash_col), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(own), F.lit(0)).cast("string").alias("digest"))
+
+
 def to_prune(indexed: DataFrame, current: DataFrame, scan_complete: bool = True) -> DataFrame:
     """Indexed files that are gone. After an incomplete scan: none."""
     gone = indexed.join(current.select("relative_path"), "relative_path", "left_anti").orderBy("relative_path")

@@ -112,12 +112,6 @@ def bm25_topk(spark, sf_dir):
     return bm25.top(corpus(spark, sf_dir, False), TEXT, 10).select("chunk_id", "bm25")
 
 
-@query(f"WITH {CORPUS_SQL}, {bm25_sql(TERMS)} SELECT chunk_id, bm25 FROM text_hits")
-def bm25_topk_indexed(spark, sf_dir):
-    rows = corpus(spark, sf_dir, False)
-    return bm25.top_indexed(bm25.postings(rows), bm25.length_stats(rows), TEXT, 10)
-
-
 @query(f"WITH {CORPUS_SQL}, {bm25_sql(TERMS)} SELECT chunk_id, round(bm25 / max(bm25) OVER (), 6) AS score, bm25 AS distance FROM text_hits")
 def bm25_normalized(spark, sf_dir):
     return search.keyword(corpus(spark, sf_dir, False), TEXT, SearchOptions("keyword"))

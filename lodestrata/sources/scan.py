@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 MAX_FILE_BYTES = 1 << 20
 #: A file is text if so many bytes at its beginning are.
 PROBE_BYTES = 8192
+#: A level of the tree with more folders than this is listed by tasks; files that a task reads, about.
+WIDE_LEVEL = 64
+FILES_A_TASK = 500
+LISTED = "path string, folder boolean, length long, modified long"
 
 # ---- fixed values: languages by extension, compound suffix and name
 
@@ -112,59 +116,112 @@ def watch_ignored(path: Column, patterns: list[str]) -> Column:
 # ---- scans
 
 
-def reads_everything(spark: SparkSession) -> bool:
-    """Whether a scan fails over a file that cannot be read, rather than passing over it."""
-    return not any(spark.conf.get(f"spark.sql.files.{name}", "false") == "true" for name in ("ignoreCorruptFiles", "ignoreMissingFiles"))
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system's scheme, without a slash at its end."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
-def hidden_files(spark: SparkSession, root: str, max_bytes: int) -> DataFrame | None:
-    """(path, length, content) of the files that Spark's own sources pass over, as their name or a
-    folder's begins with a dot or an underscore. The driver lists names and sizes, tasks read."""
+def _may_reopen(rules: list[str]) -> bool:
+    """Whether a later rule takes files back in, so that no folder may be passed over unseen."""
+    return any(made and not made[1] for made in map(ignore_regex, rules))
+
+
+def listing(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES, wide: int = WIDE_LEVEL) -> DataFrame:
+    """(path, relative_path, length, modified) of the regular files below a folder that are small enough and not
+    ignored. Folders are listed level by level, and one that is ignored is never entered. A level of up
+    to ``wide`` folders is listed on the driver, a wider one by tasks; of that the driver sees only the names
+    of the folders that the next level has."""
+    rules = list(rules or [])
     base = qualified(spark, root)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    walk = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
-    found = []
-    while walk.hasNext():
-        status = walk.next()
-        path = status.getPath().toString()
-        if re.search(r"/[._]", path[len(base):]) and status.getLen() <= max_bytes and "/.git/" not in path:
-            found.append((path, status.getLen()))
-    if not found:
-        return None
+    prune = not _may_reopen(rules)
+    found: list[DataFrame] = []
+    level = [base]
+    while level:
+        if len(level) <= wide:
+            rows = [row for folder in level for row in _driver_list(spark, folder)]
+            listed = spark.createDataFrame(rows, LISTED)
+        else:
+            listed = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 256)).mapInArrow(_list_folders, LISTED)
+        relative = F.substring("path", len(base) + 2, 1 << 20)
+        named = listed.withColumn("relative_path", relative)
+        files = named.where("not folder").where(F.col("length") <= max_bytes).where(~ignored(F.col("relative_path"), rules))
+        found.append(files.select("path", "relative_path", "length", "modified"))
+        folders = named.where("folder").where(~F.col("relative_path").rlike(r"^(?:.*/)?\.git$"))
+        if prune:  # what is below a folder is ignored if a file in it is that no rule names
+            folders = folders.where(~ignored(F.concat("relative_path", F.lit("/\x00")), rules))
+        level = [r[0] for r in folders.select("path").orderBy("path").collect()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _driver_list(spark: SparkSession, folder: str) -> list[tuple[str, bool, int, int]]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return [(s.getPath().toString(), s.isDirectory(), s.getLen(), s.getModificationTime()) for s in listed if s.isDirectory() or s.isFile()]
 
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            system, local = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+            infos = [i for i in system.get_file_info(fs.FileSelector(local)) if i.type in (fs.FileType.File, fs.FileType.Directory)]
+            is_dir = [i.type == fs.FileType.Directory for i in infos]
+            yield pa.record_batch({
+                "path": pa.array([f"{folder}/{i.base_name}" for i in infos], pa.string()), "folder": pa.array(is_dir, pa.bool_()),
+                "length": pa.array([i.size or 0 for i in infos], pa.int64()), "modified": pa.array([int(i.mtime_ns or 0) // 1_000_000 for i in infos], pa.int64())})
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """Listed files with their ``content``, read in tasks. A file that cannot be read fails the job, so what
+    comes back is whole; one that has gone since it was listed is left out."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for i, path in enumerate(batch.column(0).to_pylist()):
                 system, local = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                with system.open_input_stream(local) as f:
-                    content = f.read()
-                yield pa.record_batch({"path": [path], "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
+                try:
+                    with system.open_input_stream(local) as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.record_batch({"path": [path], "relative_path": batch.column(1).slice(i, 1), "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    names = spark.createDataFrame(found, "path string, length long").repartition(min(len(found), 64))
-    return names.mapInArrow(read, "path string, length long, content binary")
+    parts = max(1, min(256, listed.count() // FILES_A_TASK + 1))
+    return listed.select("path", "relative_path").repartition(parts, "path").mapInArrow(read, "path string, relative_path string, length long, content binary")
 
 
 def tree(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES, project_root: str | None = None) -> DataFrame:
     """The regular files below a folder that are small enough and not ignored: project_root, path,
-    relative_path, file_size, content, source_hash, file_hash, language. Size is pushed to the
-    listing, so large files are not read; hashing is where content is first looked at."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes).select("path", "length", "content")
-    hidden = hidden_files(spark, root, max_bytes)
-    files = files if hidden is None else files.unionByName(hidden)
-    plain = re.sub(r"^file:/+", "/", qualified(spark, root))
-    relative = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(plain) + 2, 1 << 20)
-    named = files.select(F.lit(project_root or root).alias("project_root"), "path", relative.alias("relative_path"), F.col("length").alias("file_size"), "content")
-    kept = named.where(~ignored(F.col("relative_path"), rules or []))
+    relative_path, file_size, content, source_hash, file_hash, language. Large files are not read, ignored
+    folders not even listed; hashing is where content is first looked at."""
+    return _described(contents(listing(spark, root, rules, max_bytes)), project_root or root)
+
+
+def some(spark: SparkSession, root: str, paths: list[str], rules: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES, project_root: str | None = None) -> DataFrame:
+    """As ``tree``, of some files by their relative path, without looking at any other; files that are
+    not there, too large, ignored or no regular files are left out."""
+    base = qualified(spark, root)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = fs_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for relative in paths:
+        at = fs_path(f"{base}/{relative}")
+        if system.exists(at) and (status := system.getFileStatus(at)).isFile() and status.getLen() <= max_bytes:
+            found.append((f"{base}/{relative}", relative))
+    named = spark.createDataFrame(found, "path string, relative_path string").where(~ignored(F.col("relative_path"), rules or []))
+    return _described(contents(named), project_root or root)
+
+
+def _described(files: DataFrame, project_root: str) -> DataFrame:
     digest = F.sha2("content", 256)
-    return kept.withColumn("source_hash", digest).withColumn("file_hash", digest).withColumn("language", language(F.col("relative_path")))
+    named = files.select(F.lit(project_root).alias("project_root"), "path", "relative_path", F.col("length").alias("file_size"), "content")
+    return named.withColumn("source_hash", digest).withColumn("file_hash", digest).withColumn("language", language(F.col("relative_path")))
 
 
 def indexable(files: DataFrame) -> DataFrame:

@@ -283,7 +283,7 @@ class ChunkStore:
         return rows.withColumn("chunk_key", key).withColumn("file_path", F.coalesce("file_path", F.concat_ws("/", "project_root", "relative_path")))
 
     @contextmanager
-    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
         """The rows as a table that is read as often as needed: chunking and embedding run once, and
         what depends on how rows are dealt out is settled once."""
         path = f"{self.path}/staging/{uuid.uuid4().hex}"
@@ -319,14 +319,14 @@ class ChunkStore:
     def upsert(self, rows: DataFrame, dim: int | None = None) -> None:
         """Add rows; of a key that is there already the new row counts and keeps the id. ``dim``: all
         vectors must have this length, or nothing is written."""
-        with self._staged(self._with_keys(rows)) as staged:
+        with self.staged(self._with_keys(rows)) as staged:
             if dim is not None and not staged.where(F.col("embedding").isNotNull() & (F.size("embedding") != dim)).isEmpty():
                 raise ValueError(f"vectors of other than {dim} dimensions")
             known = self._of_files(staged).select("chunk_key", F.col("chunk_id").alias("__id"), "n_tokens")
             met = staged.dropDuplicates(["chunk_key"]).join(known.drop("n_tokens"), "chunk_key", "left")
             again = met.where("__id is not null").withColumn("chunk_id", F.col("__id")).drop("__id")
             dead = known.join(staged.select("chunk_key"), "chunk_key", "left_semi").select(F.col("__id").alias("chunk_id"), "n_tokens")
-            with self._staged(self._ranged(met.where("__id is null").drop("__id"))) as new:
+            with self.staged(self._ranged(met.where("__id is null").drop("__id"))) as new:
                 last = self.state["last_id"]
                 self._commit(again.unionByName(self._numbered(new, last), allowMissingColumns=True), dead, last_id=last + new.count())
 
@@ -336,7 +336,7 @@ class ChunkStore:
         before changes nothing (False)."""
         if batch and batch[1] <= self.state["ledger"].get(batch[0], -1):
             return False
-        with self._staged(self._ranged(self._with_keys(rows))) as new:
+        with self.staged(self._ranged(self._with_keys(rows))) as new:
             touched = new.select("relative_path").distinct()
             if gone is not None:
                 touched = touched.unionByName(gone.select("relative_path")).distinct()

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.scan import watch_ignored
 
 TICK = "500 milliseconds"
+#: Changed paths of a batch up to so many are looked at one by one, beyond that by a scan.
+LISTED = 10_000
 INDEXED, REMOVED = ("create", "write"), ("remove", "rename")
 
 
