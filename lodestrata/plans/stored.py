@@ -29,18 +29,18 @@ def edited_store(spark: SparkSession, sf_dir: str) -> ChunkStore:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         store = ChunkStore(spark, f"{(named or LOCAL_DIR).rstrip('/')}/store-{uuid.uuid4().hex}")
         rows = corpus(spark, sf_dir).withColumn("doc", F.col("chunk_id")).drop("chunk_id")
-        old = rows.where("doc % 10 <> 0").withColumn("content", F.when(F.col("doc") % 7 == 0, F.lit("an old text that the thing")).otherwise(F.col("content")))
-        extra = rows.where("doc % 13 = 0").withColumn("relative_path", F.concat(F.lit("gone/"), "relative_path"))
+        old = rows.where("doc % 50 <> 0").withColumn("content", F.when(F.col("doc") % 31 == 0, F.lit("an old text that the thing")).otherwise(F.col("content")))
+        extra = rows.where("doc % 53 = 0").withColumn("relative_path", F.concat(F.lit("gone/"), "relative_path"))
         store.replace_files(old.unionByName(extra).drop("doc"), "/corpus")
-        store.upsert(rows.where("doc % 10 = 0 or doc % 7 = 0").drop("doc"))
+        store.upsert(rows.where("doc % 50 = 0 or doc % 31 = 0").drop("doc"))
         store.delete_where(F.col("relative_path").startswith("gone/"))
         _STORES[key] = store
     return _STORES[key]
 
 
-#: The store numbers chunks by path, those that came later after the others.
+#: The store numbers chunks by bucket and path, those that came later after the others.
 _EDITED = f"""{CORPUS_SQL.replace('corpus AS (', 'loaded AS (', 1)},
-corpus AS (SELECT row_number() OVER (ORDER BY chunk_id % 10 = 0, relative_path) AS chunk_id, * EXCLUDE (chunk_id) FROM loaded)"""
+corpus AS (SELECT row_number() OVER (ORDER BY chunk_id % 50 = 0, CAST('0x' || substr(md5(project_root || chr(0) || relative_path), 1, 2) AS INT) // 8, relative_path) AS chunk_id, * EXCLUDE (chunk_id) FROM loaded)"""
 
 
 def _with_paths(hits: DataFrame, store: ChunkStore) -> DataFrame:

@@ -37,6 +37,8 @@ from ..schema import CHUNK_SCHEMA
 #: Hash buckets of files and of terms.
 BUCKETS = 32
 PARTS = 32
+#: Tokens of a segment for which each part of its postings is split once more.
+SPREAD = 20_000_000
 #: Segments of one size class that are merged, the factor between classes, and the share of dead rows that
 #: has everything merged.
 MERGE, FACTOR, DEAD_SHARE = 4, 4, 1 / 3
@@ -173,12 +175,14 @@ class ChunkStore:
                 self.files.delete(old)  # of a writer that broke off
         full = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
         full = full.withColumn("n_tokens", bm25.length(full)).withColumn("bucket", _bucket(F.col("project_root"), F.col("relative_path")))
-        full.repartitionByRange("bucket", "chunk_id").sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").parquet(f"{self.path}/chunks/gen={gen}")
+        # rows come by ranges of (bucket, key), in which ids go up, so the files of a bucket are few and sorted
+        full.sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").parquet(f"{self.path}/chunks/gen={gen}")
         back = self._table("chunks", STORED, [gen])
         n, tokens = back.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
         if n:
             own = bm25.postings(back).withColumn("part", _part(F.col("term")))
-            own.repartitionByRange("part", "term", "chunk_id").sortWithinPartitions("part", "term", "chunk_id").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
+            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(1 + (tokens or 0) // SPREAD))  # a common term has a posting for every chunk
+            own.repartition("part", spread).sortWithinPartitions("part", "term", "chunk_id").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
             if state["cells"]:
                 dealt = cells.assigned(back.select("chunk_id", "embedding"), self._centroids(state))
                 dealt.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id").write.partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")
@@ -220,7 +224,8 @@ class ChunkStore:
             return
         state = self.state
         gen = state["generation"] + 1
-        new = self._write(self._stored(state, old), gen, state)
+        rows = self._stored(state, old)
+        new = self._write(rows.repartitionByRange("bucket", "chunk_id"), gen, state)
         gens = {s["gen"] for s in old}
         left = [s for s in state["segments"] if s["gen"] not in gens]
         lists = []
@@ -294,13 +299,14 @@ class ChunkStore:
             self.files.delete(path)
 
     def _ranged(self, rows: DataFrame) -> DataFrame:
-        """Rows by ranges of keys, with the number of the range and the place in it."""
-        spread = rows.repartitionByRange("chunk_key").sortWithinPartitions("chunk_key").withColumn("__p", F.spark_partition_id())
+        """Rows by ranges of buckets and keys, with the number of the range and the place in it."""
+        by = [_bucket(F.col("project_root"), F.col("relative_path")), F.col("chunk_key")]
+        spread = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id())
         return spread.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
 
     @staticmethod
     def _numbered(ranged: DataFrame, base: int) -> DataFrame:
-        """Staged new rows with ids after ``base``, in the order of their keys: each range counts its
+        """Staged new rows with ids after ``base``, in the order of buckets and keys: each range counts its
         rows, a sum over the ranges says where it begins."""
         sizes = ranged.groupBy("__p").agg((F.max("__n") + 1).alias("__size"))
         begin = F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
@@ -456,7 +462,8 @@ class ChunkStore:
 
 
 def _bucket(root: Column, path: Column) -> Column:
-    return F.pmod(F.xxhash64(root, path), F.lit(BUCKETS)).cast("int").alias("bucket")
+    """The first five bits of an MD5 of project and path."""
+    return F.floor(F.conv(F.substring(F.md5(F.concat_ws("\x00", root, path).cast("binary")), 1, 2), 16, 10).cast("int") * BUCKETS / 256).cast("int").alias("bucket")
 
 
 def _part(term: Column) -> Column:
