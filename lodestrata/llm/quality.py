@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_groups
+from .common import discard, materialize, text_groups, whole_rows
 
 ORDER = 5
 #: Bytes of text after which a counting task hands its n-grams on.
@@ -38,7 +38,7 @@ SYMBOLS = b"#*$%&|<>"
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 BLANK = 32
 
-STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10_perplexity double"
+STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10_perplexity double, row_key long"
 
 
 # ---- counts of one text
@@ -186,7 +186,8 @@ def models(docs: DataFrame, lang: str = "lang", text: str = "text", order: int =
 
 
 def statistics(docs: DataFrame, model: dict, order: int = ORDER) -> DataFrame:
-    """Counts and log10-perplexity a byte of every document (columns doc_id, lang, text)."""
+    """Counts and log10-perplexity a byte of every document (columns doc_id, lang, text), and the hash of
+    what they follow from, text and language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +214,10 @@ def statistics(docs: DataFrame, model: dict, order: int = ORDER) -> DataFrame:
                     log10[i] = -float(x) / int(n) if n else None
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(log10, pa.float64())],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log10_perplexity"])
+                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(log10, pa.float64()), batch.column(3)],
+                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log10_perplexity", "row_key"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, STATS)
+    return docs.select("doc_id", "lang", "text", F.xxhash64("lang", "text").alias("row_key")).mapInArrow(run, STATS)
 
 
 def bands(stats: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -227,8 +228,9 @@ def bands(stats: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataF
     return q.select(F.col("lang").alias("__lang"), F.round(F.col("q")[0] - below * spread, 2).alias("low"), F.round(F.col("q")[1] + above * spread, 2).alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """One row per document: counts, ``base_failed``, perplexity, and ``kept``."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE, with_key: bool = False) -> DataFrame:
+    """One row per document: counts, ``base_failed``, perplexity, and ``kept``. ``with_key``: with
+    ``row_key`` too, the hash of text and language."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     stats = materialize(statistics(base, models(base)), "quality")
     limits = bands(stats, below, above)
@@ -238,10 +240,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & inside).alias("kept"),
-        F.pow(F.lit(10.0), F.col("log10_perplexity")).alias("perplexity"))
+        F.pow(F.lit(10.0), F.col("log10_perplexity")).alias("perplexity"), *["row_key"] * with_key)
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    verdict = judge(docs, id_col, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(verdict, docs[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The documents that are kept, with all their columns. Each row goes by its id, text and language: rows
+    that share an id, or have none, share nothing else."""
+    good = judge(docs, id_col, text_col, lang_col, with_key=True, **options).where("kept").select(F.col("doc_id").alias("__b"), F.col("row_key").alias("__k")).distinct()
+    rows = whole_rows(docs, __id=docs[id_col].cast("long"), __key=F.xxhash64(docs[lang_col], docs[text_col]))
+    return rows.join(good, F.col("__id").eqNullSafe(F.col("__b")) & (F.col("__key") == F.col("__k")), "left_semi").select("__row.*")
