@@ -77,7 +77,7 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
 def _secrets_sql() -> str:
     plain = {"hex": "[0-9a-f]{24,}"}
-    keep = {"assign": "length(grp) >= 6", "access": "length(body) >= 20"}
+    keep = {"assign": "length(grp) >= 6", "access": "length(body) >= 20", "jwt": "contains(body, '.')"}
     union = " UNION ALL ".join(
         _spans_sql(k.name, i, plain.get(k.name, k.pattern), keep.get(k.name, "true"), k.group) for i, k in enumerate(secrets.KINDS))
     counts = ", ".join(f"count(kind) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE)

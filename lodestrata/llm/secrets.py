@@ -40,7 +40,8 @@ KINDS = [
     Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Kind("google", r"AIza[0-9A-Za-z_-]{35}"),
     Kind("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # takes a first part without the others as well, so that a failed try is not begun again within it
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}(?:\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})?", accept=lambda m, g, b, a: F.contains(m, F.lit("."))),
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Kind("url", r"://[A-Za-z0-9._~-]{1,64}:[^\x00-\x20:/@]{3,64}@"),
 ]
