@@ -28,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from html.entities import html5
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -40,14 +41,20 @@ CAPTURED = "2024-01-01T00:00:00Z"
 RESPONSE = "source_key long, record_id string, warc_type string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string"
 DERIVED = "source_key long, warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, n_links long, block string"
 
-# No pattern can run past the next "<" without an end, so that no page takes quadratic time.
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-INNER = re.compile(r"(<(script|style|noscript|template)\b[^<>]*>).*?(?:</\2\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-LINK = re.compile(r"""<(a|area|link|img|iframe|frame|script|source|form|base)(?=[\s/])[^<>]*?[\s"'/](?:href|src|action)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|title|head|body|html|blockquote|pre|hr|dd|dt|dl|form|aside|figure|option)\b[^<>]*>", re.I)
-CELL = re.compile(r"</?t[dh]\b[^<>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
+#: What stands in a tag after its name. Quoted values may hold angle brackets; a tag that began ends at the
+#: first ">" outside of them or with the page, as browsers have it. So what begins to match always does, and with
+#: possessive repetitions no page takes quadratic time.
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\Z)"""
+HIDDEN = re.compile(rf"(<(script|style|noscript|template)\b{INSIDE}).*?(?:</\2\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+TITLE = re.compile(rf"<title\b{INSIDE}(.*?)(?:</title|\Z)", re.S | re.I)
+LINKING = re.compile(rf"<(a|area|link|img|iframe|frame|script|source|form|base)(?=[\s/])({INSIDE})", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+BREAK = re.compile(rf"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|title|head|body|html|blockquote|pre|hr|dd|dt|dl|form|aside|figure|option)(?=[\s/>]){INSIDE}", re.I)
+CELL = re.compile(rf"</?t[dh](?=[\s/>]){INSIDE}", re.I)
+TAG = re.compile(rf"<[a-zA-Z/!?]{INSIDE}")
+REFERENCE = re.compile(r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;?)")
+#: A payload that unpacks to more than this has no text here, only metadata.
+MOST_BYTES = 64 << 20
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 CHARSET = re.compile(r"charset=[\"']?([A-Za-z0-9_-]+)", re.I)
@@ -77,10 +84,25 @@ def _resolved(base: str | None, url: str) -> str:
         return url
 
 
+def attribute_value(text: str) -> str:
+    """The value of an attribute with its references resolved: a name without its semicolon is one only
+    if neither "=" nor a letter or digit follows, so that queries of addresses stay as they are."""
+    def resolved(m: re.Match) -> str:
+        name = m[0][1:]
+        if name[0] == "#":
+            return html.unescape(m[0])
+        bare = not name.endswith(";") and text[m.end():m.end() + 1] == "="
+        return m[0] if bare else html5.get(name, m[0])
+
+    return REFERENCE.sub(resolved, text) if "&" in text else text
+
+
 def links(page: str, base: str | None) -> list[dict[str, str]]:
+    """Of every tag that can point somewhere its first href, src or action that is not blank."""
     out, based = [], False
-    for m in LINK.finditer(INNER.sub(lambda m: m[1] or " ", page)):
-        tag, url = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip()
+    for m in LINKING.finditer(HIDDEN.sub(lambda m: m[1] or " ", page)):
+        given = (attribute_value(a[2] or a[3] or a[4] or "").strip() for a in ATTRIBUTE.finditer(m[2]) if a[1].lower() in ("href", "src", "action"))
+        tag, url = m[1].lower(), next(filter(None, given), "")
         if not url:
             continue
         url = _resolved(base, url)
@@ -129,8 +151,31 @@ def unchunked(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def unpacked(payload: bytes, fields: dict[str, str]) -> bytes | None:
-    """The payload without its transfer and content encodings; None if one is unknown or broken."""
+def inflated(data: bytes, bits: int, most: int) -> bytes | None:
+    """All members of a compressed stream; None if they have over ``most`` bytes. What follows the first
+    member and is none is left out."""
+    out, size = [], 0
+    while data:
+        opener = zlib.decompressobj(bits)
+        try:
+            while not opener.eof and data:
+                out.append(opener.decompress(data, 1 << 20))
+                data, size = opener.unconsumed_tail, size + len(out[-1])
+                if size > most:
+                    return None
+                if not data and not out[-1]:
+                    break
+        except zlib.error:
+            if not size:
+                raise
+            break
+        data = opener.unused_data if bits == 31 else b""
+    return b"".join(out)
+
+
+def unpacked(payload: bytes, fields: dict[str, str], most: int = MOST_BYTES) -> bytes | None:
+    """The payload without its transfer and content encodings; None if one is unknown or broken, or what
+    comes out has over ``most`` bytes."""
     if "chunked" in fields.get("transfer-encoding", "").lower():
         payload = unchunked(payload) or payload
     for coding in reversed([x.strip() for x in fields.get("content-encoding", "").lower().split(",") if x.strip()]):
@@ -139,14 +184,15 @@ def unpacked(payload: bytes, fields: dict[str, str]) -> bytes | None:
         if coding not in ("gzip", "x-gzip", "deflate"):
             return None
         for bits in (31,) if "gzip" in coding else (15, -15):
-            opener = zlib.decompressobj(bits)
             try:
-                payload = opener.decompress(payload) + opener.flush()
+                payload = inflated(payload, bits, most)
                 break
             except zlib.error:
                 continue
         else:
             return None
+        if payload is None:
+            return None
     return payload
 
 
