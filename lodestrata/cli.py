@@ -6,8 +6,10 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import functions as F
+
 from .engine import Engine, rendered
-from .options import FilterOptions, SearchOptions, parse_line_range, resolve_mode
+from .options import RECALL_LIMIT, FilterOptions, SearchOptions, parse_line_range, resolve_mode
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +45,24 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("path")
     c = sub.add_parser("reset")
     c.add_argument("--confirm", default="")
+    c = sub.add_parser("memory").add_subparsers(dest="action", required=True)
+    m = c.add_parser("remember")
+    m.add_argument("content")
+    m.add_argument("--importance", type=float, default=0.0)
+    m.add_argument("--tags", default="", help="comma-separated")
+    m.add_argument("--ttl-hours", type=float, default=0.0)
+    m = c.add_parser("recall")
+    m.add_argument("query")
+    m.add_argument("--limit", type=int, default=RECALL_LIMIT)
+    m.add_argument("--tags", default="")
+    m.add_argument("--min-importance", type=float, default=0.0)
+    m = c.add_parser("forget")
+    m.add_argument("--id", type=int)
+    m.add_argument("--tags", default="")
+    m.add_argument("--older-than-hours", type=float)
+    m.add_argument("--expired", action="store_true")
+    m.add_argument("--confirm", default="")
+    c.add_parser("stats")
     for name in ("status", "clean", "overview"):
         sub.add_parser(name)
     c = sub.add_parser("branch")
@@ -51,6 +71,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def remembered(e: Engine, a: argparse.Namespace) -> dict | list:
+    """What a memory command answers."""
+    tags = [t.strip() for t in getattr(a, "tags", "").split(",") if t.strip()]
+    if a.action == "remember":
+        return {"id": e.memories.remember(a.content, importance=a.importance, tags=tags, ttl_hours=a.ttl_hours)}
+    if a.action == "recall":
+        return [r.asDict() for r in e.memories.recall(a.query, limit=a.limit, tags=tags, min_importance=a.min_importance).collect()]
+    if a.action == "stats":
+        return e.memories.stats()
+    if a.expired:
+        return {"forgotten": e.memories.forget_expired()}
+    if a.id is None and not tags and a.older_than_hours is None:
+        raise ValueError("forget needs --id, --tags, --older-than-hours or --expired")
+    before = F.current_timestamp() - F.make_dt_interval(hours=F.lit(int(a.older_than_hours))) if a.older_than_hours is not None else None
+    return {"forgotten": e.memories.forget(id=a.id, tags=tags, older_than=before, confirm=a.confirm)}
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
     if spark is None:
@@ -77,6 +114,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.command in ("batch-search", "related-files"):
         found = e.batch_search(a.queries) if a.command == "batch-search" else e.related_files(a.path)
         say([r.asDict() for r in found.collect()])
+    elif a.command == "memory":
+        say(remembered(e, a))
     elif a.command == "delete":
         say({"deleted": e.delete(a.path)})
     elif a.command == "reset":

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .operators import chunking, embedding, evaluate, freshness, graph, search, stats, structural
 from .options import BATCH_LIMIT, DEFAULT_LIMIT, SearchOptions, parse_target
 from .sources import scan
+from .sources.cache import EmbeddingCache
+from .sources.memories import MemoryStore
 from .sources.store import ChunkStore
 from .streaming import watch as watching
 
@@ -23,10 +26,11 @@ IGNORE_FILES = (".gitignore", ".lodestrataignore")
 class Engine:
     """``root`` is the file tree, ``data`` the folder of the store."""
 
-    def __init__(self, spark: SparkSession, root: str, data: str, embedder: embedding.Embedder | None = None, project: str | None = None, ignore: Sequence[str] = (), chunks: chunking.ChunkOptions | None = None):
+    def __init__(self, spark: SparkSession, root: str, data: str, embedder: embedding.Embedder | None = None, project: str | None = None, ignore: Sequence[str] = (), chunks: chunking.ChunkOptions | None = None, cache: EmbeddingCache | None = None):
         self.spark, self.root, self.project = spark, root.rstrip("/"), project or root.rstrip("/")
         self.embedder = embedder or embedding.HashingEmbedder()
         self.store, self.ignore, self.options = ChunkStore(spark, data), list(ignore), chunks or chunking.ChunkOptions()
+        self.cache, self.memories = cache, MemoryStore(spark, f"{data.rstrip('/')}/memories", self.embedder)
 
     @property
     def profile(self) -> dict:
@@ -73,10 +77,9 @@ class Engine:
                 counts.update(freshness.feed_digest(files).select("digest").first().asDict())
                 gone = freshness.to_prune(known, files, scan_complete=whole)
                 with self.store.staged(self._cut(todo, symbols)) as made, self.store.staged(gone) as pruned:
-                    cache = None if full else embedding.stored_vectors(self.chunks(), self.embedder.model)
-                    rows, _ = embedding.embedded_chunks(made, self.embedder, cache)
                     before = self.store.state["generation"]
-                    self.store.replace_files(rows.withColumn("indexed_at", F.current_timestamp()), self.project, pruned)
+                    with self._embedded(made, full) as rows:
+                        self.store.replace_files(rows, self.project, pruned)
                     asked = made.select("relative_path", "file_hash").distinct()
                     failed = asked.join(self.chunks().select("relative_path", "file_hash"), ["relative_path", "file_hash"], "left_anti").count()
                     counts.update(generation=self.store.state["generation"], previous=before, failed_files=failed, deleted_files=pruned.count())
@@ -88,6 +91,21 @@ class Engine:
         self.store.finish_receipt(self.project, attempt, complete=whole and not counts["failed_files"], failed_files=counts["failed_files"], digest=counts["digest"], structural=symbols is not None, chunks=row["chunks"], files=row["files"])
         return row | counts
 
+    @contextmanager
+    def _embedded(self, made: DataFrame, full: bool = False) -> Iterator[DataFrame]:
+        """Chunks with vectors: of texts that the store has or the cache holds, unless ``full``, and new ones,
+        which are embedded once and go to the cache."""
+        known = None
+        if not full:
+            known = embedding.stored_vectors(self.chunks(), self.embedder.model)
+            if self.cache is not None:
+                known = known.unionByName(self.cache.entries().select("cache_key", "embedding")).dropDuplicates(["cache_key"])
+        with ExitStack() as stack:
+            rows, new = embedding.embedded_chunks(made, self.embedder, known, lambda df: stack.enter_context(self.store.staged(df)))
+            if self.cache is not None:
+                self.cache.add(new.where("error is null"))
+            yield rows.withColumn("indexed_at", F.current_timestamp())
+
     def _cut(self, files: DataFrame, symbols: DataFrame | None) -> DataFrame:
         """Chunks of files, along exported symbols where there are some that fit the file as it is."""
         if symbols is None:
@@ -126,10 +144,10 @@ class Engine:
                 found = self.scan().join(changed.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi")
             with self.store.staged(scan.indexable(found)) as files, self.store.staged(chunking.chunk_files(files, self.options)) as made:
                 unfit = changed.withColumnRenamed("path", "relative_path").join(files.select("relative_path"), "relative_path", "left_anti")
-                rows, _ = embedding.embedded_chunks(made, self.embedder, embedding.stored_vectors(self.chunks(), self.embedder.model))
                 gone = removed.withColumnRenamed("path", "relative_path").unionByName(unfit)
-                if self.store.replace_files(rows.withColumn("indexed_at", F.current_timestamp()), self.project, gone, batch=(checkpoint, batch_id)):
-                    self.store.invalidate(self.project)
+                with self._embedded(made) as rows:
+                    if self.store.replace_files(rows, self.project, gone, batch=(checkpoint, batch_id)):
+                        self.store.invalidate(self.project)
 
         return watching.watch(events, apply, checkpoint, self.ignore, tick)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
+from .packing import requests
 
 BATCH = 64
 
@@ -63,8 +64,8 @@ def embed(texts: DataFrame, embedder: Embedder, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, BATCH):
-                part = batch.slice(first, BATCH)
+            for first, last in requests(batch.column(1).to_pylist(), BATCH):
+                part = batch.slice(first, last - first)
                 error, vectors = None, None
                 try:
                     vectors = np.asarray(embedder.embed_documents(part.column(1).to_pylist()), np.float32)
@@ -102,12 +103,13 @@ def _embedded_text(chunks: DataFrame) -> Column:
     return F.coalesce(F.col("embedding_content"), F.col("content")) if "embedding_content" in chunks.columns else F.col("content")
 
 
-def embedded_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def embedded_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, once: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors, of the files all of whose chunks have one, and the newly embedded texts
-    (cache_key, embedding, error). A file with one failed chunk is left out whole, to be tried again."""
+    (cache_key, embedding, error). A file with one failed chunk is left out whole, to be tried again.
+    ``once`` can write the new ones down, so that more than one reader does not embed them twice."""
     rows = keyed(chunks.withColumn("__text", _embedded_text(chunks)), embedder.model, "__text")
     todo = rows if cache is None else rows.join(cache.select("cache_key"), "cache_key", "left_anti")
-    new = embed(todo.select(F.col("__text").alias("text")), embedder)
+    new = once(embed(todo.select(F.col("__text").alias("text")), embedder))
     have = new.where("error is null").select("cache_key", "embedding")
     if cache is not None:
         have = have.unionByName(cache.select("cache_key", "embedding"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import go_import, js_import, python_import, required, trimmed
 
 RERANK_WEIGHT = 0.15
+#: Different needles that go out to the tasks at once.
+SLICE = 100_000
 
 # ---- fixed values: names that overviews and related files look for
 
@@ -111,6 +116,58 @@ def imported_by_mention(files: DataFrame, target: str) -> DataFrame:
     return files.where((_ext(F.col("relative_path")) == ext) & (F.col("relative_path") != target) & hit).select("relative_path")
 
 
+def needles(targets: DataFrame) -> DataFrame:
+    """(target, group, needle): how each target (relative_path) would be written where it is imported."""
+    path = F.col("relative_path")
+    base = F.element_at(F.split(path, "/"), -1)
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
+    directory = F.when(F.contains(path, F.lit("/")), F.element_at(F.split(path, "/"), -2)).otherwise(F.lit("."))
+    ways = F.when(_group(path) == "js", F.array(F.concat(F.lit("./"), stem), F.concat(F.lit("../"), directory, F.lit("/"), stem))).when(_group(path) == "py", F.array(stem))
+    return targets.select(path.alias("target"), _ext(path).alias("group"), F.explode(ways).alias("needle"))
+
+
+def _group(path: Column) -> Column:
+    return F.when(_ext(path).isin(".js", ".ts", ".jsx", ".tsx"), "js").when(_ext(path) == ".py", "py")
+
+
+def imported_by_mentions(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, relative_path): as ``imported_by_mention`` for many targets (relative_path) in one pass over
+    the texts: an automaton finds all their needles at once. It goes out in slices of ``SLICE`` different
+    needles, one of which a worker holds at a time; what it finds meets its targets in a join."""
+    import ahocorasick
+
+    wanted = needles(targets)
+    context, slices, part = files.sparkSession.sparkContext, [], []
+    for row in wanted.select("needle").distinct().orderBy("needle").toLocalIterator():
+        part.append(row[0])
+        if len(part) == SLICE:
+            slices.append(context.broadcast(part))
+            part = []
+    slices += [context.broadcast(part)] if part else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, now = None, None
+        for batch in batches:
+            for no, words in enumerate(slices):
+                if now != no:
+                    automaton, now = ahocorasick.Automaton(), no
+                    for w in words.value:
+                        automaton.add_word(w, w)
+                    automaton.make_automaton()
+                paths, found = [], []
+                for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = {w for _, w in automaton.iter(text or "")}
+                    paths += [path] * len(own)
+                    found += sorted(own)
+                yield pa.record_batch({"relative_path": pa.array(paths, pa.string()), "needle": pa.array(found, pa.string())})
+
+    if not slices:
+        return wanted.select("target", F.col("needle").alias("relative_path")).where("false")
+    texts = files.where(_group(F.col("relative_path")).isNotNull()).select("relative_path", "content")
+    hits = texts.mapInArrow(run, "relative_path string, needle string").withColumn("group", _ext(F.col("relative_path")))
+    return hits.join(wanted, ["needle", "group"]).where("relative_path <> target").select("target", "relative_path").distinct()
+
+
 def candidates(target: str) -> list[tuple[str, str]]:
     """(relationship, path) of tests and configurations that a file may have."""
     directory, slash, base = target.rpartition("/")

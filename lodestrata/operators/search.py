@@ -23,6 +23,8 @@ Embed = Callable[[str], Sequence[float]]
 TOGETHER = 16
 #: Hits up to so many are looked up by a list of ids, which prunes the scan, beyond that by a join.
 LISTED = 1000
+#: Levels of dyadic blocks of lines: line numbers are ints.
+LEVELS = 32
 
 
 class Stored(Protocol):
@@ -189,12 +191,30 @@ def similar_by_id(chunks: DataFrame, chunk_id: int, limit: int, *, exclude_sourc
     return similar_by_vector(chunks, vector, limit, o, drop, min_score)
 
 
+def _covering(first: Column, last: Column) -> Column:
+    """The dyadic blocks (level, block) that a range of lines falls into: at most two at each level."""
+    def at(k: Column) -> Column:
+        low = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        high = F.call_function("shiftright", last + 1, k)
+        odd = lambda n: n.bitwiseAND(F.lit(1)) == 1
+        block = lambda n, use: F.when((low < high) & use, F.struct(k.alias("level"), n.alias("block")))
+        return F.array_compact(F.array(block(low, odd(low)), block(high - 1, odd(high))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+
+
 def chunk_at(chunks: DataFrame, locations: DataFrame) -> DataFrame:
-    """The smallest chunk around each location (relative_path, line), ties by id. Both sides meet on
-    the path; the interval is checked there."""
-    met = locations.join(chunks.select("relative_path", "chunk_id", "start_line", "end_line"), "relative_path").where("line between start_line and end_line")
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "chunk_id"))
-    return met.groupBy("relative_path", "line").agg(best.alias("b")).select("relative_path", "line", "b.chunk_id", "b.span")
+    """The smallest chunk around each location (relative_path, line), ties by id. The lines of a chunk are cut
+    into dyadic blocks, of each of which only the best chunk is kept; a line looks into the block of each
+    level that holds it. So both sides meet in an equi-join, however many chunks and lines a file has."""
+    span = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "chunk_id")
+    cut = chunks.where("start_line <= end_line").select("relative_path", span.alias("s"), F.explode(_covering(F.col("start_line").cast("long"), F.col("end_line").cast("long"))).alias("b"))
+    best = cut.groupBy("relative_path", "b.level", "b.block").agg(F.min("s").alias("s"))
+    line = F.col("line").cast("long")
+    held = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", line, k).alias("block")))
+    asked = locations.select("relative_path", "line").distinct().select("relative_path", "line", F.explode(held).alias("b")).select("relative_path", "line", "b.level", "b.block")
+    met = asked.join(best, ["relative_path", "level", "block"]).groupBy("relative_path", "line").agg(F.min("s").alias("b"))
+    return met.select("relative_path", "line", "b.chunk_id", "b.span")
 
 
 def similar_by_location(chunks: DataFrame, path: str, line: int, limit: int, **options) -> DataFrame:

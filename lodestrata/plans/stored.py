@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import freshness, search
+from ..operators import freshness, graph, packing, search
 from ..options import FilterOptions, SearchOptions
 from ..sources.store import ChunkStore
-from .registry import CORPUS_SQL, corpus, query, vector
+from .registry import CORPUS_SQL, corpus, query, table, vector
 from .searches import OTHER, TERMS, TEXT, bm25_sql, hybrid_sql
 
 #: As in tests only: a session that names no shared folder keeps its stores on the one machine it runs on.
@@ -99,3 +99,29 @@ query()(semantic_cells)
 @query(f"WITH {CORPUS_SQL} SELECT count(*) AS files, CAST(sum(CAST('0x' || substr(sha256(relative_path || chr(0) || source_hash), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM corpus")
 def feed_digest(spark, sf_dir):
     return freshness.feed_digest(corpus(spark, sf_dir, False))
+
+
+_CUT = packing.BYTES
+
+
+@query(f"""WITH s AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size FROM documents),
+l AS (SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM s),
+c AS (SELECT *, before // {_CUT} AS cut, CAST((before + greatest(size, 1) - 1) // {_CUT} > before // {_CUT} AS INT) AS crossing FROM l)
+SELECT doc_id, size, cut || ':' || crossing || ':' || (row_number() OVER (PARTITION BY cut, crossing ORDER BY doc_id) - 1) // {packing.TEXTS} AS request FROM c""")
+def provider_requests(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return packing.packed(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)))
+
+
+_LONG_WORD = "[A-Za-z]{12,}"
+
+
+@query(f"""WITH f AS (SELECT source || '/doc_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.ts' END AS relative_path, text AS content, regexp_extract(text, '{_LONG_WORD}') AS word, doc_id FROM documents),
+t AS (SELECT DISTINCT 'lib/' || word || '.py' AS target, word FROM f WHERE word <> '')
+SELECT DISTINCT target, relative_path FROM t JOIN f ON contains(content, t.word) WHERE ends_with(relative_path, '.py') AND relative_path <> target""")
+def reverse_imports_mentions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".py").otherwise(".ts"))
+    word = F.regexp_extract("text", _LONG_WORD, 0)
+    targets = docs.where(word != "").select(F.concat(F.lit("lib/"), word, F.lit(".py")).alias("relative_path")).distinct()
+    return graph.imported_by_mentions(docs.select(path.alias("relative_path"), F.col("text").alias("content")), targets)

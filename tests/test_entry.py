@@ -8,7 +8,7 @@ from lodestrata import plans
 from .twins import compared
 
 CHOSEN = [
-    "semantic_topk", "knn_join_all_queries", "bm25_topk_indexed", "bm25_filtered_indexed", "hybrid_topk_indexed", "batch_search_indexed", "store_after_edits", "feed_digest", "hybrid_weights_normalized", "filter_glob", "location_lookup", "rerank_hub", "file_list",
+    "semantic_topk", "knn_join_all_queries", "bm25_topk_indexed", "bm25_filtered_indexed", "hybrid_topk_indexed", "batch_search_indexed", "store_after_edits", "feed_digest", "provider_requests", "reverse_imports_mentions", "hybrid_weights_normalized", "filter_glob", "location_lookup", "rerank_hub", "file_list",
     "dry_run_totals", "ir_per_query", "memory_tags_and", "pending_changes", "cache_dedup", "chunk_line_windows", "structural_partition", "events_session",
 ]
 

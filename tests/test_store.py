@@ -178,3 +178,97 @@ def test_a_batch_of_a_stream_is_applied_once(spark, tmp_path, monkeypatch):
     before = e.store.state
     assert not e.store.replace_files(e.chunks().drop("chunk_id"), e.project, batch=(str(tmp_path / "cp"), 0))
     assert e.store.state == before
+
+
+def test_locations_of_nested_chunks(spark):
+    rng = random.Random(5)
+    spans = [(i, rng.choice(["a", "b"]), s := rng.choice([1, 2, 5, 64, 1000, 2**30]), s + rng.choice([0, 1, 7, 63, 64, 900, 2**20])) for i in range(300)]
+    spans += [(900, "a", 10, 9), (901, "b", 1, 2**31 - 1)]
+    chunks = spark.createDataFrame(spans, "chunk_id long, relative_path string, start_line int, end_line int")
+    asked = sorted({(p, line) for p in "abc" for _, _, s, e in spans[:60] for line in (s - 1, s, s + 1, e, min(e + 1, 2**31 - 1))})
+    got = {(r.relative_path, r.line): (r.span, r.chunk_id) for r in search.chunk_at(chunks, spark.createDataFrame(asked, "relative_path string, line int")).collect()}
+    want = {}
+    for p, line in asked:
+        own = [(e - s, i) for i, q, s, e in spans if q == p and s <= line <= e]
+        if own:
+            want[p, line] = min(own)
+    assert got == want and want
+
+
+def test_mentions_of_many_targets_equal_those_of_one(spark, monkeypatch):
+    from lodestrata.operators import graph
+    monkeypatch.setattr(graph, "SLICE", 2)
+    files = spark.createDataFrame([("x/a.ts", "import './util'; from '../lib/b'"), ("x/util.ts", "./a"), ("m.py", "import tools, util"), ("n.py", None), ("tools.py", "x"), ("x/c.js", "./util")], "relative_path string, content string")
+    targets = ["x/util.ts", "lib/b.ts", "tools.py", "util.py", "main.go", "a.ts"]
+    many = graph.imported_by_mentions(files, spark.createDataFrame([(t,) for t in targets], "relative_path string"))
+    want = sorted((t, r.relative_path) for t in targets for r in graph.imported_by_mention(files, t).collect())
+    assert sorted(map(tuple, many.collect())) == want and len(want) > 4
+
+
+def test_requests_keep_their_budgets(spark):
+    from lodestrata.operators import packing
+    texts = ["a" * n for n in (1, 2, 0, 50, 3, 4, 9, 1, 1, 1, 1, 1)]
+    spans = list(packing.requests(texts, 4, 10))
+    assert [i for a, b in spans for i in range(a, b)] == list(range(len(texts))) and spans[1] == (3, 4)
+    assert all(b - a <= 4 and (b - a == 1 or sum(map(len, texts[a:b])) <= 10) for a, b in spans)
+    rows = spark.createDataFrame([(i, len(t)) for i, t in enumerate(texts * 9)], "k long, n long")
+    got = packing.packed(rows, "k", F.col("n"), 4, 10).groupBy("request").agg(F.count("*").alias("c"), F.sum("size").alias("s"), F.max("size").alias("m")).collect()
+    assert sum(r.c for r in got) == 12 * 9 and all(r.c <= 4 and (r.s <= 10 or r.s == r.m) for r in got)
+
+
+def test_embedding_cache(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from lodestrata.sources.cache import EmbeddingCache
+    start = datetime(2024, 1, 1)
+    at = lambda h: F.lit(start + timedelta(hours=h))
+    rows = lambda pairs: spark.createDataFrame([(k, [float(v)]) for k, v in pairs], "cache_key string, embedding array<float>")
+    cache, other = EmbeddingCache(spark, str(tmp_path / "c"), 3600 * 10), EmbeddingCache(spark, str(tmp_path / "o"))
+    have = lambda h: {r.cache_key: r.embedding[0] for r in cache.entries(at(h)).collect()}
+    assert have(0) == {}
+    cache.add(rows([("a", 1), ("b", 2)]), at(0))
+    cache.add(rows([("a", 3)]), at(5))
+    assert have(6) == {"a": 3, "b": 2} and have(12) == {"a": 3} and have(20) == {}
+    other.add(rows([("a", 9), ("z", 4)]), at(2))
+    cache.merge_from(other)
+    assert have(6) == {"a": 3, "b": 2, "z": 4} and {r.cache_key for r in cache.lookup(rows([("z", 0), ("q", 0)]), at(6)).collect()} == {"z"}
+    cache.compact(at(11))
+    assert len(cache.segments) == 1 and have(6) == {"a": 3, "z": 4}
+
+
+def test_an_index_run_embeds_each_text_once_and_caches_it(spark, tmp_path):
+    from lodestrata.sources.cache import EmbeddingCache
+
+    class Counting(embedding.HashingEmbedder):
+        def embed_documents(self, texts):
+            with open(tmp_path / "asked", "a") as f:
+                f.write("".join(f"{len(t)}\n" for t in texts))
+            return super().embed_documents(texts)
+
+    (tmp_path / "t").mkdir()
+    for n in range(4):
+        (tmp_path / "t" / f"f{n}.txt").write_text(f"text of file {n % 3}")
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    asked = lambda: len((tmp_path / "asked").read_text().split())
+    assert Engine(spark, str(tmp_path / "t"), str(tmp_path / "s1"), Counting(8), cache=cache).index()["files"] == 4 and asked() == 3
+    assert Engine(spark, str(tmp_path / "t"), str(tmp_path / "s2"), Counting(8), cache=cache).index()["files"] == 4 and asked() == 3
+
+
+def test_memory_commands(spark, tmp_path, capsys):
+    from lodestrata.cli import main
+    (tmp_path / "t").mkdir()
+
+    def run(*args):
+        assert main(["--root", str(tmp_path / "t"), "--data", str(tmp_path / "s"), "memory", *args], spark) == 0
+        return json.loads(capsys.readouterr().out)
+    assert run("remember", "the cache is keyed by model", "--tags", "cache, design", "--importance", "0.9") == {"id": 1}
+    assert run("remember", "lunch is at noon", "--ttl-hours", "5") == {"id": 2}
+    found = run("recall", "how is the cache keyed", "--limit", "1")
+    assert [r["id"] for r in found] == [1] and found[0]["tags"] == ["cache", "design"]
+    assert run("recall", "cache", "--tags", "lunch") == [] and run("stats")["memories"] == 2
+    with pytest.raises(ValueError):
+        run("forget", "--tags", "design")
+    with pytest.raises(ValueError):
+        run("forget")
+    assert run("forget", "--tags", "desi", "--confirm", "yes") == {"forgotten": 1} and run("forget", "--expired") == {"forgotten": 0}
+    assert run("forget", "--id", "2") == {"forgotten": 1} and run("stats")["memories"] == 0
