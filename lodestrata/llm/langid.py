@@ -26,6 +26,8 @@ from .common import fold, text_groups
 FOLDS, HELD_OUT = 3, 1
 #: Slots of the hashed n-gram table; it bounds the model at this many numbers a language.
 SLOTS = 1 << 16
+#: Ranges of slots that a language's counts are added up in, each by a task of its own.
+SLOT_RANGES = 16
 #: Log-likelihood that a change of language between two words costs.
 SWITCH = 8.0
 #: A language is a candidate for a script that at least this share of its letters are in.
@@ -98,7 +100,7 @@ class Words:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model from all documents of the training folds that have a language: log-probabilities by
     slot, and the share of each script. Each task adds up one table a language; the tables are added
-    by language as they stream in."""
+    by language and range of slots as they stream in, so no task takes in a whole language."""
     base = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD_OUT)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     width = 4 * SLOTS
 
@@ -116,22 +118,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     scripts += words.scripts().sum(0)
         for lang, (slots, scripts) in sums.items():
             at = np.flatnonzero(slots)
-            yield pa.record_batch({"lang": [lang], "at": [at.astype(np.int32).tobytes()], "n": [slots[at].tobytes()], "scripts": [scripts.tobytes()]})
+            for r, some in enumerate(np.split(at, np.searchsorted(at, np.arange(1, SLOT_RANGES) * width // SLOT_RANGES))):
+                yield pa.record_batch({"lang": [lang], "r": pa.array([r], pa.int32()), "at": [some.astype(np.int32).tobytes()], "n": [slots[some].tobytes()], "scripts": [(scripts if r == 0 else scripts * 0).tobytes()]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[np.ndarray]] = {}
+        sums: dict[tuple[str, int], list[np.ndarray]] = {}
         for batch in batches:
-            for lang, at, n, scripts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = sums.setdefault(lang, [np.zeros(width, np.int64), np.zeros(len(SCRIPTS), np.int64)])
-                own[0][np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+            for lang, r, at, n, scripts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault((lang, r), [np.zeros(width // SLOT_RANGES + 1, np.int64), np.zeros(len(SCRIPTS), np.int64)])
+                own[0][np.frombuffer(at, np.int32) - r * width // SLOT_RANGES] += np.frombuffer(n, np.int64)
                 own[1] += np.frombuffer(scripts, np.int64)
-        for lang, (slots, scripts) in sums.items():
+        for (lang, r), (slots, scripts) in sums.items():
             at = np.flatnonzero(slots)
-            yield pa.record_batch({"lang": [lang], "at": [at.astype(np.int32).tobytes()], "n": [slots[at].tobytes()], "scripts": [scripts.tobytes()]})
-
-    shape = "lang string, at binary, n binary, scripts binary"
-    rows = base.mapInArrow(count, shape).repartition("lang").mapInArrow(add, shape).collect()  # a row of bounded size for each language
-    rows.sort(key=lambda r: r["lang"])
+            yield pa.record_batch({"lang": [lang], "r": pa.array([r], pa.int32()), "at": [(at + r * width // SLOT_RANGES).astype(np.int32).tobytes()], "n": [slots[at].tobytes()], "scripts": [scripts.tobytes()]})
+
+    shape = "lang string, r int, at binary, n binary, scripts binary"
+    found = base.mapInArrow(count, shape).repartition("lang", "r").mapInArrow(add, shape).collect()  # rows of bounded size, SLOT_RANGES for each language
+    by_lang: dict[str, list] = {}
+    for row in found:
+        by_lang.setdefault(row["lang"], []).append(row)
+    rows = [{"lang": lang, "at": b"".join(x["at"] for x in own), "n": b"".join(x["n"] for x in own), "scripts": sum(np.frombuffer(x["scripts"], np.int64) for x in own).tobytes()} for lang, own in sorted(by_lang.items())]
     table, share = np.zeros((len(rows), 4, SLOTS), np.float32), np.zeros((len(rows), len(SCRIPTS)))
     for i, r in enumerate(rows):
         n = np.zeros(width)
