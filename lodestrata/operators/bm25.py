@@ -6,8 +6,11 @@ those of the whole store; filters only restrict candidates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from ..schema import TEXT_FIELDS
 from .filters import marked
 
 K1, B = 1.2, 0.75
+#: Postings of a block, at most; tokens that a task turns into blocks at a time, about.
+BLOCK, GROUP = 4096, 2_000_000
 
 
 def searchable(chunks: DataFrame) -> Column:
@@ -105,6 +110,56 @@ def postings(chunks: DataFrame) -> DataFrame:
     return begins.select("chunk_id", F.size("t").alias("length"), F.explode(runs).alias("r")).select("r.term", "chunk_id", "r.tf", "length")
 
 
+def blocks(chunks: DataFrame) -> DataFrame:
+    """The postings as blocks (term, base, ids, tfs, lengths): for a term up to ``BLOCK`` of its chunks, whose ids
+    are ``base`` plus ``ids``. A task takes some ``GROUP`` tokens at a time, and every group has blocks of its
+    own, so a common term is no burden."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                held.append(batch.slice(first, 256))
+                n += len(held[-1].column(1).flatten())
+                if n >= GROUP:
+                    yield from _grouped(held, BLOCK)
+                    held, n = [], 0
+        if n:
+            yield from _grouped(held, BLOCK)
+
+    return chunks.select(F.col("chunk_id").cast("long"), tokens(searchable(chunks))).mapInArrow(run, "term string, base long, ids array<int>, tfs array<int>, lengths array<int>")
+
+
+def _grouped(held: list[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    lists = table.column(1).combine_chunks()
+    ids, length = table.column(0).to_numpy(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    by = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[by] = np.arange(len(ids))
+    words = lists.flatten().dictionary_encode()
+    met, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, length), return_counts=True)
+    code, own = met // len(ids), by[met % len(ids)]
+    high, low = ids[own] >> 31, (ids[own] & 0x7FFFFFFF).astype(np.int32)
+    new = np.ones(len(met), bool)
+    new[1:] = (code[1:] != code[:-1]) | (high[1:] != high[:-1])
+    at = np.arange(len(met))
+    begin = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0))
+    columns = [low, tf.astype(np.int32), length[own].astype(np.int32)]
+    for first in range(0, len(begin), 1 << 15):
+        some = begin[first:first + (1 << 15)]
+        end = begin[first + (1 << 15)] if first + (1 << 15) < len(begin) else len(met)
+        offsets = pa.array(np.append(some, end) - some[0], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(code[some])), pa.array(high[some] << 31), *(pa.ListArray.from_arrays(offsets, pa.array(c[some[0]:end])) for c in columns)], ["term", "base", "ids", "tfs", "lengths"])
+
+
+def unpacked(index: DataFrame, *more: str) -> DataFrame:
+    """(term, chunk_id, tf, length) and ``more`` columns from blocks."""
+    each = index.select("term", "base", *more, F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+    return each.select("term", (F.col("base") + F.col("p.ids")).alias("chunk_id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.lengths").alias("length"), *more)
+
+
 def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 

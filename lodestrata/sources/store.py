@@ -5,7 +5,7 @@ Then it replaces a small JSON file, the pointer, so readers see the old state or
 writer leaves the old one in force. What is written follows the change, not the table:
 
     chunks/gen=G/bucket=B     rows by a hash of their file
-    postings/gen=G/part=P     (term, chunk_id, tf, length), by a hash of the term and sorted by it
+    postings/gen=G/part=P     blocks of a term's postings, by a hash of the term and sorted by it
     vectors/gen=G/cell=C      (chunk_id, embedding), if cells have been trained
     dead/gen=G                (chunk_id, at): of older generations than ``at`` these rows are gone
 
@@ -48,7 +48,7 @@ BROADCAST_DEAD = 1_000_000
 KEEP = 2
 
 STORED = T.StructType([*CHUNK_SCHEMA.fields, T.StructField("n_tokens", T.IntegerType()), T.StructField("gen", T.LongType()), T.StructField("bucket", T.IntegerType())])
-POSTINGS = "term string, chunk_id long, tf long, length int, gen long, part int"
+POSTINGS = "term string, base long, ids array<int>, tfs array<int>, lengths array<int>, gen long, part int"
 VECTORS = "chunk_id long, embedding array<float>, gen long, cell int"
 DEAD = "chunk_id long, n_tokens int, at long, gen long"
 EMPTY = {
@@ -148,7 +148,7 @@ class ChunkStore:
         state = self.state
         parts = {part_of(t) for t in terms}
         rows = self._table("postings", POSTINGS, [s["gen"] for s in state["segments"]]).where(F.col("part").isin(sorted(parts)) & F.col("term").isin(list(terms)))
-        return self._live(rows, state).select("term", "chunk_id", "tf", "length")
+        return self._live(bm25.unpacked(rows, "gen"), state).select("term", "chunk_id", "tf", "length")
 
     def length_stats(self) -> tuple[int, float]:
         """How many chunks there are, and how many tokens they have on average."""
@@ -180,9 +180,9 @@ class ChunkStore:
         back = self._table("chunks", STORED, [gen])
         n, tokens = back.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
         if n:
-            own = bm25.postings(back).withColumn("part", _part(F.col("term")))
-            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(1 + (tokens or 0) // SPREAD))  # a common term has a posting for every chunk
-            own.repartition("part", spread).sortWithinPartitions("part", "term", "chunk_id").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
+            own = bm25.blocks(back).withColumn("part", _part(F.col("term")))
+            spread = F.pmod(F.xxhash64("base", F.col("ids")[0]), F.lit(1 + (tokens or 0) // SPREAD))  # a common term has blocks in every group
+            own.repartition("part", spread).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
             if state["cells"]:
                 dealt = cells.assigned(back.select("chunk_id", "embedding"), self._centroids(state))
                 dealt.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id").write.partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")

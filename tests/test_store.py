@@ -102,6 +102,18 @@ def test_readers_of_late_and_branches_keep_their_files(spark, tmp_path):
     assert len({r.chunk_id for r in store.read().collect()}) == store.read().count()
 
 
+def test_blocks_hold_all_postings(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "GROUP", 30)
+    monkeypatch.setattr(bm25, "BLOCK", 3)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 9)))) for i in [*range(40), 2**31 - 1, 2**31, 2**40 + 3]] + [(99, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(3)
+    want = sorted(map(tuple, bm25.postings(chunks).select("term", "chunk_id", "tf", "length").collect()))
+    made = bm25.blocks(chunks)
+    assert sorted(map(tuple, bm25.unpacked(made).select("term", "chunk_id", "tf", "length").collect())) == want and want
+    assert max(len(r.ids) for r in made.collect()) == 3
+
+
 def test_terms_parts_agree(spark):
     terms = ["a", "é", "storage", "x" * 40, "9"]
     rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", stores._part(F.col("t"))).collect()
