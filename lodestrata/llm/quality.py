@@ -25,7 +25,7 @@ from .common import discard, materialize, text_groups, whole_rows
 
 ORDER = 5
 #: Bytes of text after which a counting task hands its n-grams on.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 4 << 20
 #: How far beyond the quartiles of log-perplexity the band of a language reaches, in quartile ranges.
 BELOW, ABOVE = 5.0, 5.0
 #: The range counts as at least this many log10 units, so that uniform corpora reject nothing.
