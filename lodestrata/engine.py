@@ -13,16 +13,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .operators import chunking, embedding, evaluate, freshness, graph, search, stats, structural
 from .options import BATCH_LIMIT, DEFAULT_LIMIT, SearchOptions, parse_target
-from .sources import scan
+from .sources import exports, receipts, scan
 from .sources.cache import EmbeddingCache
 from .sources.memories import MemoryStore
-from .sources.store import ChunkStore
+from .sources.store import ChunkStore, SupersededError
 from .streaming import watch as watching
 
 IGNORED = [".git/", "node_modules/", "vendor/", "__pycache__/", "*.min.js", "*.lock"]
 IGNORE_FILES = (".gitignore", ".lodestrataignore")
 
 
+class PreflightError(RuntimeError):
+    """What indexing requires is not there; nothing has been changed."""
+
+
 class Engine:
     """``root`` is the file tree, ``data`` the folder of the store."""
 
@@ -54,42 +58,117 @@ class Engine:
 
     # ---- indexing
 
-    def dry_run(self) -> dict:
-        return stats.dry_run(scan.indexable(self.scan()).select("relative_path", "file_hash", "file_size"), stats.file_hashes(self.chunks())).first().asDict()
+    def dry_run(self, export: exports.Export | None = None) -> dict:
+        files = self._structured(scan.indexable(self.scan()), export)
+        return stats.dry_run(files.select("relative_path", "file_hash", "file_size"), stats.file_hashes(self.chunks())).first().asDict()
 
-    def index(self, paths: Sequence[str] = (), full: bool = False, symbols: DataFrame | None = None) -> dict:
+    def index(self, paths: Sequence[str] = (), full: bool = False, symbols: DataFrame | None = None, structure: str = "auto", export: str | None = None) -> dict:
         """Bring the index up to date: chunk and embed what changed, drop what is gone (only if no
-        paths are named, as a scan of some paths says nothing about the others). ``symbols`` are exported
-        symbols to cut files along; files whose text they no longer fit are cut as if there were none.
+        paths are named, as a scan of some paths says nothing about the others).
+
+        ``export``: a folder with another tool's symbols (see ``sources.exports``) to cut files along, or ``symbols``,
+        its records. With ``structure="auto"`` files whose text they no longer fit, or all if the export is unfit, are
+        cut as if there were none; with ``"required"`` that is an error before anything changes; ``"off"`` leaves
+        symbols aside. A file whose symbols change is cut again, be its text the same.
+
         Vectors of texts that the index has are used again, unless ``full``. Files whose texts could not
         all be embedded are left out, counted as ``failed_files``, and keep the receipt incomplete. The tree is
-        read once and chunked once; the receipt holds the digest of what was read."""
+        read once and chunked once; the receipt holds the digest of what was read. An attempt that breaks off
+        leaves a receipt that says so, and what succeeded last."""
+        mode = structural.parse_mode(structure)
         if not full:
             self.store.check_profile(self.profile)
-        attempt = self.store.begin_receipt(self.project)
-        counts: dict = {}
-
-        def change() -> None:
-            known = stats.file_hashes(self.chunks())
-            fed = freshness.feed(scan.indexable(self.scan()), known, list(paths), full)
-            with self.store.staged(fed) as files:
+        attempt = self.store.begin_receipt(self.project, mode)
+        code = "run"
+        try:
+            try:
+                source, notes = self._symbols(mode, symbols, export)
+            except exports.ExportError:
+                code = "producer_error"
+                raise
+            try:
+                return self._indexed(attempt, mode, list(paths), full, source, notes)
+            except PreflightError:
+                code = "preflight"
+                raise
+        except SupersededError:
+            raise
+        except Exception:
+            self.store.fail_receipt(self.project, attempt, code)
+            raise
+
+    def _symbols(self, mode: str, symbols: DataFrame | None, export: str | None) -> tuple[exports.Export | None, list[dict]]:
+        """The symbols to cut along, and what is wrong with them."""
+        if mode == "off":
+            return None, []
+        if symbols is not None:
+            known = symbols if "source_hash" in symbols.columns else symbols.withColumn("source_hash", F.lit(None).cast("string"))
+            return exports.Export(known, structural.profiles(known.where("source_hash is not null")), self.spark.createDataFrame([], "relative_path string, issue string")), []
+        try:
+            if export is None:
+                if mode == "required":
+                    raise exports.ExportError("structure is required, and there is no export")
+                return None, []
+            source = exports.load(self.spark, export, exports.project_key(self.spark, self.project))
+        except exports.ExportError:
+            if mode == "required":
+                raise
+            return None, [receipts.fallback("producer_error")]
+        bad = source.issues.select("relative_path").distinct().count()
+        if bad and mode == "required":
+            raise exports.ExportError(f"{bad} files have records that cannot be used: {source.issues.orderBy('relative_path').first().asDict()}")
+        return source, [receipts.fallback("partial_export", bad)] if bad else []
+
+    def _structured(self, files: DataFrame, source: exports.Export | None) -> DataFrame:
+        return files if source is None else freshness.structural_hashes(files, source.profiles)
+
+    def _indexed(self, attempt: str, mode: str, paths: list[str], full: bool, source: exports.Export | None, notes: list[dict]) -> dict:
+        whole, counts = not paths, {}
+        known = stats.file_hashes(self.chunks())
+        with self.store.staged(freshness.feed(self._structured(scan.indexable(self.scan()), source), known, paths, full)) as files:
+            if mode == "required":
+                self._preflight(files, paths, source)
+
+            def change() -> None:
                 todo = files.where("wanted").drop("wanted")
                 counts.update(freshness.feed_digest(files).select("digest").first().asDict())
                 gone = freshness.to_prune(known, files, scan_complete=whole)
-                with self.store.staged(self._cut(todo, symbols)) as made, self.store.staged(gone) as pruned:
+                with self.store.staged(self._cut(todo, None if source is None else source.symbols)) as made, self.store.staged(gone) as pruned:
                     before = self.store.state["generation"]
                     with self._embedded(made, full) as rows:
                         self.store.replace_files(rows, self.project, pruned)
                     asked = made.select("relative_path", "file_hash").distinct()
                     failed = asked.join(self.chunks().select("relative_path", "file_hash"), ["relative_path", "file_hash"], "left_anti").count()
-                    counts.update(generation=self.store.state["generation"], previous=before, failed_files=failed, deleted_files=pruned.count())
+                    origins = {r["origin"]: r for r in stats.origin_counts(made).collect()}
+                    counts.update(generation=self.store.state["generation"], previous=before, failed_files=failed, deleted_files=pruned.count(), origins=origins)
 
-        whole = not paths
-        self.store.guarded(self.project, change, full=full)
+            self.store.guarded(self.project, change, full=full)
         self.store.save_profile(self.profile)
+        origins = counts.pop("origins")
+        made = {"chunks": {k: r["chunks"] for k, r in origins.items()}, "files": {k: r["files"] for k, r in origins.items()}}
+        fits = 0 if source is None else source.profiles.count()
+        if source is not None and made["files"].get("local"):
+            notes = [*notes, receipts.fallback("local_chunks", made["files"]["local"])]
+        notes = [*notes, *([] if whole else [receipts.fallback("partial_scope")]), *([receipts.fallback("failed_files", counts["failed_files"])] if counts["failed_files"] else [])]
         row = stats.index_stats(self.chunks()).first().asDict()
-        self.store.finish_receipt(self.project, attempt, complete=whole and not counts["failed_files"], failed_files=counts["failed_files"], digest=counts["digest"], structural=symbols is not None, chunks=row["chunks"], files=row["files"])
-        return row | counts
+        complete = whole and not counts["failed_files"]
+        effective = receipts.effective_mode(mode, source is not None, any(n["code"] == "producer_error" for n in notes), made["chunks"], fits)
+        producer = {"producer_project_key": source.project_key, "fingerprint": source.fingerprint} if whole and source is not None and source.fingerprint else {}
+        self.store.record_receipt(
+            self.project, attempt, scope_complete=whole, effective_mode=effective, counts=made, fallbacks=notes, error_count=counts["failed_files"],
+            ingestion_complete=complete, failed_files=counts["failed_files"], digest=counts["digest"], chunks=row["chunks"], files=row["files"], **producer)
+        if complete:
+            facts = stats.health(self.chunks().groupBy("relative_path").agg(F.max("file_size").alias("file_size"), F.max("indexed_at").alias("indexed_at"))).first()
+            self.store.write_manifest(self.project, attempt, files=row["files"], chunks=row["chunks"], indexed_bytes=facts["total_size"] or 0, digest=counts["digest"])
+        self.store.finish_receipt(self.project, attempt, complete=complete)
+        return row | counts | {"effective_mode": effective}
+
+    def _preflight(self, files: DataFrame, paths: list[str], source: exports.Export) -> None:
+        """Files that the export speaks of (among ``paths``, not ignored) must be there as it has them."""
+        wanted = source.profiles.where(freshness.under(F.col("relative_path"), paths) & ~scan.ignored(F.col("relative_path"), self.rules()))
+        missing = freshness.missing_structural(files, wanted).orderBy("relative_path").first()
+        if missing:
+            raise PreflightError(f"{missing['relative_path']} is gone or has changed since it was exported")
 
     @contextmanager
     def _embedded(self, made: DataFrame, full: bool = False) -> Iterator[DataFrame]:
@@ -110,10 +189,10 @@ class Engine:
         """Chunks of files, along exported symbols where there are some that fit the file as it is."""
         if symbols is None:
             return chunking.chunk_files(files, self.options)
-        fits = symbols.select("relative_path", "source_hash").distinct() if "source_hash" in symbols.columns else symbols.select("relative_path").distinct()
-        keys = [c for c in ("relative_path", "source_hash") if c in fits.columns]
-        apart = files.join(fits, keys, "left_anti")
-        along = structural.chunk_structurally(files.join(fits, keys, "left_semi"), symbols)
+        fits = symbols.select("relative_path", F.col("source_hash").alias("__h")).distinct()
+        meets = (files["relative_path"] == fits["relative_path"]) & (F.col("__h").isNull() | (F.col("__h") == files["source_hash"]))
+        apart = files.join(fits, meets, "left_anti")
+        along = structural.chunk_structurally(files.join(fits, meets, "left_semi"), symbols)
         return chunking.chunk_files(apart, self.options).unionByName(along, allowMissingColumns=True)
 
     def ensure(self, mode: str = "check") -> freshness.Readiness:
@@ -165,6 +244,45 @@ class Engine:
         state = "unknown" if not pending["complete"] or not self.store.proven(self.project) else None
         return freshness.readiness_of(indexed, pending["total_pending"] == 0, stored == self.profile, state)
 
+    def quick_status(self, producer: dict | None = None) -> dict:
+        """The state from the manifest, the receipt and one look at the files: ``fresh``, ``stale`` or ``unknown``,
+        and why. Chunks are read (their hashes only) only to count what has changed. ``producer``: the
+        exporting tool's own manifest, which an index along its symbols needs to be called fresh."""
+        stored = self.store.state["profile"]
+        out = {"state": "unknown", "reason": "", "files": 0, "chunks": 0, "indexed_bytes": 0, "profile_matches": stored == self.profile, "pending": None}
+        try:
+            manifest = self.store.manifest(self.project)
+        except receipts.InvalidProof:
+            return out | {"reason": "manifest_invalid"}
+        if manifest is None:
+            return out | {"reason": "manifest_missing"}
+        out |= manifest["stats"] | {"indexed_bytes": manifest["indexed_bytes"]}
+        try:
+            receipt = self.store.receipt(self.project)
+        except receipts.InvalidProof:
+            return out | {"reason": "receipt_invalid"}
+        if not receipts.succeeded(receipt):
+            return out | {"reason": "receipt_incomplete"}
+        if manifest["attempt"] != receipt["attempt"]:
+            return out | {"reason": "manifest_of_another_attempt"}
+        now = freshness.feed_digest(scan.raw_hashes(self.scan())).first()["digest"]
+        if now != manifest["digest"]:
+            return out | {"state": "stale", "reason": "files_changed", "pending": self.pending()}
+        return out | dict(zip(("state", "reason"), self._producer_state(receipt, producer), strict=True))
+
+    def _producer_state(self, receipt: dict, producer: dict | None) -> tuple[str, str]:
+        if not receipts.uses_structure(receipt):
+            return "fresh", "fresh"
+        if producer is None:
+            return "unknown", "producer_unavailable"
+        try:
+            fresh = receipts.check_producer(producer, receipt.get("producer_project_key", ""), receipt.get("fingerprint", ""))
+        except receipts.Mismatch:
+            return "unknown", "producer_mismatch"
+        except receipts.InvalidProof:
+            return "unknown", "producer_invalid"
+        return ("fresh", "fresh") if fresh else ("stale", "producer_stale")
+
     def stats(self) -> dict:
         return stats.index_stats(self.chunks()).first().asDict() | {k: {r[0]: r["n"] for r in stats.histogram(self.chunks(), k).collect()} for k in ("language", "chunk_type")}
 

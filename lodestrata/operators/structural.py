@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_hex, symbol_type, utf8_prefix
+from ..functions.text import is_hex, structural_hash, symbol_type, utf8_prefix
 from .chunking import CHUNKS, SPACE, Chunk
 
 PREVIEW_BYTES, TEXT_BYTES, DOC_BYTES, SIGNATURE_BYTES = 4096, 4096, 1024, 512
@@ -19,31 +19,96 @@ FUNCTION_KINDS = {"function", "method", "test", "constructor"}
 CLASS_KINDS = {"class", "type", "struct", "interface", "enum"}
 
 
+#: How exported symbols are used: where there are any, never, or not at all without them.
+MODES = ("auto", "off", "required")
+SCHEMA_VERSION = 1
+PROFILE = "structural-profile-v1"
+_RECORD = ("start_line", "end_line", "symbol", "fqn", "kind", "language", "signature", "docstring", "source_hash", "content_hash")
+
+
+def parse_mode(text: str) -> str:
+    """A mode by name; nothing is ``auto``."""
+    mode = text.strip().lower() or "auto"
+    if mode not in MODES:
+        raise ValueError(f"unknown structure mode {text!r}: auto, off or required")
+    return mode
+
+
 def record_issue(record_hash: Column | None = None) -> Column:
     """What is wrong with an exported record (null: nothing): place, staleness, omitted or altered
-    content."""
+    content. Truncated content cannot be checked; lines are cut from the file itself."""
     content = F.coalesce(F.col("content"), F.lit(""))
     return (F.when(F.coalesce(F.col("file"), F.lit("")) == "", "no file")
-            .when(F.col("file").startswith("/") | F.col("file").rlike(r"(^|/)\.\.(/|$)"), "file outside the project")
-            .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "bad lines")
-            .when(F.col("file_stale"), "stale file").when(F.col("content_omitted") | F.col("content_truncated"), "content left out")
-            .when(~is_hex(F.col("source_hash"), 64), "bad source hash")
-            .when(F.sha2(content, 256) != F.col("content_hash"), "content hash differs"))
+            .when(outside(F.col("file")), "file outside the project")
+            .when(F.coalesce((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.lit(True)), "bad lines")
+            .when(F.col("file_stale"), "stale file").when(F.col("content_omitted"), "content left out")
+            .when(~F.coalesce(is_hex(F.col("source_hash"), 64), F.lit(False)), "bad source hash")
+            .when(~F.coalesce(F.col("content_truncated"), F.lit(False)) & ~F.sha2(content, 256).eqNullSafe(F.col("content_hash")), "content hash differs"))
 
 
-def page_problems(pages: DataFrame) -> DataFrame:
-    """(offset, problem) of export pages: counts, continuity from zero, one project and fingerprint."""
+def outside(path: Column) -> Column:
+    """Absolute, not in its shortest form, or leading out of the project."""
+    return path.startswith("/") | path.rlike(r"(^|/)\.{1,2}(/|$)|//|/$")
+
+
+def page_problems(pages: DataFrame, project_key: str | None = None) -> DataFrame:
+    """(offset, problem) of export pages: versions, identity, counts, continuity from zero, one project,
+    fingerprint and total. ``project_key``: that of the project they must be of."""
     order = Window.partitionBy("project_key").orderBy("offset")  # an export has a few thousand pages at most
-    next_ = F.lead("offset").over(order)
-    first = F.first("index_fingerprint").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    number = F.row_number().over(order)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    next_, number = F.lead("offset").over(order), F.row_number().over(order)
+    changes = lambda c: ~F.col(c).eqNullSafe(F.first(c).over(whole))
     end = F.col("offset") + F.col("returned_records")
-    problem = (F.when(F.col("returned_records") != F.size("records"), "wrong count").when((number == 1) & (F.col("offset") != 0), "does not begin at zero")
-               .when(F.col("index_fingerprint") != first, "fingerprint changes").when(next_.isNotNull() & (next_ != end), "gap or overlap")
-               .when(next_.isNotNull() & F.col("complete"), "complete before the end").when(next_.isNull() & (~F.col("complete") | (end != F.col("total_records"))), "incomplete"))
+    missing = F.lit(False)
+    for c in ("project", "project_key", "index_fingerprint", "offset", "limit", "total_records", "returned_records", "complete", "records"):
+        missing = missing | F.col(c).isNull()
+    other = F.lit(False) if project_key is None else F.col("project_key") != project_key
+    problem = (F.when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), "unknown version").when(missing, "missing fields")
+               .when((F.col("project") == "") | ~is_hex(F.col("project_key"), 12) | other, "wrong project").when(~is_hex(F.col("index_fingerprint"), 64), "bad fingerprint")
+               .when((F.col("returned_records") != F.size("records")) | (F.col("returned_records") > F.col("limit")) | (F.col("total_records") < 0), "wrong count")
+               .when((number == 1) & (F.col("offset") != 0), "does not begin at zero")
+               .when(changes("project") | changes("index_fingerprint") | changes("total_records"), "changes between pages")
+               .when(next_.isNotNull() & (next_ != end), "gap or overlap").when(next_.isNotNull() & F.col("complete"), "complete before the end")
+               .when(next_.isNull() & (~F.col("complete") | (end != F.col("total_records"))), "incomplete")
+               .when(F.coalesce("next_offset", F.lit(0)) != F.when(F.col("complete"), 0).otherwise(end), "bad next offset"))
     return pages.withColumn("problem", problem).where("problem is not null").select("offset", "problem")
 
 
+def envelope_problems(records: DataFrame, project: str, project_key: str, fingerprint: str) -> DataFrame:
+    """(file, problem) of records that belong to another export than their pages, or lie outside the project."""
+    same = F.struct("schema_version", "project", "project_key", "index_fingerprint").eqNullSafe(F.struct(F.lit(SCHEMA_VERSION), F.lit(project), F.lit(project_key), F.lit(fingerprint)))
+    problem = F.when(~same, "envelope differs").when(F.coalesce(F.col("file"), F.lit("")) == "", "no file").when(outside(F.col("file")), "file outside the project")
+    return records.select("file", problem.alias("problem")).where("problem is not null")
+
+
+def order_problem(records: DataFrame) -> DataFrame:
+    """One row (problem): whether ordinals are one to the number of records, each once; null if so, or if no record has
+    one. No record is compared with another: that all are different and the bounds are right is enough."""
+    row = records.agg(F.count(F.lit(1)).alias("n"), F.count("ordinal").alias("given"), F.count_distinct("ordinal").alias("different"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
+    problem = (F.when((F.col("given") > 0) & (F.col("given") < F.col("n")), "some records have no ordinal")
+               .when((F.col("given") > 0) & ((F.col("different") < F.col("n")) | (F.col("lo") != 1) | (F.col("hi") != F.col("n"))), "ordinals are not one to the number of records"))
+    return row.select(problem.alias("problem"))
+
+
+def file_issues(records: DataFrame) -> DataFrame:
+    """(relative_path, issue): files with a bad record, with one symbol twice, or exported in two states."""
+    bad = records.select(F.col("file").alias("relative_path"), record_issue().alias("issue")).where("issue is not null")
+    selector = F.struct("start_line", "end_line", "symbol", "fqn", "kind")
+    seen = records.groupBy(F.col("file").alias("relative_path")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(selector).alias("d"), F.min("source_hash").alias("lo"), F.max("source_hash").alias("hi"))
+    twice = seen.select("relative_path", F.when(F.col("lo") != F.col("hi"), "exported in two states").when(F.col("d") < F.col("n"), "one symbol twice").alias("issue")).where("issue is not null")
+    return bad.unionByName(twice).distinct()
+
+
+def profiles(symbols: DataFrame) -> DataFrame:
+    """(relative_path, source_hash, n_chunks, index_hash) of a file each: how many records it has, and the hash that
+    its index has, which changes with the source and with any record. A file's records meet in its group."""
+    line = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _RECORD])
+    record = F.struct("ordinal", "start_line", "end_line", F.sha2(line, 256).alias("h"))
+    grouped = symbols.groupBy("relative_path", "source_hash").agg(F.array_sort(F.collect_list(record)).alias("r"))
+    profile = F.sha2(F.concat_ws("\x00", F.lit(PROFILE), F.array_join("r.h", "\x00")), 256)
+    return grouped.select("relative_path", "source_hash", F.size("r").alias("n_chunks"), structural_hash(TAG, F.col("source_hash"), profile).alias("index_hash"))
+
+
 def owners(symbols: DataFrame) -> DataFrame:
     """(relative_path, line, symbol): each line belongs to the narrowest symbol around it, the first
     among equals. ``symbols``: relative_path, ordinal, start_line, end_line, symbol."""

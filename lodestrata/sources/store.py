@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from ..functions.text import chunk_key
 from ..operators import bm25, cells
 from ..schema import CHUNK_SCHEMA
+from . import receipts
 
 #: Hash buckets of files and of terms.
 BUCKETS = 32
@@ -52,7 +53,7 @@ POSTINGS = "term string, base long, ids array<int>, tfs array<int>, lengths arra
 VECTORS = "chunk_id long, embedding array<float>, gen long, cell int"
 DEAD = "chunk_id long, n_tokens int, at long, gen long"
 EMPTY = {
-    "generation": -1, "last_id": 0, "segments": [], "dead": [], "live": {"chunks": 0, "tokens": 0}, "cells": None, "dirty": [], "profile": None, "receipts": {}, "ledger": {}, "branches": {}, "retired": []}
+    "generation": -1, "last_id": 0, "segments": [], "dead": [], "live": {"chunks": 0, "tokens": 0}, "cells": None, "dirty": [], "profile": None, "receipts": {}, "manifests": {}, "ledger": {}, "branches": {}, "retired": []}
 
 
 class Files:
@@ -383,8 +384,8 @@ class ChunkStore:
             raise ValueError('a reset needs confirm="yes"')
         self.delete_project(project_root) if project_root else self.delete_all()
         state = self.state
-        receipts = {k: v for k, v in state["receipts"].items() if project_root and k != project_root}
-        self._save(state | {"profile": state["profile"] if project_root else None, "receipts": receipts})
+        kept = {name: {k: v for k, v in state[name].items() if project_root and k != project_root} for name in ("receipts", "manifests")}
+        self._save(state | {"profile": state["profile"] if project_root else None} | kept)
 
     def clean(self) -> dict:
         """Counts, as of now."""
@@ -404,30 +405,71 @@ class ChunkStore:
         state = self.state
         self._save(state | {"dirty": [p for p in state["dirty"] if p != project_root]})
 
-    def begin_receipt(self, project_root: str) -> str:
+    def begin_receipt(self, project_root: str, mode: str = "auto") -> str:
         """A new attempt; it takes back the proof of the last one."""
         attempt, state = uuid.uuid4().hex, self.state
-        receipt = {"attempt": attempt, "success": False, "complete": False, "last_success": state["receipts"].get(project_root, {}).get("last_success")}
-        self._save(state | {"receipts": state["receipts"] | {project_root: receipt}})
+        self._put(state, receipts.begun(project_root, attempt, mode, state["receipts"].get(project_root, {})))
         return attempt
 
-    def finish_receipt(self, project_root: str, attempt: str, *, complete: bool, **facts) -> None:
-        """Only the attempt that began last may finish. A run over some paths is never complete."""
+    def _current(self, project_root: str, attempt: str) -> tuple[dict, dict]:
+        """The state and the attempt's receipt; only the attempt that began last may go on."""
         state = self.state
         receipt = state["receipts"].get(project_root, {})
         if receipt.get("attempt") != attempt:
             raise SupersededError(project_root)
-        receipt = receipt | facts | {"success": True, "complete": complete, "last_success": attempt}
-        self._save(state | {"receipts": state["receipts"] | {project_root: receipt}})
+        return state, receipt
+
+    def _put(self, state: dict, receipt: dict) -> None:
+        receipts.check_receipt(receipt, receipt["project"])
+        self._save(state | {"receipts": state["receipts"] | {receipt["project"]: receipt}})
+
+    def record_receipt(self, project_root: str, attempt: str, **facts) -> None:
+        """What was ingested; success is not said before the receipt is finished."""
+        state, receipt = self._current(project_root, attempt)
+        self._put(state, receipt | facts)
+
+    def finish_receipt(self, project_root: str, attempt: str, *, complete: bool, **facts) -> None:
+        """Only the attempt that began last may finish. A run over some paths is never complete."""
+        state, receipt = self._current(project_root, attempt)
+        whole = {"scope_complete": True, "ingestion_complete": True} if complete else {}
+        done = whole | {"success": True, "complete": complete, "last_success": attempt, "last_success_at": receipts.now()}
+        self._put(state, receipt | facts | done)
+
+    def fail_receipt(self, project_root: str, attempt: str, code: str) -> None:
+        """An attempt that broke off: why, in a word; what succeeded last is kept."""
+        state, receipt = self._current(project_root, attempt)
+        notes = [*receipt["fallbacks"], receipts.fallback(code)][:receipts.MOST_FALLBACKS]
+        self._put(state, receipt | {"fallbacks": notes, "error_count": max(1, receipt["error_count"]), "ingestion_complete": False, "success": False, "complete": False})
+
+    def receipt(self, project_root: str) -> dict | None:
+        """The project's receipt; ``InvalidProof`` if it is not one that can be."""
+        found = self.state["receipts"].get(project_root)
+        if found is not None:
+            receipts.check_receipt(found, project_root)
+        return found
 
     def proven(self, project_root: str) -> bool:
-        r = self.state["receipts"].get(project_root, {})
-        return bool(r.get("success") and r.get("complete") and r.get("attempt") == r.get("last_success"))
+        return receipts.succeeded(self.state["receipts"].get(project_root))
 
     def invalidate(self, project_root: str) -> None:
+        """The receipt is no longer whole, and the manifest that goes with it is gone."""
         state = self.state
         if project_root in state["receipts"]:
-            self._save(state | {"receipts": state["receipts"] | {project_root: state["receipts"][project_root] | {"complete": False}}})
+            rest = {k: v for k, v in state["manifests"].items() if k != project_root}
+            self._save(state | {"manifests": rest, "receipts": state["receipts"] | {project_root: state["receipts"][project_root] | {"complete": False}}})
+
+    def write_manifest(self, project_root: str, attempt: str, **facts) -> None:
+        """What a whole run has read, bound to the attempt that goes on."""
+        state, _ = self._current(project_root, attempt)
+        made = receipts.manifest(project_root, attempt, state["generation"], **facts)
+        receipts.check_manifest(made, project_root)
+        self._save(state | {"manifests": state["manifests"] | {project_root: made}})
+
+    def manifest(self, project_root: str) -> dict | None:
+        found = self.state["manifests"].get(project_root)
+        if found is not None:
+            receipts.check_manifest(found, project_root)
+        return found
 
     def check_profile(self, active: dict) -> None:
         """Vectors of another profile must not be mixed or searched."""
@@ -445,7 +487,7 @@ class ChunkStore:
     def snapshot(self, branch: str) -> None:
         """Keep the current chunks and profile under a branch's name: its segments are not deleted."""
         state = self.state
-        kept = {k: state[k] for k in ("segments", "dead", "live", "cells", "profile", "receipts")}
+        kept = {k: state[k] for k in ("segments", "dead", "live", "cells", "profile", "receipts", "manifests")}
         self._save(state | {"branches": state["branches"] | {branch_directory(branch): kept}})
 
     def switch(self, branch: str, active: dict | None = None) -> bool:
