@@ -52,7 +52,7 @@ def outside(path: Column) -> Column:
 
 
 def page_problems(pages: DataFrame, project_key: str | None = None) -> DataFrame:
-    """(offset, problem) of export pages: versions, identity, counts, continuity from zero, one project,
+    """(project_key, offset, problem) of export pages: versions, identity, counts, continuity from zero, one project,
     fingerprint and total. ``project_key``: that of the project they must be of."""
     order = Window.partitionBy("project_key").orderBy("offset")  # an export has a few thousand pages at most
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -71,7 +71,7 @@ def page_problems(pages: DataFrame, project_key: str | None = None) -> DataFrame
                .when(next_.isNotNull() & (next_ != end), "gap or overlap").when(next_.isNotNull() & F.col("complete"), "complete before the end")
                .when(next_.isNull() & (~F.col("complete") | (end != F.col("total_records"))), "incomplete")
                .when(F.coalesce("next_offset", F.lit(0)) != F.when(F.col("complete"), 0).otherwise(end), "bad next offset"))
-    return pages.withColumn("problem", problem).where("problem is not null").select("offset", "problem")
+    return pages.withColumn("problem", problem).where("problem is not null").select("project_key", "offset", "problem")
 
 
 def envelope_problems(records: DataFrame, project: str, project_key: str, fingerprint: str) -> DataFrame:

@@ -80,6 +80,13 @@ def similar_exclude_same_source(spark, sf_dir):
     return search.similar_by_vector(rows, vector(spark, sf_dir, 7), 10, drop=drop)
 
 
+@query(_semantic_sql("split_part(relative_path, '/', 1) <> (SELECT source FROM documents WHERE doc_id = 7)", vec=7))
+def similar_exclude_same_file(spark, sf_dir):
+    """A source is a file here, so that files have many chunks."""
+    rows = corpus(spark, sf_dir).withColumn("relative_path", F.split_part("relative_path", F.lit("/"), F.lit(1)))
+    return search.similar_by_id(rows, 7, 10, exclude_same_file=True)
+
+
 @query(_semantic_sql("chunk_id <> (SELECT min(chunk_id) FROM corpus WHERE relative_path = 'src5/doc_5.txt')", vec=5, limit=5))
 def similar_by_location(spark, sf_dir):
     return search.similar_by_location(corpus(spark, sf_dir), "src5/doc_5.txt", 52, 5)

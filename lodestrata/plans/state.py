@@ -8,15 +8,13 @@ from ..operators import freshness
 from ..streaming import watch
 from .registry import query, table
 
-_FACTS = """f AS (SELECT i AS indexed, r AS fresh, m AS profile_matches, s AS freshness_state FROM (SELECT unnest([true, false]) AS i), (SELECT unnest([true, false]) AS r), (SELECT unnest([true, false]) AS m), (SELECT unnest(['fresh', 'stale', 'unknown', NULL]) AS s))"""
-
-
-@query(f"""WITH {_FACTS}, st AS (SELECT *, CASE WHEN NOT indexed THEN 'empty' WHEN NOT profile_matches THEN 'profile_mismatch' WHEN freshness_state = 'unknown' THEN 'unknown' WHEN NOT fresh OR freshness_state = 'stale' THEN 'stale' ELSE 'ready' END AS state FROM f)
+@query("""WITH f AS (SELECT doc_id, n_chars % 7 <> 0 AS indexed, doc_id % 3 <> 0 AS fresh, n_chars % 5 <> 0 AS profile_matches, CASE n_chars % 4 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' WHEN 2 THEN 'unknown' END AS freshness_state FROM documents),
+st AS (SELECT *, CASE WHEN NOT indexed THEN 'empty' WHEN NOT profile_matches THEN 'profile_mismatch' WHEN freshness_state = 'unknown' THEN 'unknown' WHEN NOT fresh OR freshness_state = 'stale' THEN 'stale' ELSE 'ready' END AS state FROM f)
 SELECT *, CASE state WHEN 'empty' THEN 'index' WHEN 'stale' THEN 'index' WHEN 'ready' THEN '' ELSE 'index_force' END AS action, state IN ('empty', 'profile_mismatch') AS blocks_search FROM st""")
 def readiness_matrix(spark, sf_dir):
-    yes_no = F.array(F.lit(True), F.lit(False))
-    facts = spark.range(1).select(F.explode(yes_no).alias("indexed")).select("*", F.explode(yes_no).alias("fresh")).select("*", F.explode(yes_no).alias("profile_matches"))
-    facts = facts.select("*", F.explode(F.array(F.lit("fresh"), F.lit("stale"), F.lit("unknown"), F.lit(None).cast("string"))).alias("freshness_state"))
+    n, size = F.col("doc_id"), F.col("n_chars")
+    freshness_state = F.when(size % 4 == 0, "fresh").when(size % 4 == 1, "stale").when(size % 4 == 2, "unknown")
+    facts = table(spark, sf_dir, "documents").select("doc_id", (size % 7 != 0).alias("indexed"), (n % 3 != 0).alias("fresh"), (size % 5 != 0).alias("profile_matches"), freshness_state.alias("freshness_state"))
     return freshness.readiness(facts)
 
 

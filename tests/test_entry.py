@@ -10,6 +10,7 @@ from .twins import compared
 CHOSEN = [
     "semantic_topk", "knn_join_all_queries", "bm25_topk_indexed", "bm25_filtered_indexed", "hybrid_topk_indexed", "batch_search_indexed", "store_after_edits", "feed_digest", "provider_requests", "reverse_imports_mentions", "hybrid_weights_normalized", "filter_glob", "location_lookup", "rerank_hub", "file_list",
     "dry_run_totals", "ir_per_query", "memory_tags_and", "pending_changes", "cache_dedup", "chunk_line_windows", "structural_partition", "events_session",
+    "readiness_matrix", "similar_exclude_same_file", "scan_eligibility", "ignore_rules", "directory_tree", "export_pages", "export_file_issues", "export_profiles",
 ]
 
 
