@@ -5,23 +5,34 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
 from .engine import Engine, rendered
 from .options import RECALL_LIMIT, FilterOptions, SearchOptions, parse_line_range, resolve_mode
+from .sources.projects import Registry
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestrata")
     p.add_argument("--root", default=".", help="file tree")
     p.add_argument("--data", required=True, help="folder of the store")
+    p.add_argument("--home", help="folder of the registry of projects")
     p.add_argument("--format", choices=["default", "json", "compact"], default="default")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("index")
     c.add_argument("paths", nargs="*")
     c.add_argument("--full", action="store_true")
     c.add_argument("--dry-run", action="store_true")
+    c.add_argument("--structure", default="auto", help="auto, off or required")
+    c.add_argument("--export", help="folder with another tool's symbols")
+    c = sub.add_parser("projects")
+    c.add_argument("action", choices=["list", "add", "find", "prune"])
+    c.add_argument("--name", default="")
+    c.add_argument("--store", default="", help="folder of the project's data")
+    c.add_argument("--dry-run", action="store_true")
+    c.add_argument("--purge", action="store_true", help="delete managed data of projects that are gone")
     c = sub.add_parser("search")
     c.add_argument("query")
     c.add_argument("--mode", default="hybrid")
@@ -63,8 +74,10 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--expired", action="store_true")
     m.add_argument("--confirm", default="")
     c.add_parser("stats")
-    for name in ("status", "clean", "overview"):
+    for name in ("clean", "overview"):
         sub.add_parser(name)
+    c = sub.add_parser("status")
+    c.add_argument("--quick", action="store_true", help="from the manifest and one look at the files")
     c = sub.add_parser("branch")
     c.add_argument("action", choices=["snapshot", "switch"])
     c.add_argument("name")
@@ -88,16 +101,28 @@ def remembered(e: Engine, a: argparse.Namespace) -> dict | list:
     return {"forgotten": e.memories.forget(id=a.id, tags=tags, older_than=before, confirm=a.confirm)}
 
 
+def registered(r: Registry, a: argparse.Namespace) -> dict | list:
+    """What a command on the registry answers."""
+    if a.action == "add":
+        return asdict(r.add(a.root, a.store, a.name))
+    if a.action == "find":
+        return {"root": r.find(a.root)}
+    return [asdict(p) for p in (r.projects() if a.action == "list" else r.prune(a.dry_run, a.purge))]
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
+    say = lambda x: print(json.dumps(x, default=str, sort_keys=True))
+    if a.command == "projects":  # needs no Spark
+        say(registered(Registry(a.home), a))
+        return 0
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("lodestrata").getOrCreate()
     e = Engine(spark, a.root, a.data)
-    say = lambda x: print(json.dumps(x, default=str, sort_keys=True))
     if a.command == "index":
-        say(e.dry_run() if a.dry_run else e.index(a.paths, a.full))
+        say(e.dry_run() if a.dry_run else e.index(a.paths, a.full, structure=a.structure, export=a.export))
     elif a.command == "search":
         low, high = parse_line_range(a.lines)
         f = FilterOptions(languages=tuple(a.lang), chunk_types=tuple(a.type), file_glob=a.file, directory=a.dir, min_line=low, max_line=high)
@@ -123,7 +148,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.command == "branch":
         say({"ok": e.store.snapshot(a.name) or True if a.action == "snapshot" else e.store.switch(a.name, e.profile)})
     else:
-        say({"status": e.status, "clean": e.store.clean, "overview": e.overview}[a.command]())
+        say({"status": e.quick_status if getattr(a, "quick", False) else e.status, "clean": e.store.clean, "overview": e.overview}[a.command]())
     return 0
 
 
