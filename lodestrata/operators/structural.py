@@ -57,7 +57,7 @@ def page_problems(pages: DataFrame, project_key: str | None = None) -> DataFrame
     order = Window.partitionBy("project_key").orderBy("offset")  # an export has a few thousand pages at most
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     next_, number = F.lead("offset").over(order), F.row_number().over(order)
-    changes = lambda c: ~F.col(c).eqNullSafe(F.first(c).over(whole))
+    changes = lambda c: F.col(c) != F.first(c, ignorenulls=True).over(whole)  # noqa: E731 - a page without one says nothing of the others
     end = F.col("offset") + F.col("returned_records")
     missing = F.lit(False)
     for c in ("project", "project_key", "index_fingerprint", "offset", "limit", "total_records", "returned_records", "complete", "records"):

@@ -198,3 +198,11 @@ def test_effective_mode(facts, want):
 
 def test_mode_names():
     assert [structural.parse_mode(x) for x in ("", " Auto", "OFF", "required ")] == ["auto", "auto", "off", "required"]
+
+
+def test_a_nameless_first_page_spoils_only_itself(spark):
+    page = lambda offset, project, last: (1, project, "0" * 12, "0" * 64, offset, 9, 4, 2, last, 0 if last else offset + 2, ["a", "b"])
+    shape = "schema_version int, project string, project_key string, index_fingerprint string, offset long, limit int, total_records long, returned_records long, complete boolean, next_offset long, records array<string>"
+    found = lambda *pages: sorted((r.offset, r.problem) for r in structural.page_problems(spark.createDataFrame(pages, shape)).collect())
+    assert found(page(0, None, False), page(2, "p", True)) == [(0, "missing fields")]
+    assert found(page(0, "p", False), page(2, "q", True)) == [(2, "changes between pages")]
