@@ -204,7 +204,7 @@ def chunk_structurally(files: DataFrame, symbols: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {k: batch.column(n)[i].as_py() for n, k in enumerate([*keys, "content", "symbols"])}
                 text, records = row.pop("content") or "", row.pop("symbols")
-                out = [row | {"chunk_index": n} | c.__dict__ | {"embedding_content": e} for n, (c, e) in enumerate(partition(text, records)) if c.content.strip(SPACE)]
+                out = [row | {"chunk_index": n} | c._asdict() | {"embedding_content": e} for n, (c, e) in enumerate(partition(text, records)) if c.content.strip(SPACE)]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, _shape())
 

@@ -114,22 +114,24 @@ def chunk_clamp_bytes(spark, sf_dir):
 
 
 def _code(spark, sf_dir, lang):
-    words = F.split(F.regexp_replace("content", r"[^A-Za-z ]", " "), " +")
-    if lang == "go":
-        body = F.concat(F.lit("package p\n\nimport \"fmt\"\n\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("func "), w, F.lit("(a int) {\n\tfmt.Println(\"{\")\n}\n"))), "\n"))
-    else:
-        body = F.concat(F.lit("import os\n\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("def f_"), w, F.lit("(a):\n    return a\n"))), "\n"))
+    """A function for each word: what stands between two words becomes the end of one and the head of the next."""
+    begin, head, rest = ("package p\n\nimport \"fmt\"\n\n", "func ", "(a int) {\n\tfmt.Println(\"{\")\n}\n") if lang == "go" else ("import os\n\n", "def f_", "(a):\n    return a\n")
+    words = F.regexp_replace("content", r"[^A-Za-z ]", " ")
+    body = F.concat(F.lit(begin + head), F.regexp_replace(words, " +", f"{rest}\n{head}"), F.lit(rest))
     return _files(spark, sf_dir).withColumn("content", body).withColumn("language", F.lit(lang))
 
 
+_BLOCKS = ["relative_path", "chunk_index", "chunk_type", "symbol_name", "start_line", "end_line"]
+
+
 @query()
 def chunk_semantic_go(spark, sf_dir):
-    return chunking.chunk_files(_code(spark, sf_dir, "go")).select("relative_path", "chunk_index", "chunk_type", "symbol_name", "start_line", "end_line")
+    return chunking.chunk_files(_code(spark, sf_dir, "go"), columns=_BLOCKS)
 
 
 @query()
 def chunk_semantic_python(spark, sf_dir):
-    return chunking.chunk_files(_code(spark, sf_dir, "python")).select("relative_path", "chunk_index", "chunk_type", "symbol_name", "start_line", "end_line")
+    return chunking.chunk_files(_code(spark, sf_dir, "python")).select(*_BLOCKS)
 
 
 @query("""WITH s AS (SELECT doc_id AS relative_path, 0 AS ordinal, doc_id % 5 + 1 AS a, doc_id % 5 + 6 AS b, 'outer' AS symbol FROM documents UNION ALL SELECT doc_id, 1, doc_id % 5 + 3, doc_id % 5 + 4, 'inner' FROM documents

@@ -1,6 +1,7 @@
 """Core operators against pinned numbers and small tables."""
 
 import json
+import re
 from datetime import datetime
 
 import numpy as np
@@ -211,6 +212,45 @@ def test_blocks_and_gaps_are_the_file(lines):
         assert "".join(c.content for c in made).replace("\n", "") == text.replace("\n", "")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["func ", "func A() {", "\xa0func B(", "type T {", "}", "{", '"', "'", "`", "\\", "\n", "\n", " ", "\t", "\v", "# c", "def ", "def f(x):", "class A:", "async def g(", "é", "x"]), max_size=60))
+def test_blocks_as_found_line_by_line(parts):
+    text = "".join(parts)
+    lines = text.split("\n")
+
+    def closing(first):
+        depth, rest = 0, "\n".join(lines[first:])
+        for m in re.finditer(r"""(["'`])(?:\\.|(?!\1).)*(?:\1|\Z)|[{}]""", rest, re.S):
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            if m[0] in "{}" and not depth:
+                return first + rest.count("\n", 0, m.start())
+        return len(lines) - 1
+
+    want = [(kind, chunking.symbol_of(x.strip(chunking.SPACE), prefix), no + 1, closing(no) + 1)
+            for prefix, kind in chunking.BLOCKS["go"] for no, x in enumerate(lines) if x.strip(chunking.SPACE).startswith(prefix)]
+    place = lambda blocks: [(b.chunk_type, b.symbol_name, b.start_line, b.end_line) for b in blocks]
+    assert place(chunking._braced(chunking.Source(text), chunking.BLOCKS["go"])) == want
+    want, no = [], 0
+    while no < len(lines):
+        m = re.match(r"([ \t]*)(async def |def |class )([^(: ]*)", lines[no])
+        last = no
+        if m:
+            inside = lambda x: not x.strip(chunking.SPACE) or x.strip(chunking.SPACE)[0] == "#" or len(x) - len(x.lstrip(" \t")) > len(m[1])  # noqa: E731, B023
+            last = next((k - 1 for k in range(no + 1, len(lines)) if not inside(lines[k])), len(lines) - 1)
+            want.append(("class" if m[2] == "class " else "function", m[3], no + 1, last + 1))
+        no = last + 1
+    assert place(chunking._indented(chunking.Source(text))) == want
+
+
+def test_only_wanted_columns_leave_the_tasks(spark):
+    rows = [("/p", f"{i}.go", "go", "h", "h", 12, GO if i % 3 else None) for i in range(7)]
+    files = spark.createDataFrame(rows, "project_root string, relative_path string, language string, file_hash string, source_hash string, file_size long, content string")
+    wanted = ["symbol_name", "relative_path", "chunk_index", "end_line"]
+    few, every = chunking.chunk_files(files, columns=wanted), chunking.chunk_files(files)
+    assert few.columns == wanted and every.columns == [c.split()[0] for c in chunking.CHUNKS.split(", ")]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.select(*wanted).collect())) and few.count() > 7
+
+
 def test_structural_partition_is_the_file(spark):
     text = "a\nb\nc\nd\ne\nf\n"
     records = [{"start_line": 2, "end_line": 5, "symbol": "outer", "fqn": "p.outer", "kind": "class", "docstring": "doc", "signature": "sig"}, {"start_line": 3, "end_line": 4, "symbol": "inner", "fqn": "", "kind": "method"}]
