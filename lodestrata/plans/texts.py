@@ -131,7 +131,7 @@ def chunk_semantic_go(spark, sf_dir):
 
 @query()
 def chunk_semantic_python(spark, sf_dir):
-    return chunking.chunk_files(_code(spark, sf_dir, "python")).select(*_BLOCKS)
+    return chunking.chunk_files(_code(spark, sf_dir, "python"), columns=_BLOCKS)
 
 
 @query("""WITH s AS (SELECT doc_id AS relative_path, 0 AS ordinal, doc_id % 5 + 1 AS a, doc_id % 5 + 6 AS b, 'outer' AS symbol FROM documents UNION ALL SELECT doc_id, 1, doc_id % 5 + 3, doc_id % 5 + 4, 'inner' FROM documents
