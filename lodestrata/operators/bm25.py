@@ -164,6 +164,15 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+def term_frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, df, tf) from text: a chunk's tokens count for tf, its different ones for df. No postings are made, and a
+    task adds up its terms before they are exchanged."""
+    text = chunks.select(tokens(searchable(chunks)).alias("t"))
+    sides = text.select(F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(0).alias("d")), F.struct(F.array_distinct("t").alias("t"), F.lit(1).alias("d")))).alias("s"))
+    each = sides.select(F.explode("s.t").alias("term"), F.col("s.d").alias("d"))
+    return each.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("tf"))
+
+
 def length_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select(length(chunks).alias("n")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_length"), F.max("n").alias("max_length"))
 

@@ -135,7 +135,7 @@ _TOKENS = r"regexp_extract_all(lower(concat_ws(' ', content, symbol_name, relati
 
 @query(f"WITH {CORPUS_SQL}, x AS (SELECT chunk_id, unnest({_TOKENS}) AS term FROM corpus) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM x GROUP BY term")
 def postings_df(spark, sf_dir):
-    return bm25.document_frequencies(bm25.postings(corpus(spark, sf_dir, False)))
+    return bm25.term_frequencies(corpus(spark, sf_dir, False))
 
 
 @query(f"WITH {CORPUS_SQL}, x AS (SELECT len({_TOKENS}) AS n FROM corpus) SELECT count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_tokens, avg(n) AS mean_length, CAST(max(n) AS INT) AS max_length FROM x")

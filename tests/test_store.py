@@ -114,6 +114,17 @@ def test_blocks_hold_all_postings(spark, monkeypatch):
     assert max(len(r.ids) for r in made.collect()) == 3
 
 
+def test_term_frequencies_are_those_of_postings(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 12)))) for i in range(50)] + [(99, None), (100, " - "), (101, "É é_1 ٣ ")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(3)
+    want = bm25.document_frequencies(bm25.postings(chunks)).select("term", "df", "tf")
+    made = bm25.term_frequencies(chunks)
+    assert made.columns == want.columns and sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "transform(" not in plan  # nothing is looked up token by token
+
+
 def test_terms_parts_agree(spark):
     terms = ["a", "é", "storage", "x" * 40, "9"]
     rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", stores._part(F.col("t"))).collect()
