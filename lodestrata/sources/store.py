@@ -5,7 +5,7 @@ Then it replaces a small JSON file, the pointer, so readers see the old state or
 writer leaves the old one in force. What is written follows the change, not the table:
 
     chunks/gen=G/bucket=B     rows by a hash of their file
-    postings/gen=G/part=P     blocks of a term's postings, by a hash of the term and sorted by it
+    postings/gen=G/part=P     blocks of a term's postings, by a hash of the term; each file is sorted by it
     vectors/gen=G/cell=C      (chunk_id, embedding), if cells have been trained
     dead/gen=G                (chunk_id, at): of older generations than ``at`` these rows are gone
 
@@ -26,7 +26,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ from . import receipts
 #: Hash buckets of files and of terms.
 BUCKETS = 32
 PARTS = 32
-#: Tokens of a segment for which each part of its postings is split once more.
-SPREAD = 20_000_000
+#: Stored bytes of chunks that a task turns into postings, and tokens for which a part gets one more file, about.
+SPLIT, SPREAD = "32m", 10_000_000
 #: Segments of one size class that are merged, the factor between classes, and the share of dead rows that
 #: has everything merged.
 MERGE, FACTOR, DEAD_SHARE = 4, 4, 1 / 3
@@ -169,42 +169,58 @@ class ChunkStore:
 
     # ---- writing
 
-    def _write(self, rows: DataFrame, gen: int, state: dict) -> dict:
-        """A segment with its postings and vectors."""
+    def _write(self, rows: DataFrame, state: dict, ordered: bool = False) -> dict:
+        """A segment with its postings and vectors, as the generation after ``state``. ``ordered``: the rows of a task
+        have their bucket and are sorted by it and by id."""
+        gen = state["generation"] + 1
         for folder in ("chunks", "postings", "vectors", "dead"):
             if self.files.exists(old := f"{self.path}/{folder}/gen={gen}"):
                 self.files.delete(old)  # of a writer that broke off
-        full = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
-        full = full.withColumn("n_tokens", bm25.length(full)).withColumn("bucket", _bucket(F.col("project_root"), F.col("relative_path")))
+        full = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA], *["bucket"] * ordered)
+        full = full.withColumn("n_tokens", bm25.length(full))
+        if not ordered:
+            full = full.withColumn("bucket", _bucket(F.col("project_root"), F.col("relative_path")))
         # rows come by ranges of (bucket, key), in which ids go up, so the files of a bucket are few and sorted
-        full.sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").parquet(f"{self.path}/chunks/gen={gen}")
+        (full if ordered else full.sortWithinPartitions("bucket", "chunk_id")).write.partitionBy("bucket").parquet(f"{self.path}/chunks/gen={gen}")
         back = self._table("chunks", STORED, [gen])
-        n, tokens = back.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+        n, tokens, last = back.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.max("chunk_id"), F.lit(0))).first()
         if n:
-            own = bm25.blocks(back).withColumn("part", _part(F.col("term")))
-            spread = F.pmod(F.xxhash64("base", F.col("ids")[0]), F.lit(1 + (tokens or 0) // SPREAD))  # a common term has blocks in every group
-            own.repartition("part", spread).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
+            # a task has files of its own in every part: postings are more than the texts, and are not exchanged
+            with self._splits(SPLIT):
+                own = bm25.blocks(back.coalesce(min(1 + tokens // bm25.GROUP, PARTS + tokens // SPREAD))).withColumn("part", _part(F.col("term")))
+                own.sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
             if state["cells"]:
                 dealt = cells.assigned(back.select("chunk_id", "embedding"), self._centroids(state))
                 dealt.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id").write.partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")
-        return {"gen": gen, "rows": n, "tokens": tokens or 0}
+        return {"gen": gen, "rows": n, "tokens": tokens, "last": last}
 
-    def _commit(self, rows: DataFrame | None, dead: DataFrame | None, **changes) -> None:
-        """One generation: new rows (with ids), and (chunk_id, n_tokens) of those that go."""
-        state = self.state
+    @contextmanager
+    def _splits(self, size: str) -> Iterator[None]:
+        """What is run meanwhile reads files in pieces of a size."""
+        name = "spark.sql.files.maxPartitionBytes"
+        old = self.spark.conf.get(name)
+        self.spark.conf.set(name, size)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, old)
+
+    def _commit(self, state: dict, new: dict | None, dead: DataFrame | None, **changes) -> None:
+        """One generation after ``state``: a segment that was written for it, and (chunk_id, n_tokens) of the rows that go."""
         gen = state["generation"] + 1
-        new = self._write(rows, gen, state) if rows is not None else {"gen": gen, "rows": 0, "tokens": 0}
+        new = dict(new or {"gen": gen, "rows": 0, "tokens": 0, "last": 0})
+        last = new.pop("last")
         gone = {"gen": gen, "rows": 0, "tokens": 0}
         if dead is not None:
             dead.select("chunk_id", "n_tokens", F.lit(gen).cast("long").alias("at")).write.mode("overwrite").parquet(f"{self.path}/dead/gen={gen}")
             n, tokens = self._table("dead", DEAD, [gen]).agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
             gone |= {"rows": n, "tokens": tokens or 0}
-        if self.state["generation"] != gen - 1:
+        if (state := self.state)["generation"] != gen - 1:
             raise SupersededError("another change was made meanwhile")
         live = {"chunks": state["live"]["chunks"] + new["rows"] - gone["rows"], "tokens": state["live"]["tokens"] + new["tokens"] - gone["tokens"]}
         segments = state["segments"] + [new] * bool(new["rows"])
         lists = state["dead"] + [{"gen": gen, "rows": gone["rows"]}] * bool(gone["rows"])
-        self._save(state | {"generation": gen, "segments": segments, "dead": lists, "live": live, "last_id": max(state["last_id"], changes.pop("last_id", 0))} | changes)
+        self._save(state | {"generation": gen, "segments": segments, "dead": lists, "live": live, "last_id": max(state["last_id"], last)} | changes)
         self._merge(self._due())
 
     def _due(self) -> list[dict]:
@@ -226,7 +242,8 @@ class ChunkStore:
         state = self.state
         gen = state["generation"] + 1
         rows = self._stored(state, old)
-        new = self._write(rows.repartitionByRange("bucket", "chunk_id"), gen, state)
+        new = self._write(rows.repartitionByRange("bucket", "chunk_id"), state)
+        del new["last"]
         gens = {s["gen"] for s in old}
         left = [s for s in state["segments"] if s["gen"] not in gens]
         lists = []
@@ -299,21 +316,12 @@ class ChunkStore:
         finally:
             self.files.delete(path)
 
-    def _ranged(self, rows: DataFrame) -> DataFrame:
-        """Rows by ranges of buckets and keys, with the number of the range and the place in it."""
-        by = [_bucket(F.col("project_root"), F.col("relative_path")), F.col("chunk_key")]
-        spread = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id())
-        return spread.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
-
-    @staticmethod
-    def _numbered(ranged: DataFrame, base: int) -> DataFrame:
-        """Staged new rows with ids after ``base``, in the order of buckets and keys: each range counts its
-        rows, a sum over the ranges says where it begins."""
-        sizes = ranged.groupBy("__p").agg((F.max("__n") + 1).alias("__size"))
-        begin = F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
-        starts = sizes.select(F.col("__p").alias("__q"), F.coalesce(begin, F.lit(0)).alias("__begin"))
-        out = ranged.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
-        return out.withColumn("chunk_id", F.lit(base) + 1 + F.col("__begin") + F.col("__n")).drop("__p", "__q", "__n", "__size", "__begin")
+    def _ranged(self, rows: DataFrame, base: int) -> DataFrame:
+        """Rows by ranges of buckets and keys, with ids after ``base`` in that order. Each range has its own ids, 2**33 apart,
+        so that rows are numbered where they are, and ids have gaps."""
+        by = ["bucket", "chunk_key"]
+        ranged = rows.withColumn("bucket", _bucket(F.col("project_root"), F.col("relative_path"))).repartitionByRange(*by).sortWithinPartitions(*by)
+        return ranged.withColumn("chunk_id", F.lit(base) + 1 + F.monotonically_increasing_id())
 
     def _of_files(self, files: DataFrame) -> DataFrame:
         """The stored chunks of some files (project_root, relative_path), with few columns; only the files'
@@ -333,28 +341,31 @@ class ChunkStore:
             met = staged.dropDuplicates(["chunk_key"]).join(known.drop("n_tokens"), "chunk_key", "left")
             again = met.where("__id is not null").withColumn("chunk_id", F.col("__id")).drop("__id")
             dead = known.join(staged.select("chunk_key"), "chunk_key", "left_semi").select(F.col("__id").alias("chunk_id"), "n_tokens")
-            with self.staged(self._ranged(met.where("__id is null").drop("__id"))) as new:
-                last = self.state["last_id"]
-                self._commit(again.unionByName(self._numbered(new, last), allowMissingColumns=True), dead, last_id=last + new.count())
+            state = self.state
+            fresh = self._ranged(met.where("__id is null").drop("__id"), state["last_id"]).drop("bucket")
+            self._commit(state, self._write(again.unionByName(fresh, allowMissingColumns=True), state), dead)
 
     def replace_files(self, rows: DataFrame, project_root: str, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> bool:
         """New chunks of some files instead of their old ones, and files (relative_path) that go, in one
         generation. ``batch``: a stream's name and the number of its batch; one that was applied
         before changes nothing (False)."""
-        if batch and batch[1] <= self.state["ledger"].get(batch[0], -1):
+        state = self.state
+        if batch and batch[1] <= state["ledger"].get(batch[0], -1):
             return False
-        with self.staged(self._ranged(self._with_keys(rows))) as new:
-            touched = new.select("relative_path").distinct()
+        new = self._write(self._ranged(self._with_keys(rows), state["last_id"]), state, ordered=True)
+        dead = None
+        if state["segments"]:
+            touched = self._table("chunks", STORED, [new["gen"]]).select("relative_path").distinct()
             if gone is not None:
                 touched = touched.unionByName(gone.select("relative_path")).distinct()
             dead = self._of_files(touched.withColumn("project_root", F.lit(project_root)))
-            state = self.state
-            ledger = {"ledger": state["ledger"] | dict([batch])} if batch else {}
-            self._commit(self._numbered(new, state["last_id"]), dead, last_id=state["last_id"] + new.count(), **ledger)
+        ledger = {"ledger": state["ledger"] | dict([batch])} if batch else {}
+        self._commit(state, new, dead, **ledger)
         return True
 
     def delete_where(self, condition: Column) -> None:
-        self._commit(None, self._stored().where(condition).select("chunk_id", "n_tokens"))
+        state = self.state
+        self._commit(state, None, self._stored(state).where(condition).select("chunk_id", "n_tokens"))
 
     def delete_file(self, project_root: str, path: str) -> int:
         """A file of one project: by relative path, or else by absolute path. Other projects' files of

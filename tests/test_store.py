@@ -102,6 +102,25 @@ def test_readers_of_late_and_branches_keep_their_files(spark, tmp_path):
     assert len({r.chunk_id for r in store.read().collect()}) == store.read().count()
 
 
+def test_a_load_stages_no_texts_and_exchanges_no_postings(spark, tmp_path, monkeypatch):
+    """Rows go to their files once and are numbered there, in the order of buckets and keys; so do postings."""
+    rng = random.Random(11)
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.replace_files(rows_of(spark, rng, ["f0"])[0], "/p")
+    first = store.state["last_id"]
+    df, rows = rows_of(spark, rng, [f"f{i}" for i in range(1, 40)])
+    refuse = lambda *a, **b: pytest.fail("rows are moved once more")
+    monkeypatch.setattr(ChunkStore, "staged", refuse)
+    monkeypatch.setattr(type(df), "repartition", refuse)
+    store.replace_files(df, "/p")
+    monkeypatch.undo()
+    own = store._stored().where(F.col("chunk_id") > first).orderBy("chunk_id").select("bucket", "chunk_key").collect()
+    assert own == sorted(own) and len(own) == len(rows)
+    assert store.state["last_id"] == store.read().agg(F.max("chunk_id")).first()[0]
+    met = store.postings(WORDS)
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, bm25.postings(store.read()).select(*met.columns).where(F.col("term").isin(WORDS)).collect()))
+
+
 def test_blocks_hold_all_postings(spark, monkeypatch):
     monkeypatch.setattr(bm25, "GROUP", 30)
     monkeypatch.setattr(bm25, "BLOCK", 3)
