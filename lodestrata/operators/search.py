@@ -280,7 +280,10 @@ def _together_stored(chunks: DataFrame, asked: Sequence[tuple[int, Sequence[floa
     by_text = _ranked(scored, "bm25", n, "query_no").drop("rank")
     vectors = spark.createDataFrame([(no, [float(x) for x in v]) for no, v, _ in asked], "query_id int, embedding array<double>")
     by_vector = vector_search.nearest(vectors, filtered(chunks, o.filters), n).select(F.col("query_id").cast("int").alias("query_no"), "chunk_id", "cosine")
-    met = by_text.join(by_vector, ["query_no", "chunk_id"], "full_outer").join(chunks.select("chunk_id", substance(F.col("content")).alias("substance")), "chunk_id")
+    met = by_text.join(by_vector, ["query_no", "chunk_id"], "full_outer")
+    texts = chunks.select("chunk_id", "content")
+    met = looked_up(met, texts) if 2 * n * len(asked) <= LISTED else met.join(texts, "chunk_id")
+    met = met.withColumn("substance", substance(F.col("content"))).drop("content")
     met = met.withColumn("__best", F.max("bm25").over(Window.partitionBy("query_no")))
     return _ranked(met.withColumn("score", fused(o.weights)), "score", o.top, "query_no").select("query_no", "rank", "chunk_id", "score")
 

@@ -28,7 +28,7 @@ def edited_store(spark: SparkSession, sf_dir: str) -> ChunkStore:
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         store = ChunkStore(spark, f"{(named or LOCAL_DIR).rstrip('/')}/store-{uuid.uuid4().hex}")
-        rows = corpus(spark, sf_dir).withColumn("doc", F.col("chunk_id")).drop("chunk_id")
+        rows = corpus(spark, sf_dir, whole=True).withColumn("doc", F.col("chunk_id")).drop("chunk_id")
         old = rows.where("doc % 50 <> 0").withColumn("content", F.when(F.col("doc") % 31 == 0, F.lit("an old text that the thing")).otherwise(F.col("content")))
         extra = rows.where("doc % 53 = 0").withColumn("relative_path", F.concat(F.lit("gone/"), "relative_path"))
         store.replace_files(old.unionByName(extra).drop("doc"), "/corpus")
@@ -44,7 +44,8 @@ corpus AS (SELECT row_number() OVER (ORDER BY chunk_id % 50 = 0, CAST('0x' || su
 
 
 def _with_paths(hits: DataFrame, store: ChunkStore) -> DataFrame:
-    return hits.join(store.read().select("chunk_id", "relative_path"), "chunk_id").drop("chunk_id")
+    kept = [c for c in hits.columns if c != "chunk_id"]
+    return search.looked_up(hits, store.read().select("chunk_id", "relative_path")).select(*kept, "relative_path")
 
 
 @query(f"WITH {_EDITED}, {bm25_sql(TERMS)} SELECT relative_path, bm25 FROM text_hits JOIN corpus USING (chunk_id)")

@@ -121,6 +121,16 @@ def test_a_load_stages_no_texts_and_exchanges_no_postings(spark, tmp_path, monke
     assert sorted(map(tuple, met.collect())) == sorted(map(tuple, bm25.postings(store.read()).select(*met.columns).where(F.col("term").isin(WORDS)).collect()))
 
 
+def test_a_batch_looks_its_hits_up(spark, tmp_path):
+    """Texts of the hits only are read: their ids go to the scan."""
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.replace_files(rows_of(spark, random.Random(12), [f"f{i}" for i in range(30)])[0], "/p")
+    found = search.batch(store.read(), [("alpha of", [1.0] * 8), ("delta", [0.5, -1.0] * 4)], SearchOptions(limit=3), stored=store)
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scans = [part for part in plan.split("\n\n") if "Scan parquet" in part and "content" in part.split("ReadSchema")[-1]]
+    assert scans and all("chunk_id" in part.split("PushedFilters")[-1].split("ReadSchema")[0] and "In(chunk_id" in part for part in scans)
+
+
 def test_blocks_hold_all_postings(spark, monkeypatch):
     monkeypatch.setattr(bm25, "GROUP", 30)
     monkeypatch.setattr(bm25, "BLOCK", 3)
