@@ -35,7 +35,12 @@ CORPUS_SQL = """corpus AS (
   FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 
-def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+#: Vectors from which on they are hashed in a join, so that texts are not sorted for it; fewer may go by broadcast.
+HASHED = 10_000
+
+
+def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True, whole: bool = False) -> DataFrame:
+    """``whole``: all texts are wanted, and their join with the vectors should hold none back."""
     n = F.col("doc_id")
     kind = F.element_at(F.array(*map(F.lit, ("function", "class", "block", "generic"))), (n % 4 + 1).cast("int"))
     digest = F.sha2("text", 256)
@@ -45,7 +50,8 @@ def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
         F.octet_length("text").cast("long").alias("file_size"), F.lit(0).alias("chunk_index"), ((n % 40) * 10 + 1).cast("int").alias("start_line"),
         ((n % 40) * 10 + 1 + n % 7).cast("int").alias("end_line"), kind.alias("chunk_type"), F.concat(F.lit("sym_"), (n % 50).cast("string")).alias("symbol_name"))
     if vectors:
-        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+        own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+        rows = rows.join(own.hint("shuffle_hash") if whole and own.count() > HASHED else own, "chunk_id", "left")
     return rows
 
 

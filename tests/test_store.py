@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.engine import Engine
 from lodestrata.operators import bm25, cells, embedding, search, vector_search
 from lodestrata.options import FilterOptions, SearchOptions
+from lodestrata.plans import registry
 from lodestrata.sources import scan
 from lodestrata.sources import store as stores
 from lodestrata.sources.store import ChunkStore
@@ -131,6 +132,14 @@ def test_a_batch_looks_its_hits_up(spark, tmp_path):
     assert scans and all("chunk_id" in part.split("PushedFilters")[-1].split("ReadSchema")[0] and "In(chunk_id" in part for part in scans)
 
 
+def test_texts_are_not_sorted_to_meet_their_vectors(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(registry, "HASHED", 0)
+    rows = registry.corpus(spark, sf_dir, whole=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, registry.corpus(spark, sf_dir).collect()))
+
+
 def test_blocks_hold_all_postings(spark, monkeypatch):
     monkeypatch.setattr(bm25, "GROUP", 30)
     monkeypatch.setattr(bm25, "BLOCK", 3)
