@@ -104,7 +104,7 @@ w AS (
   FROM (SELECT relative_path, l, CASE WHEN cut - 3 > first THEN cut - 3 ELSE cut END AS f FROM w) WHERE f < len(l))
 SELECT relative_path, CAST(first + 1 AS INT) AS start_line, CAST(cut AS INT) AS end_line, CAST(strlen(array_to_string(l[first + 1:cut], chr(10))) AS BIGINT) AS n_bytes FROM w""")
 def chunk_line_windows(spark, sf_dir):
-    made = chunking.chunk_files(_files(spark, sf_dir), chunking.ChunkOptions(max_bytes=0))
+    made = chunking.chunk_files(_files(spark, sf_dir), chunking.ChunkOptions(max_bytes=0, verbatim=True), ["relative_path", "start_line", "end_line", "content"])
     return made.select("relative_path", "start_line", "end_line", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
